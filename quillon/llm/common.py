@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """mapInArrow, with this package's folder on the path of Python workers that can see it."""
+    context, root = df.sparkSession.sparkContext, str(Path(__file__).resolve().parents[2])
+    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        context.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return df.mapInArrow(run, schema)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 50_000) -> Iterator[pa.Table]:
     """Tables of whole groups, about `rows` rows each, from batches that are sorted by their keys."""
     import numpy as np

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import dedup, fingerprint, mixing
+from quillon.llm import dedup, fingerprint, mixing, neardup, packing, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,23 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("next_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_mix_sources, op4_fingerprints)}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def byte_tokenizer() -> tuple[str, str, str]:
+    return (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), byte_tokenizer())
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_mix_sources, op4_fingerprints, op5_token_counts, op6_pack_sequences, op7_near_dedup)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
