@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import dedup, fingerprint, mixing, neardup, packing, tokens
+from quillon.llm import dedup, fingerprint, licenses, mixing, neardup, packing, quality, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), least=0.3)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -42,7 +47,31 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_mix_sources, op4_fingerprints, op5_token_counts, op6_pack_sequences, op7_near_dedup)}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), least=0.5)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    folder = warc.new_folder(spark)
+    read = warc.read_archives(warc.archive(pages, folder), folder, with_payload=False)
+    return read.select(
+        F.col("id").cast(pages.schema["page_id"].dataType).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(pages.schema["page_id"].dataType).alias("refers_to"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_exact_dedup, op3_mix_sources, op4_fingerprints, op5_token_counts, op6_pack_sequences, op7_near_dedup,
+        op8_license_scan, op9_toxicity, op10_warc,
+    )
+}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
@@ -82,4 +111,12 @@ ORACLE_SQL = {
                CAST(c.size * (c.ep + CASE WHEN (c.inside AND c.rest > 0) OR (NOT c.inside AND l.last_id IS NOT NULL AND c.doc_id = l.last_id) THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM chosen c LEFT JOIN last l ON c.source IS NOT DISTINCT FROM l.source
     """,
+    "op10_warc": """
+        WITH base AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d, sha256(coalesce(html, '')) AS h FROM pages),
+        best AS (SELECT h, max(page_id) AS keep FROM base WHERE n >= 1000 GROUP BY h)
+        SELECT b.page_id, CAST(b.n AS BIGINT) AS payload_bytes, b.d AS payload_digest,
+               CASE WHEN k.keep IS NULL OR k.keep = b.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN k.keep <> b.page_id THEN k.keep END AS refers_to
+        FROM base b LEFT JOIN best k ON b.n >= 1000 AND b.h = k.h
+    """,
 }
