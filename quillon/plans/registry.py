@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillon.plans.queries import ORACLE_SQL, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "timeline_by_track"
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)

@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g", **extra: str) -> SparkSession:
-    """A local session with the settings that the operators expect (UTC, AQE)."""
+    """A local session with the settings that the operators expect (UTC, AQE, last value of a map key wins)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("quillon")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    on_workers(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Puts this package's folder on the path of Python workers that are started from now on and can see it."""
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
