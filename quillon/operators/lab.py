@@ -65,18 +65,18 @@ def receipts(outcomes: DataFrame, gates: DataFrame, by: str = "run_id", producer
     return met.select(by, F.to_json(F.struct(F.struct(by, "outcome", F.lit(producer).alias("producer"), "gates", "reason").alias("receipt"))).alias("line"))
 
 
-def guarded_runs(points: DataFrame, work: Callable[[pd.Series], float], schema: str = "value double, error string") -> DataFrame:
+def guarded_runs(points: DataFrame, work: Callable[[dict[str, object]], float], schema: str = "value double, error string") -> DataFrame:
     """A function over each point: its value, or the error that it raised; a failing point does not stop the others."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(row: pd.Series) -> tuple[float | None, str | None]:
+        def one(row: dict[str, object]) -> tuple[float | None, str | None]:
             try:
                 return float(work(row)), None
             except Exception as fault:
                 return None, f"{type(fault).__name__}: {fault}"
 
         for frame in frames:
-            results = [one(row) for _, row in frame.iterrows()]
+            results = [one(row) for row in frame.to_dict("records")]
             yield frame.assign(value=pd.Series([v for v, _ in results], dtype="float64", index=frame.index), error=pd.Series([e for _, e in results], dtype="object", index=frame.index))
 
     fields = points.schema.simpleString()[len("struct<") : -1]
