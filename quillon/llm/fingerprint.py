@@ -88,6 +88,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_fingerprint(slim, "_text", "fingerprint").select(id_col, "n_chars", "fingerprint")
 
 
+def one_row_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, _text of rows that have an id; of rows that repeat one, the greatest by (length, fingerprint, text)."""
+    texts = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias(id_col), text_of(docs, text_col).alias("_text"))
+    repeated = texts.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(id_col)
+    if repeated.isEmpty():
+        return texts
+    rows = with_fingerprint(texts.join(repeated, id_col, "left_semi"), "_text", "_fingerprint")
+    best = rows.groupBy(id_col).agg(F.max(F.struct(F.char_length("_text"), "_fingerprint", "_text"))["_text"].alias("_text"))
+    return texts.join(repeated, id_col, "left_anti").unionByName(best)
+
+
 def in_order(slim: DataFrame, id_col: str) -> DataFrame:
     """Adds next_id, next_fingerprint, previous_id, previous_chars in descending order of ids, as a ring.
 
@@ -126,20 +137,16 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (n_chars, fingerprint) counts, with the greatest text where these are equal. A single document is its
     own next. An empty table gives no rows.
     """
-    every = fingerprints(docs, id_col, text_col).where(F.col(id_col).isNotNull())
-    one = F.max(F.struct("n_chars", "fingerprint"))
-    slim = every.groupBy(id_col).agg(one.alias("_one")).select(id_col, "_one.*")
-    places = cut(in_order(slim, id_col))
-    texts = docs.select(docs[id_col].alias(id_col), text_of(docs, text_col).alias("_text"))
+    texts = one_row_each(docs, id_col, text_col)
+    places = cut(in_order(fingerprints(texts, id_col, "_text"), id_col))
 
     half = lambda n: F.floor(F.col(n) / 2).cast("int")
-    fits = F.char_length("_text") == F.col("n_chars")
-    left = texts.join(places.select(id_col, "n_chars", "fingerprint", "next_id", "next_fingerprint"), id_col).where(fits)
+    left = texts.join(places.select(id_col, "n_chars", "fingerprint", "next_id", "next_fingerprint"), id_col)
     left = left.select(
         id_col, "n_chars", "fingerprint", "next_id", "next_fingerprint",
         F.substring(F.col("_text"), F.lit(1), F.col("n_chars").cast("int") - half("n_chars")).alias("_head"),
     )
-    right = texts.join(places.select(id_col, "n_chars", "previous_id", "previous_chars"), id_col).where(fits)
+    right = texts.join(places.select(id_col, "previous_id", "previous_chars"), id_col)
     right = right.select(F.col("previous_id").alias(id_col), F.substring(F.col("_text"), F.lit(1), half("previous_chars")).alias("_tail"))
     edited = left.join(right, id_col).withColumn("_edited", F.concat("_head", "_tail"))
     edited = with_fingerprint(edited, "_edited", "edited_fingerprint")

@@ -166,7 +166,7 @@ class PrefixCounter:
         return np.array(out)
 
 
-_CONTROL = re.compile(r"[\x1c-\x1f]")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 
 @lru_cache(maxsize=2)
