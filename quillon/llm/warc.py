@@ -31,6 +31,8 @@ from quillon.llm.common import cut, map_batches, shared_dir
 LEAST = 1000
 #: Index entries of a run, bytes of an archive, and bytes that are read at once, at most.
 RUN, ARCHIVE, STRETCH = 100_000, 1 << 30, 8 << 20
+#: Bytes of an archive that one task reads, about.
+CHUNK = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
 INDEX = "url_key string, timestamp string, id string, record_type string, payload_digest string, archive string, offset long, length long, run string"
@@ -232,8 +234,10 @@ RECORD = "id string, url string, date string, record_type string, payload binary
 
 def read_archives(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records that an index names, read from the archives in folder and checked against their digests."""
-    chunk = F.floor(F.col("offset") / (8 * STRETCH))
-    dealt = index.select("archive", "offset", "length").repartition("archive", chunk).sortWithinPartitions("archive", "offset")
+    # entries are small and what they stand for is not: tasks are told by the bytes in the archives
+    parts = index.agg(F.ceil(F.sum("length") / CHUNK)).first()[0] or 1
+    chunk = F.floor(F.col("offset") / CHUNK)
+    dealt = index.select("archive", "offset", "length").repartition(2 * parts, "archive", chunk).sortWithinPartitions("archive", "offset")
     fields = [f for f in RECORD.split(", ") if with_payload or not f.startswith("payload binary")]
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     names, types = zip(*((n, kinds[k]) for n, k in (f.split() for f in fields)), strict=True)
