@@ -1,19 +1,22 @@
 """Toxicity by multiple-instance learning: sentence scores are learned from document labels through a noisy-or.
 
 A document is toxic if any of its sentences is: P(doc) = 1 - prod(1 - p(sentence)), p(sentence) = sigmoid(b + sum
-of the weights of its words). Only documents have labels; the noisy-or's gradient tells sentences apart.
+of the weights of its terms). Terms are words and beginnings of words, so that inflected and compound words share
+what is learned. Only documents have labels; the noisy-or's gradient tells sentences apart.
 
 1. A bounded sample of labelled documents (FIT of them, the smallest digests of ids) is matched with the texts.
-2. Words that mark toxic documents of the sample become features, TERMS of them at most, by chi-squared.
-3. Gradient steps: each partition of the sample returns one vector, and the driver takes the step.
+2. Terms that mark toxic documents of the sample become features, TERMS of them at most, by chi-squared.
+3. Weights start at a part of the terms' log-odds and are held near it, so that a term which others explain away
+   keeps some weight. Gradient steps: each partition of the sample returns one vector, the driver takes the step.
 4. One pass over all texts scores every sentence, and so every document; sentences() locates the offending ones.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +29,14 @@ from quillon.llm.quality import held_out
 
 #: Labelled documents that a model is fitted on, at most. Their ids are broadcast: 16 bytes each.
 FIT = 20_000
-#: Words a model knows, at most, and toxic documents in which a word must stand at least.
+#: Terms a model knows, at most, and toxic documents in which a term must stand at least.
 TERMS, LEAST_DOCS = 4096, 3
-#: Gradient steps, their size, and the pull of weights toward 0.
-STEPS, RATE, DECAY = 60, 0.5, 1e-4
+#: Letters of the beginnings of words that are terms.
+BEGINNINGS = (4, 5, 6, 7)
+#: The part of its log-odds that a weight starts from.
+PRIOR = 0.3
+#: Gradient steps, their size, and the pull of weights toward where they started.
+STEPS, RATE, DECAY = 60, 0.1, 1e-4
 #: Partitions of the sample.
 PARTS = 8
 
@@ -42,33 +49,42 @@ def spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text) if not m.group().isspace()]
 
 
+def terms_of(text: str) -> set[str]:
+    """The words of a text, lower-cased, and the beginnings of longer ones, marked by a star."""
+    words = set(_WORD.findall(text.lower()))
+    out = set(words)
+    for k in BEGINNINGS:
+        out.update([w[:k] + "*" for w in words if len(w) > k])
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
-    """Weights of words, and the bias of a sentence; of a bounded size."""
+    """Weights of terms, and the bias of a sentence; of a bounded size."""
 
     weights: dict[str, float]
     bias: float
 
     def sentence(self, text: str) -> float:
-        """The log-odds of one sentence; a word that it repeats counts once."""
-        return self.bias + sum(map(self.weights.get, self.weights.keys() & set(_WORD.findall(text.lower()))))
+        """The log-odds of one sentence; a term that it repeats counts once."""
+        return self.bias + sum(self.weights[t] for t in terms_of(text) if t in self.weights)
 
     def document(self, text: str) -> float:
         """The probability that any sentence is toxic; an empty text has one empty sentence."""
-        found = self.weights.keys() & set(_WORD.findall(text.lower()))
         places = spans(text)
-        plain = np.log1p(np.exp(self.bias))  # -log(1 - p) of a sentence without known words
-        if not found:
-            return float(-np.expm1(-plain * max(1, len(places))))
+        plain = math.log1p(math.exp(self.bias))  # -log(1 - p) of a sentence without known terms
+        if self.weights.keys().isdisjoint(terms_of(text)):
+            return -math.expm1(-plain * max(1, len(places)))
         total = 0.0
         for a, b in places:
-            total += np.logaddexp(0.0, self.sentence(text[a:b]))
-        return float(-np.expm1(-total))
+            z = self.sentence(text[a:b])
+            total += plain if z == self.bias else z if z > 30 else math.log1p(math.exp(z))
+        return -math.expm1(-total)
 
 
-def bags(text: str) -> list[list[str]]:
-    """The distinct words of each sentence."""
-    return [sorted(set(_WORD.findall(text[a:b].lower()))) for a, b in spans(text)]
+def bags(text: str) -> list[set[str]]:
+    """The terms of each sentence."""
+    return [terms_of(text[a:b]) for a, b in spans(text)]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bound: int) -> DataFrame:
@@ -98,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         for batch in batches:
             for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts[bool(label)].update(set(_WORD.findall(text.lower())))
+                counts[bool(label)].update(terms_of(text))
                 if len(counts[0]) + len(counts[1]) > 200_000:
                     yield flushed()
         yield flushed()
@@ -115,55 +131,60 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     best = both.where((F.col("toxic") >= LEAST_DOCS) & (p > 2 * q)).orderBy(chi.desc(), "word").limit(TERMS).collect()  # TERMS rows at most
     terms = sorted(r.word for r in best)
     place = {w: i for i, w in enumerate(terms)}
+    odds = {r.word: math.log((r.toxic + 0.5) / (toxic_n + 1)) - math.log((r.clean + 0.5) / (clean_n + 1)) for r in best}
+    prior = np.array([PRIOR * odds[w] for w in terms])
 
     def instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per document: the label, sentences without terms, and for each term of each other sentence the sentence and the term."""
         for batch in batches:
-            labels, plain, ends, ids = [], [], [], []
+            labels, plain, sentences, ids = [], [], [], []
             for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = [[place[w] for w in bag if w in place] for bag in bags(text)] or [[]]
                 some = [x for x in found if x]
                 labels.append(label)
                 plain.append(len(found) - len(some))
-                ends.append(np.cumsum([len(x) for x in some], dtype=np.int64).tolist())
+                sentences.append([k for k, x in enumerate(some) for _ in x])
                 ids.append([i for x in some for i in x])
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(plain, pa.int64()), pa.array(ends, kind), pa.array(ids, kind)], ["label", "plain", "ends", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(plain, pa.int64()), pa.array(sentences, kind), pa.array(ids, kind)], ["label", "plain", "sentences", "ids"])
 
-    ready = cut(map_batches(sample, instances, "label int, plain long, ends array<long>, ids array<long>"))
+    ready = cut(map_batches(sample, instances, "label int, plain long, sentences array<long>, ids array<long>"))
 
     def gradient(weights: np.ndarray, bias: float) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(len(weights) + 1)
             for batch in batches:
-                for label, plain, ends, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    ids = np.array(ids, np.int64)
-                    z = bias + (np.add.reduceat(weights[ids], np.r_[0, ends[:-1]].astype(np.int64)) if ends else np.zeros(0))
-                    total = np.logaddexp(0, z).sum() + plain * np.logaddexp(0, bias)  # -log P(clean)
-                    # d loss / d total: 1 for a clean document, -P(clean) / P(toxic) for a toxic one
-                    pull = -1 / np.expm1(min(max(total, 1e-9), 500.0)) if label else 1.0
-                    p = 1 / (1 + np.exp(-z))
-                    out[-1] += pull * (p.sum() + plain / (1 + np.exp(-bias)))
-                    if ends:
-                        np.add.at(out, ids, pull * np.repeat(p, np.diff(np.r_[0, ends])))
+                toxic, plain = batch.column("label").to_numpy() == 1, batch.column("plain").to_numpy()
+                lists, ids = batch.column("sentences"), batch.column("ids").flatten().to_numpy()
+                doc = np.repeat(np.arange(len(plain)), np.diff(lists.offsets.to_numpy()))
+                own, sentence = np.unique(np.c_[doc, lists.flatten().to_numpy()], axis=0, return_inverse=True)
+                sentence = sentence.reshape(-1)
+                z = bias + np.bincount(sentence, weights[ids], len(own))
+                total = np.bincount(own[:, 0], np.logaddexp(0, z), len(plain)) + plain * np.logaddexp(0, bias)  # -log P(clean)
+                # d loss / d total: 1 for a clean document, -P(clean) / P(toxic) for a toxic one
+                pull = np.where(toxic, -1 / np.expm1(np.clip(total, 1e-9, 500.0)), 1.0)
+                slope = pull[own[:, 0]] / (1 + np.exp(-z))
+                out[:-1] += np.bincount(ids, slope[sentence], len(weights))
+                out[-1] += slope.sum() + (pull * plain).sum() / (1 + np.exp(-bias))
             yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["g"])
 
         parts = map_batches(ready, run, "g array<double>").collect()  # PARTS vectors of TERMS + 1 numbers at most
         return np.sum([r.g for r in parts], axis=0) / (toxic_n + clean_n)
 
-    return _descend(gradient, len(terms), terms)
+    return _descend(gradient, prior, terms)
 
 
-def _descend(gradient: object, n: int, terms: list[str]) -> Model:
-    """Adam steps from light weights and a low bias: a sentence without known words is hardly ever toxic."""
-    at = np.r_[np.full(n, 0.5), -6.0]
-    first, second = np.zeros(n + 1), np.zeros(n + 1)
+def _descend(gradient: Callable[[np.ndarray, float], np.ndarray], prior: np.ndarray, terms: list[str]) -> Model:
+    """Adam steps from the prior weights and a low bias: a sentence without known terms is hardly ever toxic."""
+    at = np.r_[prior, -6.0]
+    first, second = np.zeros(len(at)), np.zeros(len(at))
     for step in range(1, STEPS + 1):
-        g = gradient(at[:-1], float(at[-1])) + DECAY * np.r_[at[:-1], 0.0]
+        g = gradient(at[:-1], float(at[-1])) + DECAY * np.r_[at[:-1] - prior, 0.0]
         first = 0.9 * first + 0.1 * g
         second = 0.99 * second + 0.01 * g * g
         rate = RATE * (1 - 0.9 * step / STEPS)
         at = at - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return Model({w: float(x) for w, x in zip(terms, at[:-1], strict=True) if abs(x) > 1e-6}, float(at[-1]))
+    return Model({w: float(x) for w, x in zip(terms, at[:-1], strict=True)}, float(at[-1]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +210,7 @@ def sentences(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "
             rows, found = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 for number, (a, b) in enumerate(spans(text)):
-                    p = float(1 / (1 + np.exp(-model.sentence(text[a:b]))))
+                    p = 1 / (1 + math.exp(-model.sentence(text[a:b])))
                     if p >= least:
                         rows.append(k)
                         found.append((number, a, b, text[a:b], p))
