@@ -32,7 +32,7 @@ def overlay(base: DataFrame, own: DataFrame, key: str, scalars: list[str], maps:
     """Rows of `own` over the one row of `base`: set scalars win, maps merge by key, lists join as ordered unions."""
     b = base.select(*[F.col(c).alias(f"_b_{c}") for c in [*scalars, *maps, *lists]])
     none = lambda c: F.coalesce(c, F.create_map().cast("map<string,string>"))
-    met = own.crossJoin(F.broadcast(b.limit(1)))  # the base is one row
+    met = own.crossJoin(F.broadcast(b))  # the base is one row
     return met.select(
         key, *[F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_b_{c}")).alias(c) for c in scalars],
         *[_map_over(none(F.col(f"_b_{c}")), none(F.col(c))).alias(c) for c in maps], *[ordered_union(f"_b_{c}", c).alias(c) for c in lists],
@@ -98,7 +98,7 @@ def expanded(platforms: DataFrame, environments: DataFrame) -> DataFrame:
     """Each platform with each environment that is raised on it. Both are tables of names in a manifest."""
     e = environments.select(F.col("name").alias("environment"), F.col("platforms").alias("_only"))
     p = platforms.select(F.col("name").alias("platform"))
-    return p.join(F.broadcast(e.limit(10_000)), F.col("_only").isNull() | F.array_contains(F.col("_only"), F.col("platform"))).drop("_only")
+    return p.join(e, F.col("_only").isNull() | F.array_contains(F.col("_only"), F.col("platform"))).drop("_only")
 
 
 def resolved_plan(profile: Column, override: Column) -> Column:

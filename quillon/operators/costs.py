@@ -39,7 +39,8 @@ def quotes(offers: DataFrame, observations: DataFrame | None, run_s: float, gpu:
     """Offers priced for a job of run_s seconds: expected_usd, p90_usd, setup_samples; cheapest first, then by ordinal.
 
     Fits match the exact hardware name of the offer. An offer that names no hardware, or no provider, takes the fit
-    over all of them. Fits are an aggregate by provider and hardware, so the joined side stays small.
+    over all of them. Fits are an aggregate by provider and hardware, so the joined side stays small; the wider fits
+    are only worked out where some offer leaves a name empty.
     """
     found = offers_for(offers, gpu)
     fit = F.lit(None).cast("struct<samples: long, p50_s: double, p90_s: double>").alias("_fit")
@@ -48,7 +49,10 @@ def quotes(offers: DataFrame, observations: DataFrame | None, run_s: float, gpu:
     else:
         out = found
         packed = F.struct("samples", "p50_s", "p90_s")
-        for keys in (["provider", "gpu"], ["provider"], ["gpu"], []):
+        open_names = not found.where((F.col("provider") == "") | (F.col("gpu") == "")).isEmpty()
+        groups = [["provider", "gpu"], *([["provider"], ["gpu"], []] if open_names else [])]
+        names = [f"_fit_{len(keys)}_{''.join(keys)}" for keys in groups]
+        for keys in groups:
             fits = setup_fits(observations, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], packed.alias(f"_fit_{len(keys)}_{''.join(keys)}"))
             blank = [c for c in ("provider", "gpu") if c not in keys]
             condition = F.lit(True)
@@ -57,7 +61,7 @@ def quotes(offers: DataFrame, observations: DataFrame | None, run_s: float, gpu:
             for c in blank:
                 condition = condition & (F.col(c) == "")
             out = out.join(fits, condition, "left").drop(*[f"_{k}" for k in keys])
-        out = out.withColumn("_fit", F.coalesce("_fit_2_providergpu", "_fit_1_provider", "_fit_1_gpu", "_fit_0_")).drop("_fit_2_providergpu", "_fit_1_provider", "_fit_1_gpu", "_fit_0_")
+        out = out.withColumn("_fit", F.coalesce(*names)).drop(*names)
     price = lambda setup: numeric.cost("rate_usd_hr", numeric.billed_seconds(setup, F.lit(float(run_s)), "granularity_s", "minimum_s"), "fees_usd")
     out = out.withColumns({
         "expected_usd": price(F.coalesce("_fit.p50_s", F.lit(default_setup_s))), "p90_usd": price(F.coalesce("_fit.p90_s", F.lit(default_setup_s))),

@@ -250,7 +250,7 @@ def utilization(summaries: DataFrame) -> DataFrame:
 def profile_report(kernels: DataFrame, copies: DataFrame, summaries: DataFrame, iterations: int, peak_gbps: float, supported: int | None = None, requested: int | None = None, device: str = "") -> DataFrame:
     """One row: the verdict on a profile, from its kernels, copies and region summaries."""
     top = hot_kernels(kernels, 1).select(F.col("name").alias("_name"), F.col("share_pct").alias("_share"))
-    top = top.agg(F.coalesce(F.first("_name"), F.lit("")).alias("dominant_kernel"), F.coalesce(F.first("_share"), F.lit(0.0)).alias("dominant_share_pct"))
+    top = top.agg(F.coalesce(F.max("_name"), F.lit("")).alias("dominant_kernel"), F.coalesce(F.max("_share"), F.lit(0.0)).alias("dominant_share_pct"))
     rows = time_split(kernels, copies).drop("bound").crossJoin(utilization(summaries)).crossJoin(memory_use(summaries)).crossJoin(top)  # one row each
     kind = lambda v: F.lit(v).cast("int")
     return rows.withColumns({

@@ -191,3 +191,12 @@ def test_packages(spark):
     with pytest.raises(PySparkException):
         one(packages.module_reference(F.lit("m"), F.lit(">=1")))
     assert [one(packages.shifted_path(F.lit(p))) for p in ("a/b", "", "/x")] == ["../a/b", "..", "/x"]
+
+
+def test_offers_without_names_take_the_fit_over_all(spark):
+    obs = spark.createDataFrame([("a", "x", "", 0.0, s, 0.0, 0.0) for s in (1.0, 2.0, 3.0)], "provider string, gpu string, region string, t_submit double, t_running double, t_ended double, billed_usd double")
+    obs = obs.withColumn("t_submit", F.lit(100.0)).withColumn("t_running", F.col("t_running") + 100)
+    rows = [("a", "x", 0), ("a", "", 1), ("", "x", 2), ("", "", 3), ("b", "", 4)]
+    offers = spark.createDataFrame([(p, g, 3600.0, 1, 0, 0.0, i) for p, g, i in rows], "provider string, gpu string, rate_usd_hr double, granularity_s int, minimum_s int, fees_usd double, ordinal int")
+    out = {r.ordinal: (r.setup_samples, r.expected_usd) for r in costs.quotes(offers, obs, 10.0).collect()}
+    assert out == {0: (3, 12.0), 1: (3, 12.0), 2: (3, 12.0), 3: (3, 12.0), 4: (0, 310.0)}
