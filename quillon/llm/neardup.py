@@ -29,8 +29,8 @@ from quillon.llm.components import connected
 SAMPLES = 256
 ROWS, BANDS = 4, 32
 SKETCH_BITS = 512
-#: How far below the threshold an estimate may be for a pair to be looked at: over four standard errors.
-MARGIN = 0.12
+#: How far below the threshold an estimate may be for a pair to be looked at: six standard errors (0.04 each at 0.8).
+MARGIN = 0.25
 #: Members of a bucket or cluster that one block has at most.
 BLOCK = 20_000
 

@@ -110,13 +110,13 @@ def test_sketch_estimates():
     draw = np.random.RandomState(0)
     for want in (0.95, 0.9, 0.8):
         errors = []
-        for _ in range(40):
+        for _ in range(200):
             common = draw.randint(0, 2**63, int(1000 * want)).astype(np.uint64)
             rest = lambda: draw.randint(0, 2**63, int(1000 * (1 - want) / 2)).astype(np.uint64)
             a, b = (np.unique(np.r_[common, rest()]) for _ in range(2))
             bits = np.bitwise_count(neardup.signature(a)[1] ^ neardup.signature(b)[1]).sum()
             errors.append(neardup.estimated(bits) - want)
-        assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.06
+        assert abs(np.mean(errors)) < 0.03 and 5 * np.std(errors) < neardup.MARGIN
 
 
 def edit(rows):
