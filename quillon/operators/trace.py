@@ -22,29 +22,50 @@ def _long(x: Column) -> Column:
 # Interval union ------------------------------------------------------------------------------------------------
 
 
-def runs(spans: DataFrame, by: list[str], start: str = "start", end: str = "end", name: str = "name") -> DataFrame:
-    """Each interval with the merged run that it is in: run (number), opens (boolean), gap_ns and before for a run's first.
+def openings(spans: DataFrame, by: list[str], width: int | None = None, start: str = "start", end: str = "end", name: str = "name") -> DataFrame:
+    """Each interval with opens (whether it begins a new run), and for those after a gap gap_ns and before.
+
+    Intervals are taken in the order of (start, end, name). One opens a run if it starts after the furthest end so far;
+    `before` is the name of the interval that reached that end first. Intervals without length are left out.
 
-    Intervals are taken in the order of (start, end, name). One opens a new run if it starts after the furthest end
-    so far; `before` is the name of the interval that reached that end first. Intervals without length are left out.
+    With a width, tracks are cut into slices of time of that width: running ends are worked out inside slices, and one
+    row a slice carries the furthest end on to the slices after it. Then no task sees a whole track, however long.
     """
-    order = Window.partitionBy(*by).orderBy(start, end, name)
-    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
-    numbered = spans.where(F.col(end) > F.col(start)).withColumn("_n", F.row_number().over(order))
-    furthest = F.max(F.struct(F.col(end).alias("end"), (-F.col("_n")).alias("n"), F.col(name).alias("name"))).over(ahead)
-    seen = numbered.withColumn("_far", furthest)
-    seen = seen.withColumn("opens", F.col("_far").isNull() | (F.col(start) > F.col("_far.end")))
-    gap = F.when(F.col("opens") & F.col("_far").isNotNull(), F.col(start) - F.col("_far.end"))
-    seen = seen.withColumn("gap_ns", gap).withColumn("before", F.when(gap.isNotNull(), F.col("_far.name")))
-    return seen.withColumn("run", _long(F.sum(_long(F.col("opens"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_n", "_far")
-
-
-def timeline(spans: DataFrame, by: list[str], min_gap: int = 10_000, start: str = "start", end: str = "end", name: str = "name") -> DataFrame:
+    keys = [*by, "_slice"] if width else list(by)
+    rows = spans.where(F.col(end) > F.col(start))
+    rows = rows.withColumn("_slice", F.floor(F.col(start) / width).cast("long") if width else F.lit(0).cast("long"))
+    order = Window.partitionBy(*keys).orderBy(start, end, name)
+    rows = rows.withColumn("_n", F.row_number().over(order))
+    # of equal ends the one in the earlier slice, and there the earlier row, was first
+    reach = F.struct(F.col(end).alias("end"), (-F.col("_slice")).alias("s"), (-F.col("_n")).alias("n"), F.col(name).alias("name"))
+    seen = rows.withColumn("_far", F.max(reach).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    if width:
+        tops = rows.groupBy(*keys).agg(F.max(reach).alias("_top"))
+        ahead = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = tops.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.max("_top").over(ahead).alias("_carry"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        seen = seen.join(carried, same, "left").drop(*[f"_k_{k}" for k in keys])
+        seen = seen.withColumn("_far", F.greatest("_far", "_carry")).drop("_carry")
+    opens = F.col("_far").isNull() | (F.col(start) > F.col("_far.end"))
+    gap = F.when(opens & F.col("_far").isNotNull(), F.col(start) - F.col("_far.end"))
+    seen = seen.withColumns({"opens": opens, "gap_ns": gap})
+    return seen.withColumn("before", F.when(F.col("gap_ns").isNotNull(), F.col("_far.name"))).drop("_n", "_far", "_slice")
+
+
+def runs(spans: DataFrame, by: list[str], start: str = "start", end: str = "end", name: str = "name") -> DataFrame:
+    """openings() with the number of the merged run that each interval is in."""
+    order = Window.partitionBy(*by).orderBy(start, end, name).rowsBetween(Window.unboundedPreceding, 0)
+    return openings(spans, by, None, start, end, name).withColumn("run", _long(F.sum(_long(F.col("opens"))).over(order)))
+
+
+def timeline(spans: DataFrame, by: list[str], min_gap: int = 10_000, start: str = "start", end: str = "end", name: str = "name", width: int | None = None) -> DataFrame:
     """Per track: span, busy, idle, activities, gaps (of at least min_gap), gap_total, occupancy_pct.
 
-    One shuffle by track. Without a gap list nothing but counters leaves a track, so long tracks stay cheap.
+    One shuffle by track, or with a width by slices of tracks (see openings()); nothing but counters leaves a slice.
     """
-    merged = runs(spans, by, start, end, name)
+    merged = openings(spans, by, width, start, end, name)
     long_gap = F.col("gap_ns") >= min_gap
     out = merged.groupBy(*by).agg(
         _long(F.max(end) - F.min(start)).alias("span"), _long(F.coalesce(F.sum("gap_ns"), F.lit(0))).alias("_all_gaps"), _long(F.count("*")).alias("activities"),
@@ -54,16 +75,16 @@ def timeline(spans: DataFrame, by: list[str], min_gap: int = 10_000, start: str
     return out.withColumns({"idle": numeric.idle("span", "busy"), "occupancy_pct": numeric.occupancy("busy", "span")})
 
 
-def gaps(spans: DataFrame, by: list[str], min_gap: int = 10_000, start: str = "start", end: str = "end", name: str = "name") -> DataFrame:
+def gaps(spans: DataFrame, by: list[str], min_gap: int = 10_000, start: str = "start", end: str = "end", name: str = "name", width: int | None = None) -> DataFrame:
     """Every gap of at least min_gap: its start, end, length, and the names before and after it."""
-    found = runs(spans, by, start, end, name).where(F.col("gap_ns") >= min_gap)
+    found = openings(spans, by, width, start, end, name).where(F.col("gap_ns") >= min_gap)
     return found.select(*by, (F.col(start) - F.col("gap_ns")).alias("gap_start"), F.col(start).alias("gap_end"), F.col("gap_ns").alias("gap_length"), "before", F.col(name).alias("after"))
 
 
-def top_gaps(spans: DataFrame, by: list[str], top: int = 10, min_gap: int = 10_000, start: str = "start", end: str = "end", name: str = "name") -> DataFrame:
+def top_gaps(spans: DataFrame, by: list[str], top: int = 10, min_gap: int = 10_000, start: str = "start", end: str = "end", name: str = "name", width: int | None = None) -> DataFrame:
     """The longest gaps of each track, earlier ones first among equals, with their rank."""
     order = Window.partitionBy(*by).orderBy(F.col("gap_length").desc(), "gap_start")
-    ranked = gaps(spans, by, min_gap, start, end, name).withColumn("rank", F.row_number().over(order))
+    ranked = gaps(spans, by, min_gap, start, end, name, width).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= top)
 
 

@@ -103,6 +103,17 @@ def timeline_top_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return trace.top_gaps(a.activities(spark, sf), ["track"], 10, 60 * SECOND)
 
 
+@query(ORACLE_SQL["timeline_by_track"])
+def timeline_in_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """The same timelines by slices of a day: what a fleet with one very long track needs."""
+    return trace.timeline(a.activities(spark, sf), ["track"], SECOND, width=DAY)
+
+
+@query(ORACLE_SQL["timeline_top_gaps"])
+def top_gaps_in_slices(spark: SparkSession, sf: str) -> DataFrame:
+    return trace.top_gaps(a.activities(spark, sf), ["track"], 10, 60 * SECOND, width=DAY)
+
+
 @query(f"""WITH {READINGS} SELECT region, count(*) AS samples, max(memory) AS peak_memory_bytes, CAST(floor(sum(memory) / count(*)) AS BIGINT) AS avg_memory_bytes,
     avg(util) AS avg_util_pct, avg(mem_util) AS avg_memory_util_pct, avg(power) AS avg_power_w, CAST(max(temp) AS INT) AS max_temp_c FROM r GROUP BY region""")
 def region_summaries(spark: SparkSession, sf: str) -> DataFrame:

@@ -53,8 +53,14 @@ def test_union_against_a_sweep(spark):
     busy = set()
     for _, s, e in rows:
         busy.update(range(s, e))
-    out = line(trace.timeline(spans(spark, *rows), ["track"], 1))
+    plain = spans(spark, *rows)
+    out = line(trace.timeline(plain, ["track"], 1))
     assert out.busy == len(busy)
+    for width in (1, 7, 100, 10_000):
+        assert line(trace.timeline(plain, ["track"], 1, width=width)) == out
+        assert sorted(trace.gaps(plain, ["track"], 1, width=width).collect()) == sorted(trace.gaps(plain, ["track"], 1).collect())
+    merged = trace.runs(plain, ["track"]).groupBy("run").agg({"start": "min", "end": "max"}).collect()
+    assert sum(r["max(end)"] - r["min(start)"] for r in merged) == len(busy)
 
 
 def kernels(spark, *rows):
