@@ -62,6 +62,8 @@ def exact_groups(
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    stay = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_stay"))
-    return docs.join(stay.distinct(), docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    """The rows of docs that stay, with all their columns. Rows that repeat both an id and a text stay or go together."""
+    kept = exact_groups(docs, id_col, text_col, keep).where("kept")
+    stay = kept.select(F.col(id_col).alias("_stay"), F.col("text_sha256").alias("_sha256")).distinct()
+    own = F.sha2(ascii_lower(text_of(docs, text_col)), 256)
+    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")) & (own == F.col("_sha256")), "left_semi")

@@ -128,7 +128,8 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: object) -> DataFrame:
-    """The mix itself: rows of docs with all their columns, each as many times as it is taken."""
+    """The mix itself: rows of docs with all their columns, each as many times as it is taken; rows that repeat an id
+    are all taken as often as the one that is taken most."""
     taken = mix(docs, id_col, text_col, source_col, **how).where("taken > 0")
     times = taken.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
     joined = docs.join(times, docs[id_col].eqNullSafe(F.col("_id")))

@@ -233,6 +233,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.3) -> DataFrame:
-    """The rows of docs that the classifier does not reject, with all their columns. Rows with a null id stay."""
+    """The rows of docs that the classifier does not reject, with all their columns. Rows with a null id stay; rows that
+    repeat an id go if any of their texts is rejected."""
     bad = quality(docs, labels, id_col, text_col, label_col, least).where("predicted = 0").select(F.col(id_col).alias("_bad")).distinct()
     return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")

@@ -40,6 +40,11 @@ def test_drop_keeps_columns(odd):
     assert {lower(r.text) for r in kept.collect()} == {lower(t) for _, t in ODD}
 
 
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    docs = spark.createDataFrame([(3, "b"), (5, "a"), (5, "B"), (7, "a")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in dedup.drop_exact(docs).collect()) == [(3, "b"), (5, "a")]
+
+
 def corpus(spark, n=600):
     draw = random.Random(3)
     rows = [(i, " ".join(["word"] * draw.randrange(0, 60)), draw.choice(["a", "a", "a", "b", None, "c"])) for i in range(n)]
