@@ -48,8 +48,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch, about; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
-    """mapInArrow, with this package's folder on the path of Python workers that can see it."""
+    """mapInArrow, with this package's folder on the path of Python workers that can see it.
+
+    A batch is held several times over on its way (in the JVM, as Arrow, as Python objects), so batches are kept to
+    BATCH_BYTES, unless the session sets another size than Spark's 64 MB.
+    """
+    if df.sparkSession.conf.get(_BATCH) == f"{64 << 20}b":
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
     context, root = df.sparkSession.sparkContext, str(Path(__file__).resolve().parents[2])
     paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
