@@ -138,7 +138,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own next. An empty table gives no rows.
     """
     texts = one_row_each(docs, id_col, text_col)
-    places = cut(in_order(fingerprints(texts, id_col, "_text"), id_col))
+    # ids are unique by now; the aggregate's shuffle is what ranges are sampled from, so fingerprints are made once
+    every = fingerprints(texts, id_col, "_text").groupBy(id_col).agg(F.max(F.struct("n_chars", "fingerprint")).alias("_one"))
+    places = cut(in_order(every.select(id_col, "_one.*"), id_col))
 
     half = lambda n: F.floor(F.col(n) / 2).cast("int")
     left = texts.join(places.select(id_col, "n_chars", "fingerprint", "next_id", "next_fingerprint"), id_col)
