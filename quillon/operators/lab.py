@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 
 def block_orders(blocks: DataFrame, lanes: list[str], block: str = "block") -> DataFrame:
@@ -91,16 +93,24 @@ def has_failed(rows: DataFrame) -> DataFrame:
 def throttled(lines: DataFrame, by: str, interval: float) -> DataFrame:
     """Lines at which a sample is due: the first that comes an interval or more after the last sample (or after the start).
 
-    Each sample depends on the one before it, so a job's lines are folded in order; jobs are independent.
+    Each sample depends on the one before it, so a job's lines are folded in order; jobs are independent. Lines arrive
+    sorted by job and time (of equal times the smaller other columns first), and only the job and its last sample are
+    carried from batch to batch, so that memory is one batch whatever a job's size. A line without a time is never due.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("at", kind="stable")
-        last, keep = frame["started"].iloc[0], []
-        for at in frame["at"]:
-            due = at - last >= interval
-            keep.append(due)
-            last = at if due else last
-        return frame[keep]
-
-    return lines.groupBy(by).applyInPandas(fold, lines.schema)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, last = object(), None
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (by, "at", "started")]
+            keep = []
+            for key, at, started in zip(*columns, strict=True):
+                if key != job:
+                    job, last = key, started
+                due = at is not None and last is not None and at - last >= interval
+                keep.append(due)
+                last = at if due else last
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    ties = [f.name for f in lines.schema if f.name not in (by, "at") and isinstance(f.dataType, AtomicType)]
+    dealt = lines.repartition(by).sortWithinPartitions(by, F.col("at").asc_nulls_last(), *ties)
+    return dealt.mapInArrow(fold, lines.schema)

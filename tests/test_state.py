@@ -157,6 +157,16 @@ def test_throttled(spark):
     assert [r.at for r in lab.throttled(rows, "job", 5.0).orderBy("at").collect()] == [5.0, 10.0]
 
 
+def test_throttled_jobs_of_many_batches(spark):
+    n = 25_000  # of one job; batches have 1000 rows here
+    rows = spark.range(n).select(F.lit("hot").alias("job"), F.lit(0.0).alias("started"), (F.col("id") * 1.0).alias("at"), "id")
+    few = spark.createDataFrame([("a", 5.0, 6.0, 1), ("a", 5.0, None, 2), ("a", 5.0, 15.0, 4), ("a", 5.0, 15.0, 3), (None, 0.0, 12.0, 5), ("b", None, 99.0, 6)], "job string, started double, at double, id long")
+    out = lab.throttled(rows.unionByName(few).repartition(7), "job", 10.0)
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()  # no job is one frame
+    got = sorted(((r.job or "", r.id) for r in out.collect()))
+    assert got == [("", 5), ("a", 3), *(("hot", i) for i in range(10, n, 10))]
+
+
 CELLS = ["plain", "tab\there", "line\nend", '"quoted"', "", None, "é ünï", '{"a": "b"}']
 
 
