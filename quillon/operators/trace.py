@@ -133,17 +133,24 @@ def samples_in_spans(samples: DataFrame, spans: DataFrame, by: list[str], at: st
     return p.join(s, condition).select(*samples.columns, "span")
 
 
-def span_paths(spans: DataFrame, by: list[str]) -> DataFrame:
+def span_paths(spans: DataFrame, by: list[str], width: int | None = None) -> DataFrame:
     """Each span with `path`: the names of the spans that hold it, outermost first, and its own, joined by dots.
 
-    Spans nest; of equal spans the one with the smaller ordinal is outside.
+    Spans nest; of equal spans the one with the smaller ordinal is outside. With a bucket width, spans are laid into the
+    buckets that they touch, their ends too, and meet the spans that start there, which bounds what one key gathers;
+    without, they meet on `by`. A span's end must not be before its start.
     """
     outer = spans.select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("name").alias("_name"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("ordinal").alias("_ordinal"))
+    inner = spans
     wider = (F.col("_start") < F.col("start")) | (F.col("_end") > F.col("end")) | (F.col("_ordinal") <= F.col("ordinal"))
     condition = (F.col("_start") <= F.col("start")) & (F.col("_end") >= F.col("end")) & wider
     for c in by:
         condition = condition & (spans[c] == F.col(f"_o_{c}"))
-    met = spans.join(outer, condition)
+    if width:
+        outer = outer.withColumn("_ob", _buckets(F.col("_start"), F.col("_end") + 1, width))
+        inner = inner.withColumn("_bucket", F.floor(F.col("start") / width).cast("long"))
+        condition = condition & (F.col("_bucket") == F.col("_ob"))
+    met = inner.join(outer, condition)
     names = F.array_sort(F.collect_list(F.struct((F.col("_start") - F.col("_end")).alias("width"), F.col("_ordinal").alias("o"), F.col("_name").alias("name"))))
     return met.groupBy(*spans.columns).agg(F.concat_ws(".", F.transform(names, lambda x: x["name"])).alias("path"))
 

@@ -195,7 +195,7 @@ def samples_to_spans(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {WINDOWS} SELECT i.track, i.name, i.s AS start, string_agg(o.name, '.' ORDER BY o.s - o.e, o.s, o.e, o.name) AS path
     FROM w i JOIN w o ON i.track = o.track AND o.s <= i.s AND o.e >= i.e GROUP BY ALL""")
 def span_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return trace.span_paths(a.windows(spark, sf), ["track"]).select("track", "name", "start", "path")
+    return trace.span_paths(a.windows(spark, sf), ["track"], width=DAY).select("track", "name", "start", "path")
 
 
 @query("""WITH h AS (SELECT event_id % 2 AS side, CAST(user_id AS VARCHAR) AS name, CAST(round(sum(value * 100)) AS DOUBLE) AS ms FROM events GROUP BY ALL)
@@ -497,16 +497,25 @@ def verdicts_all(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", slurm.alias("slurm"), text.pbs_verdict(text.pbs_state("p"), "code").alias("pbs"), text.pueue_verdict("t", result).alias("pueue"), numeric.exit_rank(slurm).alias("exit_rank"))
 
 
-@query("""SELECT o_custkey AS id, CAST(o_orderkey AS VARCHAR) AS job_id, CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'F' THEN 'COMPLETED' ELSE 'P by 7' END AS state,
-    nullif(trim(o_orderpriority), '') AS "partition", CASE WHEN o_orderkey % 3 > 0 THEN '0:' || (o_orderkey % 3) END AS elapsed FROM orders""")
-def queue_listing(spark: SparkSession, sf: str) -> DataFrame:
+#: Order keys that one listing of a customer covers: no listing has more lines, however many orders a customer has.
+LISTED = 5_000
+
+
+def listings(orders: DataFrame) -> DataFrame:
+    """Queue listings of each customer's orders: id, value, one for every block of LISTED order keys that it has orders in."""
     s = F.col("o_orderstatus")
     line = F.concat_ws(
         "|", F.col("o_orderkey").cast("string"), F.lit(" job "), F.when(s == "O", "running x").when(s == "F", "COMPLETED").otherwise("P by 7"), "o_orderpriority",
         F.when(F.pmod("o_orderkey", F.lit(3)) > 0, F.concat(F.lit("0:"), F.pmod("o_orderkey", F.lit(3)))).otherwise(""),
     )
-    blobs = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.concat(F.lit("short|row\n\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("value"))
-    return parsers.squeue(blobs).select("id", "job_id", "state", "partition", "elapsed")
+    blocks = orders.groupBy(F.col("o_custkey").alias("id"), F.floor(F.col("o_orderkey") / LISTED).alias("_block"))
+    return blocks.agg(F.concat(F.lit("short|row\n\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("value")).drop("_block")
+
+
+@query("""SELECT o_custkey AS id, CAST(o_orderkey AS VARCHAR) AS job_id, CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'F' THEN 'COMPLETED' ELSE 'P by 7' END AS state,
+    nullif(trim(o_orderpriority), '') AS "partition", CASE WHEN o_orderkey % 3 > 0 THEN '0:' || (o_orderkey % 3) END AS elapsed FROM orders""")
+def queue_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return parsers.squeue(listings(table(spark, sf, "orders"))).select("id", "job_id", "state", "partition", "elapsed")
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")

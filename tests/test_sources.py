@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillon import schemas
+from quillon.plans import queries
 from quillon.sources import files, market, parsers, sinks, sqlite
 from quillon.streaming import jobs
 
@@ -18,6 +19,15 @@ def blobs(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "id int, value string")
 
 
+def test_listings_are_bounded(spark):
+    n = 3 * queries.LISTED
+    orders = spark.range(n).select(F.lit(7).alias("o_custkey"), F.col("id").alias("o_orderkey"), F.lit("O").alias("o_orderstatus"), F.lit("1-URGENT").alias("o_orderpriority"))
+    out = queries.listings(orders)
+    assert [r.n for r in out.select((F.size(F.split("value", "\n")) - 2).alias("n")).collect()] == [queries.LISTED] * 3
+    jobs = parsers.squeue(out)
+    assert jobs.count() == n and jobs.select("job_id").distinct().count() == n and {r.id for r in jobs.select("id").distinct().collect()} == {7}
+
+
 def test_squeue(spark):
     out = parsers.squeue(blobs(spark, "123|train|RUNNING|gpu|00:05:00\n\nshort|row\n")).collect()
     assert [(r.job_id, r.name, r.state, r.partition, r.elapsed) for r in out] == [("123", "train", "RUNNING", "gpu", "00:05:00")]

@@ -7,6 +7,7 @@ import random
 import pytest
 
 from quillon.operators import render, trace
+from quillon.plans import queries
 
 SPAN = "track string, name string, start long, end long"
 
@@ -92,6 +93,19 @@ def test_innermost_window(spark):
         assert out == {150: "inner", 300: "outer", 2000: trace.OUTSIDE}
 
 
+def test_span_paths(spark):
+    rows = [("t", "day", 0, 240, 0), ("t", "hour", 0, 10, 1), ("t", "hour", 10, 20, 2), ("t", "mark", 20, 20, 3), ("t", "twin", 0, 10, 4), ("u", "day", 0, 64, 5), ("u", "mark", 64, 64, 6)]
+    spans = spark.createDataFrame(rows, "track string, name string, start long, end long, ordinal int")
+    want = {0: "day", 1: "day.hour", 2: "day.hour", 3: "day.hour.mark", 4: "day.hour.twin", 5: "day", 6: "day.mark"}
+    for width in (None, 1, 10, 64, 1000):
+        assert {r.ordinal: r.path for r in trace.span_paths(spans, ["track"], width=width).collect()} == want
+
+
+def test_span_paths_query_meets_in_buckets(spark):
+    plan = queries.span_paths(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan
+
+
 def test_efficiency(spark):
     k = kernels(spark, ("gemm", 0, 100, "3x1x1", "256x1x1", 32), ("gemm", 100, 200, "3x1x1", "256x1x1", 32), ("relu", 200, 700, "4x1x1", "1x1x1", 8), ("stalled", 5, 5, "1x1x1", "1x1x1", 1))
     out = trace.kernel_efficiency(k, 2).collect()
