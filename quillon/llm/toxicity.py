@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: sentence scores are learned from document labels through a noisy-or.
 
 A document is toxic if any of its sentences is: P(doc) = 1 - prod(1 - p(sentence)), p(sentence) = sigmoid(b + sum
-of the weights of its terms). Terms are words and beginnings of words, so that inflected and compound words share
+of the weights of its terms). That holds for fitting, where texts are as long as they are; a score counts b once a
+document, so that length alone makes no document toxic. Terms are words and beginnings of words, so that inflected and compound words share
 what is learned. Only documents have labels; the noisy-or's gradient tells sentences apart.
 
 1. A bounded sample of labelled documents (FIT of them, the smallest digests of ids) is matched with the texts.
@@ -60,10 +61,15 @@ def terms_of(text: str) -> set[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of terms, and the bias of a sentence; of a bounded size."""
+    """Weights of terms, and the bias of a sentence; of a bounded size.
+
+    With `once`, the bias counts once a document, and sentences add what their terms raise them above it: no number of
+    sentences without known terms makes a document toxic. Without, every sentence has the bias.
+    """
 
     weights: dict[str, float]
     bias: float
+    once: bool = False
 
     def sentence(self, text: str) -> float:
         """The log-odds of one sentence; a term that it repeats counts once."""
@@ -74,11 +80,12 @@ class Model:
         places = spans(text)
         plain = math.log1p(math.exp(self.bias))  # -log(1 - p) of a sentence without known terms
         if self.weights.keys().isdisjoint(terms_of(text)):
-            return -math.expm1(-plain * max(1, len(places)))
-        total = 0.0
+            return -math.expm1(-plain * (1 if self.once else max(1, len(places))))
+        total = plain if self.once else 0.0
         for a, b in places:
             z = self.sentence(text[a:b])
-            total += plain if z == self.bias else z if z > 30 else math.log1p(math.exp(z))
+            own = plain if z == self.bias else z if z > 30 else math.log1p(math.exp(z))
+            total += max(0.0, own - plain) if self.once else own
         return -math.expm1(-total)
 
 
@@ -98,7 +105,8 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = FIT) -> Model:
     """Fits a model to the labels (id, 0 or 1) of documents that may be learned from. Null ids and labels are left out.
 
-    Without labels of both kinds every sentence has log-odds of the share of toxic documents (1/2 without any).
+    The model counts its bias once a document. Without labels of both kinds every document has log-odds of the share
+    of toxic documents (1/2 without any).
     """
     sample = cut(_sample(docs, labels, id_col, text_col, label_col, bound).repartition(PARTS))
 
@@ -123,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic_n, clean_n = n.get(True, 0), n.get(False, 0)
     if not toxic_n or not clean_n:
         share = (toxic_n + 0.5) / (toxic_n + clean_n + 1)
-        return Model({}, float(np.log(share / (1 - share))))
+        return Model({}, float(np.log(share / (1 - share))), once=True)
     both = map_batches(sample, words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     p, q = F.col("toxic") / toxic_n, F.col("clean") / clean_n
     share = (F.col("toxic") + F.col("clean")) / (toxic_n + clean_n)
@@ -184,7 +192,7 @@ def _descend(gradient: Callable[[np.ndarray, float], np.ndarray], prior: np.ndar
         second = 0.99 * second + 0.01 * g * g
         rate = RATE * (1 - 0.9 * step / STEPS)
         at = at - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return Model({w: float(x) for w, x in zip(terms, at[:-1], strict=True)}, float(at[-1]))
+    return Model({w: float(x) for w, x in zip(terms, at[:-1], strict=True)}, float(at[-1]), once=True)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -103,3 +103,18 @@ def test_noisy_or():
     assert model.document("So bad. Fine. BAD bad") == pytest.approx(1 - (1 - p(1.0)) ** 2 * (1 - p(-2.0)))
     assert model.document("Fine. Fine.") == pytest.approx(1 - (1 - p(-2.0)) ** 2)
     assert model.document("") == pytest.approx(p(-2.0))
+
+
+def test_length_alone_is_not_toxic(spark):
+    draw = random.Random(1)
+    words = "a fine day the sun is out all well you are here now come see them go".split()
+    text = lambda toxic: " ".join(" ".join([*draw.sample(words, 5), *(["blorp"] if toxic and k == 1 else [])]).capitalize() + "." for k in range(3))
+    docs = spark.createDataFrame([(i, text(i % 3 == 0)) for i in range(300)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    clean = "The sun is out.\n" * 50_000
+    long = spark.createDataFrame([(1, clean), (2, clean + "Such a blorp is here."), (3, "The sun is out.")], "doc_id long, text string")
+    model = toxicity.fit(docs, labels)
+    scores = {r.doc_id: r.score for r in toxicity.score(long, model).collect()}
+    assert scores[1] < 0.5 < scores[2] and scores[1] == scores[3]
+    unlabelled = toxicity.fit(docs, labels.withColumn("toxic", F.lit(0)))  # clean labels only
+    assert all(r.score < 0.5 for r in toxicity.score(long, unlabelled).collect())
