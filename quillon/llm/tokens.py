@@ -5,8 +5,8 @@ compatible with the entry ending the shorter prefix before it, where two entries
 their symbols gives back the two. So the encoding of each prefix follows from those of shorter ones, and one
 pass stores the token count at every prefix. Prefixes that words share are worked out once. A document is a
 run of words (cut at ASCII white space, where no token of this vocabulary reaches across), so its counts at
-all prefixes are running sums, and questions of truncation and budget are answered from them without encoding
-anything again.
+ends of words are running sums, and questions of truncation and budget are answered from them, by whole words,
+without encoding anything again.
 """
 
 from __future__ import annotations
