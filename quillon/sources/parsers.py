@@ -6,7 +6,9 @@ are column expressions over split lines, so any number of blobs is read side by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text
@@ -47,49 +49,54 @@ def sacct(blobs: DataFrame, job_col: str = "job_id") -> DataFrame:
 
 def sinfo(blobs: DataFrame) -> DataFrame:
     """Distinct partition names, the default's star taken off, where each first stands."""
-    rows = lines(blobs).select("id", "line", F.regexp_replace(_trimmed(F.col("value")), "\\*$", "").alias("name")).where("name <> ''")
-    return rows.groupBy("id", "name").agg(F.min("line").alias("line"))
+    named = blobs.select("id", F.transform(F.split("value", _END), lambda x: F.regexp_replace(_trimmed(x), "\\*$", "")).alias("_l"))
+    rows = named.select("id", "_l", F.explode(F.array_distinct("_l")).alias("name")).where("name <> ''")
+    return rows.select("id", "name", (F.array_position("_l", F.col("name")) - 1).cast("int").alias("line"))
+
+
+def _first_line(lines_: Column, condition: Callable[[Column], Column]) -> Column:
+    """The place of the first line that meets a condition, from 0; -1 without any."""
+    return (F.array_position(F.transform(lines_, condition), F.lit(True)) - 1).cast("int")
 
 
 def qstat(blobs: DataFrame) -> DataFrame:
     """Queue listing in its standard and wide layouts, which the header line tells: job_id, name, state, queue."""
-    stripped = _trimmed(F.col("value"))
-    rows = lines(blobs).withColumn("_s", stripped)
-    whole = Window.partitionBy("id")
-    wide = F.col("_s").startswith("JOB_ID")
-    header = wide | F.col("_s").startswith("Job")
-    rows = rows.withColumn("_head", F.min(F.when(header, F.struct("line", wide.alias("wide")))).over(whole))
-    body = rows.where(F.col("line") > F.col("_head.line"))
-    body = body.where(~((F.col("line") == F.col("_head.line") + 1) & F.col("_s").startswith("---"))).withColumn("_p", _words("value"))
+    whole = F.split("value", _END)
+    head = _first_line(whole, lambda x: _trimmed(x).startswith("JOB_ID") | _trimmed(x).startswith("Job"))
+    rows = blobs.select("id", head.alias("_head"), F.posexplode(whole).alias("line", "value"), _trimmed(F.get(whole, head)).startswith("JOB_ID").alias("_wide"))
+    body = rows.where((F.col("_head") >= 0) & (F.col("line") > F.col("_head")))
+    body = body.where(~((F.col("line") == F.col("_head") + 1) & _trimmed(F.col("value")).startswith("---"))).withColumn("_p", _words("value"))
     n, at = F.size("_p"), lambda i: F.get("_p", F.lit(i))
-    body = body.where(n >= F.when(F.col("_head.wide"), 8).otherwise(5))
-    state = F.when(F.col("_head.wide"), at(2)).when(n < 6, at(3)).otherwise(at(4))
-    queue = F.when(F.col("_head.wide"), at(4)).when(n < 6, at(4)).otherwise(at(5))
+    body = body.where(n >= F.when(F.col("_wide"), 8).otherwise(5))
+    state = F.when(F.col("_wide"), at(2)).when(n < 6, at(3)).otherwise(at(4))
+    queue = F.when(F.col("_wide"), at(4)).when(n < 6, at(4)).otherwise(at(5))
     return body.select("id", "line", at(0).alias("job_id"), at(1).alias("name"), text.pbs_state(state).alias("state"), queue.alias("queue"))
 
 
 def qstat_full(blobs: DataFrame) -> DataFrame:
     """Blocks opened by `Job Id:` with `key = value` lines: job_id, name, state, queue, exit_status."""
-    opens = F.col("value").startswith("Job Id:")
-    order = Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines(blobs).withColumn("_block", F.sum(opens.cast("int")).over(order)).where("_block > 0")
-    pair = F.regexp_extract(_trimmed(F.col("value")), "^(.*?) = (.*)$", 1), F.regexp_extract(_trimmed(F.col("value")), "^(.*?) = (.*)$", 2)
-    value = lambda key: F.max_by(pair[1], F.when(pair[0] == key, F.col("line")))
-    has = lambda key: F.count_if(pair[0] == key) > 0
-    out = rows.groupBy("id", "_block").agg(
-        F.min("line").alias("line"), F.max(F.when(opens, _trimmed(F.substring_index(F.col("value"), "Job Id:", -1)))).alias("job_id"),
-        F.when(has("Job_Name"), value("Job_Name")).otherwise("").alias("name"), F.when(has("job_state"), text.pbs_state(value("job_state"))).otherwise("Q").alias("state"),
-        F.when(has("queue"), value("queue")).otherwise("").alias("queue"), F.when(has("Exit_status"), value("Exit_status").cast("int")).alias("exit_status"),
+    split = blobs.select("id", F.split("value", _END).alias("_l"))
+    opens = F.filter(F.transform("_l", lambda x, i: F.when(x.startswith("Job Id:"), i)), lambda i: i.isNotNull())
+    split = split.select("id", "_l", opens.alias("_o")).select("id", "_l", "_o", F.posexplode("_o").alias("_n", "line"))
+    end = F.coalesce(F.get("_o", F.col("_n") + 1), F.size("_l"))
+    block = split.select("id", "line", F.transform(F.slice("_l", F.col("line") + 1, end - F.col("line")), _trimmed).alias("_b"))
+
+    def value(key: str) -> Column:
+        found = text.last_of(F.filter("_b", lambda x: x.startswith(f"{key} = ")))
+        return F.substring(found, F.lit(len(key) + 4), F.length(found))
+
+    return block.select(
+        "id", "line", _trimmed(F.substring_index(F.col("_b")[0], "Job Id:", -1)).alias("job_id"), F.coalesce(value("Job_Name"), F.lit("")).alias("name"),
+        F.coalesce(text.pbs_state(value("job_state")), F.lit("Q")).alias("state"), F.coalesce(value("queue"), F.lit("")).alias("queue"), value("Exit_status").cast("int").alias("exit_status"),
     )
-    return out.drop("_block")
 
 
 def qstat_queues(blobs: DataFrame) -> DataFrame:
     """Queue names: the first words of flush-left lines after the first dashed line."""
-    order = Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    dashed = F.col("value").startswith("-")
-    rows = lines(blobs).withColumn("_body", F.max(dashed).over(order))
-    return rows.where(F.col("_body") & ~dashed & F.col("value").rlike("^\\S")).select("id", "line", _words("value")[0].alias("name"))
+    whole = F.split("value", _END)
+    rows = blobs.select("id", _first_line(whole, lambda x: x.startswith("-")).alias("_head"), F.posexplode(whole).alias("line", "value"))
+    body = rows.where((F.col("_head") >= 0) & (F.col("line") > F.col("_head")) & ~F.col("value").startswith("-") & F.col("value").rlike("^\\S"))
+    return body.select("id", "line", _words("value")[0].alias("name"))
 
 
 def resource_queues(blobs: DataFrame) -> DataFrame:
@@ -118,14 +125,16 @@ def pueue(blobs: DataFrame) -> DataFrame:
 
 
 def capabilities(blobs: DataFrame) -> DataFrame:
-    """Host capabilities from `key=value` lines; the last line of a key counts."""
-    rows = lines(blobs).where(F.col("value").contains("="))
-    pairs = rows.groupBy("id", F.split_part("value", F.lit("="), F.lit(1)).alias("k")).agg(F.max_by(F.regexp_extract("value", "^[^=]*=(.*)$", 1), "line").alias("v"))
-    fields = pairs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_f"))
-    at = lambda k: F.try_element_at("_f", F.lit(k))
+    """Host capabilities from `key=value` lines; the last line of a key counts. A blob without such lines has no row."""
+    rows = blobs.select("id", F.filter(F.split("value", _END), lambda x: x.contains("=")).alias("_l")).where(F.size("_l") > 0)
+
+    def at(key: str) -> Column:
+        found = text.last_of(F.filter("_l", lambda x: x.startswith(f"{key}=")))
+        return F.substring(found, F.lit(len(key) + 2), F.length(found))
+
     name, memory = F.split_part(at("gpu"), F.lit(","), F.lit(1)), F.trim(F.regexp_extract(at("gpu"), "^[^,]*,(.*)$", 1))
     digits = lambda x, kind: F.when(x.rlike("^[0-9]+$"), x.try_cast(kind))
-    return fields.select(
+    return rows.select(
         "id", *[at(k).alias(k) for k in ("root", "kind", "account", "queue", "platform", "pixi", "uv")], F.nullif(F.trim(name), F.lit("")).alias("gpu_name"),
         digits(memory, "int").alias("gpu_mem_mb"), F.bround(digits(at("mem"), "long") / 1024**2).cast("int").alias("sysmem_gb"),
     )
@@ -141,11 +150,14 @@ def ssh_hosts(blobs: DataFrame) -> DataFrame:
 
 def cpu_records(blobs: DataFrame) -> DataFrame:
     """Blocks parted by blank lines, each as a map of its `key : value` lines, the last of a key counting: id, ordinal, fields."""
-    blocks = blobs.select("id", F.posexplode(F.split(_trimmed(F.col("value")), "\n\n")).alias("ordinal", "_b")).where(_trimmed(F.col("_b")) != "")
-    rows = blocks.select("id", "ordinal", F.posexplode(F.split("_b", "\n")).alias("_n", "_l")).where(F.col("_l").contains(":"))
-    key, value = _trimmed(F.split_part("_l", F.lit(":"), F.lit(1))), _trimmed(F.regexp_extract("_l", "^[^:]*:(.*)$", 1))
-    last = rows.groupBy("id", "ordinal", key.alias("k")).agg(F.max_by(value, "_n").alias("v"))
-    return last.groupBy("id", "ordinal").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fields"))
+    blocks = blobs.select("id", F.posexplode(F.split(_trimmed(F.col("value")), "\n\n")).alias("ordinal", "_b"))
+    pairs = F.transform(
+        F.filter(F.split("_b", "\n"), lambda x: x.contains(":")),
+        lambda x: F.struct(_trimmed(F.split_part(x, F.lit(":"), F.lit(1))).alias("k"), _trimmed(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("v")),
+    )
+    rows = blocks.select("id", "ordinal", pairs.alias("_e")).where(F.size("_e") > 0).withColumn("_k", F.array_distinct(F.transform("_e", lambda e: e["k"])))
+    last = F.transform("_k", lambda k: text.last_of(F.filter("_e", lambda e: e["k"] == k))["v"])
+    return rows.select("id", "ordinal", F.map_from_arrays("_k", last).alias("fields"))
 
 
 def cgroup(blobs: DataFrame) -> DataFrame:
