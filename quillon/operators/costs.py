@@ -86,13 +86,17 @@ def search(offers: DataFrame, gpu: str = "", gpus: int = 0, most_usd_hr: float =
     return out.orderBy("total_usd_hr", "ordinal").limit(limit).withColumn("rate_usd_hr", rate).orderBy("rate_usd_hr", "ordinal")
 
 
-def standing(credits: DataFrame, metered: DataFrame) -> DataFrame:
-    """One row: declared credit less metered cost, or a note where either is unknown. Both tables have one number each row."""
+def standing(credits: DataFrame, metered: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """One row: declared credit less metered cost, or a note where either is unknown. Both tables have one number each row.
+
+    samples are offers of a sample search; their least rate_usd_hr is the rate that the account can rent at, at the least.
+    """
     c = credits.agg(F.sum("usd").alias("credit_usd"))
     m = metered.agg(F.sum("usd").alias("metered_usd"))
     left = F.col("credit_usd") - F.col("metered_usd")
     note = F.when(F.col("credit_usd").isNull(), "no declared credit").when(F.col("metered_usd").isNull(), "no metered cost")
-    return c.crossJoin(m).select("credit_usd", "metered_usd", left.alias("remaining_usd"), note.alias("note"))  # one row each
+    out = c.crossJoin(m).select("credit_usd", "metered_usd", left.alias("remaining_usd"), note.alias("note"))  # one row each
+    return out if samples is None else out.crossJoin(samples.agg(F.min("rate_usd_hr").alias("cheapest_usd_hr")))  # one row each
 
 
 def budgeted(environments: DataFrame) -> DataFrame:

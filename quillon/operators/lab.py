@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from itertools import permutations
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
@@ -35,14 +34,9 @@ def block_orders(blocks: DataFrame, lanes: list[str], block: str = "block") -> D
     return out.withColumn("lanes", F.array(*picked)).drop("_left", "_rank", *picked)
 
 
-def all_orders(lanes: list[str]) -> list[tuple[str, ...]]:
-    """Every order of a few lanes, for checks."""
-    return list(permutations(lanes))
-
-
-def blocks_are_balanced(blocks: int, lanes: list[str]) -> bool:
-    """Whether every order comes up equally often."""
-    return not lanes or blocks % math.factorial(len(lanes)) == 0
+def balanced(blocks: Column, lanes: list[str]) -> Column:
+    """Whether every order comes up equally often in so many blocks."""
+    return F.lit(True) if not lanes else blocks % math.factorial(len(lanes)) == 0
 
 
 def gate_status(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon import adapters as a
 from quillon.functions import exact, numeric, text
 from quillon.operators import config, costs, fleet, frames, lab, packages, render, state, trace
-from quillon.session import on_workers, table
+from quillon.session import on_workers, scratch, table
 from quillon.sources import market, parsers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,9 +168,13 @@ def bottleneck_split(spark: SparkSession, sf: str) -> DataFrame:
     SELECT d.name AS dominant_kernel, 100.0::DOUBLE * d.ns / t.kernel_ns AS dominant_share_pct, t.kernel_ns, t.copy_ns, (SELECT max(peak) FROM m) AS peak_memory_bytes,
            (SELECT CAST(floor(sum(mean) / count(*)) AS BIGINT) FROM m) AS avg_memory_bytes, CASE WHEN copy_ns >= kernel_ns THEN 'memory' ELSE 'compute' END AS bound, 'memset,sync' AS unavailable FROM t, d""")
 def profile_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["dominant_kernel", "dominant_share_pct", "kernel_ns", "copy_ns", "peak_memory_bytes", "avg_memory_bytes", "bound"]
+    return verdict_report(spark, sf).select(*columns, F.concat_ws(",", "unavailable").alias("unavailable"))
+
+
+def verdict_report(spark: SparkSession, sf: str) -> DataFrame:
     summaries = trace.region_summaries(a.readings(spark, sf), ["region"])
-    report = trace.profile_report(a.kernels(spark, sf), a.copies(spark, sf), summaries, 10, 900.0, supported=0b11, requested=0b1111)
-    return report.select("dominant_kernel", "dominant_share_pct", "kernel_ns", "copy_ns", "peak_memory_bytes", "avg_memory_bytes", "bound", F.concat_ws(",", "unavailable").alias("unavailable"))
+    return trace.profile_report(a.kernels(spark, sf), a.copies(spark, sf), summaries, 10, 900.0, supported=0b11, requested=0b1111)
 
 
 PLACED = f"""WITH {ACT}, {WINDOWS}, met AS (
@@ -387,13 +391,17 @@ def verdict_violations(spark: SparkSession, sf: str) -> DataFrame:
     n AS (SELECT *, CASE WHEN verdict IS NOT NULL THEN verdict WHEN CAST(handle AS BIGINT) % 7 = 0 THEN 'ok' WHEN CAST(handle AS BIGINT) % 7 = 1 THEN 'vanished' ELSE 'running' END AS now FROM t)
     SELECT handle, target, submitted_at, CASE WHEN target = 'host3' THEN 'unreachable' WHEN now = 'running' THEN 'running' WHEN now = 'ok' THEN 'finished' ELSE 'failed' END AS outcome, CASE WHEN target <> 'host3' THEN now END AS verdict FROM n""")
 def monitor_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return swept(spark, sf).select("handle", "target", "submitted_at", "outcome", "verdict")
+
+
+def swept(spark: SparkSession, sf: str) -> DataFrame:
     runs = a.runs(spark, sf)
     h = F.pmod(F.col("handle").cast("long"), F.lit(7))
     probes = runs.select("target", "handle").distinct().select(
         "target", "handle", F.lit(None).cast("string").alias("state"), F.lit(None).cast("int").alias("exit_code"), F.when(h == 0, "ok").when(h == 1, "vanished").otherwise("running").alias("verdict"),
         F.when(F.col("target") == "host3", "no route").alias("fault"),
     )
-    return state.sweep(runs, probes).select("handle", "target", "submitted_at", "outcome", "verdict")
+    return state.sweep(runs, probes)
 
 
 @query(f"""WITH {RUNS}, labels AS (SELECT handle, arg_max('s' || (CAST(handle AS BIGINT) % 4), submitted_at) AS s FROM runs GROUP BY handle)
@@ -704,25 +712,24 @@ def trial_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return lab.trial_outcomes(lab.gate_status(rows), ["o_custkey"]).select("o_custkey", "outcome")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000 AS "at" FROM events), st AS (SELECT user_id, min("at") AS started FROM e GROUP BY user_id),
+    r AS (SELECT user_id, CAST(NULL AS BIGINT) AS event_id, started AS "at" FROM st UNION ALL
+        SELECT user_id, event_id, "at" FROM (SELECT r.user_id, e.event_id, e."at", row_number() OVER (PARTITION BY r.user_id ORDER BY e."at", e.event_id) AS n FROM r JOIN e ON e.user_id = r.user_id AND e."at" - r."at" >= 86400) WHERE n = 1)
+    SELECT r.user_id, r.event_id, r."at", st.started FROM r JOIN st USING (user_id) WHERE r.event_id IS NOT NULL""")
 def sampled_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines at which a sample is due, a day apart at least: each depends on the one before, so SQL has no short form."""
+    """Lines at which a sample is due, a day apart at least: each depends on the one before."""
     us = a.micros("ts") / SECOND
     rows = table(spark, sf, "events").select("user_id", "event_id", us.alias("at"))
-    started = F.min("at").over(Window.partitionBy("user_id"))
-    return lab.throttled(rows.withColumn("started", started), "user_id", 86_400.0)
+    started = rows.groupBy("user_id").agg(F.min("at").alias("started"))
+    return lab.throttled(rows.join(started, "user_id"), "user_id", 86_400.0)
 
 
-@query()
+@query(ORACLE_SQL["job_projection"])
 def stream_projection(spark: SparkSession, sf: str) -> DataFrame:
     """Frames written as files, ingested as a stream with a checkpoint, and projected to job states."""
-    import tempfile
-    import uuid
-
     from quillon.streaming import jobs
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark)
     a.frames(spark, sf).write.json(f"{folder}/in")
     jobs.catch_up(jobs.frame_stream(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint")
-    return _micros(jobs.tables(spark, f"{folder}/out")["jobs"].read())
+    return _micros(jobs.job_states(spark, f"{folder}/out"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -33,6 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir. Only a local session may leave that unset."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def on_workers(spark: SparkSession) -> None:
     """Puts this package's folder on the path of Python workers that are started from now on and can see it."""
     environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon import schemas
@@ -21,32 +21,35 @@ def replace(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-class Table:
-    """A table of rows by key under a folder: versions in folders of their own, and a pointer to the one that counts.
+def put(rows: DataFrame, folder: str, batch: int) -> None:
+    """Writes rows with an `arrival` order as one batch of a keyed table. A batch that is written again replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={batch}")
 
-    A write makes a new version beside the old one and then moves the pointer, so a job that dies half-way leaves the
-    old version in force and readers never see a part. One writer at a time.
-    """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str]) -> None:
-        self.spark, self.folder, self.schema, self.keys = spark, folder.rstrip("/"), schema, keys
+def batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All rows of a table that is written in batches, with the number of their batch."""
+    schema = f"{schema}, batch long"
+    if not files.exists(spark, f"{folder.rstrip('/')}/batch=*"):
+        return schemas.empty(spark, schema)
+    return spark.read.schema(schema).parquet(folder)
+
 
-    def read(self) -> DataFrame:
-        pointer = f"{self.folder}/_current"
-        if not files.exists(self.spark, pointer):
-            return schemas.empty(self.spark, self.schema)
-        version = self.spark.read.text(pointer).first()[0]
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{version}")
+def current(spark: SparkSession, folder: str, schema: str, keys: list[str]) -> DataFrame:
+    """The rows of a keyed table that count: of each key the last, by batch and then by arrival."""
+    rows = batches(spark, folder, f"{schema}, arrival long")
+    return state.latest(rows, keys, F.struct("batch", "arrival")).drop("batch", "arrival")
 
-    def write(self, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        columns = [F.col(f.split()[0]) for f in self.schema.split(", ")]
-        df.select(*columns).write.parquet(f"{self.folder}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/_current")
 
-    def upsert(self, incoming: DataFrame) -> None:
-        """Writes rows with an `arrival` order over the stored ones of their keys."""
-        self.write(state.upsert(self.read(), incoming, self.keys))
+def one_file(lines: DataFrame, path: str) -> None:
+    """Publishes lines of text (value) as one file: for documents that are a file by definition, not for data."""
+    spark, folder = lines.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    lines.coalesce(1).write.text(folder)
+    made = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*")
+    system = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+    for part in system.globStatus(made):
+        system.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(path))
+    system.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 def heartbeat(spark: SparkSession, folder: str, job_state: str, offset: int, base: int, updated_at: str) -> None:
@@ -99,11 +102,10 @@ def merge_manifest(document: DataFrame, path: str) -> None:
 
 def command_events(commands: DataFrame, last_id: int) -> DataFrame:
     """Commands as history rows: ids go on after the last, the target is the first text among the arguments."""
-    numbered = commands.withColumn("id", F.lit(last_id) + F.row_number().over(_by_ordinal()).cast("long"))
-    return numbered.withColumn("target", F.get(F.filter("args", lambda a: a.isNotNull()), F.lit(0)))
-
-
-def _by_ordinal() -> object:
-    from pyspark.sql import Window
-
-    return Window.orderBy("ordinal")
+    # ranges are numbered by themselves; the counts of the ranges before tell where each begins
+    ranged = commands.repartitionByRange("ordinal").sortWithinPartitions("ordinal").withColumn("_n", F.monotonically_increasing_id())
+    ranged = ranged.withColumn("_range", F.shiftright("_n", 33))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each range
+    numbered = ranged.join(ahead.drop("_size"), "_range").withColumn("id", F.lit(last_id) + F.col("_ahead") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    return numbered.drop("_n", "_range", "_ahead").withColumn("target", F.get(F.filter("args", lambda a: a.isNotNull()), F.lit(0)))

@@ -1,7 +1,9 @@
 """Job streams: frames from files as they arrive, ingested once each, and projected to job states.
 
-The file source keeps its place in the checkpoint; a batch that is run again writes nothing twice, since stored frames
-are left out by key and tables are rewritten by key.
+The file source keeps its place in the checkpoint. Each micro-batch writes what is new as a batch of its own, which a
+batch that is run again replaces: frames that are not stored yet, by buckets of jobs, so that a batch is only held
+against the buckets that its jobs are in; of each job that it touches the last start and the last end; and samples. Job
+states are those starts and ends folded by job when they are read. Nothing that is stored is written again.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from quillon import schemas
 from quillon.operators import frames
-from quillon.sources.sinks import Table
+from quillon.sources import sinks
 
 FRAMES = "job string, kind string, offset long, at timestamp, payload string, arrival long"
-JOBS = "job string, state string, started_at timestamp, ended_at timestamp, exit_code int"
+MOVES = "job string, started struct<arrival: long, at: timestamp>, ended struct<arrival: long, at: timestamp, exit_code: int>"
 SAMPLES = "job string, offset long, at timestamp, rss long"
+#: Buckets of jobs that stored frames are parted by.
+BUCKETS = 64
 
 
 def frame_stream(spark: SparkSession, folder: str, files_each: int | None = None) -> DataFrame:
@@ -28,37 +32,47 @@ def frame_stream(spark: SparkSession, folder: str, files_each: int | None = None
     return schemas.with_defaults(reader.json(folder), "frame").select("job", "kind", "offset", "at", "payload", "arrival")
 
 
-def tables(spark: SparkSession, folder: str) -> dict[str, Table]:
-    return {
-        "frames": Table(spark, f"{folder}/frames", FRAMES, ["job", "offset"]), "jobs": Table(spark, f"{folder}/jobs", JOBS, ["job"]),
-        "samples": Table(spark, f"{folder}/samples", SAMPLES, ["job", "offset"]),
-    }
+def stored_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frame once, with the bucket of its job and the batch that brought it."""
+    return sinks.batches(spark, f"{folder}/frames", f"{FRAMES}, bucket int")
+
+
+def stored_samples(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.batches(spark, f"{folder}/samples", SAMPLES).drop("batch")
+
+
+def moves(frames_: DataFrame) -> DataFrame:
+    """Per job: its last `started` and its last `ended` frame by arrival. Moves of parts of a stream fold to those of the whole."""
+    code = F.get_json_object("payload", "$.exit_code").try_cast("int")
+    last = lambda kind, *fields: F.max(F.when(F.col("kind") == kind, F.struct("arrival", "at", *fields)))
+    return frames_.where(F.col("kind").isin("started", "ended")).groupBy("job").agg(last("started").alias("started"), last("ended", code.alias("exit_code")).alias("ended"))
+
+
+def job_states(spark: SparkSession, folder: str) -> DataFrame:
+    """job, state, started_at, ended_at, exit_code: the folded moves of all batches."""
+    folded = sinks.batches(spark, f"{folder}/moves", MOVES).groupBy("job").agg(F.max("started").alias("started"), F.max("ended").alias("ended"))
+    began = F.coalesce(F.col("started.arrival") > F.col("ended.arrival"), F.col("started").isNotNull())
+    return folded.select(
+        "job", F.when(began, "running").otherwise("ended").alias("state"), F.col("started.at").alias("started_at"), F.col("ended.at").alias("ended_at"), F.col("ended.exit_code").alias("exit_code"),
+    )
 
 
 def ingest(folder: str, strict_compat: bool = False) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: stores first writes, and projects them to jobs and samples.
+    """A foreachBatch function: stores first writes, and the moves and samples among them.
 
-    Job states follow from the frames that are stored, so a batch that is run again changes nothing. With
-    strict_compat every arrival is projected instead, so a replayed `started` sets an ended job back to running.
+    With strict_compat every arrival counts as a move instead, so a replayed `started` sets an ended job back to running.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        own = tables(batch.sparkSession, folder)
-        stored = own["frames"].read()
-        new = frames.first_writes(batch, stored)
-        own["frames"].write(stored.unionByName(new.select(stored.columns)))
-        seen = own["frames"].read()
-        if strict_compat:
-            jobs = frames.project(batch)
-            old = own["jobs"].read()
-            both = old.select(*[F.col(c).alias(f"_{c}") for c in old.columns]).join(jobs, F.col("_job") == F.col("job"), "full")
-            own["jobs"].write(both.select(
-                F.coalesce("job", "_job").alias("job"), F.coalesce("state", "_state").alias("state"), F.coalesce("started_at", "_started_at").alias("started_at"),
-                F.coalesce("ended_at", "_ended_at").alias("ended_at"), F.coalesce("exit_code", "_exit_code").alias("exit_code"),
-            ))
-        else:
-            own["jobs"].write(frames.project(seen))
-        own["samples"].write(frames.samples(seen))
+        spark = batch.sparkSession
+        bucketed = batch.withColumn("bucket", F.pmod(F.hash("job"), F.lit(BUCKETS)))
+        touched = [r.bucket for r in bucketed.select("bucket").distinct().collect()]  # BUCKETS rows at most
+        known = stored_frames(spark, folder).where(F.col("bucket").isin(touched) & (F.col("batch") != number))
+        new = frames.first_writes(bucketed, known)
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/frames/batch={number}")
+        written = stored_frames(spark, folder).where(F.col("batch") == number)
+        sinks.put(moves(batch if strict_compat else written), f"{folder}/moves", number)
+        sinks.put(frames.samples(written), f"{folder}/samples", number)
 
     return run
 
@@ -77,14 +91,14 @@ def watch(stream: DataFrame, folder: str, checkpoint: str, seconds: float) -> St
     return writer(stream, folder, checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
-def follow(stream: DataFrame, folder: str, checkpoint: str, job: str, passes: int = 1) -> bool:
-    """Catches up until a job has ended, at most so many times; tells whether it has."""
-    own = tables(stream.sparkSession, folder)
+def follow(stream: DataFrame, folder: str, checkpoint: str, job: str, since: int = -1, passes: int = 1) -> DataFrame:
+    """A job's frames after an offset, in order, once it has ended: catches up until then, at most so many times."""
+    spark = stream.sparkSession
     for _ in range(passes):
         catch_up(stream, folder, checkpoint)
-        if not own["jobs"].read().where((F.col("job") == job) & (F.col("state") == "ended")).isEmpty():
-            return True
-    return False
+        if not job_states(spark, folder).where((F.col("job") == job) & (F.col("state") == "ended")).isEmpty():
+            break
+    return frames.tail(stored_frames(spark, folder).drop("bucket", "batch"), job, since)
 
 
 def once_within(stream: DataFrame, delay: str) -> DataFrame:

@@ -129,12 +129,14 @@ def test_corrupt_line_fails(spark, tmp_path):
 
 
 def test_table_and_profile(spark, tmp_path):
-    own = sinks.Table(spark, str(tmp_path / "t"), "k int, v string", ["k"])
-    assert own.read().count() == 0
-    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string, arrival int")
-    own.upsert(rows((1, "a", 0), (2, "b", 0), (1, "c", 1)))
-    own.upsert(rows((2, "d", 0)))
-    assert {r.k: r.v for r in own.read().collect()} == {1: "c", 2: "d"}
+    folder = str(tmp_path / "t")
+    read = lambda: {r.k: r.v for r in sinks.current(spark, folder, "k int, v string", ["k"]).collect()}
+    assert read() == {}
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string, arrival long")
+    sinks.put(rows((1, "a", 0), (2, "b", 0), (1, "c", 1)), folder, 0)
+    sinks.put(rows((2, "d", 0)), folder, 1)
+    sinks.put(rows((2, "d", 0)), folder, 1)  # a batch that is written again
+    assert read() == {1: "c", 2: "d"}
     kernels = spark.createDataFrame([("b", 5, 1), ("a", 2, 0)], "name string, start_ns long, ordinal int")
     sinks.profile_document("gpu", "host", kernels=kernels).coalesce(1).write.text(str(tmp_path / "p"))
     doc = files.profiles(spark, str(tmp_path / "p"))
@@ -161,11 +163,21 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     jobs.catch_up(stream(), out, check)
     (tmp_path / "in" / "b.json").write_text("\n".join([frame(0, "started", arrival=5), frame(1, "started", "k", 6)]))
-    assert jobs.follow(stream(), out, check, "j")
-    own = jobs.tables(spark, out)
-    states = {r.job: (r.state, r.exit_code) for r in own["jobs"].read().collect()}
+    assert [r.offset for r in jobs.follow(stream(), out, check, "j", since=3, passes=2).collect()] == [5, 9]
+    states = {r.job: (r.state, r.exit_code) for r in jobs.job_states(spark, out).collect()}
     assert states == {"j": ("ended", 3), "k": ("running", None)}
     batch = spark.read.schema(schemas.FRAME.replace("at string", "at timestamp") + ", arrival long").json(str(tmp_path / "in"))
     want = {r.job: (r.state, r.exit_code) for r in frames.project(frames.first_writes(batch)).collect()}
     assert states == want
-    assert [r.rss for r in own["samples"].read().collect()] == [7]
+    assert [r.rss for r in jobs.stored_samples(spark, out).collect()] == [7]
+    second = sinks.batches(spark, f"{out}/moves", jobs.MOVES).where("batch = 1")
+    assert second.count() == 1 and second.first().job == "k"  # the second batch only wrote the job that it touched
+    jobs.ingest(out)(batch, 1)  # a batch that is run again
+    assert {r.job: (r.state, r.exit_code) for r in jobs.job_states(spark, out).collect()} == want and jobs.stored_frames(spark, out).count() == 4
+    back = str(tmp_path / "strict")
+    jobs.ingest(back, strict_compat=True)(batch, 0)
+    assert {r.job: r.state for r in jobs.job_states(spark, back).collect()} == {"j": "running", "k": "running"}
+    query = jobs.watch(stream(), str(tmp_path / "watched"), str(tmp_path / "watching"), 0.2)
+    query.processAllAvailable()
+    query.stop()
+    assert {r.job: (r.state, r.exit_code) for r in jobs.job_states(spark, str(tmp_path / "watched")).collect()} == want

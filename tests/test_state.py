@@ -141,7 +141,8 @@ def test_lanes(spark):
     out = lab.block_orders(spark.range(6).withColumnRenamed("id", "block"), ["a", "b", "c"]).orderBy("block").collect()
     assert [tuple(r.lanes) for r in out] == list(itertools.permutations(["a", "b", "c"]))
     assert [tuple(r.lanes) for r in lab.block_orders(spark.range(3).withColumnRenamed("id", "block"), ["cold", "warm"]).orderBy("block").collect()] == [("cold", "warm"), ("warm", "cold"), ("cold", "warm")]
-    assert lab.blocks_are_balanced(4, ["a", "b"]) and not lab.blocks_are_balanced(3, ["a", "b"]) and lab.blocks_are_balanced(7, [])
+    counts = spark.createDataFrame([(4,), (3,)], "n int").select(lab.balanced(F.col("n"), ["a", "b"]).alias("two"), lab.balanced(F.col("n"), []).alias("none")).collect()
+    assert [(r.two, r.none) for r in counts] == [(True, True), (False, True)]
 
 
 def test_guarded_runs(spark):
