@@ -149,6 +149,29 @@ def instance_verdict(status: Column | str, code: Column | str) -> Column:
     )
 
 
+def lookup(key: Column | str, table: dict[str, str], default: Column | str) -> Column:
+    """The entry of a small table, or a default."""
+    return F.coalesce(_chosen(_c(key), table), _c(default))
+
+
+def comma_list(raw: Column | str) -> Column:
+    """The entries of a comma list, trimmed, blank ones dropped; a null is an empty list."""
+    entries = F.transform(F.split(F.coalesce(_c(raw), F.lit("")), ","), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
+    return F.filter(entries, lambda x: x != "")
+
+
+#: Fixed value: what a backend without advice of its own says of a capability that it lacks.
+LACKS = "the %s backend does not implement %s"
+
+
+def capability_refusal(backend: Column | str, capability: Column | str, advice: Column | str, **facts: Column | str) -> Column:
+    """The advice for a lacking capability, its `{name}` places filled from facts; a plain statement where there is none."""
+    told = _c(advice)
+    for name, value in facts.items():
+        told = F.replace(told, F.lit("{" + name + "}"), F.coalesce(_c(value).cast("string"), F.lit("")))
+    return F.coalesce(told, F.format_string(LACKS, _c(backend), _c(capability)))
+
+
 def looked_up(status: Column | str, verdicts: dict[str, str]) -> Column:
     """A verdict by lower-cased status; `unknown` without an entry."""
     return F.coalesce(_chosen(F.lower(_c(status)), verdicts), F.lit("unknown"))

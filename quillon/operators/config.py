@@ -107,6 +107,27 @@ def resolved_plan(profile: Column, override: Column) -> Column:
     return F.when(chosen == "none", F.lit("")).otherwise(chosen)
 
 
+def plans(asked: DataFrame, profiles: DataFrame, environments: DataFrame, containers: DataFrame, base_vars: Column | None = None) -> DataFrame:
+    """Execution plans: host, env, container (null for none), image, vars, for requests (host, env, container; empty for the
+    profile's choice, a container of `none` for none at all).
+
+    profiles have name, env, container and vars (a map), which win over base_vars; environments and containers (name, image)
+    are what is declared. A host, environment or container that is not declared is an error.
+    """
+    p = profiles.select(F.col("name").alias("_host"), F.col("env").alias("_env"), F.col("container").alias("_container"), F.col("vars").alias("_vars"))
+    met = asked.join(p, F.col("host") == F.col("_host"), "left")
+    met = met.select("host", F.col("_host").isNotNull().alias("_known"), F.coalesce(F.nullif("env", F.lit("")), "_env").alias("env"), resolved_plan(F.col("_container"), F.col("container")).alias("_chosen"), "_vars")
+    met = met.join(environments.select(F.col("name").alias("_e")).distinct(), F.col("env") == F.col("_e"), "left")
+    met = met.join(containers.select(F.col("name").alias("_c"), "image"), F.col("_chosen") == F.col("_c"), "left")
+    fault = lambda kind, value: F.raise_error(F.concat(F.lit(f"no {kind} "), F.coalesce(value, F.lit("")))).cast("string")
+    host = F.when(F.col("_known"), F.col("host")).otherwise(fault("host", F.col("host")))
+    env = F.when(F.col("_e").isNotNull() | ~F.col("_known"), F.col("env")).otherwise(fault("environment", F.col("env")))
+    container = F.when(F.coalesce("_chosen", F.lit("")) == "", F.lit(None)).when(F.col("_c").isNotNull(), F.col("_c")).otherwise(fault("container", F.col("_chosen")))
+    none = F.create_map().cast("map<string,string>")
+    merged = _map_over(base_vars if base_vars is not None else none, F.coalesce("_vars", none))
+    return met.select(host.alias("host"), env.alias("env"), container.alias("container"), "image", merged.alias("vars"))
+
+
 def selectors(platform: Column | str) -> Column:
     """Names that a platform answers to, most specific first."""
     p = F.col(platform) if isinstance(platform, str) else platform

@@ -38,9 +38,13 @@ def segments(lines: DataFrame, by: list[str], most_bytes: int, text_col: str = "
     return lines.withColumn("segment", F.floor(F.col("offset") / most_bytes).cast("long"))
 
 
-def next_offset(frames: DataFrame, by: list[str]) -> DataFrame:
-    """Per log: where the next frame goes, after the last frame and its encoded length."""
-    return frames.groupBy(*by).agg(F.max_by(F.col("offset") + F.col("encoded_length"), "offset").alias("next_offset"))
+def next_offset(frames: DataFrame, by: list[str], logs: DataFrame | None = None) -> DataFrame:
+    """Per log: where the next frame goes, after the last frame and its encoded length. logs (by, default) names the logs that
+    are asked for, and where an empty one begins."""
+    found = frames.groupBy(*by).agg(F.max_by(F.col("offset") + F.col("encoded_length"), "offset").alias("next_offset"))
+    if logs is None:
+        return found
+    return logs.join(found, by, "left").select(*by, F.coalesce("next_offset", F.col("default").cast("long")).alias("next_offset"))
 
 
 def tail(frames: DataFrame, job: str, since: int) -> DataFrame:

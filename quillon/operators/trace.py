@@ -54,10 +54,26 @@ def openings(spans: DataFrame, by: list[str], width: int | None = None, start: s
     return seen.withColumn("before", F.when(F.col("gap_ns").isNotNull(), F.col("_far.name"))).drop("_n", "_far", "_slice")
 
 
-def runs(spans: DataFrame, by: list[str], start: str = "start", end: str = "end", name: str = "name") -> DataFrame:
-    """openings() with the number of the merged run that each interval is in."""
-    order = Window.partitionBy(*by).orderBy(start, end, name).rowsBetween(Window.unboundedPreceding, 0)
-    return openings(spans, by, None, start, end, name).withColumn("run", _long(F.sum(_long(F.col("opens"))).over(order)))
+def runs(spans: DataFrame, by: list[str], start: str = "start", end: str = "end", name: str = "name", width: int | None = None) -> DataFrame:
+    """openings() with the number of the merged run that each interval is in. With a width, runs are counted in slices of
+    time, and one row a slice carries the count on to the slices after it."""
+    opened = openings(spans, by, width, start, end, name)
+    if not width:
+        order = Window.partitionBy(*by).orderBy(start, end, name).rowsBetween(Window.unboundedPreceding, 0)
+        return opened.withColumn("run", _long(F.sum(_long(F.col("opens"))).over(order)))
+    opened = opened.withColumn("_slice", F.floor(F.col(start) / width).cast("long"))
+    counts = opened.groupBy(*by, "_slice").agg(F.sum(_long(F.col("opens"))).alias("_c"))
+    ahead = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.select(*by, "_slice", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(start, end, name).rowsBetween(Window.unboundedPreceding, 0)
+    counted = opened.withColumn("_own", F.sum(_long(F.col("opens"))).over(inside)).join(carried, [*by, "_slice"])
+    return counted.withColumn("run", _long(F.col("_own") + F.col("_ahead"))).drop("_slice", "_own", "_ahead").select(*spans.columns, "opens", "gap_ns", "before", "run")
+
+
+def _with_share(per: DataFrame, amount: str) -> DataFrame:
+    """Rows with share_pct: their part of the whole, which is one row that is worked out by parts and sent to all."""
+    whole = per.agg(F.sum(amount).alias("_whole"))
+    return per.crossJoin(F.broadcast(whole)).withColumn("share_pct", numeric.share(F.col(amount), F.col("_whole"))).drop("_whole")  # one row
 
 
 def timeline(spans: DataFrame, by: list[str], min_gap: int = 10_000, start: str = "start", end: str = "end", name: str = "name", width: int | None = None) -> DataFrame:
@@ -162,8 +178,7 @@ def hot_kernels(kernels: DataFrame, top: int | None = 10) -> DataFrame:
     """Per kernel name: calls, total_ns, mean_ns, share_pct of all kernel time; hottest first."""
     ns = F.col("end_ns") - F.col("start_ns")
     per = kernels.groupBy("name").agg(_long(F.count("*")).alias("calls"), _long(F.sum(ns)).alias("total_ns"), F.min("ordinal").alias("_first"))
-    # the whole is the sum over names, one row each, so it is taken after the aggregation
-    per = per.withColumn("share_pct", numeric.share(F.col("total_ns"), F.sum("total_ns").over(Window.partitionBy())))
+    per = _with_share(per, "total_ns")
     per = per.withColumn("mean_ns", F.col("total_ns") / F.col("calls"))
     ranked = per.orderBy(F.col("total_ns").desc(), "_first")
     return (ranked.limit(top) if top else ranked).drop("_first")
@@ -174,7 +189,7 @@ def kernel_stats(kernels: DataFrame) -> DataFrame:
     ns = F.col("end_ns") - F.col("start_ns")
     last = F.max_by(F.struct("grid", "block", "registers"), F.col("ordinal"))
     per = kernels.groupBy("name").agg(_long(F.count("*")).alias("calls"), _long(F.sum(ns)).alias("total_ns"), last.alias("_last"), F.min("ordinal").alias("_first"))
-    per = per.withColumn("share_pct", numeric.share(F.col("total_ns"), F.sum("total_ns").over(Window.partitionBy())))
+    per = _with_share(per, "total_ns")
     return per.orderBy(F.col("total_ns").desc(), "_first").select(
         "name", "calls", "total_ns", (F.col("total_ns") / F.col("calls")).alias("mean_ns"), "share_pct", F.col("_last.grid").alias("grid"), F.col("_last.block").alias("block"),
         F.col("_last.registers").alias("registers"), numeric.threads_per_block(F.col("_last.block")).alias("threads"), numeric.block_occupancy(F.col("_last.block")).alias("occupancy_pct"),
@@ -232,7 +247,7 @@ def hot_regions(kernels: DataFrame, windows: DataFrame, by: list[str], top: int
     """Per region (innermost window): calls, total, share_pct, and wall of the last window of that name; hottest first."""
     placed = innermost(kernels, windows, by, start, width)
     per = placed.groupBy("region").agg(_long(F.count("*")).alias("calls"), _long(F.sum(F.col(end) - F.col(start))).alias("total"), F.min("ordinal").alias("_first"))
-    per = per.withColumn("share_pct", numeric.share(F.col("total"), F.sum("total").over(Window.partitionBy())))
+    per = _with_share(per, "total")
     walls = windows.groupBy(F.col("name").alias("region")).agg(F.max_by("wall", "ordinal").alias("wall"))
     out = per.join(walls, "region", "left").withColumn("wall", F.coalesce("wall", F.lit(0).cast("long"))).orderBy(F.col("total").desc(), "_first")
     return (out.limit(top) if top else out).drop("_first")

@@ -404,3 +404,35 @@ def host_reports(spark: SparkSession, sf: str) -> DataFrame:
     value = said("motd: hello\n", '{"hostname":"h', k, '","memory_total_bytes":', k * 1000, ',"cgroup":{"capped":', F.when(k % 2 == 0, "true").otherwise("false"), "}}")
     facts = files.host_facts(table(spark, sf, "supplier").select(value.alias("value")))
     return facts.select(F.regexp_extract("hostname", "([0-9]+)", 1).cast("long").alias("s_suppkey"), "hostname", "memory_total_bytes", F.col("cgroup.capped").alias("capped"))
+
+
+@query("""SELECT 'n' || n_nationkey AS host, CASE WHEN n_nationkey % 3 = 0 THEN 'r1' ELSE 'r' || n_regionkey END AS env, CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 4 = 1 THEN 'c2' ELSE 'c' || n_regionkey END AS container,
+    CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 4 = 1 THEN 'i2' ELSE 'i' || n_regionkey END AS image, 'a=own,b=base,n=' || n_nationkey AS vars FROM nation""")
+def execution_plans(spark: SparkSession, sf: str) -> DataFrame:
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    asked = nation.select(said("n", k).alias("host"), F.when(k % 3 == 0, "r1").otherwise("").alias("env"), F.when(k % 4 == 0, "none").when(k % 4 == 1, "c2").otherwise("").alias("container"))
+    own = F.create_map(F.lit("a"), F.lit("own"), F.lit("n"), k.cast("string"))
+    profiles = nation.select(said("n", k).alias("name"), said("r", r).alias("env"), said("c", r).alias("container"), own.alias("vars"))
+    declared = region.select(said("r", F.col("r_regionkey")).alias("name"))
+    images = region.select(said("c", F.col("r_regionkey")).alias("name"), said("i", F.col("r_regionkey")).alias("image"))
+    out = config.plans(asked, profiles, declared, images, F.create_map(F.lit("a"), F.lit("base"), F.lit("b"), F.lit("base")))
+    pairs = F.transform(F.array_sort(F.map_entries("vars")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select("host", "env", "container", "image", F.concat_ws(",", pairs).alias("vars"))
+
+
+@query("""WITH l AS (SELECT user_id, max(event_id) AS last FROM events WHERE event_type = 'signup' GROUP BY user_id)
+    SELECT DISTINCT e.user_id, CAST(coalesce(l.last + 7, 1000) AS BIGINT) AS next_offset FROM events e LEFT JOIN l ON e.user_id = l.user_id""")
+def next_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events")
+    rows = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("offset"), F.lit(7).alias("encoded_length"))
+    return frames.next_offset(rows, ["user_id"], events.select("user_id").distinct().withColumn("default", F.lit(1000)))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'a|' || o_orderstatus END AS fields, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'dflt' END AS word,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'look in /w/' || o_orderkey ELSE 'the rent backend does not implement Logs' END AS refusal FROM orders""")
+def field_lists(spark: SparkSession, sf: str) -> DataFrame:
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    raw = F.when(k % 3 == 0, F.when(k % 2 == 0, " , ")).otherwise(said(" a ,, ", s, ","))
+    refusal = text.capability_refusal(F.lit("rent"), F.lit("Logs"), F.when(k % 2 == 0, "look in {path}"), path=said("/w/", k))
+    return table(spark, sf, "orders").select("o_orderkey", F.concat_ws("|", text.comma_list(raw)).alias("fields"), text.lookup(s, {"F": "done", "O": "open"}, F.lit("dflt")).alias("word"), refusal.alias("refusal"))

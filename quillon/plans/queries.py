@@ -103,6 +103,13 @@ def timeline_top_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return trace.top_gaps(a.activities(spark, sf), ["track"], 10, 60 * SECOND)
 
 
+@query(f"""WITH {ACT}, far AS (SELECT *, max(e) OVER (PARTITION BY track ORDER BY s, e, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM act WHERE e > s)
+    SELECT track, ordinal, sum(CASE WHEN far IS NULL OR s > far THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY s, e, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS run FROM far""")
+def merged_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The number of the merged run that each interval is in, by slices of a day."""
+    return trace.runs(a.activities(spark, sf), ["track"], width=DAY).select("track", "ordinal", "run")
+
+
 @query(ORACLE_SQL["timeline_by_track"])
 def timeline_in_slices(spark: SparkSession, sf: str) -> DataFrame:
     """The same timelines by slices of a day: what a fleet with one very long track needs."""

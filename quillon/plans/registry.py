@@ -5,7 +5,7 @@ from __future__ import annotations
 from quillon.plans import hosts, ledgers, listings  # noqa: F401 - they register their queries
 from quillon.plans.queries import ORACLE_SQL, QUERIES, Query
 
-FLAGSHIP = "timeline_by_track"
+FLAGSHIP = "timeline_in_slices"
 
 
 def queries() -> dict[str, Query]:
