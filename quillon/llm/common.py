@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +29,13 @@ def text_of(docs: DataFrame, text_col: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -48,50 +49,126 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Bytes of an Arrow batch, about; a longer text is a batch of its own.
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this package wrote, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spent(df: DataFrame) -> None:
+    """Deletes the files of a cut() table that nothing reads any more."""
+    plan = df._jdf.logicalPlan()
+    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        remove(df.sparkSession, file.get())
+
+
+#: Bytes of a batch that Python code sees at once, about; a longer text is a batch of its own.
 BATCH_BYTES = 8 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _smaller(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows < 2 or batch.nbytes <= BATCH_BYTES:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from _smaller(batch.slice(0, half))
+        yield from _smaller(batch.slice(half))
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
-    """mapInArrow, with this package's folder on the path of Python workers that can see it.
+    """mapInArrow over batches of at most BATCH_BYTES, about: as Python objects a batch is held several times over."""
 
-    A batch is held several times over on its way (in the JVM, as Arrow, as Python objects), so batches are kept to
-    BATCH_BYTES, unless the session sets another size than Spark's 64 MB.
-    """
-    if df.sparkSession.conf.get(_BATCH) == f"{64 << 20}b":
-        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
-    context, root = df.sparkSession.sparkContext, str(Path(__file__).resolve().parents[2])
-    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        context.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
-    return df.mapInArrow(run, schema)
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(part for batch in batches for part in _smaller(batch))
+
+    return df.mapInArrow(sized, schema)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 50_000) -> Iterator[pa.Table]:
-    """Tables of whole groups, about `rows` rows each, from batches that are sorted by their keys."""
-    import numpy as np
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits that tell rows of different ids or texts apart, whatever type the id has; a null id is an id of its own."""
+    text = text_of(docs, text_col)
+    return F.xxhash64(docs[id_col], text).alias("h1"), F.xxhash64(text, docs[id_col], F.lit(1)).alias("h2")
 
+
+def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (all columns of docs), h1, h2. Columns of docs stay inside the struct, so that no name of theirs can clash."""
+    return docs.select(F.struct("*").alias("row"), *row_key(docs, id_col, text_col))
+
+
+#: Bits of a filter for each key, and bits of a filter at most: 8 MB, whatever the number of keys.
+FILTER_BITS_PER_KEY, FILTER_BITS = 16, 1 << 26
+
+
+def key_filter(keys: DataFrame) -> tuple[Column, int]:
+    """A Bloom filter over keys (h1, h2): a condition on columns h1 and h2 that holds for every key, and the number of keys.
+
+    The filter has a bounded size. Beyond four million keys it lets more of the other rows through, and all of them in
+    the end: it spares a shuffle, and the join that follows decides.
+    """
+    count = keys.count()
+    size = 1 << 10
+    while size < min(FILTER_BITS, count * FILTER_BITS_PER_KEY):
+        size <<= 1
+    places = [F.col("h1"), F.shiftrightunsigned("h1", 32), F.col("h2"), F.shiftrightunsigned("h2", 32)]
+    places = [p.bitwiseAND(F.lit(size - 1)) for p in places]
+    bit = lambda p: p.bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("place")))
+    words = keys.select(F.explode(F.array(*places)).alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    every = keys.sparkSession.range(size >> 6).select(F.col("id").alias("word")).join(words, "word", "left")
+    filled = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    bits = cut(every.agg(F.transform(filled, lambda w: w["bits"]).alias("bits"))).scalar()  # one row of FILTER_BITS at most
+    hits = [F.call_function("shiftright", F.get(bits, F.shiftright(p, 6).cast("int")), bit(p)).bitwiseAND(F.lit(1)) == 1 for p in places]
+    return hits[0] & hits[1] & hits[2] & hits[3], count
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose key (row_key) is not among gone (h1, h2: distinct, cut). Rows that cannot be among them by
+    the filter stay where they are; only the others are moved and joined."""
+    rows = with_key(docs, id_col, text_col)
+    maybe, count = key_filter(gone)
+    if not count:
+        return docs
+    asked = rows.where(maybe).join(gone, ["h1", "h2"], "left_anti")
+    return rows.where(~maybe).select("row.*").unionByName(asked.select("row.*"))
+
+
+def keep_one(docs: DataFrame, decided: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that stay, given h1, h2, group and kept for each row: kept ones, and of the kept ones of a group
+    only one, that of the smallest key. Rows that repeat a key repeat a row's id and text, and one of them stays."""
+    gone = decided.where(~F.col("kept")).select("h1", "h2")
+    crowded = cut(decided.where("kept").groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"))
+    if crowded.isEmpty():
+        return without(docs, cut(gone.distinct()), id_col, text_col)
+    rivals = decided.where("kept").join(crowded, "group")
+    best = cut(rivals.groupBy("group").agg(F.min(F.struct("h1", "h2")).alias("best")))
+    losers = rivals.join(best, "group").where(F.struct("h1", "h2") != F.col("best")).select("h1", "h2")
+    left = with_key(without(docs, cut(gone.unionByName(losers).distinct()), id_col, text_col), id_col, text_col)
+    one = best.select("best.h1", "best.h2")
+    repeats = left.join(one, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    return left.join(one, ["h1", "h2"], "left_anti").unionByName(repeats).select("row.*")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 50_000, size: int = 32 << 20) -> Iterator[pa.Table]:
+    """Tables of whole groups, about `rows` rows or `size` bytes each, from batches that are sorted by their keys."""
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = held_bytes = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         count += batch.num_rows
-        if count < rows:
+        held_bytes += batch.nbytes
+        if count < rows and held_bytes < size:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         last = np.ones(table.num_rows, bool)
         for k in keys:
-            column = table.column(k).to_numpy(zero_copy_only=False)
+            column = table.column(k).to_numpy()
             last &= column == column[-1]
         end = table.num_rows - int(last[::-1].argmin()) if not last.all() else 0
         if end:
             yield table.slice(0, end)
-        rest = table.slice(end)
-        held, count = rest.to_batches(), 0 if end else -table.num_rows + count
-        if not end:
-            count = 0
+        held, count, held_bytes = table.slice(end).to_batches(), 0, 0  # a group that goes on is looked at after as many rows again
     if held:
         yield pa.Table.from_batches(held).combine_chunks()

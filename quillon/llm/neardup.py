@@ -1,16 +1,19 @@
 """Near duplicates: banded MinHash, odd sketches for candidates, links confirmed on full sets.
 
-1. One pass over the texts gives each document its number of distinct shingles, a 128-bit digest of the
-   set, the keys of its MinHash bands, and an odd sketch: a parity bitmap into which each sample is folded.
-2. Documents of one digest form a class, which its smallest id stands for.
+1. One pass over the texts gives each row its number of distinct shingles, a 128-bit digest of the set, the keys
+   of its MinHash bands, and an odd sketch: a parity bitmap into which each sample is folded.
+2. Rows of one digest form a class, which one of them stands for.
 3. Classes that share a band key meet. Two sketches' XOR population count estimates the similarity; a
    spanning forest of the pairs that may reach the threshold, with a wide margin, leaves each bucket.
 4. The forests' components are clusters: whatever is linked is in one cluster. A cluster's full sets are
    then compared exactly. Each set is compared only with those that are not yet reached, and large clusters
-   and buckets are cut into blocks that meet pairwise, so that no task holds more than two blocks.
+   and buckets are cut into blocks, by rows and by shingles, that meet pairwise, so that no task holds more than
+   two blocks.
 5. The components of the confirmed links are the result.
 
-The text is moved at most once, for members of clusters; no pairs within groups are ever written.
+The texts are read twice. They stay where they are, but for those of classes in clusters, which a filter of bounded size
+finds before the shuffle; these are moved once, and their sets once for each two blocks that meet. No pairs within groups
+are ever written. Rows are numbered inside, so that ids may be of any type, repeat, or be null.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import UPPER, cut, map_batches, text_of, whole_groups
+from quillon.llm.common import UPPER, cut, keep_one, key_filter, map_batches, row_key, text_of, whole_groups
 from quillon.llm.components import connected
 
 SAMPLES = 256
@@ -31,8 +34,8 @@ ROWS, BANDS = 4, 32
 SKETCH_BITS = 512
 #: How far below the threshold an estimate may be for a pair to be looked at: six standard errors (0.04 each at 0.8).
 MARGIN = 0.25
-#: Members of a bucket or cluster that one block has at most.
-BLOCK = 20_000
+#: Members of a bucket or cluster that one block has at most, about, and shingles of their sets.
+BLOCK, BLOCK_SHINGLES = 20_000, 2 << 20
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _IS_SPACE = np.zeros(256, bool)
@@ -144,13 +147,14 @@ def estimated(bits: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set_high, set_low, keys, sketch."""
-    slim = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("_text"))
+    """id, h1, h2 (row_key), n_shingles, set_high, set_low, keys, sketch for each row."""
+    slim = docs.select(docs[id_col].alias("id"), *row_key(docs, id_col, text_col), text_of(docs, text_col).alias("text"))
+    fields = slim.select("id", "h1", "h2").schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, high, low, keys, sketches = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column("text").to_pylist():
                 s = shingle_set(text.encode(), shingle)
                 counts.append(len(s))
                 if len(s):
@@ -165,23 +169,33 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
                     keys.append(np.empty(0, np.int64))
                     sketches.append(b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["id", "n_shingles", "set_high", "set_low", "keys", "sketch"],
+                [*batch.columns[:3], *(pa.array(x, pa.int64()) for x in (counts, high, low)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["id", "h1", "h2", "n_shingles", "set_high", "set_low", "keys", "sketch"],
             )
 
-    return map_batches(slim, run, "id long, n_shingles long, set_high long, set_low long, keys array<long>, sketch binary")
+    return map_batches(slim, run, f"{fields}, n_shingles long, set_high long, set_low long, keys array<long>, sketch binary")
 
 
-def in_blocks(df: DataFrame, key: str, count: str) -> DataFrame:
-    """Rows of (key, id, ...) with a column block: groups of more than BLOCK rows are dealt into parts, and each
-    two parts meet in a block of their own. Rows come sorted by (key, block), whole blocks in one partition."""
-    parts = F.ceil(F.col(count) / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("id", F.lit("part")), parts)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
-    split = df.withColumn("_parts", parts).withColumn("_own", own).withColumn("_other", other)
-    block = F.least("_own", "_other") * F.col("_parts") + F.greatest("_own", "_other")
-    split = split.withColumn("block", block).drop("_parts", "_own", "_other", count)
-    return split.repartition(key, "block").sortWithinPartitions(key, "block", "id")
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """rows (key, parts, id, text) with the text's packed shingle set instead of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.encode(), shingle).tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["key", "parts", "id", "set"])
+
+    return map_batches(rows.select("key", "parts", "id", "text"), run, "key long, parts long, id long, set binary")
+
+
+def in_blocks(df: DataFrame) -> DataFrame:
+    """Rows of (key, parts, id, ...) with a column block instead of parts: a group's rows are dealt into its parts, and
+    each two parts meet in a block of their own. Rows come sorted by (key, block), whole blocks in one partition."""
+    own = F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    split = df.withColumn("own", own).withColumn("other", other)
+    block = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
+    split = split.withColumn("block", block).drop("parts", "own", "other")
+    return split.repartition("key", "block").sortWithinPartitions("key", "block", "id")
 
 
 def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -246,11 +260,11 @@ def candidate_links(rows: DataFrame, floor: float) -> DataFrame:
                     out_b.append(own_ids[b])
             yield _edges(out_a, out_b)
 
-    return map_batches(rows.select("key", "block", "id", "sketch"), run, _EDGES).distinct()
+    return map_batches(rows.select("key", "block", "id", "sketch"), run, _EDGES)
 
 
-def exact_links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Forests (a, b) of the links in each block of (key, block, id, text), confirmed on full sets."""
+def exact_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Forests (a, b) of the links in each block of (key, block, id, set), confirmed on full sets."""
 
     def links(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(s) for s in sets])
@@ -278,9 +292,9 @@ def exact_links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
             ids = table.column("id").to_numpy()
             bound = _group_bounds(table, ["key", "block"])
             out_a, out_b = [], []
-            texts = table.column("text")
+            packed = table.column("set")
             for lo, hi in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
-                sets = [shingle_set(texts[k].as_py().encode(), shingle) for k in range(lo, hi)]
+                sets = [np.frombuffer(packed[k].as_py(), np.uint64) for k in range(lo, hi)]
                 if hi - lo == 2:
                     common = len(np.intersect1d(*sets, assume_unique=True))
                     if 100 * common >= percent * (len(sets[0]) + len(sets[1]) - common):
@@ -292,46 +306,60 @@ def exact_links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
                     out_b.append(b)
             yield _edges(out_a, out_b)
 
-    return map_batches(rows.select("key", "block", "id", "text"), run, _EDGES)
+    return map_batches(rows.select("key", "block", "id", "set"), run, _EDGES)
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept.
-
-    Documents are linked when 100 * intersection >= percent * union of their shingle sets; component_id is the
-    smallest id reachable over links. Texts are lower-cased (A-Z) and cut at ASCII white space. A text of fewer
-    words than a shingle has one shingle, all its words; one without words (or null) has none and is linked
-    with nothing. Ids are numbers: rows with a null id are left out, and rows that repeat an id are documents
-    that any of their texts links, with the greatest n_shingles. An empty table gives no rows.
-    """
-    signed = cut(signatures(docs, shingle, id_col, text_col).where("id IS NOT NULL"))
+def _groups(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, h1, h2, n_shingles, root, component_id for each row: root is a number that the rows of a component share."""
+    signed = cut(signatures(docs, shingle, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     filled = signed.where("n_shingles > 0")
     digest = ["set_high", "set_low", "n_shingles"]
-    classes = filled.groupBy(*digest).agg(F.min("id").alias("rep"))
-    member = filled.select("id", *digest).join(classes, digest).select("id", "rep", "n_shingles")
-    member = cut(member.unionByName(signed.where("n_shingles = 0").select("id", F.col("id").alias("rep"), "n_shingles")))
-    rep = member.where("id = rep AND n_shingles > 0").select("id").distinct()
-    signed_rep = filled.join(rep, "id", "left_semi").dropDuplicates(["id", *digest])
-
-    keyed = signed_rep.select("id", F.explode("keys").alias("key"))
-    met = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    met = met.join(signed_rep.select("id", "sketch"), "id")
-    near = cut(candidate_links(in_blocks(met, "key", "n"), percent / 100 - MARGIN))
-    clusters = connected(near)
-
-    big = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    sized = clusters.join(big, "component").select("id", F.col("component").alias("key"), "n")
-    texts = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
-    links = exact_links(in_blocks(texts.join(sized, "id"), "key", "n"), shingle, percent)
-    # a row that repeats the id of another class is linked with it
-    same_id = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(rep.select(F.col("id").alias("a")), "a", "left_semi")
-    labels = connected(links.unionByName(same_id)).select(F.col("id").alias("rep"), "component")
-    out = member.join(labels, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    out = out.select("id", "n_shingles", "component_id").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    classes = cut(filled.groupBy(*digest).agg(F.min("row").alias("rep"), F.min("id").alias("least_id")))
+    first = cut(filled.join(classes.select(F.col("rep").alias("row")), "row", "left_semi"))
+
+    keyed = first.select(F.col("row").alias("id"), F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    met = keyed.join(shared.select("key", F.ceil(F.col("n") / BLOCK).alias("parts")), "key")
+    met = met.join(first.select(F.col("row").alias("id"), "sketch"), "id")
+    clusters = connected(candidate_links(in_blocks(met), percent / 100 - MARGIN))
+
+    inside = cut(clusters.join(first.select(F.col("row").alias("id"), "h1", "h2", "n_shingles"), "id"))
+    size = cut(inside.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")))
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))
+    wanted = inside.join(size.select("component", parts.alias("parts")), "component").select("h1", "h2", "id", F.col("component").alias("key"), "parts")
+    maybe, _ = key_filter(inside.select("h1", "h2"))
+    texts = docs.select(*row_key(docs, id_col, text_col), text_of(docs, text_col).alias("text")).where(maybe)
+    texts = texts.groupBy("h1", "h2").agg(F.any_value("text").alias("text")).join(wanted, ["h1", "h2"])
+    links = exact_links(in_blocks(shingle_sets(texts, shingle)), percent)
+
+    linked = cut(connected(links).select(F.col("id").alias("rep"), F.col("component").alias("root")).join(classes.select("rep", "least_id"), "rep"))
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = linked.select("rep", "root").join(least, "root")
+    named = classes.join(named, "rep", "left").select(
+        *digest, F.coalesce("root", "rep").alias("root"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id")
+    )
+    columns = ["id", "h1", "h2", "n_shingles", "root", "component_id"]
+    apart = signed.where("n_shingles = 0").select("id", "h1", "h2", "n_shingles", F.col("row").alias("root"), F.col("id").alias("component_id"))
+    return filled.join(named, digest).select(*columns).unionByName(apart)
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id, kept.
+
+    Rows are linked when 100 * intersection >= percent * union of their shingle sets; component_id is the
+    smallest id reachable over links, kept tells the row that has it. Texts are lower-cased (A-Z) and cut at ASCII
+    white space. A text of fewer words than a shingle has one shingle, all its words; one without words (or null)
+    has none and is linked with nothing. Ids may be of any ordered type. A row with a null id is a document like
+    others, and its component_id is null only if no row of the component has an id; rows that repeat an id are
+    documents of their own. An empty table gives no rows.
+    """
+    out = _groups(docs, shingle, percent, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one document of each component, with all their columns. Rows with a null id stay."""
-    gone = near_groups(docs, shingle, percent, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    """The rows of docs that stay, one of each component, with all their columns: that of the smallest id, and of rows
+    that repeat it one. Rows without words all stay."""
+    kept = (F.col("n_shingles") == 0) | F.col("id").eqNullSafe(F.col("component_id"))
+    decided = cut(_groups(docs, shingle, percent, id_col, text_col).select("h1", "h2", F.col("root").alias("group"), kept.alias("kept")))
+    return keep_one(docs, decided, id_col, text_col)
