@@ -1,10 +1,14 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, with DataFrame functions only.
 
-A document gets the key e = -ln(u) / w, with u drawn from its id and w its quality weight; small keys come
-first. A source takes its documents in whole epochs while its target allows, and the rest of the target in
-the order of the keys. The running sums that this needs are taken in two steps: keys are cut into slices
-of a few thousand documents, sums of slices give each slice its start, and running sums go on inside the
-slices. No task sees a whole source.
+A document gets the key e = -ln(u) / w, with u drawn from its id and w its quality weight; small keys come first. A source
+takes its documents in whole epochs while its target allows. What is left of the target is its budget, filled in the order
+of the keys: documents are taken while their running sum fits the budget; the first that does not fit ends a round, and the
+next round goes on with the documents that are no larger than what is left. After ROUNDS rounds comes the one document that
+brings the sum nearest to the target, if any does.
+
+A round is a cut through a source's order, so all that it leaves is one key for each source. The cut is found in two
+steps: keys are cut into slices, sums of slices tell in which of them the cut is, and running sums go through that slice
+alone. No task sees a whole source, and whether a document is taken follows from its own row and its source's few numbers.
 """
 
 from __future__ import annotations
@@ -12,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, cut, text_of
+from quillon.llm.common import WORD, cut, spent, text_of
 
-#: Documents a slice of a source has, about.
+#: Documents a slice of a source has at most, about; for sources of more than SLICE ** 2 documents their root.
 SLICE = 5_000
+ROUNDS = 3
+#: Sources whose plan is broadcast; a plan of more of them (some 300 bytes each) is joined by a shuffle.
+SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -60,6 +67,100 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return out.select("source", "source_size", share.cast("double").alias("target"))
 
 
+def _slice(docs: Column) -> Column:
+    """The slice of a row with key _e in a source of so many documents.
+
+    Slices are equal steps of ln(e). Whatever the weights are, ln(e) is a mixture of shifted copies of one distribution,
+    whose density is 1/e = 0.368 at most, so a step of SLICE / 0.368 / docs has SLICE documents at most on average.
+    """
+    step = F.greatest(F.lit(float(SLICE)), F.sqrt(docs)) * 2.718281828459045 / docs
+    return F.floor(F.log("_e") / step).cast("long")
+
+
+def _sent(plan: DataFrame, sources: int) -> DataFrame:
+    return F.broadcast(plan) if sources <= SOURCES else plan
+
+
+def _round(keyed: DataFrame, plan: DataFrame, k: int, sources: int) -> DataFrame:
+    """plan with _cut{k}, the last (e, id, size) that round k takes, null if none, and _gap{k + 1}, the budget after it."""
+    rows = keyed.join(_sent(plan, sources), F.col("source").eqNullSafe(F.col("_s"))).where(_eligible(k)).withColumn("_slice", _slice(F.col("_docs")))
+    slices = rows.groupBy("_s", "_slice").agg(F.sum("size").alias("_sum"), F.max(f"_gap{k}").alias("_gap"))
+    upto = F.sum("_sum").over(Window.partitionBy("_s").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0))
+    slices = slices.withColumn("_upto", upto).withColumn("_fits", F.col("_upto") <= F.col("_gap"))
+    # the slice that the cut is in, what fits before it, and the slice before, where the cut is if the next takes nothing
+    place = slices.groupBy("_s").agg(
+        F.min(F.when(~F.col("_fits"), F.col("_slice"))).alias("_in"),
+        F.coalesce(F.max(F.when(F.col("_fits"), F.col("_upto"))), F.lit(0)).alias("_before"),
+        F.max(F.when(F.col("_fits"), F.col("_slice"))).alias("_last"),
+    )
+    near = rows.join(_sent(place.withColumnRenamed("_s", "_p"), sources), F.col("_s").eqNullSafe(F.col("_p"))).drop("_p")
+    near = near.where((F.col("_slice") == F.col("_in")) | (F.col("_slice") == F.col("_last")))
+    # rows that share key, id and size are taken together
+    ties = near.groupBy("_s", "_e", "_id", "size").agg(F.sum("size").alias("_sum"), *[F.max(c).alias(c) for c in ("_slice", "_in", "_last", "_before", f"_gap{k}")])
+    running = F.sum(F.when(F.col("_slice") == F.col("_in"), F.col("_sum")).otherwise(F.lit(0))).over(
+        Window.partitionBy("_s").orderBy("_e", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    ties = ties.withColumn("_upto", F.col("_before") + running).where(F.col("_upto") <= F.col(f"_gap{k}"))
+    cuts = ties.groupBy("_s").agg(F.max(F.struct("_e", "_id", "size")).alias(f"_cut{k}"), F.max("_upto").alias("_taken")).withColumnRenamed("_s", "_p")
+    out = plan.join(cuts, F.col("_s").eqNullSafe(F.col("_p")), "left").drop("_p")
+    return out.withColumn(f"_gap{k + 1}", F.col(f"_gap{k}") - F.coalesce("_taken", F.lit(0))).drop("_taken")
+
+
+def _taken_in(k: int) -> Column:
+    return F.coalesce((F.col("size") <= F.col(f"_gap{k}")) & (F.struct("_e", "_id", "size") <= F.col(f"_cut{k}")), F.lit(False))
+
+
+def _eligible(k: int) -> Column:
+    """Rows that round k may take: not taken before, and no larger than what is left."""
+    out = F.col("size") <= F.col(f"_gap{k}")
+    for j in range(k):
+        out = out & ~_taken_in(j)
+    return out
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, seed: str, keep: list[Column]) -> DataFrame:
+    """_id, source, size, _e and the columns of `keep` for each row."""
+    text = text_of(docs, text_col)
+    size = word_count(text)
+    weight = docs[weight_col].cast("double") if weight_col else quality_weight(size, F.char_length(text))
+    weight = F.greatest(F.coalesce(weight, F.lit(1.0)), F.lit(1e-6))
+    drawn = uniform(F.coalesce(docs[id_col].cast("string"), text), seed)
+    out = docs.select(*keep, docs[id_col].alias("_id"), docs[source_col].cast("string").alias("source"), size.alias("size"), weight.alias("_w"), drawn.alias("_u"))
+    return out.withColumn("_e", -F.log("_u") / F.col("_w")).drop("_w", "_u")
+
+
+def _planned(keyed: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
+    """What each source takes, one row for each: its name _s, source_size, target, epochs, gaps and cuts of the rounds, and
+    the one document that comes last."""
+    sums = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
+    sums = cut(sums)
+    sources = sums.count()
+    targets = source_targets(sums.select("source", "source_size"), weights, most).withColumnRenamed("source", "_s")
+    plan = targets.join(sums.select("source", "_docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("source")
+    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    plan = cut(plan.withColumn("_gap0", F.col("target") - F.col("epochs") * F.col("source_size")))
+    for k in range(ROUNDS):
+        plan = cut(_round(keyed, plan, k, sources))
+    gap = F.col(f"_gap{ROUNDS}")
+    off = F.abs(gap - F.col("_sum"))
+    rest = keyed.join(_sent(plan, sources), F.col("source").eqNullSafe(F.col("_s"))).where((F.col("size") > 0) & (F.col("size") < 2 * gap))
+    for k in range(ROUNDS):
+        rest = rest.where(~_taken_in(k))
+    rest = rest.groupBy("_s", "_e", "_id", "size").agg(F.sum("size").alias("_sum"), F.max(f"_gap{ROUNDS}").alias(f"_gap{ROUNDS}")).where(off < gap)
+    last = rest.groupBy("_s").agg(F.min(F.struct(off.alias("off"), "_e", "_id", "size")).alias("_last")).withColumnRenamed("_s", "_p")
+    last = last.select("_p", F.struct("_last._e", "_last._id", "_last.size").alias("_last"))
+    return _sent(cut(plan.join(last, F.col("_s").eqNullSafe(F.col("_p")), "left").drop("_p", "_docs")), sources)
+
+
+def _times() -> Column:
+    """How often a row of _keyed() beside its source's plan is taken."""
+    taken = [_taken_in(k) for k in range(ROUNDS)]
+    once = F.coalesce(F.struct("_e", "_id", "size") == F.col("_last"), F.lit(False))
+    for t in taken:
+        once = once | t
+    return F.when(F.col("size") > 0, F.col("epochs") + once.cast("int")).otherwise(F.lit(0)).cast("long")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -72,65 +173,35 @@ def mix(
 ) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target, epochs, taken.
 
-    size counts words; taken counts the words that the mix takes, repeats counted, always a multiple of
-    size. Each source takes all documents `floor(target / source_size)` times, and for the rest of its
-    target documents in the order of their keys while these fit; last comes the one further document that
-    brings the sum nearest to the target, if any does. A null or empty text has size 0 and is taken 0
-    times; a null source is a source of its own. A null weight counts as 1, one below 1e-6 as 1e-6. Rows
-    that repeat an id are separate documents with the same key. An empty table gives no rows.
+    size counts words; taken counts the words that the mix takes, repeats counted, always a multiple of size. Each source
+    takes all documents `floor(target / source_size)` times, and some of them once more: in the order of their keys while
+    they fit what is left of the target, in ROUNDS rounds of which each leaves out what is larger than the rest, and then
+    the one that brings the sum nearest to the target, if any does. A null or empty text has size 0 and is taken 0 times; a
+    null source is a source of its own. A null weight counts as 1, one below 1e-6 as 1e-6. The key of a null id is drawn
+    from the text. Rows that repeat an id are documents with the same draw; those that repeat the size as well are taken
+    together or not. An empty table gives no rows.
     """
-    text = text_of(docs, text_col)
-    weight = docs[weight_col].cast("double") if weight_col else None
-    slim = docs.select(
-        docs[id_col].alias(id_col),
-        docs[source_col].cast("string").alias("source"),
-        word_count(text).alias("size"),
-        F.char_length(text).alias("_chars"),
-        *([weight.alias("_weight")] if weight is not None else []),
-    )
-    if weight is None:
-        slim = slim.withColumn("_weight", quality_weight(F.col("size"), F.col("_chars")))
-    slim = slim.withColumn("_weight", F.greatest(F.coalesce("_weight", F.lit(1.0)), F.lit(1e-6)))
-    slim = cut(slim.select(id_col, "source", "size", (-F.log(uniform(F.col(id_col), seed)) / F.col("_weight")).alias("_e")))
-
-    sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
-    targets = source_targets(sums.select("source", "source_size"), weights, most)
-    plan = targets.join(sums.select(F.col("source").alias("_s"), "_docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    plan = plan.withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    plan = cut(plan.withColumn("_slices", F.ceil(F.col("_docs") / SLICE)))
-
-    named = plan.withColumnRenamed("source", "_s")
-    keyed = slim.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_docs")
-    keyed = keyed.withColumn("_slice", F.floor(F.col("_slices") * (1 - F.exp(-F.col("_e")))).cast("long"))
-    slices = keyed.groupBy("source", "_slice").agg(F.sum("size").alias("_sum"))
-    ahead = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.select(
-        F.col("source").alias("_s"), F.col("_slice").alias("_k"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start")
-    )
-    running = Window.partitionBy("source", "_slice").orderBy("_e", id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = keyed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_k"))).drop("_s", "_k")
-    ranked = ranked.withColumn("_in", F.col("_start") + F.sum("size").over(running) <= F.col("_rest"))
-    ranked = cut(ranked.select(id_col, "source", "size", "source_size", "target", "epochs", "_rest", "_e", "_in"))
-
-    gaps = ranked.groupBy("source").agg((F.max("_rest") - F.sum(F.when(F.col("_in"), F.col("size")).otherwise(F.lit(0)))).alias("_gap"))
-    gaps = gaps.withColumnRenamed("source", "_s")
-    off = F.abs(F.col("_gap") - F.col("size"))
-    last = (
-        ranked.where(~F.col("_in")).join(gaps, F.col("source").eqNullSafe(F.col("_s"))).where(off < F.col("_gap"))
-        .groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("_e").alias("e"), F.col(id_col).alias("id"), F.col("size").alias("size"))).alias("_last"))
-        .select(F.col("source").alias("_s"), F.col("_last.id").alias("_last_id"), F.col("_last.size").alias("_last_size"), F.lit(True).alias("_found"))
-    )
-    out = ranked.join(last, F.col("source").eqNullSafe(F.col("_s")), "left")
-    filler = ~F.col("_in") & F.coalesce("_found", F.lit(False)) & F.col(id_col).eqNullSafe(F.col("_last_id")) & (F.col("size") == F.col("_last_size"))
-    times = F.col("epochs") + F.when(F.col("_in") & (F.col("_rest") > 0) | filler, 1).otherwise(0)
-    return out.select(id_col, "source", "size", "source_size", "target", "epochs", (F.col("size") * times).alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: object) -> DataFrame:
-    """The mix itself: rows of docs with all their columns, each as many times as it is taken; rows that repeat an id
-    are all taken as often as the one that is taken most."""
-    taken = mix(docs, id_col, text_col, source_col, **how).where("taken > 0")
-    times = taken.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    joined = docs.join(times, docs[id_col].eqNullSafe(F.col("_id")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    keyed = cut(_keyed(docs, id_col, text_col, source_col, weight_col, seed, []))
+    plan = _planned(keyed, weights, most)
+    out = keyed.join(plan, F.col("source").eqNullSafe(F.col("_s")))
+    return out.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "epochs", (F.col("size") * _times()).alias("taken"))
+
+
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (1, 2, 3),
+    most: float = 3.0,
+    weight_col: str | None = None,
+    seed: str = "",
+) -> DataFrame:
+    """The mix itself: rows of docs with all their columns, each as many times as mix() takes it. Texts stay in the
+    partitions they are in: each row is held against its source's plan."""
+    keyed = cut(_keyed(docs, id_col, text_col, source_col, weight_col, seed, []))
+    plan = _planned(keyed, weights, most)
+    spent(keyed)
+    rows = _keyed(docs, id_col, text_col, source_col, weight_col, seed, [F.struct("*").alias("row")])
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select("row", _times().cast("int").alias("times")).where("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import dedup, fingerprint, licenses, mixing, neardup, packing, quality, tokens, toxicity, warc
+from quillon.llm.common import cut, remove
+from quillon.session import on_workers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,15 +63,25 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     folder = warc.new_folder(spark)
-    read = warc.read_archives(warc.archive(pages, folder), folder, with_payload=False)
+    read = cut(warc.read_archives(warc.archive(pages, folder), folder, with_payload=False))
+    remove(spark, folder)  # what is left to tell is in the records that were read
     return read.select(
         F.col("id").cast(pages.schema["page_id"].dataType).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast(pages.schema["page_id"].dataType).alias("refers_to"),
     )
 
 
+def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        on_workers(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: _registered(f)
     for f in (
         op1_quality, op2_exact_dedup, op3_mix_sources, op4_fingerprints, op5_token_counts, op6_pack_sequences, op7_near_dedup,
         op8_license_scan, op9_toxicity, op10_warc,
@@ -97,19 +112,24 @@ ORACLE_SQL = {
         common AS (SELECT arg_min(lv, {'r': cap / w, 'i': i}) AS lv FROM levels WHERE lv * w <= cap),
         plan AS (SELECT source, source_size, least(cap, coalesce((SELECT lv FROM common) * w, cap)) AS target FROM caps),
         epochs AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS ep FROM plan),
-        ranked AS (
-            SELECT k.*, p.source_size, p.target, p.ep, p.target - p.ep * p.source_size AS rest,
-                   sum(k.size) OVER (PARTITION BY k.source ORDER BY k.e, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+        keys AS (
+            SELECT k.*, p.source_size, p.target, p.ep, p.target - p.ep * p.source_size AS g0
             FROM keyed k JOIN epochs p ON k.source IS NOT DISTINCT FROM p.source),
-        chosen AS (SELECT *, upto <= rest AS inside FROM ranked),
-        gaps AS (SELECT source, max(rest) - sum(CASE WHEN inside THEN size ELSE 0 END) AS gap FROM chosen GROUP BY source),
+        u0 AS (SELECT *, sum(CASE WHEN size <= g0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY e, doc_id, size) AS upto FROM keys),
+        t0 AS (SELECT *, size <= g0 AND upto <= g0 AS in0 FROM u0),
+        v0 AS (SELECT *, g0 - sum(CASE WHEN in0 THEN size ELSE 0 END) OVER (PARTITION BY source) AS g1 FROM t0),
+        u1 AS (SELECT * EXCLUDE (upto), sum(CASE WHEN NOT in0 AND size <= g1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY e, doc_id, size) AS upto FROM v0),
+        t1 AS (SELECT *, in0 OR (size <= g1 AND upto <= g1) AS in1 FROM u1),
+        v1 AS (SELECT *, g1 - sum(CASE WHEN in1 AND NOT in0 THEN size ELSE 0 END) OVER (PARTITION BY source) AS g2 FROM t1),
+        u2 AS (SELECT * EXCLUDE (upto), sum(CASE WHEN NOT in1 AND size <= g2 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY e, doc_id, size) AS upto FROM v1),
+        t2 AS (SELECT *, in1 OR (size <= g2 AND upto <= g2) AS in2 FROM u2),
+        v2 AS (SELECT *, g2 - sum(CASE WHEN in2 AND NOT in1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM t2),
         last AS (
-            SELECT c.source, arg_min(c.doc_id, {'off': abs(g.gap - c.size), 'e': c.e, 'id': c.doc_id}) AS last_id
-            FROM chosen c JOIN gaps g ON c.source IS NOT DISTINCT FROM g.source
-            WHERE NOT c.inside AND abs(g.gap - c.size) < g.gap GROUP BY c.source)
+            SELECT source, arg_min(doc_id, {'off': abs(gap - size), 'e': e, 'id': doc_id}) AS last_id
+            FROM v2 WHERE NOT in2 AND size > 0 AND abs(gap - size) < gap GROUP BY source)
         SELECT c.doc_id, c.size, c.source_size, c.target,
-               CAST(c.size * (c.ep + CASE WHEN (c.inside AND c.rest > 0) OR (NOT c.inside AND l.last_id IS NOT NULL AND c.doc_id = l.last_id) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-        FROM chosen c LEFT JOIN last l ON c.source IS NOT DISTINCT FROM l.source
+               CAST(c.size * (c.ep + CASE WHEN c.in2 OR (l.last_id IS NOT NULL AND c.doc_id = l.last_id) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM v2 c LEFT JOIN last l ON c.source IS NOT DISTINCT FROM l.source
     """,
     "op10_warc": """
         WITH base AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d, sha256(coalesce(html, '')) AS h FROM pages),
