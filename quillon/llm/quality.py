@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, map_batches, text_of
+from quillon.llm.common import cut, map_batches, row_key, text_of, without
 
 FEATURES = 384
 RIDGE = 1e-3
@@ -87,16 +87,18 @@ def statistics(raw: bytes) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, stats (array of double) for each row; a null text counts as empty."""
-    slim = docs.select(docs[id_col].alias(id_col), text_of(docs, text_col).alias("_text"))
-    fields = slim.select(id_col).schema.simpleString()[len("struct<") : -1]
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
+    """id, stats (array of double) and the columns of `keep` for each row; a null text counts as empty."""
+    kept = docs.select(docs[id_col].alias(id_col), *keep)
+    slim = docs.select(docs[id_col].alias(id_col), *keep, text_of(docs, text_col).alias("_text"))
+    fields = kept.schema.simpleString()[len("struct<") : -1]
+    names = [*kept.columns, "stats"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([statistics(t.encode()) for t in batch.column(1).to_pylist()], np.float64).reshape(-1)
+            rows = np.array([statistics(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()], np.float64).reshape(-1)
             stats = pa.FixedSizeListArray.from_arrays(pa.array(rows), len(NAMES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), stats], [id_col, "stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], stats], names)
 
     return map_batches(slim, run, f"{fields}, stats array<double>")
 
@@ -153,8 +155,8 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     Null ids and labels are left out; of an id's labels the smallest counts. Three quarters of the labelled
     documents, told apart by a digest of the id, fit the ridge regression, and the rest calibrate it.
     """
-    own = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull()).groupBy(labels[id_col].alias("_id")).agg(F.min(label_col).cast("double").alias("_label"))
-    known = stats.join(own, stats[id_col] == F.col("_id")).select("_label", "stats", (F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("fold")), F.lit(4)) == 0).alias("_calibrates"))
+    own = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull()).groupBy(labels[id_col].alias(id_col)).agg(F.min(label_col).cast("double").alias("_label"))
+    known = stats.join(own, id_col).select("_label", "stats", (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("fold")), F.lit(4)) == 0).alias("_calibrates"))
     known = cut(known)
     fitted = known.where("NOT _calibrates")
     d = len(NAMES)
@@ -209,9 +211,9 @@ def _apply(stats: DataFrame, value: object, keep: list[str]) -> DataFrame:
     return map_batches(stats.select(*keep, "stats"), partial(run, keep=keep), f"{fields}, score double")
 
 
-def score(stats: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """id, score for each row of document_statistics(): 0 to 1, higher for better documents."""
-    return _apply(stats, model.score, [id_col])
+def score(stats: DataFrame, model: Model) -> DataFrame:
+    """score for each row of document_statistics(), beside its other columns: 0 to 1, higher for better documents."""
+    return _apply(stats, model.score, [c for c in stats.columns if c != "stats"])
 
 
 def held_out(id_col: Column) -> Column:
@@ -226,14 +228,18 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     score of an empty text; rows that repeat an id get a score each (a label counts for each of them); a null id
     has no label. Without any usable label every score is 1/2. An empty table gives no rows.
     """
-    stats = cut(document_statistics(docs, id_col, text_col))
+    return _scored(docs, labels, id_col, text_col, label_col, least, ()).select(id_col, "held_out", "score", "predicted")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, least: float, keep: tuple[Column, ...]) -> DataFrame:
+    stats = cut(document_statistics(docs, id_col, text_col, keep))
     model = fit(stats, labels.where(~held_out(labels[id_col])), id_col, label_col)
-    scored = score(stats, model, id_col)
-    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    scored = score(stats, model)
+    return scored.withColumns({"held_out": held_out(F.col(id_col)), "predicted": (F.col("score") >= least).cast("int")})
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.3) -> DataFrame:
-    """The rows of docs that the classifier does not reject, with all their columns. Rows with a null id stay; rows that
-    repeat an id go if any of their texts is rejected."""
-    bad = quality(docs, labels, id_col, text_col, label_col, least).where("predicted = 0").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
+    """The rows of docs that the classifier does not reject, with all their columns. Every row is judged by its own text,
+    whatever its id is."""
+    scored = _scored(docs, labels, id_col, text_col, label_col, least, row_key(docs, id_col, text_col))
+    return without(docs, cut(scored.where("predicted = 0").select("h1", "h2").distinct()), id_col, text_col)
