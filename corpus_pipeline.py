@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import dedup, mixing, neardup, packing, quality
-from quillon.llm.common import shared_dir
+from quillon.llm.common import remove, shared_dir
 from quillon.llm.queries import byte_tokenizer
+from quillon.session import on_workers
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +51,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn, each written as Parquet to the shared folder and read again by the next."""
+    """Every stage in turn, each written as Parquet to the shared folder and read again by the next. What a stage wrote is
+    deleted when its successor is written; the last stage cuts its lineage, so that its rows need no folder."""
+    on_workers(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, folder)
+    return out
