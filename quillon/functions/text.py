@@ -26,6 +26,8 @@ PUEUE_LIVE = ("Running", "Queued", "Paused")
 INSTANCE_LIVE = ("created", "loading", "running", "stopping")
 INSTANCE_ENDED = ("exited", "stopped", "offline", "error")
 TERMINAL = ("ok", "failed", "vanished", "unknown", "timeout")
+#: What is said where no exit code tells a cause, and of a log without lines.
+FORGOTTEN, EXITED, FAILED, NO_OUTPUT = "vanished (the scheduler no longer remembers the job)", "exited ", "failed", "(no log output)"
 #: Terminal control codes and box-drawing characters.
 ANSI = "\\x1b\\[[0-9;?]*[A-Za-z]"
 BOX = "[\\u2500-\\u259F]+"
@@ -76,16 +78,16 @@ def exit_reason(code: Column | str) -> Column:
 def failure_reason(log: Column | str, code: Column | str, tool: str = "runner") -> Column:
     """One line of cause: the last match of the first marker that matches, else what the exit code tells, else the last line."""
     found = [F.substring(F.trim(last_of(F.regexp_extract_all(_c(log), F.lit(m.replace("{tool}", tool)), F.lit(0)))), 1, 240) for m in MARKERS]
-    return F.coalesce(*found, exit_reason(code), F.substring(last_of(meaningful_lines(log)), 1, 240), F.lit("(no log output)"))
+    return F.coalesce(*found, exit_reason(code), F.substring(last_of(meaningful_lines(log)), 1, 240), F.lit(NO_OUTPUT))
 
 
 def short_reason(verdict: Column | str, code: Column | str) -> Column:
     """A cause from the cached state alone."""
     return (
-        F.when(_c(verdict) == "vanished", "vanished (the scheduler no longer remembers the job)")
+        F.when(_c(verdict) == "vanished", FORGOTTEN)
         .when(exit_reason(code).isNotNull(), exit_reason(code))
-        .when(_c(code).isNotNull(), F.concat(F.lit("exited "), _c(code).cast("string")))
-        .otherwise("failed")
+        .when(_c(code).isNotNull(), F.concat(F.lit(EXITED), _c(code).cast("string")))
+        .otherwise(FAILED)
     )
 
 

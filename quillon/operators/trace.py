@@ -201,10 +201,11 @@ def kernel_efficiency(kernels: DataFrame, multiprocessors: int, blocks_each: int
     waves, and tail_waste_pct: the share of the last, partly filled wave that is idle."""
     slots = max(multiprocessors * blocks_each, 1)
     ns = F.col("end_ns") - F.col("start_ns")
-    first = F.min_by(F.struct("block", "registers"), F.col("ordinal"))
-    per = kernels.where(ns > 0).groupBy("name").agg(
-        _long(F.count("*")).alias("calls"), (F.sum(ns) / 1e6).alias("total_ms"), _long(F.max(numeric.grid_blocks("grid"))).alias("blocks"), first.alias("_one"), F.min("ordinal").alias("_first"),
-    )
+    first = F.min(F.struct("ordinal", "block", "registers"))
+    shapes = kernels.where(ns > 0).groupBy("name", "grid").agg(F.count("*").alias("_n"), F.sum(ns).alias("_ns"), first.alias("_one"))  # a shape is read once
+    per = shapes.groupBy("name").agg(
+        _long(F.sum("_n")).alias("calls"), (F.sum("_ns") / 1e6).alias("total_ms"), _long(F.max(numeric.grid_blocks("grid"))).alias("blocks"), F.min("_one").alias("_one"),
+    ).withColumn("_first", F.col("_one.ordinal"))
     waves = F.col("blocks") / slots
     whole = F.ceil(waves)
     waste = F.when(whole > 0, 100.0 * (whole - waves) / whole).otherwise(0.0)
@@ -365,6 +366,11 @@ def meter(samples: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+#: The reasons of a diagnosis.
+NEAR_OOM, THROTTLED, SHARED = "near OOM: %.1f/%.1f GB (%.0f%%)", "throttled: ", "host offload: %d processes share the GPU"
+GROWN, UNDERUSED, HEALTHY = "host offload: host memory grew %.1f GB", "GPU underutilized: %d%% compute", "healthy"
+
+
 def diagnosis(rows: DataFrame, headroom_pct: float = 5.0, util_floor: int = 25, host_growth_gb: float = 4.0) -> DataFrame:
     """Trials with four flags and the reason of the gravest. Rows have peak_gpu_gb, host_delta_gb, capacity_gb, gpu_pct, processes, throttles (array)."""
     used = F.when(F.col("capacity_gb") > 0, 100.0 * F.col("peak_gpu_gb") / F.col("capacity_gb")).otherwise(0.0)
@@ -374,12 +380,12 @@ def diagnosis(rows: DataFrame, headroom_pct: float = 5.0, util_floor: int = 25,
         "host_offload": (F.col("host_delta_gb") >= host_growth_gb) | contended, "throttled": F.size("throttles") > 0,
     })
     reason = (
-        F.when(F.col("near_oom"), F.format_string("near OOM: %.1f/%.1f GB (%.0f%%)", "peak_gpu_gb", "capacity_gb", "_used"))
-        .when(F.col("throttled"), F.concat(F.lit("throttled: "), F.concat_ws(", ", "throttles")))
-        .when(contended, F.format_string("host offload: %d processes share the GPU", "processes"))
-        .when(F.col("host_offload"), F.format_string("host offload: host memory grew %.1f GB", "host_delta_gb"))
-        .when(F.col("gpu_underutilized"), F.format_string("GPU underutilized: %d%% compute", "gpu_pct"))
-        .otherwise("healthy")
+        F.when(F.col("near_oom"), F.format_string(NEAR_OOM, "peak_gpu_gb", "capacity_gb", "_used"))
+        .when(F.col("throttled"), F.concat(F.lit(THROTTLED), F.concat_ws(", ", "throttles")))
+        .when(contended, F.format_string(SHARED, "processes"))
+        .when(F.col("host_offload"), F.format_string(GROWN, "host_delta_gb"))
+        .when(F.col("gpu_underutilized"), F.format_string(UNDERUSED, "gpu_pct"))
+        .otherwise(HEALTHY)
     )
     return flagged.withColumn("reason", reason).drop("_used")
 
