@@ -8,9 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import licenses, warc
-
-from .conftest import ODD
+from quillon.llm import warc
 
 
 def test_loser_tree():
@@ -20,6 +18,37 @@ def test_loser_tree():
         assert list(warc.merged([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
 
 
+@pytest.mark.parametrize(("buffer", "fan_in"), [(1000, 64), (7, 64), (5, 3), (1, 2)])
+def test_merge_beyond_its_buffer(tmp_path, buffer, fan_in):
+    """Stretches that go far beyond the buffer are merged over files, in more than one pass, and no file is left."""
+    draw = random.Random(buffer)
+    entry = lambda i: (f"k{draw.randrange(30)}", str(draw.randrange(3)), str(draw.randrange(5)), "a", i, 1, "response", "d")
+    runs = [sorted(entry(100 * n + i) for i in range(draw.randrange(0, 20))) for n in range(12)]
+    merge = warc.Merge(f"file://{tmp_path}/spill", buffer, fan_in, 4)
+    merge.add(x for r in runs for x in r)
+    assert len(merge.held) + len(merge.files) <= fan_in + 12 and merge.count < max(buffer, 2)
+    out = [x for batch in merge.batches() for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert out == sorted(x for r in runs for x in r)
+    assert not (tmp_path / "spill").exists() or not list((tmp_path / "spill").iterdir())
+
+
+def test_ranges_larger_than_the_buffer(spark, tmp_path):
+    df, rows = pages(spark)
+    folder = f"file://{tmp_path}/w"
+    runs = warc.write_archives(warc.captures(df.repartition(4)), folder)
+    index = warc.merge_index(runs, folder, ranges=2, buffer=10, fan_in=3).collect()
+    keys = [(r.url_key, r.timestamp, r.id, r.archive, r.offset) for r in index]
+    assert len(keys) == len(rows) and keys == sorted(keys)
+
+
+def test_one_url_falls_into_many_ranges(spark, tmp_path):
+    """Captures without ids of one URL and time are parted by their places."""
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("page_id"), F.lit("http://a").alias("url"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("html"))
+    index = warc.merge_index(warc.write_archives(warc.captures(df), f"file://{tmp_path}/w"), f"file://{tmp_path}/w", ranges=6)
+    sizes = [r["count"] for r in index.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 1500
+
+
 @pytest.mark.parametrize(
     ("url", "key"),
     [
@@ -59,7 +88,7 @@ def test_round_trip(spark, tmp_path):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     bodies = {r.id: r.payload for r in out if r.record_type == "response" and r.id}
     assert all(bodies[str(i)] == (h or "").encode() for i, _, h in rows if i is not None and str(i) in bodies)
-    for f in (tmp_path / "w").iterdir():
+    for f in (tmp_path / "w").glob("*.gz"):
         assert gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\n")
     assert warc.cdxj(index).count() == len(rows)
 
@@ -76,51 +105,3 @@ def test_damaged_records():
     for bad in (good[:-1], good.replace(b"payload", b"pAyload"), b"x" + good):
         with pytest.raises(ValueError):
             warc.parse(bad)
-
-
-MIT = "\n".join(licenses.SENTENCES[k] for k in ("mit-title", "mit-grant", "mit-condition", "mit-warranty"))
-
-
-def wrapped(text, width=60):
-    import textwrap
-
-    return "\n".join(x for line in text.split("\n") for x in textwrap.wrap(line, width))
-
-
-@pytest.mark.parametrize(
-    ("text", "found"),
-    [
-        ("Some prose.\nReleased under the MIT License.\nMore.", ["MIT"]),
-        ("Text. LICENSED under the   Apache License, version 2.0. Text", ["Apache-2.0"]),
-        ("a | b\nThis work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.", ["GPL-3.0-only", "CC-BY-NC-4.0"]),
-        (MIT, ["MIT"]), (wrapped(MIT), ["MIT"]), (wrapped("Before this.\n" + MIT + " And after."), ["MIT"]),
-        ("\n".join(licenses.SENTENCES[f"bsd-{k}"] for k in ("redistribute", "source", "binary", "endorse")), ["BSD-3-Clause"]),
-        ("\n".join(licenses.SENTENCES[f"bsd-{k}"] for k in ("redistribute", "source", "binary")), ["BSD-2-Clause"]),
-        ("\n".join(licenses.SENTENCES[f"bsd-{k}"] for k in ("binary", "source", "redistribute")), []),
-        ("// SPDX-License-Identifier: Apache-2.0 OR MIT\n", ["Apache-2.0 OR MIT"]),
-        ("The license of this is unknown. Permission is asked.", []), ("", []),
-    ],
-)
-def test_findings(text, found):
-    out = licenses.standard().findings(text)
-    assert [f[0] for f in out] == found
-    assert all(0 <= a < b <= len(text) for _, a, b in out)
-
-
-def test_scan(spark, odd, none):
-    out = licenses.scan(odd)
-    assert out.count() == len(ODD) and out.where("n_findings > 0").count() == 0
-    assert licenses.scan(none).count() == 0
-
-
-def test_scan_against_lines(spark):
-    """Every line of the documents that is a known sentence is found, and nothing else."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    known = {licenses.normalised(s): i for i, s in licenses.SENTENCES.items()}
-    license_of = {rule[0]: name for name, rule in reversed(licenses.RULES) if len(rule) == 1}
-    want = {}
-    for r in docs.collect():
-        found = {license_of[known[n]] for n in map(licenses.normalised, (r.text or "").split("\n")) if n in known}
-        want[r.doc_id] = sorted(found)
-    got = {r.doc_id: r.licenses for r in licenses.scan(docs).collect()}
-    assert got == want and sum(map(bool, want.values())) > 5

@@ -48,12 +48,13 @@ def test_odd_documents(spark, odd, none, operator, label):
     assert operator(none, labels).count() == 0
 
 
-def test_labels_of_held_out_documents_are_not_learned_from(spark):
+@pytest.mark.parametrize(("operator", "label"), [(quality.quality, "quality"), (toxicity.toxicity, "toxic")])
+def test_labels_of_held_out_documents_are_not_learned_from(spark, operator, label):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
-    some = docs.where("doc_id < 60")
-    a, b = (quality.quality(some, x).orderBy("doc_id").collect() for x in (labels, turned))
-    assert a == b
+    turned = labels.withColumn(label, F.when(quality.held_out(F.col("doc_id")), 1 - F.col(label)).otherwise(F.col(label)))
+    some = docs.where("doc_id < 200")
+    a, b = ({r.doc_id: r.score for r in operator(some, x).collect()} for x in (labels, turned))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-9) for k in a)
 
 
 def test_keep_good(spark, odd):
@@ -62,14 +63,94 @@ def test_keep_good(spark, odd):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
-def test_isotonic():
-    draw = random.Random(1)
-    bins = [(x / 50, 5, sum(draw.random() < x / 50 for _ in range(5))) for x in range(50)]
+def test_rows_are_judged_by_their_texts(spark):
+    """Every row is judged by its own text: rows without an id, and rows that repeat one."""
+    draw = random.Random(5)
+    good = lambda: " ".join(draw.choice(["the", "house", "of", "many", "rooms", "is", "open"]) for _ in range(40)) + "."
+    bad = lambda: " ".join(draw.choice(["$$", "||", "#1!", "CLICK", "9999"]) for _ in range(40))
+    rows = [(i, good() if i % 2 else bad()) for i in range(400)] + [(None, bad()), (None, good()), (1, bad()), (0, good())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2, 400)], "doc_id long, quality int")
+    kept = {(r.doc_id, r.text) for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {(i, t) for i, t in rows if "house" in t or "rooms" in t or "the" in t}
+
+
+def least_squares_rising(y, w):
+    """The best rising fit by the min-max formula, in quadratic time: max over starts of min over ends of weighted means."""
+    n = len(y)
+    mean = lambda i, j: sum(w[k] * y[k] for k in range(i, j + 1)) / sum(w[i : j + 1])
+    return [max(min(mean(i, j) for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_isotonic_by_brute_force(seed):
+    draw = random.Random(seed)
+    bins = [(x / 30, n, sum(draw.random() < x / 30 for _ in range(n))) for x in range(30) for n in [draw.randrange(1, 9)]]
     places, levels = quality.pooled(bins)
     assert (np.diff(levels) > 0).all() and (np.diff(places) > 0).all()
-    # pooling is the least-squares fit among rising ones: no single shift of a level does better
-    fit = np.interp([b[0] for b in bins], places, levels)
-    assert abs(sum(b[1] * f for b, f in zip(bins, fit, strict=True)) - sum(b[2] for b in bins)) < 12
+    want = least_squares_rising([b[2] / b[1] for b in bins], [b[1] for b in bins])
+    pools = sorted(set(np.round(want, 12)))
+    assert np.allclose(levels, pools)
+    for level, place in zip(levels, places, strict=True):  # a pool stands at the mean place of its documents
+        own = [b for b, v in zip(bins, want, strict=True) if abs(v - level) < 1e-9]
+        assert place == pytest.approx(sum(b[0] * b[1] for b in own) / sum(b[1] for b in own))
+
+
+def test_ridge_by_a_dense_solve(spark):
+    """Weights, calibration and scores against one dense system over all fitted documents."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality.document_statistics(docs)
+    model = quality.fit(stats, labels)
+    fold = labels.where("quality IS NOT NULL").select("doc_id", "quality", (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(4)) == 0).alias("c"))
+    rows = stats.join(fold, "doc_id").orderBy("doc_id").collect()
+    x, y = np.array([r.stats for r in rows if not r.c]), np.array([r.quality for r in rows if not r.c], float)
+    mean, scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+    z = quality.fourier(x, mean, scale, 0)
+    penalty = quality.RIDGE * len(x) * np.diag(np.r_[1e-6, np.ones(quality.FEATURES)]) / quality.FEATURES
+    want = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+    held = np.array([r.stats for r in rows if r.c])
+    bins = {}
+    for v, r in zip(model.raw(held), [r for r in rows if r.c], strict=True):
+        k = int(np.floor((max(min(v, 1.4999), -0.5) + 0.5) * quality.BINS / 2))
+        n, total = bins.get(k, (0, 0))
+        bins[k] = (n + 1, total + r.quality)
+    places, levels = quality.pooled([((k + 0.5) / (quality.BINS / 2) - 0.5, *bins[k]) for k in sorted(bins)])
+    assert np.allclose(model.knots, places) and np.allclose(model.levels, levels)
+
+
+def test_noisy_or_gradient_by_finite_differences():
+    draw = np.random.RandomState(3)
+    docs, terms = 30, 7
+    toxic, plain = draw.rand(docs) < 0.4, draw.randint(0, 4, docs)
+    each = [(d, s, t) for d in range(docs) for s in range(draw.randint(0, 4)) for t in draw.choice(terms, draw.randint(1, 4), replace=False)]
+    plain[[d for d in range(docs) if not any(e[0] == d for e in each)]] += 1
+    doc, sentence, term = np.array(each).T
+    at = np.r_[draw.normal(size=terms), -1.5]
+
+    def by_hand(v):
+        total = 0.0
+        for d in range(docs):
+            clean = (1 / (1 + np.exp(v[-1]))) ** plain[d]
+            for s in {e[1] for e in each if e[0] == d}:
+                clean *= 1 / (1 + np.exp(v[-1] + sum(v[t] for a, b, t in each if (a, b) == (d, s))))
+            total -= np.log(1 - clean if toxic[d] else clean)
+        return total
+
+    loss, slope = toxicity.loss_and_slope(at[:-1], at[-1], toxic, plain, doc, sentence, term)
+    assert loss == pytest.approx(by_hand(at))
+    for k in range(terms + 1):
+        step = np.eye(terms + 1)[k] * 1e-5
+        assert slope[k] == pytest.approx((by_hand(at + step) - by_hand(at - step)) / 2e-5, abs=1e-6)
+
+
+def test_the_sample_is_bounded(spark):
+    """A fit takes as many labelled documents as its bound says, those of the smallest hashes, however many there are."""
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    labels = docs.select("doc_id", F.lit(0).alias("toxic"))
+    taken = toxicity._sample(docs.withColumn("text", F.col("doc_id").cast("string")), labels, "doc_id", "text", "toxic", 300)
+    want = docs.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(300)
+    assert {r.text for r in taken.collect()} == {str(r.doc_id) for r in want.collect()}
 
 
 def test_fourier_features_approximate_the_kernel():

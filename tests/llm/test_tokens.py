@@ -33,9 +33,13 @@ def test_counts_equal_the_library():
 def test_every_prefix():
     library = Tokenizer.from_file(PATH)
     count = tokens.PrefixCounter(PATH)
-    for t in ["Hello wonderful world", "unbelievable  antidisestablishmentarianism x", "don't 42!! naïve"]:
+    draw = random.Random(4)
+    odd_runs = ["".join(draw.choice([*PIECES, "<|endof", "e\u0301", "\u0301", "\xa0", "'re", "'r", "\u03a3", "한국"]) for _ in range(draw.randrange(1, 6))) for _ in range(300)]
+    for t in ["Hello wonderful world", "unbelievable  antidisestablishmentarianism x", "don't 42!! naïve", *odd_runs]:
         want = [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
-        assert count.every_prefix(t).tolist() == want
+        assert count.every_prefix(t).tolist() == want, repr(t)
+        for limit in (0, 1, 3):
+            assert count.fit(t.encode(), count.counts(t.encode()), limit) == max(k for k, n in enumerate(want) if n <= limit), repr(t)
 
 
 def test_token_counts(odd, none):
@@ -44,17 +48,24 @@ def test_token_counts(odd, none):
     out = tokens.token_counts(odd, PATH, 100).collect()
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in out) == want
     for r in out:
-        text = dict((i or 0, t or "") for i, t in ODD)[r.doc_id or 0].encode()
-        if len(text) < 100_000:
-            assert len(library.encode(text[: r.fit_bytes].decode(), add_special_tokens=False).ids) <= 100
+        text = dict((i or 0, t or "") for i, t in ODD)[r.doc_id or 0]
+        assert len(library.encode(text[: r.fit_chars], add_special_tokens=False).ids) <= 100
+        assert r.fit_chars == len(text) or len(library.encode(text[: r.fit_chars + 1], add_special_tokens=False).ids) > 100
     assert tokens.token_counts(none, PATH).count() == 0
 
 
 def test_budgets_from_the_table(spark):
-    docs = spark.createDataFrame([(1, "one two three four"), (2, None)], "doc_id long, text string")
-    table = tokens.prefix_table(docs, PATH).cache()
-    assert {r.doc_id: r.tokens for r in tokens.tokens_before(table, 7).collect()} == {1: 2, 2: 0}
-    assert {r.doc_id: r.fit_bytes for r in tokens.longest_within(table, 3).collect()} == {1: 13, 2: 0}
+    library = Tokenizer.from_file(PATH)
+    rows = [(1, "one two three four"), (2, None), (3, "x" * 5000), (4, "日本語" * 50)]
+    table = tokens.prefix_table(spark.createDataFrame(rows, "doc_id long, text string"), PATH).cache()
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    texts_ = {i: t or "" for i, t in rows}
+    for chars in (0, 2, 9, 200):
+        assert {r.doc_id: r.tokens for r in tokens.tokens_of(table, chars).collect()} == {i: count(t[:chars]) for i, t in texts_.items()}
+    for budget in (0, 3, 40):
+        for r in tokens.longest_within(table, budget).collect():
+            t = texts_[r.doc_id]
+            assert count(t[: r.fit_chars]) <= budget and all(count(t[:k]) > budget for k in range(r.fit_chars + 1, min(len(t), r.fit_chars + 20) + 1))
 
 
 def check_packing(rows, out, capacity):
