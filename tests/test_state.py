@@ -211,3 +211,14 @@ def test_offers_without_names_take_the_fit_over_all(spark):
     offers = spark.createDataFrame([(p, g, 3600.0, 1, 0, 0.0, i) for p, g, i in rows], "provider string, gpu string, rate_usd_hr double, granularity_s int, minimum_s int, fees_usd double, ordinal int")
     out = {r.ordinal: (r.setup_samples, r.expected_usd) for r in costs.quotes(offers, obs, 10.0).collect()}
     assert out == {0: (3, 12.0), 1: (3, 12.0), 2: (3, 12.0), 3: (3, 12.0), 4: (0, 310.0)}
+
+
+def test_unknown_names_are_errors(spark):
+    table = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    profiles = table("name string, env string, container string, vars map<string,string>", ("h", "e", "c", {"a": "1"}))
+    plans = lambda *asked: config.plans(table("host string, env string, container string", asked), profiles, table("name string", ("e",)), table("name string, image string", ("c", "i"))).collect()
+    assert [(r.host, r.env, r.container, r.image, r.vars) for r in plans("h", "", "")] == [("h", "e", "c", "i", {"a": "1"})]
+    assert [(r.container, r.image) for r in plans("h", "", "none")] == [(None, None)]
+    for asked, word in ((("x", "", ""), "no host x"), (("h", "y", ""), "no environment y"), (("h", "", "z"), "no container z")):
+        with pytest.raises(PySparkException, match=word):
+            plans(*asked)
