@@ -1,10 +1,10 @@
 """Document fingerprints: one-permutation MinHash with optimal densification and packed low-order bits.
 
-Only DataFrame functions. Words are hashed once, shingles of five words hash their words' hashes, and the
-high bits of a shingle's hash name its bin; sorting a document's hashes puts each bin's minimum first.
-An empty bin takes the minimum of the first filled bin in its own fixed random order of bins, the same order
-in every document, as optimal densification asks. Four low-order bits of each bin, mixed with the bin's
-number, make one hexadecimal digit.
+Only DataFrame functions. Words are hashed once, shingles of five words hash their words' hashes, and the high bits of a
+shingle's hash name its bin; sorting a document's hashes puts each bin's minimum first. Which bins are filled is kept as a
+bitmap of two numbers, so that a bin's minimum is found by counting bits. An empty bin takes the minimum of the first filled
+bin in its own fixed random order of bins, the same order in every document, as optimal densification asks. Four low-order
+bits of each bin's minimum, mixed with the bin's number, are packed into eight numbers; two fingerprints are compared by XOR and a population count.
 """
 
 from __future__ import annotations
@@ -14,15 +14,19 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, WORD, cut, text_of
+from quillon.llm.common import SPACE, cut, row_key, text_of
 
 SHINGLE = 5
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 LOW_BITS = 4
+#: Bins in one packed number, and packed numbers of a fingerprint.
+PER_WORD = 64 // LOW_BITS
+PACKED = BINS // PER_WORD
 #: Bins that are tried one by one before the whole order of an empty bin is searched.
 TRIES = 6
-DIGITS = "0123456789abcdef"
+#: Rows of a range of ids, about.
+RANGE = 50_000
 
 
 def _orders() -> list[list[int]]:
@@ -34,127 +38,147 @@ def _orders() -> list[list[int]]:
 ORDERS = _orders()
 
 
-def _tables() -> tuple[Column, Column]:
-    """The first tries of each bin, one after the other, and the whole orders."""
-    tries = F.from_json(F.lit(str([j + 1 for o in ORDERS for j in o[:TRIES]])), "array<int>")
-    orders = F.from_json(F.lit(str([[j + 1 for j in o] for o in ORDERS])), "array<array<int>>")
-    return tries, orders
+def _table(numbers: object, kind: str) -> Column:
+    return F.from_json(F.lit(str(numbers)), kind)
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the fingerprint of a text column (not null): BINS hexadecimal digits.
+    """Adds the packed fingerprint of a text column (not null): PACKED numbers with LOW_BITS for each of BINS bins.
 
-    Words are runs of anything but ASCII white space, lower-cased. A text of fewer than five words is one
-    shingle, the empty text among them. Each step is a column of its own, so that it is computed once.
+    Words are runs of anything but ASCII white space, lower-cased. A text of fewer than five words is one shingle, the
+    empty text among them. Each step is a column of its own, so that it is computed once.
     """
-    words, hashes, shingles, minima, bins, filled = (f"_{out}_{x}" for x in ("words", "hashes", "shingles", "minima", "bins", "filled"))
+    words, hashes, shingles, minima, low, high, filled = (f"_{out}_{x}" for x in ("words", "hashes", "shingles", "minima", "low", "high", "filled"))
     kept = df.columns
-    step = df.withColumn(words, F.split(F.lower(F.trim(F.regexp_replace(F.col(text), SPACE, " "))), " "))
+    step = df.withColumn(words, F.split(F.lower(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r"))), SPACE))
     step = step.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
     last = F.greatest(F.size(hashes) - (SHINGLE - 1), F.lit(1))
     step = step.withColumn(
         shingles, F.sort_array(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(F.col(hashes), i, F.lit(SHINGLE)))))
     )
-    top = lambda h: F.shiftrightunsigned(h, 64 - BIN_BITS)
+    bin_of = lambda h: F.shiftright(h, 64 - BIN_BITS).cast("int") + BINS // 2  # noqa: E731 - in the order of the hashes
     step = step.withColumn(
-        minima, F.filter(shingles, lambda h, i: (i == 0) | (top(h) != top(F.get(F.col(shingles), i - 1))))
+        minima, F.filter(shingles, lambda h, i: (i == 0) | (F.shiftright(h, 64 - BIN_BITS) != F.shiftright(F.get(F.col(shingles), i - 1), 64 - BIN_BITS)))
     )
-    step = step.withColumn(bins, F.transform(minima, lambda h: top(h).cast("int")))
-    own = lambda i: F.get(F.col(minima), (F.array_position(F.col(bins), i.cast("int")) - 1).cast("int"))
+    bits = lambda of: F.aggregate(minima, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(of(bin_of(h))))
+    step = step.withColumn(low, bits(lambda b: F.when(b < 64, _bit(b)).otherwise(F.lit(0).cast("long"))))
+    step = step.withColumn(high, bits(lambda b: F.when(b >= 64, _bit(b - 64)).otherwise(F.lit(0).cast("long"))))
+
+    def own(i: Column) -> Column:
+        """The minimum of a bin, null if it is empty: minima come in the order of bins, so counting filled bins finds it."""
+        half = F.when(i < 64, F.col(low)).otherwise(F.col(high))
+        bit, below = _bit(i % 64), F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), i % 64))
+        before = F.bit_count(half.bitwiseAND(below)) + F.when(i < 64, 0).otherwise(F.bit_count(F.col(low)))
+        return F.when(half.bitwiseAND(bit) != 0, F.get(F.col(minima), before))
+
     step = step.withColumn(filled, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), own))
-    tries, orders = _tables()
-    at = lambda k: F.get(F.col(filled), k - 1)
+    tries = _table([j for o in ORDERS for j in o[:TRIES]], "array<int>")
+    orders = _table(ORDERS, "array<array<int>>")
+    at = lambda j: F.get(F.col(filled), j)
 
-    def value(v: Column, i: Column) -> Column:
+    def value(i: Column) -> Column:
         first = [at(F.get(tries, i * TRIES + k)) for k in range(TRIES)]
-        rest = F.get(F.filter(F.transform(F.get(orders, i), lambda j: at(j)), lambda x: x.isNotNull()), F.lit(0))
-        return F.coalesce(v, *first, rest)
+        rest = F.get(F.filter(F.transform(F.get(orders, i), at), lambda x: x.isNotNull()), F.lit(0))
+        return F.coalesce(at(i), *first, rest)
+
+    mask = (1 << LOW_BITS) - 1
+    pack = lambda w: F.aggregate(
+        F.sequence(w * PER_WORD, w * PER_WORD + (PER_WORD - 1)), F.lit(0).cast("long"),
+        lambda acc, i: F.shiftleft(acc, LOW_BITS).bitwiseOR(F.xxhash64(value(i), i).bitwiseAND(F.lit(mask).cast("long"))),
+    )
+    return step.select(*kept, F.transform(F.sequence(F.lit(0), F.lit(PACKED - 1)), pack).alias(out))
+
 
-    digit = lambda v, i: F.substring(F.lit(DIGITS), (F.xxhash64(value(v, i), i) % (1 << LOW_BITS)).cast("int").bitwiseAND((1 << LOW_BITS) - 1) + 1, 1)
-    return step.select(*kept, F.array_join(F.transform(filled, digit), "").alias(out))
+def as_text(packed: Column) -> Column:
+    """A packed fingerprint as BINS hexadecimal digits."""
+    return F.concat(*[F.lpad(F.hex(F.get(packed, F.lit(k))), 16, "0") for k in range(PACKED)])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two fingerprints, with the chance agreement of low bits taken out; 0 to 1."""
-    same = F.size(F.filter(F.sequence(F.lit(1), F.lit(BINS)), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))))
+    """Estimated Jaccard similarity of two packed fingerprints, with the chance agreement of low bits taken out; 0 to 1."""
+    ones = F.lit(sum(1 << (LOW_BITS * k) for k in range(PER_WORD)))
+    differing = F.lit(0)
+    for k in range(PACKED):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        any_bit = x
+        for shift in range(1, LOW_BITS):
+            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, shift))
+        differing = differing + F.bit_count(any_bit.bitwiseAND(ones))
     chance = 1.0 / (1 << LOW_BITS)
-    return F.greatest(F.lit(0.0), (same / float(BINS) - chance) / (1.0 - chance))
+    return F.greatest(F.lit(0.0), ((BINS - differing) / float(BINS) - chance) / (1.0 - chance))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_chars (code points), fingerprint for each row; a null text counts as empty."""
+    """id, n_chars (code points), fingerprint (as text) for each row; a null text counts as empty."""
     slim = docs.select(docs[id_col].alias(id_col), text_of(docs, text_col).alias("_text"))
-    slim = slim.withColumn("n_chars", F.char_length("_text").cast("long"))
-    return with_fingerprint(slim, "_text", "fingerprint").select(id_col, "n_chars", "fingerprint")
-
+    slim = with_fingerprint(slim.withColumn("n_chars", F.char_length("_text").cast("long")), "_text", "_packed")
+    return slim.select(id_col, "n_chars", as_text(F.col("_packed")).alias("fingerprint"))
 
-def one_row_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, _text of rows that have an id; of rows that repeat one, the greatest by (length, fingerprint, text)."""
-    texts = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias(id_col), text_of(docs, text_col).alias("_text"))
-    repeated = texts.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(id_col)
-    if repeated.isEmpty():
-        return texts
-    rows = with_fingerprint(texts.join(repeated, id_col, "left_semi"), "_text", "_fingerprint")
-    best = rows.groupBy(id_col).agg(F.max(F.struct(F.char_length("_text"), "_fingerprint", "_text"))["_text"].alias("_text"))
-    return texts.join(repeated, id_col, "left_anti").unionByName(best)
 
-
-def in_order(slim: DataFrame, id_col: str) -> DataFrame:
-    """Adds next_id, next_fingerprint, previous_id, previous_chars in descending order of ids, as a ring.
+def in_order(rows: DataFrame) -> DataFrame:
+    """Adds next (a struct h1, h2, copy, packed, id) and previous (h1, h2, copy, n_chars) to rows of (id, h1, h2, copy, n_chars,
+    packed), in descending order of ids, null ones last, as a ring.
 
     Ranges of ids are sorted on their own; the ends of the ranges, one row for each, tell what follows a range.
     """
-    ranges = cut(slim.repartitionByRange(F.col(id_col)).withColumn("_range", F.spark_partition_id()))
-    inside = Window.partitionBy("_range").orderBy(F.col(id_col).desc())
-    row = F.struct(F.col(id_col).alias("id"), F.col("n_chars"), F.col("fingerprint"))
-    ends = ranges.groupBy("_range").agg(F.max(row).alias("top"), F.min(row).alias("bottom"))
-    down = Window.orderBy(F.col("_range").desc())
-    ring = Window.partitionBy()
+    order = [F.col("id").desc_nulls_last(), F.col("h1").desc(), F.col("h2").desc(), F.col("copy").desc()]
+    count = max(1, -(-rows.count() // RANGE))
+    ranges = cut(rows.repartitionByRange(count, *order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    next_ = F.struct("h1", "h2", "copy", "packed", "id")
+    previous = F.struct("h1", "h2", "copy", "n_chars")
+    place = F.struct(F.col("id").isNotNull().alias("p"), "id", "h1", "h2", "copy")
+    ends = ranges.groupBy("_range").agg(F.max_by(next_, place).alias("top"), F.min_by(previous, place).alias("bottom"))
+    down, ring = Window.orderBy("_range"), Window.partitionBy()  # over one row for each range
     ends = ends.select(
         F.col("_range").alias("_r"),
-        F.coalesce(F.lead("top").over(down), F.max("top").over(ring)).alias("_next"),
-        F.coalesce(F.lag("bottom").over(down), F.min("bottom").over(ring)).alias("_previous"),
+        F.coalesce(F.lead("top").over(down), F.min_by("top", "_range").over(ring)).alias("_next"),
+        F.coalesce(F.lag("bottom").over(down), F.max_by("bottom", "_range").over(ring)).alias("_previous"),
     )
-    pick = lambda f, c, end: F.coalesce(f(c).over(inside), F.col(end))
-    return (
-        ranges.join(ends, F.col("_range") == F.col("_r"))
-        .select(
-            id_col, "n_chars", "fingerprint",
-            pick(F.lead, id_col, "_next.id").alias("next_id"),
-            pick(F.lead, "fingerprint", "_next.fingerprint").alias("next_fingerprint"),
-            pick(F.lag, id_col, "_previous.id").alias("previous_id"),
-            pick(F.lag, "n_chars", "_previous.n_chars").alias("previous_chars"),
-        )
+    met = ranges.join(ends, F.col("_range") == F.col("_r"))
+    return met.select(
+        "id", "h1", "h2", "copy", "n_chars", "packed",
+        F.coalesce(F.lead(next_).over(inside), F.col("_next")).alias("next"),
+        F.coalesce(F.lag(previous).over(inside), F.col("_previous")).alias("previous"),
     )
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id.
+    """For each row of docs: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id.
 
-    The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the
-    next document, descending by id; after the last comes the first. Null texts count as empty. Ids name
-    documents: rows with a null id are left out, and of rows that repeat an id the one with the greatest
-    (n_chars, fingerprint) counts, with the greatest text where these are equal. A single document is its
-    own next. An empty table gives no rows.
+    The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next row,
+    descending by id; after the last comes the first. Null texts count as empty. Null ids come after all others, and rows
+    that repeat an id follow each other in an order that their ids and texts fix, equal ones among them. A single row is
+    its own next. An empty table gives no rows.
     """
-    texts = one_row_each(docs, id_col, text_col)
-    # ids are unique by now; the aggregate's shuffle is what ranges are sampled from, so fingerprints are made once
-    every = fingerprints(texts, id_col, "_text").groupBy(id_col).agg(F.max(F.struct("n_chars", "fingerprint")).alias("_one"))
-    places = cut(in_order(every.select(id_col, "_one.*"), id_col))
-
-    half = lambda n: F.floor(F.col(n) / 2).cast("int")
-    left = texts.join(places.select(id_col, "n_chars", "fingerprint", "next_id", "next_fingerprint"), id_col)
-    left = left.select(
-        id_col, "n_chars", "fingerprint", "next_id", "next_fingerprint",
-        F.substring(F.col("_text"), F.lit(1), F.col("n_chars").cast("int") - half("n_chars")).alias("_head"),
-    )
-    right = texts.join(places.select(id_col, "previous_id", "previous_chars"), id_col)
-    right = right.select(F.col("previous_id").alias(id_col), F.substring(F.col("_text"), F.lit(1), half("previous_chars")).alias("_tail"))
-    edited = left.join(right, id_col).withColumn("_edited", F.concat("_head", "_tail"))
-    edited = with_fingerprint(edited, "_edited", "edited_fingerprint")
+    texts = docs.select(docs[id_col].alias("id"), *row_key(docs, id_col, text_col), text_of(docs, text_col).alias("text"))
+    prints = with_fingerprint(texts.withColumn("n_chars", F.char_length("text").cast("long")), "text", "packed")
+    prints = cut(prints.select("id", "h1", "h2", "n_chars", "packed"))  # made once, though ranges are sampled before they are dealt
+    repeats = cut(prints.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = prints.withColumn("copy", F.lit(1).cast("long"))
+    by_key = texts.select("h1", "h2", "text")
+    if not repeats.isEmpty():  # rows that repeat both the id and the text are told apart by a number
+        once = prints.join(repeats.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.any_value(F.struct(*prints.columns)).alias("r"))
+        copies = once.join(repeats, ["h1", "h2"]).select("r.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+        rows = rows.join(repeats.select("h1", "h2"), ["h1", "h2"], "left_anti").unionByName(copies)
+        by_key = by_key.dropDuplicates(["h1", "h2"])
+    places = cut(in_order(rows))
+
+    half = lambda n: F.floor(n / 2).cast("int")
+    left = by_key.join(places.drop("previous"), ["h1", "h2"])
+    left = left.withColumn("head", F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half(F.col("n_chars")))).drop("text")
+    right = by_key.join(places.select("h1", "h2", "previous"), ["h1", "h2"])
+    right = right.select("previous.h1", "previous.h2", "previous.copy", F.substring(F.col("text"), F.lit(1), half(F.col("previous.n_chars"))).alias("tail"))
+    edited = left.join(right, ["h1", "h2", "copy"]).withColumn("edited", F.concat("head", "tail")).drop("head", "tail")
+    edited = with_fingerprint(edited, "edited", "edited_packed")
     return edited.select(
-        id_col, "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-        "next_id",
+        F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("packed")).alias("fingerprint"), as_text(F.col("edited_packed")).alias("edited_fingerprint"),
+        likeness(F.col("packed"), F.col("edited_packed")).alias("near_edited"),
+        likeness(F.col("packed"), F.col("next.packed")).alias("near_next"),
+        F.col("next.id").alias("next_id"),
     )
