@@ -5,9 +5,11 @@
 2. Each task writes archives of its own, one gzip member per record, into a folder that all machines see, and
    returns a sorted run of index entries: URL key, timestamp, place in the archive. A task that is tried again
    writes new files; entries only ever come from the try that ended, so its files are the ones that are read.
-3. Runs are dealt out by ranges of (URL key, timestamp, id). In each range, a loser tree merges the slices of
-   all runs. Ranges follow each other, so the result is one globally ordered capture history. A URL with a third
-   of all captures falls into as many ranges as it needs, since ids part its captures.
+3. Runs are dealt out by ranges of (URL key, timestamp, id, place in the archives), as many as the number of entries
+   asks for. In each range, a loser tree merges the slices of all runs. What is more than a buffer holds is merged into
+   larger runs, kept in files beside the archives, which are read back in pieces; so a task holds a buffer and one piece
+   of each run, whatever its range holds. Ranges follow each other, so the result is one globally ordered capture
+   history. A URL with a third of all captures falls into as many ranges as it needs, since ids and places part them.
 4. Archives are read back along the index, in stretches of one archive each.
 """
 
@@ -18,6 +20,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
@@ -35,8 +38,10 @@ RUN, ARCHIVE, STRETCH = 100_000, 1 << 30, 8 << 20
 CHUNK = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
-INDEX = "url_key string, timestamp string, id string, record_type string, payload_digest string, archive string, offset long, length long, run string"
-_ORDER = ["url_key", "timestamp", "id"]
+#: Index entries of a range, about; entries that a merge holds at once; runs that it merges at once; entries of a batch.
+RANGE, BUFFER, FAN_IN, PIECE = 250_000, 500_000, 64, 4_096
+INDEX = "url_key string, timestamp string, id string, archive string, offset long, length long, record_type string, payload_digest string"
+_ORDER = ["url_key", "timestamp", "id", "archive", "offset"]
 
 
 def store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -130,6 +135,24 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     return base.withColumn("_sha256", key).join(groups, "_sha256", "left").drop("_sha256")
 
 
+_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+_SCHEMA = pa.schema([(n, _KINDS[k]) for n, k in (c.split() for c in INDEX.split(", "))])
+
+
+def _batch(entries: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(zip(*entries, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+def _tuples(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _pieces(entries: Iterator[tuple], size: int) -> Iterator[pa.RecordBatch]:
+    while piece := list(islice(entries, size)):
+        yield _batch(piece)
+
+
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     """Writes captures() into archives in folder and returns their index, in sorted runs."""
     files, path = store(folder)
@@ -138,16 +161,12 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = store(folder)
-        out, name, offset, entries, number = None, "", 0, [], 0
+        out, name, offset, entries = None, "", 0, []
 
         def sorted_run() -> pa.RecordBatch:
-            nonlocal entries, number
-            entries.sort()
-            arrays = list(zip(*entries, strict=True)) + [[f"{name}-{number}"] * len(entries)]
-            entries, number = [], number + 1
-            kinds = [pa.string()] * 6 + [pa.int64()] * 2 + [pa.string()]
-            columns = [pa.array(a, k) for a, k in zip(arrays, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in INDEX.split(", ")])
+            nonlocal entries
+            batch, entries = _batch(sorted(entries)), []
+            return batch
 
         try:
             for batch in batches:
@@ -161,7 +180,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                     data = pack.compress(record(key, url, date, payload.encode(), digest, keep, revisit)) + pack.flush()
                     out.write(data)
                     stamp = "".join(x for x in date if x.isdigit())
-                    entries.append((url_key(url), stamp, key or "", "revisit" if revisit else "response", digest, name, offset, len(data)))
+                    entries.append((url_key(url), stamp, key or "", name, offset, len(data), "revisit" if revisit else "response", digest))
                     offset += len(data)
                     if len(entries) >= RUN:
                         yield sorted_run()
@@ -200,27 +219,79 @@ def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
         losers[0] = winner
 
 
-def merge_index(runs: DataFrame) -> DataFrame:
-    """One capture history from sorted runs: rows ordered by url_key, timestamp, id, within and across partitions."""
-    names = [c for c in runs.columns if c != "run"]
+class Merge:
+    """Merges entries that come in sorted stretches, with a bounded memory: what is over `buffer` entries goes into sorted
+    files in a folder, and more than `fan_in` of these are merged into one."""
+
+    def __init__(self, folder: str, buffer: int, fan_in: int, piece: int) -> None:
+        self.folder, self.buffer, self.fan_in, self.piece = folder, buffer, fan_in, piece
+        self.held: list[list[tuple]] = []
+        self.count = 0
+        self.files: list[str] = []
+
+    def add(self, entries: Iterator[tuple]) -> None:
+        """Takes entries; a stretch ends where they go down."""
+        last = None
+        for entry in entries:
+            if last is None or entry < last:
+                self.held.append([])
+            self.held[-1].append(entry)
+            last = entry
+            self.count += 1
+            if self.count >= self.buffer:
+                self._spill()
+                last = None
+
+    def _spill(self) -> None:
+        self._write([iter(x) for x in self.held])
+        self.held, self.count = [], 0
+        if len(self.files) >= self.fan_in:
+            before = self.files
+            self.files = []
+            self._write([self._read(name) for name in before])
+            self._delete(before)
+
+    def _write(self, runs: list[Iterator[tuple]]) -> None:
+        files, path = store(self.folder)
+        files.create_dir(path, recursive=True)
+        name = f"{path}/{uuid.uuid4().hex}.run"
+        with files.open_output_stream(name) as out, pa.ipc.new_stream(out, _SCHEMA) as sink:
+            for batch in _pieces(merged(runs), self.piece):
+                sink.write_batch(batch)
+        self.files.append(name)
+
+    def _read(self, name: str) -> Iterator[tuple]:
+        files, _ = store(self.folder)
+        with files.open_input_stream(name) as source, pa.ipc.open_stream(source) as stream:
+            yield from _tuples(stream)
+
+    def _delete(self, names: list[str]) -> None:
+        files, _ = store(self.folder)
+        for name in names:
+            files.delete_file(name)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """All entries in order."""
+        runs = [iter(x) for x in self.held] + [self._read(name) for name in self.files]
+        yield from _pieces(merged(runs), self.piece)
+        self._delete(self.files)
+
+
+def merge_index(runs: DataFrame, folder: str | None = None, ranges: int | None = None, buffer: int = BUFFER, fan_in: int = FAN_IN) -> DataFrame:
+    """One capture history from sorted runs: rows ordered by url_key, timestamp, id, place, within and across partitions.
+
+    folder is where tasks keep what their buffer does not hold; ranges is their number, by default that of the entries.
+    """
+    folder = f"{(folder or new_folder(runs.sparkSession)).rstrip('/')}/runs"
+    ranges = ranges or max(1, -(-runs.count() // RANGE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[tuple]] = {}
-        schema = None
-        for batch in batches:
-            schema = batch.schema
-            for *entry, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                slices.setdefault(name, []).append(tuple(entry))
-        for entries in slices.values():
-            if any(a > b for a, b in zip(entries, entries[1:], strict=False)):  # the shuffle brought a run's stretches in another order
-                entries.sort()
-        ordered = list(merged([iter(x) for x in slices.values()]))
-        if ordered:
-            columns = [pa.array(a, schema.field(n).type) for a, n in zip(zip(*ordered, strict=True), names, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        merge = Merge(folder, buffer, fan_in, PIECE)
+        merge.add(_tuples(batches))
+        yield from merge.batches()
 
-    dealt = runs.repartitionByRange(*_ORDER).select(*names, "run")
-    return map_batches(dealt, run, dealt.drop("run").schema)
+    dealt = runs.select(*_SCHEMA.names).repartitionByRange(ranges, *_ORDER)
+    return map_batches(dealt, run, INDEX)
 
 
 def cdxj(index: DataFrame) -> DataFrame:
@@ -239,8 +310,7 @@ def read_archives(index: DataFrame, folder: str, with_payload: bool = True) -> D
     chunk = F.floor(F.col("offset") / CHUNK)
     dealt = index.select("archive", "offset", "length").repartition(2 * parts, "archive", chunk).sortWithinPartitions("archive", "offset")
     fields = [f for f in RECORD.split(", ") if with_payload or not f.startswith("payload binary")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    names, types = zip(*((n, kinds[k]) for n, k in (f.split() for f in fields)), strict=True)
+    names, types = zip(*((n, _KINDS[k]) for n, k in (f.split() for f in fields)), strict=True)
 
     def stretches(rows: Iterable[tuple[str, int, int]]) -> Iterator[tuple[str, int, list[int]]]:
         """Neighbouring records of one archive: its name, the first offset, their lengths."""
@@ -292,4 +362,4 @@ def archive(
     back as null, and never referred to unless all equal payloads have it. Other columns of pages are not
     looked at. An empty table writes nothing and gives no rows.
     """
-    return merge_index(write_archives(captures(pages, id_col, url_col, payload_col, date_col, least), folder))
+    return merge_index(write_archives(captures(pages, id_col, url_col, payload_col, date_col, least), folder), folder)
