@@ -23,7 +23,7 @@ def decode(lines: DataFrame, text_col: str = "value", last_col: str = "untermina
 def encode(frames: DataFrame) -> DataFrame:
     """One line of JSON per frame as `line`, with its length in bytes, line end included."""
     payload = F.coalesce(F.expr("try_parse_json(payload)"), F.expr("parse_json('{}')"))
-    body = F.to_json(F.struct("schema_version", "job", "kind", "offset", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("at"), payload.alias("payload")))
+    body = F.to_json(F.struct("schema_version", "job", "kind", "offset", F.date_format(F.to_utc_timestamp("at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("at"), payload.alias("payload")))
     return frames.withColumn("line", body).withColumn("encoded_length", F.octet_length("line") + 1)
 
 
