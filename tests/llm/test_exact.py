@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import dedup, mixing
+from quillon.llm import common, dedup, mixing
 
 from .conftest import ODD
 
@@ -162,3 +162,27 @@ def test_weighted_documents_come_first(spark):
     out = mixing.mix(docs, weights=(1, 3), weight_col="w").where("source = 'a'").join(docs, "doc_id").groupBy("w").agg(F.sum(F.when(F.col("taken") > 0, 1).otherwise(0)).alias("n")).collect()
     n = {r.w: r.n for r in out}
     assert n[9.0] > 2 * n[1.0] > 0
+
+
+def test_quality_weights(spark):
+    texts = ["plain words of prose go here", "a b c d e f", "9999 $$$$ #### 1234", "", "x" * 500, "mostly words 1 2"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", mixing.quality_weight(F.col("t"), mixing.word_count(F.col("t"))).alias("w")).collect()
+    w = {r.t: r.w for r in rows}
+    assert w[texts[0]] == 1.0 and w[texts[1]] == 0.25 and w[texts[2]] == 1 / 64 and w[""] == 0.25 and w[texts[4]] == 0.25
+    assert w[texts[5]] == pytest.approx((1 - 4 * 2 / 16) ** 2)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5_000])
+def test_key_filter(spark, n):
+    """Every key passes, few others do, and rows are told apart by id and text whatever the id is."""
+    keys = spark.range(n).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"))
+    maybe, count = common.key_filter(keys)
+    assert count == n and keys.where(~maybe).count() == 0
+    others = spark.range(100_000, 120_000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"))
+    assert others.where(maybe).count() < 0.02 * 20_000
+
+
+def test_rows_are_dropped_by_id_and_text(spark):
+    docs = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (None, "a", 3), (None, None, 4), (2, "", 5), (1, "a", 6)], "doc_id long, text string, n int")
+    gone = docs.where("n IN (1, 4)").select(*common.row_key(docs, "doc_id", "text")).distinct()
+    assert sorted(r.n for r in common.without(docs, common.cut(gone), "doc_id", "text").collect()) == [2, 3, 5]
