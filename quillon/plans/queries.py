@@ -737,6 +737,6 @@ def stream_projection(spark: SparkSession, sf: str) -> DataFrame:
     from quillon.streaming import jobs
 
     folder = scratch(spark)
-    a.frames(spark, sf).write.json(f"{folder}/in")
+    a.frames(spark, sf).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{folder}/in")
     jobs.catch_up(jobs.frame_stream(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint")
     return _micros(jobs.job_states(spark, f"{folder}/out"))
