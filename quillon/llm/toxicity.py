@@ -95,11 +95,36 @@ def bags(text: str) -> list[set[str]]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bound: int) -> DataFrame:
-    """(label, text) of a bounded sample of the labelled documents. Of an id's labels the largest counts."""
-    own = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull()).groupBy(labels[id_col].alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    taken = own.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(bound)
-    taken = cut(taken)  # at most `bound` rows of an id and a label, whatever the corpus: safe to broadcast
-    return docs.join(F.broadcast(taken), docs[id_col] == F.col("_id")).select(F.col("_label").alias("label"), text_of(docs, text_col).alias("text"))
+    """(label, text) of a bounded sample of the labelled documents. Of an id's labels the largest counts.
+
+    The sample is of the smallest hashes of ids. A threshold that `bound` of them lie below, with six standard deviations
+    to spare, leaves little more than the sample to be sorted, however many labels there are.
+    """
+    own = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull()).groupBy(labels[id_col].alias("key")).agg(F.max(label_col).cast("int").alias("label"))
+    own = own.withColumn("place", F.xxhash64(F.col("key").cast("string")))
+    share = (bound + 6 * math.sqrt(bound) + 50) / max(1, own.count())
+    if share < 1:
+        own = own.where(F.col("place") < int(-(2**63) + share * 2**64))
+    taken = cut(own.orderBy("place", "key").limit(bound))  # at most `bound` rows of an id and a label, whatever the corpus: safe to broadcast
+    texts = docs.select(docs[id_col].alias("key"), text_of(docs, text_col).alias("text"))
+    return texts.join(F.broadcast(taken), "key").select("label", "text")
+
+
+def loss_and_slope(weights: np.ndarray, bias: float, toxic: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.ndarray, term: np.ndarray) -> tuple[float, np.ndarray]:
+    """The noisy-or's loss, -log P(label) summed over documents, and its slope by weights and (last) bias.
+
+    toxic and plain (sentences without terms) have an entry per document; doc, sentence and term have one for each term
+    of each other sentence.
+    """
+    own, place = np.unique(np.c_[doc, sentence], axis=0, return_inverse=True)
+    place = place.reshape(-1)
+    z = bias + np.bincount(place, weights[term], len(own))
+    total = np.bincount(own[:, 0], np.logaddexp(0, z), len(plain)) + plain * np.logaddexp(0, bias)  # -log P(clean)
+    total = np.clip(total, 1e-9, 500.0)
+    loss = np.where(toxic, -np.log(-np.expm1(-total)), total).sum()
+    pull = np.where(toxic, -1 / np.expm1(total), 1.0)  # by total: 1 for a clean document, -P(clean) / P(toxic) for a toxic one
+    slope = pull[own[:, 0]] / (1 + np.exp(-z))
+    return float(loss), np.r_[np.bincount(term, slope[place], len(weights)), slope.sum() + (pull * plain).sum() / (1 + np.exp(-bias))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = FIT) -> Model:
@@ -162,18 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(len(weights) + 1)
             for batch in batches:
-                toxic, plain = batch.column("label").to_numpy() == 1, batch.column("plain").to_numpy()
-                lists, ids = batch.column("sentences"), batch.column("ids").flatten().to_numpy()
-                doc = np.repeat(np.arange(len(plain)), np.diff(lists.offsets.to_numpy()))
-                own, sentence = np.unique(np.c_[doc, lists.flatten().to_numpy()], axis=0, return_inverse=True)
-                sentence = sentence.reshape(-1)
-                z = bias + np.bincount(sentence, weights[ids], len(own))
-                total = np.bincount(own[:, 0], np.logaddexp(0, z), len(plain)) + plain * np.logaddexp(0, bias)  # -log P(clean)
-                # d loss / d total: 1 for a clean document, -P(clean) / P(toxic) for a toxic one
-                pull = np.where(toxic, -1 / np.expm1(np.clip(total, 1e-9, 500.0)), 1.0)
-                slope = pull[own[:, 0]] / (1 + np.exp(-z))
-                out[:-1] += np.bincount(ids, slope[sentence], len(weights))
-                out[-1] += slope.sum() + (pull * plain).sum() / (1 + np.exp(-bias))
+                lists = batch.column("sentences")
+                doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                out += loss_and_slope(weights, bias, batch.column("label").to_numpy() == 1, batch.column("plain").to_numpy(), doc, lists.flatten().to_numpy(), batch.column("ids").flatten().to_numpy())[1]
             yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["g"])
 
         parts = map_batches(ready, run, "g array<double>").collect()  # PARTS vectors of TERMS + 1 numbers at most
