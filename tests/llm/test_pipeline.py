@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from quillon.llm import queries
+from quillon.llm.common import cut
 
 from .test_similar import by_brute_force, lower
 from .test_tokens import check_packing
@@ -45,6 +46,20 @@ def test_stages(spark, tmp_path):
             assert docs.where("piece = 0").count() == len(ids)
 
 
+@pytest.mark.parametrize("ids", ["odd", "lettered"])
+def test_stages_of_odd_documents(spark, request, ids):
+    """Null, repeated and text ids, clashing names, and empty and long texts go through every stage."""
+    docs = request.getfixturevalue(ids)
+    for name, stage in corpus_pipeline.STAGES:
+        out = cut(stage(spark, docs, SF))
+        assert out.count() > 0 and stage(spark, docs.where("false"), SF).count() == 0
+        if name == "pack":
+            assert out.where("piece = 0").count() == docs.count()
+        else:
+            assert out.columns == docs.columns
+        docs = out
+
+
 def test_run(spark):
     assert entry.queries()["pipeline"](spark, SF).count() > 0
 
