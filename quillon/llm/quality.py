@@ -155,8 +155,9 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     Null ids and labels are left out; of an id's labels the smallest counts. Three quarters of the labelled
     documents, told apart by a digest of the id, fit the ridge regression, and the rest calibrate it.
     """
-    own = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull()).groupBy(labels[id_col].alias(id_col)).agg(F.min(label_col).cast("double").alias("_label"))
-    known = stats.join(own, id_col).select("_label", "stats", (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("fold")), F.lit(4)) == 0).alias("_calibrates"))
+    own = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull()).groupBy(labels[id_col].cast("string").alias("_key")).agg(F.min(label_col).cast("double").alias("_label"))
+    keyed = stats.select(stats[id_col].cast("string").alias("_key"), "stats")  # ids meet as text, whatever their types
+    known = keyed.join(own, "_key").select("_label", "stats", (F.pmod(F.xxhash64("_key", F.lit("fold")), F.lit(4)) == 0).alias("_calibrates"))
     known = cut(known)
     fitted = known.where("NOT _calibrates")
     d = len(NAMES)

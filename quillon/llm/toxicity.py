@@ -100,13 +100,13 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     The sample is of the smallest hashes of ids. A threshold that `bound` of them lie below, with six standard deviations
     to spare, leaves little more than the sample to be sorted, however many labels there are.
     """
-    own = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull()).groupBy(labels[id_col].alias("key")).agg(F.max(label_col).cast("int").alias("label"))
-    own = own.withColumn("place", F.xxhash64(F.col("key").cast("string")))
+    own = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull()).groupBy(labels[id_col].cast("string").alias("key")).agg(F.max(label_col).cast("int").alias("label"))
+    own = own.withColumn("place", F.xxhash64("key"))  # ids meet as text, whatever their types
     share = (bound + 6 * math.sqrt(bound) + 50) / max(1, own.count())
     if share < 1:
         own = own.where(F.col("place") < int(-(2**63) + share * 2**64))
     taken = cut(own.orderBy("place", "key").limit(bound))  # at most `bound` rows of an id and a label, whatever the corpus: safe to broadcast
-    texts = docs.select(docs[id_col].alias("key"), text_of(docs, text_col).alias("text"))
+    texts = docs.select(docs[id_col].cast("string").alias("key"), text_of(docs, text_col).alias("text"))
     return texts.join(F.broadcast(taken), "key").select("label", "text")
 
 
