@@ -124,7 +124,7 @@ def key_filter(keys: DataFrame) -> tuple[Column, int]:
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs whose key (row_key) is not among gone (h1, h2: distinct, cut). Rows that cannot be among them by
-    the filter stay where they are; only the others are moved and joined."""
+    the filter stay where they are; only the others are moved and joined. docs is read twice and has to give the same rows."""
     rows = with_key(docs, id_col, text_col)
     maybe, count = key_filter(gone)
     if not count:

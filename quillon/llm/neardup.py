@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import UPPER, cut, keep_one, key_filter, map_batches, row_key, text_of, whole_groups
@@ -34,8 +34,11 @@ ROWS, BANDS = 4, 32
 SKETCH_BITS = 512
 #: How far below the threshold an estimate may be for a pair to be looked at: six standard errors (0.04 each at 0.8).
 MARGIN = 0.25
-#: Members of a bucket or cluster that one block has at most, about, and shingles of their sets.
-BLOCK, BLOCK_SHINGLES = 20_000, 2 << 20
+#: Members that a block of a bucket has at most, about, or STEP times the root of the bucket's members if that is more: so
+#: neither blocks nor the number of blocks that a member is in grow faster than the root. The same for clusters, whose
+#: members are sets, and the shingles that a block of sets has at most.
+BLOCK, STEP = 500, 10
+SET_BLOCK, SET_STEP, BLOCK_SHINGLES = 2_000, 20, 2 << 20
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _IS_SPACE = np.zeros(256, bool)
@@ -187,6 +190,11 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return map_batches(rows.select("key", "parts", "id", "text"), run, "key long, parts long, id long, set binary")
 
 
+def parts_of(members: Column, block: int, step: int) -> Column:
+    """The number of parts that a group of so many members is cut into."""
+    return F.ceil(members / F.greatest(F.lit(float(block)), step * F.sqrt(members)))
+
+
 def in_blocks(df: DataFrame) -> DataFrame:
     """Rows of (key, parts, id, ...) with a column block instead of parts: a group's rows are dealt into its parts, and
     each two parts meet in a block of their own. Rows come sorted by (key, block), whole blocks in one partition."""
@@ -319,13 +327,13 @@ def _groups(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
 
     keyed = first.select(F.col("row").alias("id"), F.explode("keys").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    met = keyed.join(shared.select("key", F.ceil(F.col("n") / BLOCK).alias("parts")), "key")
+    met = keyed.join(shared.select("key", parts_of(F.col("n"), BLOCK, STEP).alias("parts")), "key")
     met = met.join(first.select(F.col("row").alias("id"), "sketch"), "id")
     clusters = connected(candidate_links(in_blocks(met), percent / 100 - MARGIN))
 
     inside = cut(clusters.join(first.select(F.col("row").alias("id"), "h1", "h2", "n_shingles"), "id"))
     size = cut(inside.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")))
-    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))
+    parts = F.greatest(parts_of(F.col("n"), SET_BLOCK, SET_STEP), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     wanted = inside.join(size.select("component", parts.alias("parts")), "component").select("h1", "h2", "id", F.col("component").alias("key"), "parts")
     maybe, _ = key_filter(inside.select("h1", "h2"))
     texts = docs.select(*row_key(docs, id_col, text_col), text_of(docs, text_col).alias("text")).where(maybe)
