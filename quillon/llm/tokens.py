@@ -4,9 +4,9 @@ For every prefix of a word exactly one vocabulary entry can end that prefix's en
 compatible with the entry ending the shorter prefix before it, where two entries are compatible when merging
 their symbols gives back the two. So the encoding of each prefix follows from those of shorter ones, and one
 pass stores the token count at every prefix. Prefixes that words share are worked out once. A document is a
-run of words (cut at ASCII white space, where no token of this vocabulary reaches across), so its counts at
-ends of words are running sums, and questions of truncation and budget are answered from them, by whole words,
-without encoding anything again.
+run of words (cut at ASCII white space, where no token of this vocabulary reaches across), so its counts are those of its
+words added up, and inside a word those of the word's prefixes. prefix_table() stores the count at every code point;
+questions of truncation and budget are answered from it without encoding anything again.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -108,11 +108,10 @@ class PrefixCounter:
         token = self._step(word, len(word), last, END)
         return count[len(word) - len(token) + len(END)] + 1
 
-    def piece_prefixes(self, word: str) -> list[int]:
-        """Tokens of every prefix of a pre-token, each taken as a text that ends there."""
+    def piece_prefixes(self, word: str, ends: list[int]) -> list[int]:
+        """Tokens of the prefixes of a pre-token that end at `ends` (from 1), each taken as a text that ends there."""
         last, count = self._stems(word, len(word) - 1)
-        ends = [self._step(word, end, last, END) for end in range(1, len(word) + 1)]
-        return [0, *(count[end - len(t) + len(END)] + 1 for end, t in enumerate(ends, 1))]
+        return [count[end - len(t) + len(END)] + 1 for end, t in ((end, self._step(word, end, last, END)) for end in ends)]
 
     def _pieces(self, text: str) -> Iterator[str]:
         """Pre-tokens of a text without special strings, in byte-level letters."""
@@ -147,25 +146,72 @@ class PrefixCounter:
     def total(self, text: str) -> int:
         return sum(self.counts(text.encode()))
 
+    def run_prefixes(self, run: str) -> list[int]:
+        """Token counts of run[:1], run[:2], ..., for a run without ASCII white space.
+
+        A prefix has the pre-tokens of the whole run up to the one it ends in, of which it has a prefix, so one pass over
+        each pre-token does. Where a prefix may be cut otherwise (inside a contraction, a special string, or letters that
+        the normalizer joins), it is counted from the pre-token that it ends in.
+        """
+        out: list[int] = []
+        done = tail = 0  # tokens before, and the place where the pre-token before began
+        for k, part in enumerate(self.special.split(run)):
+            at = len(out)
+            if k % 2:
+                base = done - self.word(run[tail:at].encode())
+                out += [base + self.word(run[tail:e].encode()) for e in range(at + 1, at + len(part))] + [done + 1]
+                done, tail = done + 1, at + len(part)
+                continue
+            letters = [c.lower() if c.isascii() else self.library.normalizer.normalize_str(c) for c in part]
+            whole = part.lower() if part.isascii() else self.library.normalizer.normalize_str(part)
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(whole)
+            ends = np.cumsum([len(x) for x in letters]).tolist()  # where each code point's normal form ends
+            place = {0: 0} | {e: i for i, e in enumerate(ends, 1)}
+            if "".join(letters) != whole or _CONTROL.search(part) or any(a not in place or b not in place for _, (a, b) in pieces):
+                out += [done + self.word(part[:e].encode()) for e in range(1, len(part) + 1)]
+                done += self.word(part.encode())
+                tail = at
+                continue
+            for piece, (a, b) in pieces:
+                first, last = place[a], place[b]
+                out += [done] * (at + first - len(out))  # white space beyond ASCII
+                tail = at + first
+                if whole[a] == "'" and b - a > 1 and whole[a + 1].isalpha():
+                    out += [done + self.word(part[first:e].encode()) for e in range(first + 1, last + 1)]
+                else:
+                    stops = list(accumulate(len(x.encode()) for x in letters[first:last]))
+                    out += [done + n for n in self.piece_prefixes(piece, stops)]
+                done += self.piece(piece)
+            out += [done] * (at + len(part) - len(out))
+        return out
+
     def every_prefix(self, text: str) -> np.ndarray:
         """Token counts of text[:0], text[:1], ..., text[:len(text)]."""
-        out, before, start = [0], 0, 0
-        for m in re.finditer(r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+", text):
+        out, before = [0], 0
+        for m in _RUNS.finditer(text):
             run = m.group()
             if run[0] in " \t\n\v\f\r":
                 out += [before] * len(run)
             else:
-                if run.isascii() and run.isalpha():
-                    inner = self.piece_prefixes(run.lower())[1:]
-                else:
-                    inner = [self.word(run[:k].encode()) for k in range(1, len(run) + 1)]
+                inner = self.run_prefixes(run)
                 out += [before + n for n in inner]
                 before += inner[-1]
-            start = m.end()
-        assert start == len(text)
         return np.array(out)
 
+    def fit(self, raw: bytes, tokens: list[int], limit: int) -> int:
+        """Code points of the longest prefix of a text that has at most `limit` tokens, given the tokens of its words."""
+        upto = np.fromiter(accumulate(tokens), np.int64, len(tokens))
+        k = int(np.searchsorted(upto, limit, "right"))  # the first word that is not in whole
+        if k == len(tokens):
+            return len(raw.decode())
+        start, end = next(islice(((m.start(), m.end()) for m in _WORDS.finditer(raw)), k, None))
+        left = limit - (int(upto[k - 1]) if k else 0)
+        inner = self.run_prefixes(raw[start:end].decode())
+        return len(raw[:start].decode()) + max((i for i, n in enumerate(inner, 1) if n <= left), default=0)
+
 
+_RUNS = re.compile(r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+")
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 
@@ -179,12 +225,12 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes (UTF-8), n_tokens, over_limit, fit_bytes for each row.
+    """id, n_bytes (UTF-8), n_tokens, over_limit, fit_chars for each row.
 
-    n_tokens is what the tokenizers library gives without added special tokens; special strings inside texts
-    are special tokens, as by its default. fit_bytes is the end of the last word up to which the text has at
-    most `limit` tokens. A null text is empty: all numbers are 0. Ids may repeat or be null; every row gets
-    its own result. An empty table gives no rows.
+    n_tokens is what the tokenizers library gives without added special tokens; special strings inside texts are special
+    tokens, as by its default. fit_chars is the length of the longest prefix, in code points, that has at most `limit` tokens.
+    A null text is empty: all numbers are 0. Ids may repeat or be null; every row gets its own result. An empty table
+    gives no rows.
     """
     slim = _texts(docs, id_col, text_col)
     fields = slim.select(id_col).schema.simpleString()[len("struct<") : -1]
@@ -197,32 +243,21 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
                 raw = text.encode()
                 tokens = count.counts(raw)
                 total = sum(tokens)
-                fit = len(raw)
-                if total > limit:
-                    words = int(np.searchsorted(np.fromiter(accumulate(tokens), np.int64, len(tokens)), limit, "right"))
-                    ends = (m.end() for m in _WORDS.finditer(raw))
-                    fit = 0
-                    for _, fit in zip(range(words), ends, strict=False):
-                        pass
                 sizes.append(len(raw))
                 totals.append(total)
-                fits.append(fit)
+                fits.append(len(text) if total <= limit else count.fit(raw, tokens, limit))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_()), pa.array(fits, pa.int64())],
-                [id_col, "n_bytes", "n_tokens", "over_limit", "fit_bytes"],
+                [id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"],
             )
 
-    return map_batches(slim, run, f"{fields}, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long")
-
-
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+    return map_batches(slim, run, f"{fields}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def prefix_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ends, counts: the byte at which each word of a text ends and the tokens of the text up to there.
+    """id, counts: the tokens of every prefix of a text, by its length in code points, from 0 to the whole.
 
-    The table answers later questions by itself: see tokens_before() and longest_within(). Null and empty
-    texts have empty arrays.
+    The table answers later questions by itself: see tokens_of() and longest_within(). A null text is empty.
     """
     slim = _texts(docs, id_col, text_col)
     fields = slim.select(id_col).schema.simpleString()[len("struct<") : -1]
@@ -230,24 +265,19 @@ def prefix_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
         for batch in batches:
-            ends, counts = [], []
-            for text in batch.column(1).to_pylist():
-                raw = text.encode()
-                ends.append([m.end() for m in _WORDS.finditer(raw)])
-                counts.append(list(accumulate(count.counts(raw))))
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends, kind), pa.array(counts, kind)], [id_col, "ends", "counts"])
+            for k, text in enumerate(batch.column(1).to_pylist()):  # four bytes for each code point: a text at a time
+                counts = pa.array(count.every_prefix(text), pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), counts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), lists], [id_col, "counts"])
 
-    return map_batches(slim, run, f"{fields}, ends array<long>, counts array<long>")
+    return map_batches(slim, run, f"{fields}, counts array<int>")
 
 
-def tokens_before(table: DataFrame, byte: int) -> DataFrame:
-    """Tokens of the words that end by a byte, from a prefix table."""
-    n = F.size(F.filter("ends", lambda e: e <= byte))
-    return table.withColumn("tokens", F.coalesce(F.get("counts", n - 1), F.lit(0)))
+def tokens_of(table: DataFrame, chars: int) -> DataFrame:
+    """A prefix table with `tokens`: those of the first `chars` code points, or of the whole text where it is shorter."""
+    return table.withColumn("tokens", F.get("counts", F.least(F.lit(chars), F.size("counts") - 1)))
 
 
 def longest_within(table: DataFrame, budget: int) -> DataFrame:
-    """The byte up to which whole words fit a budget of tokens, from a prefix table."""
-    n = F.size(F.filter("counts", lambda c: c <= budget))
-    return table.withColumn("fit_bytes", F.coalesce(F.get("ends", n - 1), F.lit(0)))
+    """A prefix table with `fit_chars`: the code points of the longest prefix that has at most `budget` tokens."""
+    return table.withColumn("fit_chars", F.array_max(F.transform("counts", lambda n, i: F.when(n <= budget, i))))
