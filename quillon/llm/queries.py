@@ -97,12 +97,16 @@ ORACLE_SQL = {
     """,
     "op3_mix_sources": r"""
         WITH slim AS (
-            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, length(coalesce(text, '')) AS chars FROM documents),
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, length(coalesce(text, '')) AS chars,
+                   len(regexp_extract_all(coalesce(text, ''), '[0-9#$%&*<>{}|=_@~^+]')) AS symbols FROM documents),
+        weighed AS (
+            SELECT *, CASE WHEN chars::DOUBLE / greatest(size, 1) BETWEEN 4.0 AND 13.0 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS words,
+                   1.0::DOUBLE - least(1.0::DOUBLE, symbols * 4.0::DOUBLE / greatest(chars, 1)) AS clean FROM slim),
         keyed AS (
             SELECT doc_id, source, size,
                    -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
-                   / CASE WHEN chars::DOUBLE / greatest(size, 1) BETWEEN 4.0 AND 13.0 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS e
-            FROM slim),
+                   / greatest(0.015625::DOUBLE, words * (clean * clean)) AS e
+            FROM weighed),
         sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM slim GROUP BY source),
         caps AS (SELECT *, (i % 3 + 1)::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM sums),
         levels AS (
