@@ -160,12 +160,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = cut(prints.select("id", "h1", "h2", "n_chars", "packed"))  # made once, though ranges are sampled before they are dealt
     repeats = cut(prints.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"))
     rows = prints.withColumn("copy", F.lit(1).cast("long"))
-    by_key = texts.select("h1", "h2", "text")
+    by_key, keys = texts.select("h1", "h2", "text"), ["h1", "h2"]
     if not repeats.isEmpty():  # rows that repeat both the id and the text are told apart by a number
         once = prints.join(repeats.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.any_value(F.struct(*prints.columns)).alias("r"))
         copies = once.join(repeats, ["h1", "h2"]).select("r.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
         rows = rows.join(repeats.select("h1", "h2"), ["h1", "h2"], "left_anti").unionByName(copies)
-        by_key = by_key.dropDuplicates(["h1", "h2"])
+        by_key, keys = by_key.dropDuplicates(["h1", "h2"]), ["h1", "h2", "copy"]
     places = cut(in_order(rows))
 
     half = lambda n: F.floor(n / 2).cast("int")
@@ -173,7 +173,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = left.withColumn("head", F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half(F.col("n_chars")))).drop("text")
     right = by_key.join(places.select("h1", "h2", "previous"), ["h1", "h2"])
     right = right.select("previous.h1", "previous.h2", "previous.copy", F.substring(F.col("text"), F.lit(1), half(F.col("previous.n_chars"))).alias("tail"))
-    edited = left.join(right, ["h1", "h2", "copy"]).withColumn("edited", F.concat("head", "tail")).drop("head", "tail")
+    edited = left.join(right if "copy" in keys else right.drop("copy"), keys).withColumn("edited", F.concat("head", "tail")).drop("head", "tail")
     edited = with_fingerprint(edited, "edited", "edited_packed")
     return edited.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
