@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import dedup, fingerprint, licenses, mixing, neardup, packing, quality, tokens, toxicity, warc
+from quillon.llm import dedup, fingerprint, licenses, mixing, neardup, packing, quality, simhash, tokens, toxicity, warc
 from quillon.llm.common import cut, remove
 from quillon.session import on_workers
 
@@ -71,6 +71,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, distance=2)
+
+
 def _registered(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +88,7 @@ QUERIES = {
     f.__name__: _registered(f)
     for f in (
         op1_quality, op2_exact_dedup, op3_mix_sources, op4_fingerprints, op5_token_counts, op6_pack_sequences, op7_near_dedup,
-        op8_license_scan, op9_toxicity, op10_warc,
+        op8_license_scan, op9_toxicity, op10_warc, op13_simhash,
     )
 }
 
