@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -85,6 +86,25 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(sized, schema)
 
 
+#: Bytes of a text that are cut into words in one step.
+PIECE = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_pieces(raw: bytes, overlap: int = 0) -> Iterator[list[bytes]]:
+    """A text's words (runs of anything but ASCII white space) in lists of about PIECE bytes, so that a long text is never held
+    as a list of all its words. Each list but the first begins with the last words before it, as many as overlap says."""
+    held: list[bytes] = []
+    begin = 0
+    while begin < len(raw):
+        blank = _BLANK.search(raw, min(len(raw), begin + PIECE))  # a word is not cut
+        end = blank.start() if blank else len(raw)
+        held += raw[begin:end].split()
+        yield held
+        held = held[max(0, len(held) - overlap) :] if overlap else []
+        begin = end
+
+
 def row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
     """128 bits that tell rows of different ids or texts apart, whatever type the id has; a null id is an id of its own."""
     text = text_of(docs, text_col)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import dedup, fingerprint, licenses, mixing, neardup, packing, quality, simhash, tokens, toxicity, warc
+from quillon.llm import dedup, fingerprint, licenses, mixing, neardup, packing, quality, resampling, simhash, tokens, toxicity, warc
 from quillon.llm.common import cut, remove
 from quillon.session import on_workers
 
@@ -71,6 +71,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), share=25, seed=7, longest=2, buckets=10_000, least_words=20)
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
@@ -88,7 +92,7 @@ QUERIES = {
     f.__name__: _registered(f)
     for f in (
         op1_quality, op2_exact_dedup, op3_mix_sources, op4_fingerprints, op5_token_counts, op6_pack_sequences, op7_near_dedup,
-        op8_license_scan, op9_toxicity, op10_warc, op13_simhash,
+        op8_license_scan, op9_toxicity, op10_warc, op11_resample, op13_simhash,
     )
 }
 
@@ -147,4 +151,46 @@ ORACLE_SQL = {
                CASE WHEN k.keep <> b.page_id THEN k.keep END AS refers_to
         FROM base b LEFT JOIN best k ON b.n >= 1000 AND b.h = k.h
     """,
+    "op11_resample": r"""
+        WITH RECURSIVE texts AS (
+            SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+        cut AS (
+            SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        grams AS (
+            SELECT kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM cut),
+        kinds AS (SELECT DISTINCT g, hex(encode(g)) AS x FROM grams),
+        -- CRC-32 is linear: the xor of what each byte gives at its distance from the end, and of what the length gives
+        one AS (
+            SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+            FROM (SELECT unnest(range(256)) AS b)),
+        far(d, b, v) AS (
+            SELECT 0, b, v FROM one
+            UNION ALL
+            SELECT f.d + 1, f.b, xor(f.v // 256, o.v) FROM far f JOIN one o ON o.b = f.v % 256 WHERE f.d < (SELECT max(strlen(g)) FROM kinds)),
+        starts(d, v) AS (
+            SELECT 0, 4294967295::BIGINT
+            UNION ALL
+            SELECT s.d + 1, xor(s.v // 256, o.v) FROM starts s JOIN one o ON o.b = s.v % 256 WHERE s.d < (SELECT max(strlen(g)) FROM kinds)),
+        bytes AS (
+            SELECT g, len(x) // 2 AS n, i, CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT) AS b FROM (SELECT g, x, unnest(range(len(x) // 2)) AS i FROM kinds)),
+        sums AS (SELECT g, any_value(n) AS n, bit_xor(f.v) AS v FROM bytes JOIN far f ON f.d = n - 1 - i AND f.b = bytes.b GROUP BY g),
+        hashed AS (SELECT g, xor(xor(sums.v, s.v), 4294967295) % 10000 AS bucket FROM sums JOIN starts s ON s.d = n),
+        features AS (SELECT kind, id, bucket FROM grams JOIN hashed USING (g)),
+        counts AS (SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM features GROUP BY bucket),
+        gains AS (
+            SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts)::DOUBLE + 10000)) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts)::DOUBLE + 10000)))) AS BIGINT) AS gain
+            FROM counts),
+        means AS (
+            SELECT id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM features JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id),
+        scored AS (
+            SELECT d.id AS doc_id, len(d.w) AS words, coalesce(m.n, 0) AS n_features,
+                   coalesce((m.total - ((m.total % m.n) + m.n) % m.n) // m.n, 0) AS weight,
+                   CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || d.id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+            FROM cut d LEFT JOIN means m ON d.id = m.id WHERE d.kind = 'd'),
+        ranked AS (
+            SELECT *, words >= 20 AS able, row_number() OVER (PARTITION BY words >= 20 ORDER BY weight + noise DESC, doc_id) AS r, count(*) FILTER (words >= 20) OVER () AS total FROM scored)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + noise AS BIGINT) AS score,
+               CASE WHEN able AND r <= 25 * total // 100 THEN r END AS rank
+        FROM ranked
+    """,
 }

@@ -13,7 +13,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,41 +22,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, map_batches, text_of, whole_groups
+from quillon.llm.common import cut, map_batches, text_of, whole_groups, word_pieces
 from quillon.llm.components import connected
 from quillon.llm.neardup import _edges, _forest, _group_bounds
 
 BITS = 64
 #: Fingerprints of a bucket that are compared pairwise at most; larger buckets meet at midpoints.
 BUCKET = 1_000
-#: Bytes of a text, and shingles, that are looked at in one step.
-PIECE, STEP = 1 << 20, 1 << 17
+#: Shingles that are hashed in one step.
+STEP = 1 << 17
 _SEED = 42
-_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _PLACE = (np.arange(8, dtype=np.int64) << 8)[None, :]
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def _words(raw: bytes, least: int) -> Iterator[list[bytes]]:
-    """The words of a text in lists of about PIECE bytes; each list but the first begins with the last `least` words before it."""
-    held: list[bytes] = []
-    begin = 0
-    while begin < len(raw):
-        end = min(len(raw), begin + PIECE)
-        blank = _BLANK.search(raw, end)  # a word is not cut
-        end = blank.start() if blank else len(raw)
-        held += raw[begin:end].split()
-        yield held
-        held = held[max(0, len(held) - least) :] if least else []
-        begin = end
-
-
 def fingerprint(raw: bytes, shingle: int = 3) -> int:
     """The SimHash of a text as an unsigned number: a bit is 1 if it is set in over half of the shingles' hashes."""
     votes = np.zeros((8, 256), np.int64)
     total, short = 0, b""
     digest = xxhash.xxh64_intdigest
-    for words in _words(raw.lower(), shingle - 1):
+    for words in word_pieces(raw.lower(), shingle - 1):
         if len(words) < shingle:
             short = b" ".join(words)
             continue

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import simhash
+from quillon.llm import common, simhash
 
 from .conftest import ODD
 
@@ -114,7 +114,7 @@ def test_a_full_bucket_meets_in_bounded_groups(spark):
 
 
 def test_fingerprints_of_odd_and_long_texts(monkeypatch):
-    monkeypatch.setattr(simhash, "PIECE", 50)
+    monkeypatch.setattr(common, "PIECE", 50)
     monkeypatch.setattr(simhash, "STEP", 7)
     draw = random.Random(2)
     texts = [t for _, t in ODD if t and len(t) < 1000] + ["", "a", "A b", "a\u00a0b c", "x" * 300 + " y", "y " + "x" * 300 + " z z"]
