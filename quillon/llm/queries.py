@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import dedup, fingerprint, licenses, mixing, neardup, packing, quality, resampling, simhash, tokens, toxicity, warc
+from quillon.llm import dedup, fingerprint, licenses, mixing, neardup, packing, quality, resampling, simhash, tokens, toxicity, tries, warc
 from quillon.llm.common import cut, remove
 from quillon.session import on_workers
 
@@ -75,6 +75,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), share=25, seed=7, longest=2, buckets=10_000, least_words=20)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(_table(spark, sf_dir, "conversations"), family=5, heads=9)
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
@@ -92,7 +96,7 @@ QUERIES = {
     f.__name__: _registered(f)
     for f in (
         op1_quality, op2_exact_dedup, op3_mix_sources, op4_fingerprints, op5_token_counts, op6_pack_sequences, op7_near_dedup,
-        op8_license_scan, op9_toxicity, op10_warc, op11_resample, op13_simhash,
+        op8_license_scan, op9_toxicity, op10_warc, op11_resample, op12_prefix_trie, op13_simhash,
     )
 }
 
@@ -193,4 +197,39 @@ ORACLE_SQL = {
                CASE WHEN able AND r <= 25 * total // 100 THEN r END AS rank
         FROM ranked
     """,
+    "op12_prefix_trie": """
+        WITH RECURSIVE turns AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations),
+        crc(c, at, left_bits, v) AS (  -- CRC-32 of the decimal, a bit a step; each byte enters with its first bit
+            SELECT c, 0, 0, 4294967295::BIGINT FROM (SELECT DISTINCT c FROM turns)
+            UNION ALL
+            SELECT c, CASE WHEN left_bits = 0 THEN at + 1 ELSE at END, CASE WHEN left_bits = 0 THEN 8 ELSE left_bits - 1 END,
+                   CASE WHEN left_bits = 0 THEN xor(v, ascii(substr(CAST(c AS VARCHAR), at + 1, 1))::BIGINT)
+                        WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END
+            FROM crc WHERE left_bits > 0 OR at < length(CAST(c AS VARCHAR))),
+        heads AS (SELECT c, xor(v, 4294967295) % 9 AS h FROM crc WHERE left_bits = 0 AND at = length(CAST(c AS VARCHAR))),
+        rebuilt AS (
+            SELECT h.c, 0 AS part, t.pos, t.role, t.text FROM heads h JOIN turns t ON t.c = h.c - h.c % 5 AND t.pos <= h.h
+            UNION ALL
+            SELECT h.c, 1, t.pos, t.role, t.text FROM heads h JOIN turns t ON t.c = h.c AND t.pos > h.h),
+        deep AS (
+            SELECT c, row_number() OVER w AS d, strlen(text) AS bytes, sha256(role) || sha256(text) AS x FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, pos)),
+        paths AS (SELECT c, d, bytes, sha256(string_agg(x, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM deep
+                  UNION ALL SELECT c, 0, 0, '' FROM heads),
+        lengths AS (SELECT c, max(d) AS n FROM paths GROUP BY c),
+        nodes AS (
+            SELECT d, key, min(p.c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                   sha256(coalesce(string_agg(CASE WHEN n = d THEN CAST(p.c AS VARCHAR) END, ',' ORDER BY p.c), '')) AS ends
+            FROM paths p JOIN lengths l ON p.c = l.c GROUP BY d, key),
+        named AS (SELECT n.*, u.key AS up FROM nodes n LEFT JOIN paths u ON u.c = n.conv_id AND u.d = n.d - 1),
+        children AS (SELECT d - 1 AS d, up AS key, count(*) AS n FROM named WHERE d > 0 GROUP BY 1, 2),
+        below AS (  -- each node counts at every prefix of its smallest member's path
+            SELECT a.d, a.key, sum((n.n_convs - 1) * n.bytes) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+            FROM named n LEFT JOIN children k ON k.d = n.d AND k.key = n.key JOIN paths a ON a.c = n.conv_id AND a.d <= n.d GROUP BY a.d, a.key)
+        SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children,
+               CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+        FROM named n JOIN below b ON b.d = n.d AND b.key = n.key LEFT JOIN children k ON k.d = n.d AND k.key = n.key
+        LEFT JOIN nodes p ON p.d = n.d - 1 AND p.key = n.up
+    """,
 }
