@@ -201,14 +201,14 @@ ORACLE_SQL = {
         WITH RECURSIVE turns AS (
             SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations),
-        crc(c, at, left_bits, v) AS (  -- CRC-32 of the decimal, a bit a step; each byte enters with its first bit
+        crc(c, place, left_bits, v) AS (  -- CRC-32 of the decimal, a bit a step; each byte enters with its first bit
             SELECT c, 0, 0, 4294967295::BIGINT FROM (SELECT DISTINCT c FROM turns)
             UNION ALL
-            SELECT c, CASE WHEN left_bits = 0 THEN at + 1 ELSE at END, CASE WHEN left_bits = 0 THEN 8 ELSE left_bits - 1 END,
-                   CASE WHEN left_bits = 0 THEN xor(v, ascii(substr(CAST(c AS VARCHAR), at + 1, 1))::BIGINT)
+            SELECT c, CASE WHEN left_bits = 0 THEN place + 1 ELSE place END, CASE WHEN left_bits = 0 THEN 8 ELSE left_bits - 1 END,
+                   CASE WHEN left_bits = 0 THEN xor(v, ascii(substr(CAST(c AS VARCHAR), place + 1, 1))::BIGINT)
                         WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END
-            FROM crc WHERE left_bits > 0 OR at < length(CAST(c AS VARCHAR))),
-        heads AS (SELECT c, xor(v, 4294967295) % 9 AS h FROM crc WHERE left_bits = 0 AND at = length(CAST(c AS VARCHAR))),
+            FROM crc WHERE left_bits > 0 OR place < length(CAST(c AS VARCHAR))),
+        heads AS (SELECT c, xor(v, 4294967295) % 9 AS h FROM crc WHERE left_bits = 0 AND place = length(CAST(c AS VARCHAR))),
         rebuilt AS (
             SELECT h.c, 0 AS part, t.pos, t.role, t.text FROM heads h JOIN turns t ON t.c = h.c - h.c % 5 AND t.pos <= h.h
             UNION ALL
