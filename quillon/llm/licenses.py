@@ -3,7 +3,9 @@
 Known license sentences have identifiers, and patterns of words: `a|b` is either word, `a?` a word that may be left out, and
 `*` a slot of up to SLOT words, for names of holders. A text is normalised to its words, lower-cased, so that line ends,
 comment signs and marks do not matter. Every known sentence in it becomes its identifier with its place; of sentences
-that begin at one word the longest counts, and the search goes on behind it. Rules are then matched with the sequence
+that begin at one word the longest counts, and the search goes on behind it. A name of a license is a notice where a verb says
+so ("released under", but not after a negation), where it is a line of its own, where it is the value of a field ("License: MIT"), and
+where it follows such a name by "or" or "and". Rules are then matched with the sequence
 of identifiers. A rule is a license and an ordered sequence: a chain of identifiers in that order, with at most GAP others
 between two of them, is a finding, provided that the identifiers which the rule needs are in it. The longest chains are
 taken first, of equal ones the one that begins first, then the earlier rule; each identifier serves one finding.
@@ -14,6 +16,7 @@ the sentences of the MIT, ISC, BSD, Apache, GPL, LGPL, AGPL, MPL, zlib and Boost
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,6 +44,7 @@ NAMES = {
     "EPL-2.0": ("eclipse public license version? v? 2|v2 0", "epl version? v? 2|v2 0"),
     "GPL-2.0": ("gnu? general public license gpl? version? v? 2|v2 0?", "gnu? gpl version? v? 2|v2 0?", "gnu? gplv2"),
     "GPL-3.0": ("gnu? general public license gpl? version? v? 3|v3 0?", "gnu? gpl version? v? 3|v3 0?", "gnu? gplv3"),
+    "LGPL-2.0": ("gnu? library general public license lgpl? version? v? 2|v2 0?",),
     "LGPL-2.1": ("gnu? lesser general public license lgpl? version? v? 2|v2 1", "gnu? lgpl version? v? 2|v2 1", "gnu? lgplv2 1"),
     "LGPL-3.0": ("gnu? lesser general public license lgpl? version? v? 3|v3 0?", "gnu? lgpl version? v? 3|v3 0?", "gnu? lgplv3"),
     "AGPL-3.0": ("gnu? affero general public license agpl? version? v? 3|v3 0?", "gnu? agpl version? v? 3|v3 0?", "gnu? agplv3"),
@@ -48,13 +52,18 @@ NAMES = {
     "CC0-1.0": ("cc0 1? 0?", "creative commons zero v? 1? 0? universal? license?", "creative commons cc0 1? 0? universal? license?"),
     "Artistic-2.0": ("artistic license version? v? 2|v2 0",),
     "WTFPL": ("wtfpl",),
+    "PSF-2.0": ("psf license agreement? version? v? 2|v2? 0?", "python software foundation license agreement? version? v? 2|v2? 0?"),
+    "MS-PL": ("microsoft public license ms? pl?", "ms pl license?"),
 }
 #: Licenses whose name is completed by `-only`, or by `-or-later` where later versions are allowed.
-VERSIONED = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+VERSIONED = ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
 #: Terms and versions of the Creative Commons licenses.
 CC_TERMS = {"BY": "attribution", "SA": "sharealike", "NC": "noncommercial", "ND": "noderivatives|noderivs"}
 CC_CODES, CC_VERSIONS = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"), ("1.0", "2.0", "2.5", "3.0", "4.0")
-NOTICE = "licensed|released|distributed|available|provided|published|offered|covered|shared under|by the? terms? and? conditions? of? the? "
+VERBS = "licensed|released|distributed|available|provided|published|offered|covered|shared"
+NOTICE = VERBS + " under|by the? terms? and? conditions? of? the? "
+#: A notice up to the name; a field; what joins one name to the next.
+LEAD, FIELD, JOIN = VERBS + " under|by the? terms? and? conditions? of? either? of? a? the? ", "license|licence ", "or|and under? the? terms? of? the? "
 LATER = " or at? your? option? any? later version?"
 _AS_GNU = "this|the * is free software you can redistribute it and or modify it under the terms of the gnu {kind}general public license as published by the free software foundation either version {version} of the license or at your option any later version"
 _AS_GNU_ONLY = "this|the * is free software you can redistribute it and or modify it under the terms of the gnu {kind}general public license version {version}? as published by the free software foundation version? {version}? of? the? license?"
@@ -83,15 +92,17 @@ SENTENCES = {
     "bsd-disclaimer": "this software is provided by * as is and|without any|warranty express? or? implied? warranties?",
     "gpl2-later": _AS_GNU.format(kind="", version="2"),
     "gpl3-later": _AS_GNU.format(kind="", version="3"),
+    "lgpl20-later": _AS_GNU.format(kind="library ", version="2"),
     "lgpl21-later": _AS_GNU.format(kind="lesser ", version="2 1"),
     "lgpl3-later": _AS_GNU.format(kind="lesser ", version="3"),
     "agpl3-later": _AS_GNU.format(kind="affero ", version="3"),
     "gpl2-only": _AS_GNU_ONLY.format(kind="", version="2"),
     "gpl3-only": _AS_GNU_ONLY.format(kind="", version="3"),
     "gpl-hope": "this|the * is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "gpl-received": "you should have received a copy of the gnu lesser|affero? general public license along with this *",
+    "gpl-received": "you should have received a copy of the gnu lesser|library|affero? general public license along with this *",
     "gpl2-title": "gnu general public license version 2 june 1991",
     "gpl3-title": "gnu general public license version 3 29 june 2007",
+    "lgpl20-title": "gnu library general public license version 2 june 1991",
     "lgpl21-title": "gnu lesser general public license version 2 1 february 1999",
     "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
     "agpl3-title": "gnu affero general public license version 3 19 november 2007",
@@ -120,6 +131,7 @@ RULES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache2-title", "notice:Apache-2.0", "apache2-comply", "apache2-copy", "apache2-url", "apache2-as-is", "apache2-limits"), ()),
     ("GPL-3.0-or-later", ("gpl3-later", "gpl-hope", "gpl-received"), ("gpl3-later",)),
     ("GPL-2.0-or-later", ("gpl2-later", "gpl-hope", "gpl-received"), ("gpl2-later",)),
+    ("LGPL-2.0-or-later", ("lgpl20-later", "gpl-hope", "gpl-received"), ("lgpl20-later",)),
     ("LGPL-2.1-or-later", ("lgpl21-later", "gpl-hope", "gpl-received"), ("lgpl21-later",)),
     ("LGPL-3.0-or-later", ("lgpl3-later", "gpl-hope", "gpl-received"), ("lgpl3-later",)),
     ("AGPL-3.0-or-later", ("agpl3-later", "gpl-hope", "gpl-received"), ("agpl3-later",)),
@@ -127,6 +139,7 @@ RULES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("GPL-2.0-only", ("gpl2-only", "gpl-hope", "gpl-received"), ("gpl2-only",)),
     ("GPL-2.0-only", ("gpl2-title",), ()),
     ("GPL-3.0-only", ("gpl3-title",), ()),
+    ("LGPL-2.0-only", ("lgpl20-title",), ()),
     ("LGPL-2.1-only", ("lgpl21-title",), ()),
     ("LGPL-3.0-only", ("lgpl3-title",), ()),
     ("AGPL-3.0-only", ("agpl3-title",), ()),
@@ -142,28 +155,65 @@ RULES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
 #: A tag that names licenses itself.
 TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() -]*[A-Za-z0-9.+)])")
 #: Each known sentence and tag has one of these.
-ANCHORS = "licen|permission|permitted|redistribut|warrant|endorse|copyright|mozilla|public domain|acknowledg|this software|wtfpl|cc0|cc.by|creativecommons|general public|gpl"
+ANCHORS = "licen|permission|permitted|redistribut|warrant|endorse|copyright|mozilla|public domain|acknowledg|this software|wtfpl|cc0|cc.by|creative *commons|general public|gpl|apache|bsd|\\b(?:mpl|epl|psf|ms.pl)\\b|under\\s+(?:\\S+\\s+){0,8}?(?:mit|apache|bsd|isc|zlib|mpl|epl|psf|ms)\\b"
 
 _WORD = re.compile(r"[^\W_]+")
 
 
-def _notices() -> dict[str, list[str]]:
-    """Patterns of notices by identifier: from NAMES, with later versions told apart, and of the Creative Commons family."""
+_NEWLINE = re.compile(r"[\n\r\v\f]")
+#: What denies the notice that follows: at most two words later, in the same clause.
+_DENIED = re.compile(r"(?:\bnot|\bnever|\bno longer|n['’]t)(?:\s+(?!only\b)\w+){0,2}\s+$", re.I)
+#: What may follow a name that is a line of its own, and one that is no more than an identifier.
+_LINE_ENDS = re.compile(r"[^\w\n\r\v\f(\[]*(?:$|[\n\r\v\f(\[])")
+_NAME_ENDS = re.compile(r"\s*(?:$|[^\w\s]|(?:or|and|licen[sc]ed?)\b)|[^\S\n]*\n", re.I)
+_FIELD_SIGN = re.compile(r"[\"']?\s*[:=]\s*[\"'(\[{]*")
+
+
+def _names() -> dict[str, list[str]]:
+    """Patterns of names by identifier: from NAMES, with later versions told apart, and of the Creative Commons family."""
     out: dict[str, list[str]] = {}
     for license_id, names in NAMES.items():
         for name in names:
-            only = f"{license_id}-only" if license_id in VERSIONED else license_id
-            out.setdefault(f"notice:{only}", []).append(NOTICE + name)
+            out.setdefault(f"notice:{license_id}-only" if license_id in VERSIONED else f"notice:{license_id}", []).append(name)
             if license_id in VERSIONED:
-                out.setdefault(f"notice:{license_id}-or-later", []).append(NOTICE + name + LATER)
+                out.setdefault(f"notice:{license_id}-or-later", []).append(name + LATER)
     for code in CC_CODES:
         terms = " ".join(CC_TERMS[t] for t in code.split("-"))
         for version in CC_VERSIONS:
             number = version.replace(".", " ")
-            long = f"creative commons {terms} {number} international|unported|generic? license?"
-            out[f"notice:CC-{code}-{version}"] = [
-                NOTICE + f"a? the? cc {code.lower().replace('-', ' ')} {number}", NOTICE + "a? the? " + long, f"creativecommons org licenses {code.lower().replace('-', ' ')} {number}",
-            ]
+            out[f"notice:CC-{code}-{version}"] = [f"cc {code.lower().replace('-', ' ')} {number}", f"creative commons {terms} {number} international|unported|generic? license?"]
+    return out
+
+
+def _notices() -> dict[str, list[str]]:
+    """Patterns of notices by identifier: names after a verb, and addresses of the Creative Commons family."""
+    out = {name: [NOTICE + words for words in patterns] for name, patterns in _names().items()}
+    for code in CC_CODES:
+        for version in CC_VERSIONS:
+            out[f"notice:CC-{code}-{version}"].append(f"creativecommons org licenses {code.lower().replace('-', ' ')} {version.replace('.', ' ')}")
+    return out
+
+
+def _identifiers() -> dict[str, list[str]]:
+    """Patterns of identifiers that stand for a name, by identifier of the notice."""
+    out: dict[str, list[str]] = {}
+    for license_id in NAMES:
+        words = license_id.lower().replace("-", " ").replace(".", " ")
+        if license_id in VERSIONED:
+            out[f"notice:{license_id}-only"] = [words + " only?", words.removesuffix(" 0") + " only?"]
+            out[f"notice:{license_id}-or-later"] = [words + " or later"]
+        else:
+            out[f"notice:{license_id}"] = [words]
+    return out
+
+
+def _begins(words: str) -> list[str]:
+    """The words that a text of a pattern may begin with."""
+    out: list[str] = []
+    for word in words.split():
+        out += word.rstrip("?").split("|")
+        if not word.endswith("?"):
+            break
     return out
 
 
@@ -180,16 +230,31 @@ def pattern(words: str) -> str:
 
 
 class Rules:
-    """Known sentences and rules, ready for matching."""
+    """Known sentences, names and rules, ready for matching."""
 
-    def __init__(self, sentences: dict[str, list[str]], rules: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...]) -> None:
-        self.first: dict[str, list[tuple[str, re.Pattern]]] = {}
+    def __init__(
+        self, sentences: dict[str, list[str]], rules: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...],
+        names: dict[str, list[str]] | None = None, identifiers: dict[str, list[str]] | None = None,
+    ) -> None:
+        self.first = self._by_first_word(sentences)
+        self.names, self.identifiers = self._by_first_word(names or {}), self._by_first_word(identifiers or {})
+        self.lead, self.field, self.join = (re.compile(pattern(x)) for x in (LEAD, FIELD, JOIN))
+        self.verbs, self.fields = (frozenset(x.split()[0].split("|")) for x in (LEAD, FIELD))
+        self.rules = [(license_id, {name: i for i, name in enumerate(sequence)}, frozenset(needs)) for license_id, sequence, needs in rules]
+        self.serves: dict[str, list[tuple[int, int]]] = {}  # for an identifier the rules that have it, and its place there
+        for number, (_, index, _) in enumerate(self.rules):
+            for name, i in index.items():
+                self.serves.setdefault(name, []).append((number, i))
+
+    @staticmethod
+    def _by_first_word(sentences: dict[str, list[str]]) -> dict[str, list[tuple[str, re.Pattern]]]:
+        out: dict[str, list[tuple[str, re.Pattern]]] = {}
         for name, patterns in sentences.items():
             for words in patterns:
                 compiled = re.compile(pattern(words))
-                for word in words.split()[0].split("|"):  # patterns begin with a word that cannot be left out
-                    self.first.setdefault(word, []).append((name, compiled))
-        self.rules = [(license_id, {name: i for i, name in enumerate(sequence)}, frozenset(needs)) for license_id, sequence, needs in rules]
+                for word in _begins(words):
+                    out.setdefault(word, []).append((name, compiled))
+        return out
 
     def sentences(self, text: str) -> list[tuple[str, int, int]]:
         """Identifiers of known sentences, with begin and end, in the order of the text; of overlapping ones the first, then the longest."""
@@ -198,50 +263,128 @@ class Rules:
             lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(lowered)]
         line = "".join(w[0] + " " for w in words)
-        place, at = {}, 0
-        for i, w in enumerate(words):
-            place[at] = i
+        begins, at = [], 0
+        for w in words:
+            begins.append(at)
             at += len(w[0]) + 1
-        place[at] = len(words)
-        out, free = [], 0
-        for begin, i in list(place.items())[:-1]:
-            if begin < free or words[i][0] not in self.first:
-                continue
-            best = max(((m.end(), name) for name, p in self.first[words[i][0]] if (m := p.match(line, begin))), key=lambda f: f[0], default=None)
-            if best:
-                free = best[0]
-                out.append((best[1], words[i][1], words[place[free] - 1][2]))
+        place = {b: i for i, b in enumerate(begins)} | {at: len(words)}
+
+        def longest(among: dict[str, list[tuple[str, re.Pattern]]], i: int) -> tuple[int, str] | None:
+            """The word after the longest match at word i, and its identifier."""
+            if i >= len(words):
+                return None
+            ends = [(m.end(), name) for name, p in among.get(words[i][0], ()) if (m := p.match(line, begins[i])) and m.end() > begins[i]]
+            best = max(ends, key=lambda f: f[0], default=None)
+            return best and (place[best[0]], best[1])
+
+        def after(p: re.Pattern, i: int) -> int | None:
+            m = p.match(line, begins[i]) if i < len(words) else None
+            return m and place[m.end()]
+
+        def name(i: int | None, short: bool) -> tuple[int, str] | None:
+            """The name of a license at word i, or an identifier that stands for one, and the word after it."""
+            best = longest(self.names, i) if i is not None else None
+            if best is None and short and i is not None:
+                best = longest(self.identifiers, i)
+                if best and not _NAME_ENDS.match(text, words[best[0] - 1][2]):
+                    return None
+            return best
+
+        def named(i: int) -> tuple[int, str, bool] | None:
+            """A name that counts as a notice at word i: the word after it, its identifier, and whether it is denied."""
+            word, begin, _ = words[i]
+            if word in self.verbs and (j := after(self.lead, i)) and (found := name(j, any(w[0] == "under" for w in words[i:j]))):
+                return (*found, bool(_DENIED.search(text, max(0, begin - 60), begin)))
+            if word in self.fields and i + 1 < len(words) and _FIELD_SIGN.fullmatch(text, words[i][2], words[i + 1][1]) and (found := name(i + 1, True)):
+                return (*found, False)
+            if not i or _NEWLINE.search(text, words[i - 1][2], begin):
+                j = i + (word == "the")
+                if (found := name(j, False)) and _LINE_ENDS.match(text, words[found[0] - 1][2]):
+                    return (*found, False)
+            return None
+
+        out, i = [], 0
+        while i < len(words):
+            best, notice = longest(self.first, i), named(i) if self.names else None
+            if notice and (not best or notice[0] >= best[0]):
+                end, identifier, denied = notice
+                begin = i
+                while True:
+                    if not denied:
+                        out.append((identifier, words[begin][1], words[end - 1][2]))
+                    following = name(after(self.join, end), True)
+                    if not following:
+                        break
+                    begin, (end, identifier) = end, following
+                i = end
+            elif best:
+                out.append((best[1], words[i][1], words[best[0] - 1][2]))
+                i = best[0]
+            else:
+                i += 1
         return out
 
     def chains(self, ids: list[str]) -> list[tuple[str, list[int]]]:
-        """(license, places) of the rules' chains, each place in one chain."""
+        """(license, places) of the rules' chains, each place in one chain.
+
+        The longest chain of a rule from a place depends on the next GAP + 1 places only, so what a finding takes away
+        changes chains of earlier places no further than a rule reaches, and only these are worked out again. All chains wait in a heap.
+        """
         used = [False] * len(ids)
+        index = [dict(self.serves.get(name, ())) for name in ids]
+        state: list[dict[int, tuple[int, int]]] = [{} for _ in ids]  # for a place and a rule: length of the chain from there, and the next place
+        waiting: list[tuple[int, int, int]] = []
+
+        def chain(p: int, number: int) -> list[int]:
+            out = []
+            while p >= 0:
+                out.append(p)
+                p = state[p][number][1]
+            return out
+
+        def complete(places: list[int], number: int) -> bool:
+            return self.rules[number][2] <= {ids[q] for q in places}
+
+        def work(p: int, number: int) -> None:
+            length, follow = 1, -1
+            for q in range(p + 1, min(len(ids), p + GAP + 2)):
+                if number in state[q] and not used[q] and state[q][number][0] >= length and index[q][number] > index[p][number]:
+                    length, follow = state[q][number][0] + 1, q
+            state[p][number] = length, follow
+            if complete(chain(p, number), number):
+                heapq.heappush(waiting, (-length, p, number))
+
+        for p in range(len(ids) - 1, -1, -1):
+            for number in index[p]:
+                work(p, number)
         out = []
-        while True:
-            best: tuple[int, int, int, list[int]] | None = None
-            for number, (_, index, needs) in enumerate(self.rules):
-                length, follow = [0] * len(ids), [-1] * len(ids)
-                for p in range(len(ids) - 1, -1, -1):
-                    if used[p] or ids[p] not in index:
-                        continue
-                    length[p] = 1
-                    for q in range(p + 1, min(len(ids), p + GAP + 2)):
-                        if length[q] >= length[p] and index[ids[q]] > index[ids[p]]:
-                            length[p], follow[p] = length[q] + 1, q
-                for p in range(len(ids)):
-                    if not length[p] or (best and (-length[p], p, number) >= best[:3]):
-                        continue
-                    chain, q = [], p
-                    while q >= 0:
-                        chain.append(q)
-                        q = follow[q]
-                    if needs <= {ids[q] for q in chain}:
-                        best = (-length[p], p, number, chain)
-            if not best:
-                return out
-            for q in best[3]:
+        while waiting:
+            length, p, number = heapq.heappop(waiting)
+            if used[p] or state[p][number][0] != -length:
+                continue
+            places = chain(p, number)
+            if not complete(places, number):
+                continue
+            out.append((self.rules[number][0], places))
+            for q in places:
                 used[q] = True
-            out.append((self.rules[best[2]][0], best[3]))
+            again: list[tuple[int, int]] = []  # places before those used, from the last to the first
+            known: set[tuple[int, int]] = set()
+
+            def ask(q: int, rule: int) -> None:
+                for o in range(max(0, q - GAP - 1), q):
+                    if not used[o] and rule in index[o] and index[o][rule] < index[q][rule] and (-o, rule) not in known:  # noqa: B023
+                        known.add((-o, rule))  # noqa: B023
+                        heapq.heappush(again, (-o, rule))  # noqa: B023
+
+            for q in places:
+                for rule in index[q]:
+                    ask(q, rule)
+            while again:
+                o, rule = heapq.heappop(again)
+                work(-o, rule)
+                ask(-o, rule)
+        return out
 
     def findings(self, text: str) -> list[tuple[str, int, int]]:
         """(license, begin, end) of each finding, in the order of the text."""
@@ -255,7 +398,8 @@ class Rules:
 def standard() -> Rules:
     notices = _notices()
     alone = tuple((name.removeprefix("notice:"), (name,), ()) for name in notices)
-    return Rules(notices | {name: [words] for name, words in SENTENCES.items()}, RULES + alone)
+    addresses = {name: [p for p in patterns if not p.startswith(VERBS)] for name, patterns in notices.items()}
+    return Rules(addresses | {name: [words] for name, words in SENTENCES.items()}, RULES + alone, _names(), _identifiers())
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

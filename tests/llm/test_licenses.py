@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import textwrap
+import time
 
 import pytest
 
@@ -81,6 +82,62 @@ def test_findings(text, found):
     assert all(0 <= a < b <= len(text) for _, a, b in out)
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM", ["EPL-2.0"]), ("# The MIT License\n\nCopyright (c) 2020 A. Person", ["MIT"]), ("Apache License 2.0", ["Apache-2.0"]),
+        ("MIT License\n\nCopyright (c) 2020\n\n" + MIT.split("\n\n", 2)[2], ["MIT"]), ("BSD 3-Clause License\n\n" + BSD + ENDORSE.format("X"), ["BSD-3-Clause"]),
+        ("License: MIT", ["MIT"]), ('{"license": "MIT", "x": 1}', ["MIT"]), ("license = 'GPL-3.0-or-later'", ["GPL-3.0-or-later"]), ('license = "Apache-2.0 OR MIT"', ["Apache-2.0", "MIT"]),
+        ("Dual-licensed under MIT or Apache-2.0.", ["MIT", "Apache-2.0"]), ("licensed under the MIT License and the Apache License 2.0", ["MIT", "Apache-2.0"]), ("Released under MIT.", ["MIT"]),
+        ("Licensed under either of\n * Apache License, Version 2.0 ([LICENSE-APACHE](x) or http://www.apache.org/licenses/LICENSE-2.0)\n * MIT license (http://opensource.org/licenses/MIT)\nat your option.", ["Apache-2.0", "MIT"]),
+        ("GNU Library General Public License, version 2", ["LGPL-2.0-only"]), ("Released under the Python Software Foundation License", ["PSF-2.0"]), ("Microsoft Public License (Ms-PL)", ["MS-PL"]),
+        ("This file is not licensed under the MIT License", []), ("This is no longer licensed under the MIT License or the ISC License.", []), ("It isn't licensed under the MIT License, but released under the ISC license.", ["ISC"]),
+        ("It is not only licensed under the MIT License", ["MIT"]), ("If you do not agree, stop. Licensed under the MIT License.", ["MIT"]),
+        ("provided by MIT Press", []), ("distributed under MIT supervision", []), ("Lizenz: mit der Hand. License: mit der Hand", []), ("Everybody knows the MIT License by now.", []),
+    ],
+)
+def test_titles_fields_pairs_and_denials(text, found):
+    assert [f[0] for f in licenses.standard().findings(text)] == found
+    assert not found or re.search(f"(?i){licenses.ANCHORS}", text)
+
+
+@pytest.mark.parametrize(
+    ("text", "times", "findings"),
+    [
+        ("This is released under the MIT License.\n", 20_000, 20_000),
+        ("Released under the MIT License.\nLicensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.\n", 10_000, 20_000),
+        (MIT + "\n" + BSD, 2_000, 4_000),  # each of whose chains could go on in the next copy
+    ],
+)
+def test_many_notices_in_one_text(text, times, findings):
+    began = time.perf_counter()
+    out = licenses.standard().findings(text * times)
+    assert len(out) == findings
+    assert time.perf_counter() - began < 20
+
+
+def test_chains_of_long_sequences_are_those_of_their_parts():
+    """Parts that no chain can bridge give their own chains, however many there are."""
+    draw = random.Random(11)
+    rules = tuple((f"L{n}", tuple(draw.sample("abcdef", draw.randrange(2, 5))), ()) for n in range(5))
+    matcher = licenses.Rules({}, rules)
+    parts = [[draw.choice("abcdefz") for _ in range(draw.randrange(1, 8))] for _ in range(300)]
+    whole, want = [], []
+    for part in parts:
+        want += [(name, [len(whole) + p for p in places]) for name, places in by_brute_force(rules, part)]
+        whole += part + ["z"] * (licenses.GAP + 1)
+    assert sorted(matcher.chains(whole), key=lambda f: f[1]) == sorted(want, key=lambda f: f[1])
+
+
+def test_every_name_has_an_anchor():
+    rules = licenses.standard()
+    for name, patterns in licenses._names().items():
+        for words in patterns:
+            text = " ".join(w.split("|")[0] for w in words.split() if not w.endswith("?"))
+            assert re.search(f"(?i){licenses.ANCHORS}", text), (name, text)
+            assert rules.sentences(text), (name, text)
+
+
 def by_brute_force(rules, ids):
     """The greatest chains, by trying every subsequence: most identifiers, then the first place, then the earlier rule."""
     used, out = set(), []
