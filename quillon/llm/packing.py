@@ -29,8 +29,8 @@ END_ID = 2
 SLACK = 4
 #: Items that one partition packs at once, and bins that a partition of a later round gets, about.
 BLOCK, FAN_IN_ROWS, FAN_IN = 200_000, 50_000, 8
-#: Words whose ids a task remembers.
-WORDS = 600_000
+#: Words whose ids a task remembers, and bytes of them and their ids.
+WORDS, WORD_BYTES = 600_000, 128 << 20
 
 _CHUNK = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z")
 _PLAIN = re.compile(rb" ?[^\x20\x09-\x0D]+\Z")
@@ -52,13 +52,13 @@ class Ids:
         self.quick = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.line_end = self.quick.encode_ordinary("\n")[0]
         self.known: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of known
 
     def by_library(self, raw: bytes) -> bytes:
         return np.array(self.library.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > WORDS:
-            self.known.clear()
+        """Remembers words of one batch, whose texts bound what it adds."""
         plain = [w for w in words if _PLAIN.match(w) and b"<|" not in w]
         if plain:
             ids = np.array(self.quick.encode_ordinary(b"\n".join(plain).decode()), "<u4")
@@ -71,6 +71,11 @@ class Ids:
                 start = end + 1
         for word in words.difference(plain):
             self.known[word] = self.by_library(word)
+        self.held += sum(len(word) + len(self.known[word]) for word in words)
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
@@ -82,8 +87,11 @@ class Ids:
                 new.update(words)
         known = self.known
         missing = new.difference(known)
+        if missing and (len(known) + len(missing) > WORDS or self.held > WORD_BYTES):
+            self.forget()
+            missing = new
         if missing:
-            self.learn(missing if len(known) + len(missing) <= WORDS else new)
+            self.learn(missing)
         for raw, words in zip(raws, parts, strict=True):
             yield self.by_library(raw) if words is None else b"".join(map(known.__getitem__, words))
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, islice
@@ -25,8 +26,10 @@ from tokenizers import Tokenizer
 
 from quillon.llm.common import map_batches, text_of
 
-#: Words and word prefixes that a task remembers; beyond these numbers it starts afresh.
-WORDS, PREFIXES, PAIRS = 800_000, 300_000, 400_000
+#: Bytes of words, and numbers of word prefixes and pairs, that a task remembers; beyond these it starts afresh.
+WORD_BYTES, PREFIXES, PAIRS = 128 << 20, 300_000, 400_000
+#: What a word that is remembered takes besides its bytes, about.
+ENTRY = 120
 #: Longer words are worked out by position, without remembering each of their prefixes.
 LONG = 48
 END = "</w>"
@@ -48,6 +51,8 @@ class PrefixCounter:
         self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in spec["added_tokens"]) + ")")
         self.words: dict[bytes, int] = {b"": 0}
+        self.held = 0  # bytes of words
+        self.kinds: dict[str, str] = {}
         self.prefixes: dict[str, tuple[str, int]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -75,10 +80,10 @@ class PrefixCounter:
             self.pairs[key] = known
         return known
 
-    def _step(self, word: str, end: int, last: list[str], suffix: str) -> str:
-        """The token that ends word[:end], given those that end shorter prefixes."""
+    def _step(self, word: str, end: int, last: list[str], suffix: str, before: int = 0) -> str:
+        """The token that ends word[:end], given those that end shorter prefixes; word lacks its first `before` letters."""
         for k in range(min(end, self.longest), 0, -1):
-            token = word[end - k : end] + suffix
+            token = word[end - k - before : end - before] + suffix
             if token in self.vocab and self.compatible(last[end - k], token):
                 return token
         raise ValueError(f"no encoding: {word[:end]!r}")
@@ -123,16 +128,20 @@ class PrefixCounter:
         for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
             yield piece
 
+    def _count(self, raw: bytes) -> int:
+        return sum(1 if k % 2 else sum(map(self.piece, self._pieces(part))) for k, part in enumerate(self.special.split(raw.decode())))
+
     def word(self, raw: bytes) -> int:
         """Tokens of a word in UTF-8: a run without ASCII white space."""
         count = self.words.get(raw)
         if count is None:
-            count = 0
-            for k, part in enumerate(self.special.split(raw.decode())):
-                count += 1 if k % 2 else sum(map(self.piece, self._pieces(part)))
-            if len(self.words) >= WORDS:
+            count = self._count(raw)
+            if self.held > WORD_BYTES:
                 self.words.clear()
-            self.words[raw] = count
+                self.held = 0
+            if len(raw) < WORD_BYTES >> 10:  # a longer one is worked out each time
+                self.words[raw] = count
+                self.held += len(raw) + ENTRY
         return count
 
     def counts(self, raw: bytes) -> list[int]:
@@ -143,6 +152,15 @@ class PrefixCounter:
             out = [self.word(w) if n is None else n for w, n in zip(words, out, strict=True)]
         return out
 
+    def kind(self, char: str) -> str:
+        """What the pre-tokenizer takes a normal character for: letter (L), number (N), white space (empty), or other (O)."""
+        known = self.kinds.get(char)
+        if known is None:
+            cut = self.library.pre_tokenizer.pre_tokenize_str
+            known = "" if not cut(char) else "L" if len(cut("a" + char)) == 1 else "O" if len(cut("!" + char)) == 1 else "N"
+            self.kinds[char] = known
+        return known
+
     def total(self, text: str) -> int:
         return sum(self.counts(text.encode()))
 
@@ -150,16 +168,16 @@ class PrefixCounter:
         """Token counts of run[:1], run[:2], ..., for a run without ASCII white space.
 
         A prefix has the pre-tokens of the whole run up to the one it ends in, of which it has a prefix, so one pass over
-        each pre-token does. Where a prefix may be cut otherwise (inside a contraction, a special string, or letters that
-        the normalizer joins), it is counted from the pre-token that it ends in.
+        each pre-token does. A part in which the normalizer joins letters is walked by character (_Walk), which takes back
+        what only a prefix has. Prefixes of a contraction or a special string, a few letters each, are counted from the pre-token that they end in.
         """
         out: list[int] = []
         done = tail = 0  # tokens before, and the place where the pre-token before began
         for k, part in enumerate(self.special.split(run)):
             at = len(out)
             if k % 2:
-                base = done - self.word(run[tail:at].encode())
-                out += [base + self.word(run[tail:e].encode()) for e in range(at + 1, at + len(part))] + [done + 1]
+                base = done - self._count(run[tail:at].encode())
+                out += [base + self._count(run[tail:e].encode()) for e in range(at + 1, at + len(part))] + [done + 1]
                 done, tail = done + 1, at + len(part)
                 continue
             letters = [c.lower() if c.isascii() else self.library.normalizer.normalize_str(c) for c in part]
@@ -168,16 +186,16 @@ class PrefixCounter:
             ends = np.cumsum([len(x) for x in letters]).tolist()  # where each code point's normal form ends
             place = {0: 0} | {e: i for i, e in enumerate(ends, 1)}
             if "".join(letters) != whole or _CONTROL.search(part) or any(a not in place or b not in place for _, (a, b) in pieces):
-                out += [done + self.word(part[:e].encode()) for e in range(1, len(part) + 1)]
-                done += self.word(part.encode())
-                tail = at
+                inner, tail = _Walk(self).prefixes(part)
+                out += [done + n for n in inner]
+                done, tail = out[-1], at + tail
                 continue
             for piece, (a, b) in pieces:
                 first, last = place[a], place[b]
                 out += [done] * (at + first - len(out))  # white space beyond ASCII
                 tail = at + first
                 if whole[a] == "'" and b - a > 1 and whole[a + 1].isalpha():
-                    out += [done + self.word(part[first:e].encode()) for e in range(first + 1, last + 1)]
+                    out += [done + self._count(part[first:e].encode()) for e in range(first + 1, last + 1)]
                 else:
                     stops = list(accumulate(len(x.encode()) for x in letters[first:last]))
                     out += [done + n for n in self.piece_prefixes(piece, stops)]
@@ -210,6 +228,146 @@ class PrefixCounter:
         return len(raw[:start].decode()) + max((i for i, n in enumerate(inner, 1) if n <= left), default=0)
 
 
+class _Walk:
+    """Counts of a growing text of normal characters: the tokens of closed pre-tokens, and the open one with its prefixes."""
+
+    def __init__(self, counter: PrefixCounter) -> None:
+        self.counter = counter
+        self.done, self.kind, self.quote = 0, "", ""  # quote: an apostrophe, and a letter after it, that may become a contraction
+        self.letters, self.before = "", 0  # the open pre-token in byte-level letters, without so many at its begin
+        self.last, self.count = [""], [0]
+
+    def _push(self, char: str) -> None:
+        c = self.counter
+        for letter in byte_letters(char):
+            self.letters += letter
+            if len(self.letters) > 4 * c.longest:  # no token reaches further back
+                self.before += len(self.letters) - c.longest
+                self.letters = self.letters[-c.longest :]
+            token = c._step(self.letters, len(self.last), self.last, "", self.before)
+            self.last.append(token)
+            self.count.append(self.count[len(self.last) - 1 - len(token)] + 1)
+
+    def _open(self) -> int:
+        """Tokens of the open pre-token, as one that ends here."""
+        if self.quote:
+            return sum(map(self.counter.piece, map(byte_letters, self.quote)))
+        if not self.kind:
+            return 0
+        end = len(self.last) - 1
+        token = self.counter._step(self.letters, end, self.last, END, self.before)
+        return self.count[end - len(token) + len(END)] + 1
+
+    def _close(self) -> None:
+        self.done += self._open()
+        self.kind = self.quote = self.letters = ""
+        self.before, self.last, self.count = 0, [""], [0]
+
+    def tokens(self) -> int:
+        return self.done + self._open()
+
+    def step(self, char: str) -> None:
+        """One more normal character."""
+        if self.quote:
+            both = self.quote + char
+            if both in CONTRACTIONS:
+                self.done += self.counter.piece(byte_letters(both))
+                self.quote = ""
+                return
+            if any(x.startswith(both) for x in CONTRACTIONS):
+                self.quote = both
+                return
+            pending, self.quote = self.quote, ""
+            self.kind = "O"
+            self._push(pending[0])
+            for c in pending[1:]:
+                self._plain(c)
+        self._plain(char)
+
+    def _plain(self, char: str) -> None:
+        kind = self.counter.kind(char)
+        if kind and kind != "N" and kind == self.kind:
+            self._push(char)
+            return
+        self._close()
+        if kind == "N":
+            self.done += self.counter.piece(byte_letters(char))
+        elif char == "'":
+            self.quote = char
+        elif kind:
+            self.kind = kind
+            self._push(char)
+
+    def prefixes(self, part: str) -> tuple[list[int], int]:
+        """Tokens of part[:1], part[:2], ...; and a place from which on a longer text is cut anew.
+
+        Normal forms change only between a starter and what joins it, so they are made cluster by cluster. Inside a cluster
+        the normal form of each prefix is tried, and taken back where a longer one has another. A mark that stays as it is behind
+        its like does so for as long as it is repeated; only long rows of different marks on one letter are made anew for each prefix.
+        """
+        normal = self.counter.library.normalizer.normalize_str
+        out: list[int] = []
+        tail = start = 0
+        while start < len(part):
+            end = start + 1
+            while end < len(part) and joins(part[end]):
+                end += 1
+            if not self.kind and not self.quote:
+                tail = start
+            cluster, formed, settled, kept = part[start:end], "", False, self._state()
+            for k, char in enumerate(cluster, 1):
+                if settled and char == cluster[k - 2]:
+                    self.step(char)
+                    formed += char
+                else:
+                    now = normal(cluster[:k])
+                    if not now.startswith(formed):
+                        self._restore(kept)
+                        formed = ""
+                    settled = formed.endswith(char) and now == formed + char
+                    for c in now[len(formed) :]:
+                        self.step(c)
+                    formed = now
+                out.append(self.tokens())
+            start = end
+        return out, tail
+
+    def _state(self) -> tuple:
+        return self.done, self.kind, self.quote, self.letters, self.before, len(self.last), self.last, self.count
+
+    def _restore(self, state: tuple) -> None:
+        self.done, self.kind, self.quote, self.letters, self.before, size, self.last, self.count = state
+        del self.last[size:], self.count[size:]
+
+
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+
+
+@lru_cache(maxsize=1)
+def _byte_table() -> list[str]:
+    """Letters of bytes: printable ones stand for themselves, the others for the letters from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+def byte_letters(text: str) -> str:
+    table = _byte_table()
+    return "".join(table[b] for b in text.encode())
+
+
+@lru_cache(maxsize=1)
+def _second_parts() -> frozenset[str]:
+    """Characters that a canonical composition may join to the one before."""
+    parts = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    return frozenset(chr(int(p[1], 16)) for p in parts if len(p) == 2 and "<" not in p[0]) | frozenset(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+
+
+def joins(char: str) -> bool:
+    """Whether a normal form may join a character with what is before it, or move it."""
+    return not char.isascii() and (unicodedata.combining(char) > 0 or char in _second_parts())
+
+
 _RUNS = re.compile(r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+")
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")

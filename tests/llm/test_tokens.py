@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import time
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -42,6 +44,54 @@ def test_every_prefix():
             assert count.fit(t.encode(), count.counts(t.encode()), limit) == max(k for k, n in enumerate(want) if n <= limit), repr(t)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_every_prefix_of_joined_letters(seed):
+    """Letters that the normalizer joins or moves, contractions in the making, control signs and special strings."""
+    library = Tokenizer.from_file(PATH)
+    count = tokens.PrefixCounter(PATH)
+    draw = random.Random(seed)
+    signs = [*"eAsrdl4!''が한Σİﬁ\xa0\u3000\x1c\x00\x85\u200d", *"\u0301\u0323\u0327\u0345\u3099\u1112\u1161\u11ab", "\U00011099\U000110ba", "<|endoftext|>", "<|end", "\u212a", "👍🏽"]
+    for _ in range(400):
+        t = "".join(draw.choice(signs) for _ in range(draw.randrange(1, 14)))
+        assert count.every_prefix(t).tolist() == [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)], ascii(t)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        unicodedata.normalize("NFD", "がぎぐげござパピプ") * 6000, unicodedata.normalize("NFD", "한국어") * 14_000, "e\u0323\u0301o\u0301" * 20_000,
+        "ab\x00\x01" * 25_000, "e" + "\u0301" * 100_000, "x" * 100_000, "\u00e9'" * 50_000,
+    ],
+    ids=["kana", "jamo", "latin", "control", "marks", "letters", "quotes"],
+)
+def test_prefixes_of_long_runs(text):
+    library = Tokenizer.from_file(PATH)
+    count = tokens.PrefixCounter(PATH)
+    t = text[:100_000]
+    began = time.perf_counter()
+    chars = count.fit(t.encode(), count.counts(t.encode()), 2048)
+    assert time.perf_counter() - began < 60
+    assert len(library.encode(t[:chars], add_special_tokens=False).ids) <= 2048 < len(library.encode(t[: chars + 1], add_special_tokens=False).ids)
+    assert len(count.words) <= 3  # no prefix is remembered
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "WORD_BYTES", 20_000)
+    count = tokens.PrefixCounter(PATH)
+    library = Tokenizer.from_file(PATH)
+    for k in range(2000):
+        t = f"word{k}"
+        assert count.word(t.encode()) == len(library.encode(t, add_special_tokens=False).ids)
+        assert sum(len(w) + tokens.ENTRY for w in count.words) <= 21_000
+    monkeypatch.setattr(packing, "WORD_BYTES", 20_000)
+    ids = packing.Ids(*byte_tokenizer())
+    plain = Tokenizer.from_file(byte_tokenizer()[0])
+    for k in range(300):
+        texts_ = [" ".join(f"w{k * 20 + j}" for j in range(20))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.batch(texts_)] == [plain.encode(t, add_special_tokens=False).ids for t in texts_]
+        assert ids.held == sum(len(a) + len(b) for a, b in ids.known.items()) < 21_000
+
+
 def test_token_counts(odd, none):
     library = Tokenizer.from_file(PATH)
     want = sorted((i or 0, len((t or "").encode()), n, n > 100) for i, t in ODD for n in [len(library.encode(t or "", add_special_tokens=False).ids)])
