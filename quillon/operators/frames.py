@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from quillon import schemas
 
 
-def decode(lines: DataFrame, text_col: str = "value", last_col: str = "unterminated") -> DataFrame:
-    """Frames from lines of NDJSON. Blank lines are skipped; a line that does not decode is an error, unless it is the
+def decode(lines: DataFrame, text_col: str = "value", last_col: str = "unterminated", keep: list[str] | None = None) -> DataFrame:
+    """Frames from lines of NDJSON, with the columns of lines to keep. Blank lines are skipped; a line that does not decode is an error, unless it is the
     unterminated last line of its file (last_col), which a writer had not finished."""
     rows = lines.where(F.trim(text_col) != "").withColumn("_frame", F.from_json(text_col, schemas.FRAME + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
     torn = F.coalesce(F.col(last_col), F.lit(False)) & F.col("_frame._bad").isNotNull()
     rows = rows.where(~torn)
     bad = F.col("_frame._bad")
     job = F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("not a frame: "), bad)).cast("string")).otherwise(F.col("_frame.job"))
-    out = rows.select(F.col("_frame.schema_version").alias("schema_version"), job.alias("job"), *[F.col(f"_frame.{c}").alias(c) for c in ("kind", "offset", "payload")], F.col("_frame.at").cast("timestamp").alias("at"))
+    out = rows.select(F.col("_frame.schema_version").alias("schema_version"), job.alias("job"), *[F.col(f"_frame.{c}").alias(c) for c in ("kind", "offset", "payload")], F.col("_frame.at").cast("timestamp").alias("at"), *(keep or []))
     return schemas.with_defaults(out, "frame")
 
 

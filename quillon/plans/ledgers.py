@@ -10,7 +10,7 @@ from quillon.operators import frames, render, state
 from quillon.plans.listings import said
 from quillon.plans.queries import FRAMES, KERNELS, OBS, OFFERS, ORACLE_SQL, RUNS, query, verdict_report
 from quillon.session import scratch, table
-from quillon.sources import files, sinks
+from quillon.sources import files, logs, sinks
 
 
 @query(f"""WITH {OBS} SELECT provider, gpu, count(*) AS n, sum(setup_s) AS setup_s FROM o WHERE provider = 'p3' AND gpu = 'g0' GROUP BY ALL""")
@@ -52,16 +52,32 @@ def log_archive(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch(spark)
     rows = a.frames(spark, sf).where("arrival < 1000000000").withColumn("offset", F.col("arrival") * 512)
     lines = frames.encode(rows.withColumn("schema_version", F.lit(1))).select("offset", F.rpad("line", 511, " ").alias("line"))
-    sinks.roll(lines, folder, 64 << 10)
+    logs.roll(lines, folder, 64 << 10)
     return files.frames_from(spark, folder, 100_000).select("job", "kind", "offset", F.unix_micros("at").alias("at"))
 
 
+@query(f"""WITH {FRAMES} SELECT job, kind, arrival * 512 AS "offset", epoch_us("at") AS "at" FROM once WHERE arrival * 512 >= 100000""")
+def log_followed(spark: SparkSession, sf: str) -> DataFrame:
+    """A log followed as a stream from a byte offset on: archives, a live file, and a last line that is not finished."""
+    from quillon.streaming import jobs
+
+    folder = scratch(spark)
+    rows = a.frames(spark, sf).where("arrival < 1000000000").withColumn("offset", F.col("arrival") * 512)
+    lines = frames.encode(rows.withColumn("schema_version", F.lit(1))).select("arrival", "offset", F.rpad("line", 511, " ").alias("line"))
+    live = lines.agg(F.greatest(F.max("arrival") - 50, F.lit(0))).first()[0]
+    logs.roll(lines.where(F.col("arrival") < live), f"{folder}/log", 64 << 10)
+    tail = lines.where(F.col("arrival") >= live).orderBy("arrival").collect()  # the live file: fifty lines
+    logs.append_live(f"{folder}/log", "".join(f"{r.line}\n" for r in tail) + '{"schema_version":1,"job":"1","ki')
+    jobs.catch_up(jobs.log_stream(spark, f"{folder}/log", 100_000), f"{folder}/out", f"{folder}/checkpoint")
+    return jobs.stored_frames(spark, f"{folder}/out").select("job", "kind", "offset", F.unix_micros("at").alias("at"))
+
+
 @query("""SELECT 'running' AS state, count(*) AS "offset", CAST(max(event_id) * 512 // 65536 + 1 AS BIGINT) AS most, (SELECT count(DISTINCT event_id * 512 // 65536) FROM events) AS segments FROM events""")
 def log_status(spark: SparkSession, sf: str) -> DataFrame:
     """A log's heartbeat beside its segments; the segments' names tell where they begin."""
     folder = scratch(spark)
     events = table(spark, sf, "events")
-    sinks.roll(events.select((F.col("event_id") * 512).alias("offset"), F.rpad("event_type", 511, "x").alias("line")), folder, 64 << 10)
+    logs.roll(events.select((F.col("event_id") * 512).alias("offset"), F.rpad("event_type", 511, "x").alias("line")), folder, 64 << 10)
     sinks.heartbeat(spark, folder, "running", events.count(), 0, "now")
     ends = files.segments(spark, folder).agg(F.count("*").cast("long").alias("segments"), F.max(F.floor(F.col("start") / (64 << 10)) + 1).cast("long").alias("most"))
     return files.heartbeat(spark, folder).select("state", "offset").crossJoin(ends)  # one row each
@@ -71,7 +87,7 @@ def log_status(spark: SparkSession, sf: str) -> DataFrame:
 def log_resumed(spark: SparkSession, sf: str) -> DataFrame:
     """Where a log goes on: the live segment begins at the end of the last archive, and the next byte comes after what it holds."""
     folder = scratch(spark)
-    sinks.roll(table(spark, sf, "events").select((F.col("event_id") * 512).alias("offset"), F.rpad("event_type", 511, "x").alias("line")), folder, 64 << 10)
+    logs.roll(table(spark, sf, "events").select((F.col("event_id") * 512).alias("offset"), F.rpad("event_type", 511, "x").alias("line")), folder, 64 << 10)
     sinks.one_file(spark.range(1).select(F.lit("12345").alias("value")), f"{folder}/live.ndjson")
     return files.resume_position(spark, folder)
 

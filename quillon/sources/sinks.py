@@ -58,31 +58,6 @@ def heartbeat(spark: SparkSession, folder: str, job_state: str, offset: int, bas
     row.coalesce(1).write.mode("overwrite").json(f"{folder}/status.json")
 
 
-def roll(lines: DataFrame, folder: str, most_bytes: int = 4 << 20) -> int:
-    """Writes stamped lines (offset, line) as zstd segments `<start>-<end>.ndjson.zst`; returns the offset after the last.
-
-    A segment holds the lines that begin within most_bytes, so what one group gathers is bounded. A task that is tried
-    again writes the same bytes under the same name. The folder may be on any file system that Arrow reaches.
-    """
-    import pandas as pd
-    from pyarrow import fs
-
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
-
-        rows = rows.sort_values("offset")
-        data = "".join(f"{x}\n" for x in rows["line"]).encode()
-        start = int(rows["offset"].iloc[0])
-        files_, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        files_.create_dir(path, recursive=True)
-        with files_.open_output_stream(f"{path}/{start:020d}-{start + len(data):020d}.ndjson.zst", compression=None) as out:
-            out.write(zstandard.compress(data))
-        return pd.DataFrame({"end": [start + len(data)]})
-
-    cut = lines.select("offset", "line", F.floor(F.col("offset") / most_bytes).alias("segment"))
-    return cut.groupBy("segment").applyInPandas(write, "end long").agg(F.coalesce(F.max("end"), F.lit(0).cast("long"))).first()[0]
-
-
 def profile_document(device: str, host: str, **lists: DataFrame) -> DataFrame:
     """One row of JSON: a profile with its lists (summaries, windows, kernels, memcpys, activities) in the order of `ordinal`.
 

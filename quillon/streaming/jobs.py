@@ -1,9 +1,9 @@
-"""Job streams: frames from files as they arrive, ingested once each, and projected to job states.
+"""Job streams: frames from files or logs as they arrive, ingested once each, and projected to job states.
 
-The file source keeps its place in the checkpoint. Each micro-batch writes what is new as a batch of its own, which a
-batch that is run again replaces: frames that are not stored yet, by buckets of jobs, so that a batch is only held
-against the buckets that its jobs are in; of each job that it touches the last start and the last end; and samples. Job
-states are those starts and ends folded by job when they are read. Nothing that is stored is written again.
+The source keeps its place in the checkpoint, and so does the state of each job (states.py): which frames were seen, and the last
+start and the last end. So a micro-batch costs what it brings, whatever came before. It is written as a batch of its own,
+which a batch that is run again replaces: frames that are new, the states of jobs that they change, and samples. Job
+states are those folded by job when they are read. Nothing that is stored is read or written again.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from quillon import schemas
 from quillon.operators import frames
-from quillon.sources import sinks
+from quillon.session import on_workers
+from quillon.sources import logs, sinks
+from quillon.streaming import states
 
 FRAMES = "job string, kind string, offset long, at timestamp, payload string, arrival long"
 MOVES = "job string, started struct<arrival: long, at: timestamp>, ended struct<arrival: long, at: timestamp, exit_code: int>"
 SAMPLES = "job string, offset long, at timestamp, rss long"
-#: Buckets of jobs that stored frames are parted by.
-BUCKETS = 64
 
 
 def frame_stream(spark: SparkSession, folder: str, files_each: int | None = None) -> DataFrame:
@@ -32,9 +32,16 @@ def frame_stream(spark: SparkSession, folder: str, files_each: int | None = None
     return schemas.with_defaults(reader.json(folder), "frame").select("job", "kind", "offset", "at", "payload", "arrival")
 
 
+def log_stream(spark: SparkSession, folder: str, since: int = 0) -> DataFrame:
+    """Frames of a job's log from a byte offset on, over archives and the live file, in the order of their bytes (arrival)."""
+    lines = logs.lines(spark, folder, since).select(F.col("position").alias("_position"), "value", F.lit(False).alias("unterminated"))
+    decoded = frames.decode(lines, keep=["_position"])
+    return decoded.select("job", "kind", "offset", "at", "payload", F.col("_position").alias("arrival"))
+
+
 def stored_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Every frame once, with the bucket of its job and the batch that brought it."""
-    return sinks.batches(spark, f"{folder}/frames", f"{FRAMES}, bucket int")
+    """Every frame once, with the batch that brought it."""
+    return sinks.batches(spark, f"{folder}/frames", f"{FRAMES}, what string").where("what = 'frame'").drop("what")
 
 
 def stored_samples(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,38 +64,61 @@ def job_states(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _put(spark: SparkSession, folder: str, number: int, moved: DataFrame | None = None) -> None:
+    """Writes the moves and samples of a batch whose frames are written."""
+    written = sinks.batches(spark, f"{folder}/frames", f"{FRAMES}, what string, {states.MOVE}").where(F.col("batch") == number)
+    if moved is None:
+        time = lambda name: F.timestamp_micros(name).alias("at")
+        has = lambda kind, *fields: F.when(F.col(f"{kind}_arrival").isNotNull(), F.struct(F.col(f"{kind}_arrival").alias("arrival"), time(f"{kind}_at"), *fields)).alias(kind)
+        moved = written.where("what = 'state'").select("job", has("started"), has("ended", "exit_code"))
+    sinks.put(moved, f"{folder}/moves", number)
+    sinks.put(frames.samples(written.where("what = 'frame'")), f"{folder}/samples", number)
+
+
 def ingest(folder: str, strict_compat: bool = False) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: stores first writes, and the moves and samples among them.
+    """A function that stores a batch without a stream, held against all frames that are stored: first writes, their moves and samples.
 
     With strict_compat every arrival counts as a move instead, so a replayed `started` sets an ended job back to running.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        bucketed = batch.withColumn("bucket", F.pmod(F.hash("job"), F.lit(BUCKETS)))
-        touched = [r.bucket for r in bucketed.select("bucket").distinct().collect()]  # BUCKETS rows at most
-        known = stored_frames(spark, folder).where(F.col("bucket").isin(touched) & (F.col("batch") != number))
-        new = frames.first_writes(bucketed, known)
-        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/frames/batch={number}")
+        known = stored_frames(spark, folder).where(F.col("batch") != number)
+        new = frames.first_writes(batch, known).withColumn("what", F.lit("frame"))
+        new.write.mode("overwrite").partitionBy("what").parquet(f"{folder}/frames/batch={number}")
         written = stored_frames(spark, folder).where(F.col("batch") == number)
-        sinks.put(moves(batch if strict_compat else written), f"{folder}/moves", number)
-        sinks.put(frames.samples(written), f"{folder}/samples", number)
+        _put(spark, folder, number, moves(batch if strict_compat else written))
+
+    return run
+
+
+def arrived(folder: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for states.first_writes(): its rows are written once, for state must not be worked out twice."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.withColumn("at", F.timestamp_micros("at")).write.mode("overwrite").partitionBy("what").parquet(f"{folder}/frames/batch={number}")
+        _put(batch.sparkSession, folder, number)
 
     return run
 
 
-def writer(stream: DataFrame, folder: str, checkpoint: str, strict_compat: bool = False) -> DataStreamWriter:
-    return stream.writeStream.foreachBatch(ingest(folder, strict_compat)).option("checkpointLocation", checkpoint)
+def writer(stream: DataFrame, folder: str, checkpoint: str, strict_compat: bool = False, delay: str | None = None) -> DataStreamWriter:
+    """What stores a stream; start it inside states.rocks()."""
+    on_workers(stream.sparkSession)
+    return states.first_writes(stream, delay, strict_compat).writeStream.outputMode("update").foreachBatch(arrived(folder)).option("checkpointLocation", checkpoint)
 
 
-def catch_up(stream: DataFrame, folder: str, checkpoint: str, strict_compat: bool = False) -> None:
+def catch_up(stream: DataFrame, folder: str, checkpoint: str, strict_compat: bool = False, delay: str | None = None) -> None:
     """Ingests what has arrived and ends."""
-    writer(stream, folder, checkpoint, strict_compat).trigger(availableNow=True).start().awaitTermination()
+    with states.rocks(stream.sparkSession):
+        query = writer(stream, folder, checkpoint, strict_compat, delay).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
-def watch(stream: DataFrame, folder: str, checkpoint: str, seconds: float) -> StreamingQuery:
+def watch(stream: DataFrame, folder: str, checkpoint: str, seconds: float, delay: str | None = None) -> StreamingQuery:
     """Ingests on a trigger until it is stopped."""
-    return writer(stream, folder, checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    with states.rocks(stream.sparkSession):
+        return writer(stream, folder, checkpoint, delay=delay).trigger(processingTime=f"{seconds} seconds").start()
 
 
 def follow(stream: DataFrame, folder: str, checkpoint: str, job: str, since: int = -1, passes: int = 1) -> DataFrame:
@@ -98,7 +128,7 @@ def follow(stream: DataFrame, folder: str, checkpoint: str, job: str, since: int
         catch_up(stream, folder, checkpoint)
         if not job_states(spark, folder).where((F.col("job") == job) & (F.col("state") == "ended")).isEmpty():
             break
-    return frames.tail(stored_frames(spark, folder).drop("bucket", "batch"), job, since)
+    return frames.tail(stored_frames(spark, folder).drop("batch"), job, since)
 
 
 def once_within(stream: DataFrame, delay: str) -> DataFrame:

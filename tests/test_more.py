@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import numeric, text
 from quillon.operators import config, costs, fleet, frames, lab, packages, render, state, trace
-from quillon.sources import files, market, parsers, sinks
+from quillon.sources import files, market, parsers, logs, sinks
 
 
 def one(spark, column):
@@ -54,7 +54,7 @@ def test_append_and_roll(spark, tmp_path):
     sinks.heartbeat(spark, str(tmp_path), "running", 7, 0, "t")
     assert files.heartbeat(spark, str(tmp_path)).first().offset == 7
     lines = frames.stamped(spark.createDataFrame([(i, f'{{"job":"j","offset":{7 * i}}}') for i in range(20)], "ordinal int, line string"), [])
-    end = sinks.roll(lines, str(tmp_path / "r"), 100)
+    end = logs.roll(lines, str(tmp_path / "r"), 100)
     found = files.segments(spark, str(tmp_path / "r")).orderBy("start").collect()
     assert len(found) > 3 and found[-1].end == end and all(a.end == b.start for a, b in zip(found, found[1:], strict=False))
     assert files.frames_from(spark, str(tmp_path / "r")).count() == 20
