@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: sentence scores are learned from document labels through a noisy-or.
 
-A document is toxic if any of its sentences is: P(doc) = 1 - prod(1 - p(sentence)), p(sentence) = sigmoid(b + sum
-of the weights of its terms). That holds for fitting, where texts are as long as they are; a score counts b once a
-document, so that length alone makes no document toxic. Terms are words and beginnings of words, so that inflected and compound words share
+A document is toxic if any of its sentences is, or of itself: P(doc) = 1 - (1 - leak) prod(1 - p(sentence)), with leak = sigmoid(b) and
+1 - p(sentence) = (1 + e^b) / (1 + e^(b + x)), where x is the sum of the weights of its terms, or 0 if that is less. So a sentence of known
+terms alone in a text has the log-odds b + x, one without any is never toxic, and length alone makes no document toxic. This is what is fitted, what scores a
+document, and what sentences() gives. Terms are words and beginnings of words, so that inflected and compound words share
 what is learned. Only documents have labels; the noisy-or's gradient tells sentences apart.
 
 1. A bounded sample of labelled documents (FIT of them, the smallest digests of ids) is matched with the texts.
@@ -35,7 +36,7 @@ TERMS, LEAST_DOCS = 4096, 3
 #: Letters of the beginnings of words that are terms.
 BEGINNINGS = (4, 5, 6, 7)
 #: The part of its log-odds that a weight starts from.
-PRIOR = 0.3
+PRIOR = 0.25
 #: Gradient steps, their size, and the pull of weights toward where they started.
 STEPS, RATE, DECAY = 60, 0.1, 1e-4
 #: Partitions of the sample.
@@ -59,33 +60,35 @@ def terms_of(text: str) -> set[str]:
     return out
 
 
+def _softplus(z: float) -> float:
+    """-log(1 - sigmoid(z))."""
+    return z if z > 30 else math.log1p(math.exp(z))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Weights of terms, and the bias of a sentence; of a bounded size.
-
-    With `once`, the bias counts once a document, and sentences add what their terms raise them above it: no number of
-    sentences without known terms makes a document toxic. Without, every sentence has the bias.
-    """
+    """Weights of terms, and the bias of a document; of a bounded size."""
 
     weights: dict[str, float]
     bias: float
-    once: bool = False
+
+    def leak(self) -> float:
+        """The probability that a document without known terms is toxic."""
+        return -math.expm1(-_softplus(self.bias))
 
     def sentence(self, text: str) -> float:
-        """The log-odds of one sentence; a term that it repeats counts once."""
-        return self.bias + sum(self.weights[t] for t in terms_of(text) if t in self.weights)
+        """The probability that a sentence is toxic; a term that it repeats counts once."""
+        return -math.expm1(-self._excess(terms_of(text)))
+
+    def _excess(self, terms: set[str]) -> float:
+        x = sum(self.weights[t] for t in terms if t in self.weights)
+        return _softplus(self.bias + x) - _softplus(self.bias) if x > 0 else 0.0
 
     def document(self, text: str) -> float:
-        """The probability that any sentence is toxic; an empty text has one empty sentence."""
-        places = spans(text)
-        plain = math.log1p(math.exp(self.bias))  # -log(1 - p) of a sentence without known terms
-        if self.weights.keys().isdisjoint(terms_of(text)):
-            return -math.expm1(-plain * (1 if self.once else max(1, len(places))))
-        total = plain if self.once else 0.0
-        for a, b in places:
-            z = self.sentence(text[a:b])
-            own = plain if z == self.bias else z if z > 30 else math.log1p(math.exp(z))
-            total += max(0.0, own - plain) if self.once else own
+        """The probability of the noisy-or of all sentences and the leak."""
+        total = _softplus(self.bias)
+        if not self.weights.keys().isdisjoint(terms_of(text)):
+            total += sum(self._excess(terms_of(text[a:b])) for a, b in spans(text))
         return -math.expm1(-total)
 
 
@@ -110,28 +113,30 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     return texts.join(F.broadcast(taken), "key").select("label", "text")
 
 
-def loss_and_slope(weights: np.ndarray, bias: float, toxic: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.ndarray, term: np.ndarray) -> tuple[float, np.ndarray]:
+def loss_and_slope(weights: np.ndarray, bias: float, toxic: np.ndarray, doc: np.ndarray, sentence: np.ndarray, term: np.ndarray) -> tuple[float, np.ndarray]:
     """The noisy-or's loss, -log P(label) summed over documents, and its slope by weights and (last) bias.
 
-    toxic and plain (sentences without terms) have an entry per document; doc, sentence and term have one for each term
-    of each other sentence.
+    toxic has an entry per document; doc, sentence and term have one for each term of each sentence that has any.
     """
     own, place = np.unique(np.c_[doc, sentence], axis=0, return_inverse=True)
     place = place.reshape(-1)
-    z = bias + np.bincount(place, weights[term], len(own))
-    total = np.bincount(own[:, 0], np.logaddexp(0, z), len(plain)) + plain * np.logaddexp(0, bias)  # -log P(clean)
+    x = np.bincount(place, weights[term], len(own))
+    counts = x > 0
+    odds = lambda z: 1 / (1 + np.exp(-z))
+    excess = np.where(counts, np.logaddexp(0, bias + x) - np.logaddexp(0, bias), 0.0)
+    total = np.logaddexp(0, bias) + np.bincount(own[:, 0], excess, len(toxic))  # -log P(clean)
     total = np.clip(total, 1e-9, 500.0)
     loss = np.where(toxic, -np.log(-np.expm1(-total)), total).sum()
     pull = np.where(toxic, -1 / np.expm1(total), 1.0)  # by total: 1 for a clean document, -P(clean) / P(toxic) for a toxic one
-    slope = pull[own[:, 0]] / (1 + np.exp(-z))
-    return float(loss), np.r_[np.bincount(term, slope[place], len(weights)), slope.sum() + (pull * plain).sum() / (1 + np.exp(-bias))]
+    rise = np.where(counts, odds(bias + x), 0.0) * pull[own[:, 0]]
+    by_bias = pull.sum() * odds(bias) + (rise - counts * odds(bias) * pull[own[:, 0]]).sum()
+    return float(loss), np.r_[np.bincount(term, rise[place], len(weights)), by_bias]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = FIT) -> Model:
     """Fits a model to the labels (id, 0 or 1) of documents that may be learned from. Null ids and labels are left out.
 
-    The model counts its bias once a document. Without labels of both kinds every document has log-odds of the share
-    of toxic documents (1/2 without any).
+    Without labels of both kinds every document has the log-odds of the share of toxic documents (1/2 without any).
     """
     sample = cut(_sample(docs, labels, id_col, text_col, label_col, bound).repartition(PARTS))
 
@@ -156,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic_n, clean_n = n.get(True, 0), n.get(False, 0)
     if not toxic_n or not clean_n:
         share = (toxic_n + 0.5) / (toxic_n + clean_n + 1)
-        return Model({}, float(np.log(share / (1 - share))), once=True)
+        return Model({}, float(np.log(share / (1 - share))))
     both = map_batches(sample, words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     p, q = F.col("toxic") / toxic_n, F.col("clean") / clean_n
     share = (F.col("toxic") + F.col("clean")) / (toxic_n + clean_n)
@@ -168,20 +173,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = np.array([PRIOR * odds[w] for w in terms])
 
     def instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per document: the label, sentences without terms, and for each term of each other sentence the sentence and the term."""
+        """Per document: the label, and for each term of each sentence that has any the sentence and the term."""
         for batch in batches:
-            labels, plain, sentences, ids = [], [], [], []
+            labels, sentences, ids = [], [], []
             for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = [[place[w] for w in bag if w in place] for bag in bags(text)] or [[]]
-                some = [x for x in found if x]
+                some = [x for x in ([place[w] for w in bag if w in place] for bag in bags(text)) if x]
                 labels.append(label)
-                plain.append(len(found) - len(some))
                 sentences.append([k for k, x in enumerate(some) for _ in x])
                 ids.append([i for x in some for i in x])
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(plain, pa.int64()), pa.array(sentences, kind), pa.array(ids, kind)], ["label", "plain", "sentences", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(sentences, kind), pa.array(ids, kind)], ["label", "sentences", "ids"])
 
-    ready = cut(map_batches(sample, instances, "label int, plain long, sentences array<long>, ids array<long>"))
+    ready = cut(map_batches(sample, instances, "label int, sentences array<long>, ids array<long>"))
 
     def gradient(weights: np.ndarray, bias: float) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for batch in batches:
                 lists = batch.column("sentences")
                 doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-                out += loss_and_slope(weights, bias, batch.column("label").to_numpy() == 1, batch.column("plain").to_numpy(), doc, lists.flatten().to_numpy(), batch.column("ids").flatten().to_numpy())[1]
+                out += loss_and_slope(weights, bias, batch.column("label").to_numpy() == 1, doc, lists.flatten().to_numpy(), batch.column("ids").flatten().to_numpy())[1]
             yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["g"])
 
         parts = map_batches(ready, run, "g array<double>").collect()  # PARTS vectors of TERMS + 1 numbers at most
@@ -199,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _descend(gradient: Callable[[np.ndarray, float], np.ndarray], prior: np.ndarray, terms: list[str]) -> Model:
-    """Adam steps from the prior weights and a low bias: a sentence without known terms is hardly ever toxic."""
+    """Adam steps from the prior weights and a low bias: a document without known terms is hardly ever toxic."""
     at = np.r_[prior, -6.0]
     first, second = np.zeros(len(at)), np.zeros(len(at))
     for step in range(1, STEPS + 1):
@@ -208,11 +211,11 @@ def _descend(gradient: Callable[[np.ndarray, float], np.ndarray], prior: np.ndar
         second = 0.99 * second + 0.01 * g * g
         rate = RATE * (1 - 0.9 * step / STEPS)
         at = at - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return Model({w: float(x) for w, x in zip(terms, at[:-1], strict=True)}, float(at[-1]), once=True)
+    return Model({w: float(x) for w, x in zip(terms, at[:-1], strict=True)}, float(at[-1]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score for each row: the probability that some sentence is toxic. A null text counts as empty."""
+    """id, score for each row: the probability that it is toxic. A null text counts as empty."""
     slim = docs.select(docs[id_col].alias(id_col), text_of(docs, text_col).alias("_text"))
     fields = slim.select(id_col).schema.simpleString()[len("struct<") : -1]
 
@@ -234,7 +237,7 @@ def sentences(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "
             rows, found = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 for number, (a, b) in enumerate(spans(text)):
-                    p = 1 / (1 + math.exp(-model.sentence(text[a:b])))
+                    p = model.sentence(text[a:b])
                     if p >= least:
                         rows.append(k)
                         found.append((number, a, b, text[a:b], p))
@@ -249,7 +252,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of docs: id, held_out, score, predicted (1 if score >= least).
 
     Only the text makes a score. Labels of held-out documents are not learned from. Null and empty texts get the
-    score of one empty sentence; rows that repeat an id get a score each; a null id has no label. An empty table
+    score of a text without known terms; rows that repeat an id get a score each; a null id has no label. An empty table
     gives no rows.
     """
     model = fit(docs, labels.where(~held_out(labels[id_col])), id_col, text_col, label_col)

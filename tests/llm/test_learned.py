@@ -122,22 +122,22 @@ def test_ridge_by_a_dense_solve(spark):
 def test_noisy_or_gradient_by_finite_differences():
     draw = np.random.RandomState(3)
     docs, terms = 30, 7
-    toxic, plain = draw.rand(docs) < 0.4, draw.randint(0, 4, docs)
+    toxic = draw.rand(docs) < 0.4
     each = [(d, s, t) for d in range(docs) for s in range(draw.randint(0, 4)) for t in draw.choice(terms, draw.randint(1, 4), replace=False)]
-    plain[[d for d in range(docs) if not any(e[0] == d for e in each)]] += 1
     doc, sentence, term = np.array(each).T
     at = np.r_[draw.normal(size=terms), -1.5]
 
     def by_hand(v):
         total = 0.0
         for d in range(docs):
-            clean = (1 / (1 + np.exp(v[-1]))) ** plain[d]
+            clean = 1 / (1 + np.exp(v[-1]))
             for s in {e[1] for e in each if e[0] == d}:
-                clean *= 1 / (1 + np.exp(v[-1] + sum(v[t] for a, b, t in each if (a, b) == (d, s))))
+                x = sum(v[t] for a, b, t in each if (a, b) == (d, s))
+                clean *= (1 + np.exp(v[-1])) / (1 + np.exp(v[-1] + max(x, 0)))
             total -= np.log(1 - clean if toxic[d] else clean)
         return total
 
-    loss, slope = toxicity.loss_and_slope(at[:-1], at[-1], toxic, plain, doc, sentence, term)
+    loss, slope = toxicity.loss_and_slope(at[:-1], at[-1], toxic, doc, sentence, term)
     assert loss == pytest.approx(by_hand(at))
     for k in range(terms + 1):
         step = np.eye(terms + 1)[k] * 1e-5
@@ -179,11 +179,25 @@ def test_offending_sentences(spark):
 
 
 def test_noisy_or():
-    model = toxicity.Model({"bad": 3.0}, -2.0)
+    model = toxicity.Model({"bad": 3.0, "fine": -1.0}, -2.0)
     p = lambda z: 1 / (1 + np.exp(-z))
-    assert model.document("So bad. Fine. BAD bad") == pytest.approx(1 - (1 - p(1.0)) ** 2 * (1 - p(-2.0)))
-    assert model.document("Fine. Fine.") == pytest.approx(1 - (1 - p(-2.0)) ** 2)
-    assert model.document("") == pytest.approx(p(-2.0))
+    assert model.document("So bad") == pytest.approx(p(1.0))
+    assert model.document("So bad. Other. BAD bad") == pytest.approx(1 - (1 - p(1.0)) ** 2 / (1 - p(-2.0)))
+    assert model.document("Fine. Fine.") == model.document("") == pytest.approx(p(-2.0)) == pytest.approx(model.leak())
+    assert model.sentence("nothing known") == model.sentence("fine") == 0
+
+
+def test_the_score_is_the_noisy_or_of_the_sentences(spark):
+    """What is located explains the score: the leak and all sentences give it back."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    clean = {}
+    for r in toxicity.sentences(docs, model, least=1e-12).collect():
+        clean[r.doc_id] = clean.get(r.doc_id, 1 - model.leak()) * (1 - r.score)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert len(clean) > 50
+    assert all(s == pytest.approx(1 - clean.get(i, 1 - model.leak()), abs=1e-9) for i, s in scores.items())
 
 
 def test_length_alone_is_not_toxic(spark):
