@@ -147,6 +147,17 @@ def in_order(rows: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with copy, which counts those of one (h1, h2) from 1. They are numbered where they are: a partition counts its own, and
+    the counts of the partitions before it, one row for each partition and key, tell where it begins."""
+    placed = cut(rows.withColumn("_place", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_place", 33)))
+    counts = placed.groupBy("h1", "h2", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("h1", "h2").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("h1", "h2", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("h1", "h2", "_part").orderBy("_place"))
+    return placed.withColumn("_own", own).join(counts, ["h1", "h2", "_part"]).withColumn("copy", F.col("_before") + F.col("_own")).select(*rows.columns, "copy")
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id.
 
@@ -162,9 +173,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = prints.withColumn("copy", F.lit(1).cast("long"))
     by_key, keys = texts.select("h1", "h2", "text"), ["h1", "h2"]
     if not repeats.isEmpty():  # rows that repeat both the id and the text are told apart by a number
-        once = prints.join(repeats.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.any_value(F.struct(*prints.columns)).alias("r"))
-        copies = once.join(repeats, ["h1", "h2"]).select("r.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
-        rows = rows.join(repeats.select("h1", "h2"), ["h1", "h2"], "left_anti").unionByName(copies)
+        again = prints.join(repeats.select("h1", "h2"), ["h1", "h2"], "left_semi")
+        rows = rows.join(repeats.select("h1", "h2"), ["h1", "h2"], "left_anti").unionByName(_numbered(again))
         by_key, keys = by_key.dropDuplicates(["h1", "h2"]), ["h1", "h2", "copy"]
     places = cut(in_order(rows))
 

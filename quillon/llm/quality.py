@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, map_batches, row_key, text_of, without
+from quillon.llm.common import cut, map_batches, row_key, text_of, with_key, without
 
 FEATURES = 384
 RIDGE = 1e-3
@@ -239,8 +239,13 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     return scored.withColumns({"held_out": held_out(F.col(id_col)), "predicted": (F.col("score") >= least).cast("int")})
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.3) -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.3, score_col: str | None = None,
+) -> DataFrame:
     """The rows of docs that the classifier does not reject, with all their columns. Every row is judged by its own text,
-    whatever its id is."""
+    whatever its id is. With score_col, a name that docs has not, the rows have their scores, and are moved to meet them."""
     scored = _scored(docs, labels, id_col, text_col, label_col, least, row_key(docs, id_col, text_col))
-    return without(docs, cut(scored.where("predicted = 0").select("h1", "h2").distinct()), id_col, text_col)
+    if score_col is None:
+        return without(docs, cut(scored.where("predicted = 0").select("h1", "h2").distinct()), id_col, text_col)
+    good = scored.where("predicted = 1").groupBy("h1", "h2").agg(F.max("score").alias("score"))
+    return with_key(docs, id_col, text_col).join(good, ["h1", "h2"]).select("row.*", F.col("score").alias(score_col))

@@ -40,6 +40,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
 #: Index entries of a range, about; entries that a merge holds at once; runs that it merges at once; entries of a batch.
 RANGE, BUFFER, FAN_IN, PIECE = 250_000, 500_000, 64, 4_096
+#: Bytes that the held entries of a merge take at most, about, and those of an entry besides its texts.
+HELD, ENTRY = 256 << 20, 600
 INDEX = "url_key string, timestamp string, id string, archive string, offset long, length long, record_type string, payload_digest string"
 _ORDER = ["url_key", "timestamp", "id", "archive", "offset"]
 
@@ -131,7 +133,7 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     large = base.where(F.octet_length("payload") >= least)
     groups = large.groupBy("_sha256").agg(F.max("id").alias("keep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     small = F.octet_length("payload") < least
-    key = F.when(~small, F.col("_sha256"))
+    key = F.when(small, F.concat(F.lit("-"), F.hex(F.xxhash64("id", "_sha256", "url")))).otherwise(F.col("_sha256"))  # small ones are dealt out and meet nothing
     return base.withColumn("_sha256", key).join(groups, "_sha256", "left").drop("_sha256")
 
 
@@ -220,13 +222,13 @@ def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
 
 
 class Merge:
-    """Merges entries that come in sorted stretches, with a bounded memory: what is over `buffer` entries goes into sorted
-    files in a folder, and more than `fan_in` of these are merged into one."""
+    """Merges entries that come in sorted stretches, with a bounded memory: what is over `buffer` entries or HELD bytes goes into
+    sorted files in a folder, and more than `fan_in` of these are merged into one."""
 
     def __init__(self, folder: str, buffer: int, fan_in: int, piece: int) -> None:
         self.folder, self.buffer, self.fan_in, self.piece = folder, buffer, fan_in, piece
         self.held: list[list[tuple]] = []
-        self.count = 0
+        self.count = self.size = 0
         self.files: list[str] = []
 
     def add(self, entries: Iterator[tuple]) -> None:
@@ -238,13 +240,14 @@ class Merge:
             self.held[-1].append(entry)
             last = entry
             self.count += 1
-            if self.count >= self.buffer:
+            self.size += ENTRY + sum(len(x) for x in entry if isinstance(x, str))
+            if self.count >= self.buffer or self.size >= HELD:
                 self._spill()
                 last = None
 
     def _spill(self) -> None:
         self._write([iter(x) for x in self.held])
-        self.held, self.count = [], 0
+        self.held, self.count, self.size = [], 0, 0
         if len(self.files) >= self.fan_in:
             before = self.files
             self.files = []

@@ -32,6 +32,27 @@ def test_merge_beyond_its_buffer(tmp_path, buffer, fan_in):
     assert not (tmp_path / "spill").exists() or not list((tmp_path / "spill").iterdir())
 
 
+def test_a_merge_holds_bytes_not_entries(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "HELD", 50_000)
+    merge = warc.Merge(f"file://{tmp_path}/spill", 10**9, 64, 4)
+    entries = [("k" * 5000, "0", str(n), "a", n, 1, "response", "d") for n in range(100)]
+    merge.add(iter(entries))
+    assert merge.size < 50_000 and len(merge.files) > 5
+    assert sum(b.num_rows for b in merge.batches()) == 100
+
+
+def test_small_payloads_are_dealt_out(spark):
+    df = spark.range(4000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") < 20, F.lit("x" * 2000)).otherwise(F.lit("small")).alias("html"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = warc.captures(df)
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        kept = {r.keep for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 4000 and max(sizes) < 3500 and kept == {None, 19}
+
+
 def test_ranges_larger_than_the_buffer(spark, tmp_path):
     df, rows = pages(spark)
     folder = f"file://{tmp_path}/w"

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import quality, toxicity
+from quillon.llm import mixing, quality, toxicity
 
 from .conftest import ODD
 
@@ -63,6 +63,17 @@ def test_keep_good(spark, odd):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_scores_weigh_a_mix(spark):
+    """Scores of the classifier go on as weights: of equal documents those of better text are taken sooner."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    good = quality.keep_good(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), score_col="worth", least=0.0).where("source is not null")
+    assert good.columns == [*docs.columns, "worth"]
+    mixed = mixing.mix(good.withColumn("worth", F.when(F.col("worth") > 0.5, 1.0).otherwise(0.05)), weight_col="worth")
+    met = mixed.join(good.select("doc_id", (F.col("worth") > 0.5).alias("better")), "doc_id").where("size > 0 and target < source_size")
+    share = {r.better: r.share for r in met.groupBy("better").agg(F.avg((F.col("taken") > 0).cast("int")).alias("share")).collect()}
+    assert share[True] > share[False] + 0.15
+
+
 def test_rows_are_judged_by_their_texts(spark):
     """Every row is judged by its own text: rows without an id, and rows that repeat one."""
     draw = random.Random(5)
