@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -84,27 +85,106 @@ def has_failed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("failed", (F.size("summaries") == 0) & (F.size("kernels") == 0))
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each key, for batches that are sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = [batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)]).tolist()
+        for begin, end in zip(change, [*change[1:], batch.num_rows], strict=True):
+            key = tuple(batch.column(k)[begin].as_py() for k in keys)
+            if key != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _following(entry: np.ndarray, last: np.ndarray, interval: float) -> np.ndarray:
+    """The place of the first entry that is an interval or more after each time; the number of entries where none is."""
+    at = np.searchsorted(entry, last + interval)
+    size = len(entry)
+    for _ in range(2):  # a sum may be rounded to either side of the difference, which decides
+        below = np.maximum(at - 1, 0)
+        at = np.where((at > 0) & (entry[below] - last >= interval), below, at)
+        here = np.minimum(at, size - 1)
+        at = np.where((at < size) & (entry[here] - last < interval), at + 1, at)
+    return at
+
+
+#: Groups that one of the next level is made of, and levels. A group of the last level is FAN ** LEVELS intervals long.
+FAN, LEVELS = 128, 3
+
+
 def throttled(lines: DataFrame, by: str, interval: float) -> DataFrame:
     """Lines at which a sample is due: the first that comes an interval or more after the last sample (or after the start).
 
-    Each sample depends on the one before it, so a job's lines are folded in order; jobs are independent. Lines arrive
-    sorted by job and time (of equal times the smaller other columns first), and only the job and its last sample are
-    carried from batch to batch, so that memory is one batch whatever a job's size. A line without a time is never due.
+    Each sample depends on the one before it. A stretch of time is a function all the same: from where a chain of samples may
+    enter it, which is one of the times in its first interval or the first time after that, to the last sample in it. Such functions are composed
+    level by level, FAN stretches at a time; what is left of a job, some times for each FAN ** LEVELS intervals, is walked from
+    its start, and the samples are found on the way back down. So a job falls into as many tasks as it has stretches, and a task holds the
+    possible entries of FAN stretches. Of lines of one time the first by their other columns counts. A line without a time is never due.
     """
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        job, last = object(), None
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (by, "at", "started")]
-            keep = []
-            for key, at, started in zip(*columns, strict=True):
-                if key != job:
-                    job, last = key, started
-                due = at is not None and last is not None and at - last >= interval
-                keep.append(due)
-                last = at if due else last
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    if interval <= 0:
+        raise ValueError("an interval is more than nothing")
+    keys = lines.select(F.col(by).alias("job"), F.col("at").cast("double").alias("entry"), F.col("started").cast("double").alias("started"))
+    times = keys.where("entry - started >= %r" % interval).groupBy("job", "entry").agg(F.max("started").alias("started"))
+    levels = [times.withColumn("last", F.col("entry"))]
+    width = lambda k: interval * FAN**k
+    group = lambda k: F.floor((F.col("entry") - F.col("started")) / width(k)).cast("long")
+    kind = times.select("job").schema.simpleString()[len("struct<") : -1]
+    rows = f"{kind}, entry double, started double, last double"
+
+    def dealt(df: DataFrame, k: int) -> DataFrame:
+        return df.withColumn("group", group(k)).repartition("job", "group").sortWithinPartitions("job", "group", "entry")
+
+    def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return table.column("entry").to_numpy(), table.column("last").to_numpy()
+
+    def composed(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (job, number), table in _runs(batches, ["job", "group"]):
+                entry, last = arrays(table)
+                started = table.column("started")[0].as_py()
+                early = int(np.searchsorted(entry, started + number * width(k) + 2 * interval))  # twice, for what rounding does
+                ends = last[: early + 1].copy()
+                while (follow := _following(entry, ends, interval)).min() < len(entry):
+                    ends = np.where(follow < len(entry), last[np.minimum(follow, len(entry) - 1)], ends)
+                n = len(ends)
+                yield pa.RecordBatch.from_arrays([pa.array([job] * n, table.schema.field("job").type), pa.array(entry[:n]), pa.array(np.full(n, started)), pa.array(ends)], ["job", "entry", "started", "last"])
+
+        return run
+
+    def walked(first: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The entries that a chain takes, from the one that `first` names in each run, or from the first of all."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (job, _), table in _runs(batches, ["job", "group"]):
+                entry, last = arrays(table)
+                at, taken = int(np.searchsorted(entry, table.column(first)[0].as_py())) if first else 0, []
+                while at < len(entry):
+                    taken.append(at)
+                    at = int(_following(entry, last[at : at + 1], interval)[0])
+                yield pa.RecordBatch.from_arrays([pa.array([job] * len(taken), table.schema.field("job").type), pa.array(entry[taken])], ["job", "entry"])
+
+        return run
+
+    for k in range(1, LEVELS + 1):
+        levels.append(dealt(levels[-1], k).mapInArrow(composed(k), rows))
+    top = levels[-1].withColumn("group", F.lit(0).cast("long")).repartition("job").sortWithinPartitions("job", "entry")
+    chosen = top.mapInArrow(walked(""), f"{kind}, entry double")
+    starts = times.groupBy("job").agg(F.max("started").alias("started"))
+    for k in range(LEVELS, 0, -1):
+        entered = chosen.join(starts.withColumnRenamed("job", "_job"), F.col("job").eqNullSafe(F.col("_job"))).select("_job", group(k).alias("_group"), F.col("entry").alias("first"))
+        inside = levels[k - 1].withColumn("group", group(k)).join(entered, F.col("job").eqNullSafe(F.col("_job")) & (F.col("group") == F.col("_group")))
+        chosen = inside.repartition("job", "group").sortWithinPartitions("job", "group", "entry").mapInArrow(walked("first"), f"{kind}, entry double")
 
     ties = [f.name for f in lines.schema if f.name not in (by, "at") and isinstance(f.dataType, AtomicType)]
-    dealt = lines.repartition(by).sortWithinPartitions(by, F.col("at").asc_nulls_last(), *ties)
-    return dealt.mapInArrow(fold, lines.schema)
+    due = lines.join(chosen.select(F.col("job").alias("_job"), F.col("entry").alias("_entry")), F.col(by).eqNullSafe(F.col("_job")) & (F.col("at").cast("double") == F.col("_entry")))
+    first = F.min_by(F.struct(*lines.columns), F.struct(*ties)) if ties else F.any_value(F.struct(*lines.columns))
+    return due.groupBy("_job", "_entry").agg(first.alias("_line")).select("_line.*")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -168,6 +170,46 @@ def test_throttled_jobs_of_many_batches(spark):
     assert got == [("", 5), ("a", 3), *(("hot", i) for i in range(10, n, 10))]
 
 
+@pytest.mark.parametrize(("interval", "fan"), [(1.0, 2), (0.1, 3), (7.0, 4)])
+def test_throttled_by_brute_force(spark, monkeypatch, interval, fan):
+    """Chains of samples over gaps, ties and rounded times, composed of small stretches."""
+    monkeypatch.setattr(lab, "FAN", fan)
+    draw = random.Random(fan)
+    rows, want = [], []
+    for job in range(6):
+        at = started = draw.choice([0.0, 3.3, -5.0])
+        last, own = started, []
+        for n in range(draw.choice([1, 30, 300])):
+            at = round(at + draw.choice([0.0, 0.1, 0.1, 0.3, 1.0, 2.5, 40.0 if n % 50 == 7 else 0.2]), 1)
+            own.append((f"j{job}", started, at, n))
+        for r in own:
+            if r[2] - last >= interval:
+                want.append(r)
+                last = r[2]
+        rows += own
+    lines = spark.createDataFrame(rows, "job string, started double, at double, id long").repartition(5)
+    assert sorted(map(tuple, lab.throttled(lines, "job", interval).collect())) == sorted(want)
+
+
+def test_one_job_falls_into_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lab, "FAN", 4)
+    lines = spark.range(20_000).select(F.lit("hot").alias("job"), F.lit(0.0).alias("started"), (F.col("id") / 10).alias("at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes, composed = [], lab._runs
+
+        def seen(batches, keys):  # a run is what a task holds at once
+            for key, table in composed(batches, keys):
+                sizes.append(table.num_rows)
+                yield key, table
+
+        list(seen(iter(lines.withColumn("group", F.floor(F.col("at") / 4)).sort("at").toArrow().to_batches()), ["job", "group"]))
+        assert max(sizes) == 40
+        assert lab.throttled(lines, "job", 1.0).count() == 1999
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 CELLS = ["plain", "tab\there", "line\nend", '"quoted"', "", None, "é ünï", '{"a": "b"}']
 
 
