@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
+from quillon.operators.runs import runs_of
+
 
 def block_orders(blocks: DataFrame, lanes: list[str], block: str = "block") -> DataFrame:
     """Each block with the order of its lanes: permutations in turn, by position.
@@ -85,26 +87,6 @@ def has_failed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("failed", (F.size("summaries") == 0) & (F.size("kernels") == 0))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """The rows of each key, for batches that are sorted by keys."""
-    held: list[pa.RecordBatch] = []
-    now: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes = [batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)]).tolist()
-        for begin, end in zip(change, [*change[1:], batch.num_rows], strict=True):
-            key = tuple(batch.column(k)[begin].as_py() for k in keys)
-            if key != now and held:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(batch.slice(begin, end - begin))
-    if held:
-        yield now, pa.Table.from_batches(held)
-
-
 def _following(entry: np.ndarray, last: np.ndarray, interval: float) -> np.ndarray:
     """The place of the first entry that is an interval or more after each time; the number of entries where none is."""
     at = np.searchsorted(entry, last + interval)
@@ -148,7 +130,7 @@ def throttled(lines: DataFrame, by: str, interval: float) -> DataFrame:
 
     def composed(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for (job, number), table in _runs(batches, ["job", "group"]):
+            for (job, number), table in runs_of(batches, ["job", "group"]):
                 entry, last = arrays(table)
                 started = table.column("started")[0].as_py()
                 early = int(np.searchsorted(entry, started + number * width(k) + 2 * interval))  # twice, for what rounding does
@@ -164,7 +146,7 @@ def throttled(lines: DataFrame, by: str, interval: float) -> DataFrame:
         """The entries that a chain takes, from the one that `first` names in each run, or from the first of all."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for (job, _), table in _runs(batches, ["job", "group"]):
+            for (job, _), table in runs_of(batches, ["job", "group"]):
                 entry, last = arrays(table)
                 at, taken = int(np.searchsorted(entry, table.column(first)[0].as_py())) if first else 0, []
                 while at < len(entry):

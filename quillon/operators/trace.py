@@ -7,10 +7,17 @@ and which of equals leads, is decided by it and never by the order in which rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from quillon.functions import numeric
+from quillon.operators.runs import runs_of
 
 OUTSIDE = "(outside regions)"
 
@@ -112,27 +119,54 @@ def _buckets(low: Column, high: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(low / width).cast("long"), F.floor(F.greatest(high - 1, low) / width).cast("long")))
 
 
+def covering(low: Column, high: Column) -> Column:
+    """The dyadic intervals that make up the cells [low, high), as structs (level, number): number n of level k is the cells from
+    n * 2^k up to (n + 1) * 2^k. At most two are of one level, so there are at most twice as many as the length has bits."""
+    up = lambda k: -F.call_function("shiftright", -low, k)  # noqa: E731 - rounded up
+    down = lambda k: F.call_function("shiftright", high, k)
+    node = lambda k, number: F.struct(k.cast("int").alias("level"), number.alias("number"))
+    odd = lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1
+    both = lambda k: F.array(F.when((up(k) < down(k)) & odd(up(k)), node(k, up(k))), F.when((up(k) < down(k)) & odd(down(k)), node(k, down(k) - 1)))
+    bits = F.ceil(F.log2(F.greatest(high - low, F.lit(1)).cast("double") + 1)).cast("int")
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), bits), both)), lambda n: n.isNotNull())
+
+
 def innermost(points: DataFrame, windows: DataFrame, by: list[str], at: str = "start", width: int | None = None) -> DataFrame:
     """Each point with `region`: the name of the narrowest window [start, end) that holds it, the first listed of equals.
 
-    Points outside of all windows get `(outside regions)`. With a bucket width, windows are laid into the buckets that
-    they touch and met on (by, bucket), which bounds what one key gathers; without, they meet on `by`. Points need a
-    unique `ordinal`.
+    Points outside of all windows get `(outside regions)`. Time is cut into cells of `width` (by default the unit of whole numbers). A
+    window is laid into the dyadic intervals that make up the cells which it fills, a logarithm of its length, and of the windows of one interval
+    only the best is kept; a point asks the intervals that its cell is in, one of each level that occurs. So each asks for one row, by equality.
+    Cells that a window fills in part are met by cell, and compared. Points need a unique `ordinal`; points that share one have to be equal.
     """
-    w = windows.select(*[F.col(c).alias(f"_w_{c}") for c in by], F.col("name").alias("_name"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("ordinal").alias("_ordinal"))
-    p = points
-    keys = [p[c] == F.col(f"_w_{c}") for c in by]
-    if width:
-        w = w.withColumn("_wb", _buckets(F.col("_start"), F.col("_end"), width))
-        p = p.withColumn("_bucket", F.floor(F.col(at) / width).cast("long"))
-        keys.append(F.col("_bucket") == F.col("_wb"))
-    holds = (F.col(at) >= F.col("_start")) & (F.col(at) < F.col("_end"))
-    condition = holds
-    for k in keys:
-        condition = condition & k
-    met = p.join(w, condition, "left")
-    best = F.min_by(F.col("_name"), F.when(F.col("_name").isNotNull(), F.struct(F.col("_end") - F.col("_start"), F.col("_ordinal"))))
-    return met.groupBy(*points.columns).agg(F.coalesce(best, F.lit(OUTSIDE)).alias("region"))
+    cell = width or 1
+    place = lambda c: F.floor(F.col(c) / cell).cast("long")
+    w = windows.where("end > start").select(
+        *[F.col(c).alias(f"_w_{c}") for c in by], F.col("start").alias("_start"), F.col("end").alias("_end"),
+        F.struct((F.col("end") - F.col("start")).alias("length"), "ordinal", "name").alias("_best"), (-F.floor(-F.col("start") / cell)).cast("long").alias("_low"), place("end").alias("_high"),
+    )
+    whole = w.where("_low < _high").select(*[f"_w_{c}" for c in by], "_best", F.explode(covering(F.col("_low"), F.col("_high"))).alias("_n"))
+    whole = whole.groupBy(*[f"_w_{c}" for c in by], F.col("_n.level").alias("_level"), F.col("_n.number").alias("_number")).agg(F.min("_best").alias("_best"))
+    levels = sorted(r["_level"] for r in whole.select("_level").distinct().collect())  # 64 at most
+    p = points.select("ordinal", *by, F.col(at).alias("_at")).withColumn("_cell", place("_at"))
+    same = lambda side: [side[c].eqNullSafe(F.col(f"_w_{c}")) for c in by]
+    every = lambda conditions: reduce(lambda a, b: a & b, conditions)
+
+    found = []
+    if levels:
+        asked = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.call_function("shiftright", F.col("_cell"), F.lit(k)).alias("number")) for k in levels)))
+        q = p.withColumn("_q", asked)
+        found.append(q.join(whole, every([*same(q), F.col("_q.level") == F.col("_level"), F.col("_q.number") == F.col("_number")])).select("ordinal", "_best"))
+    if cell > 1 or not isinstance(windows.schema["start"].dataType, IntegralType):
+        first, last = F.floor(F.col("_start") / cell).cast("long"), F.col("_high")
+        ends = F.array_distinct(F.array(F.when(first < F.col("_low"), first), F.when((F.col("_end") > last * cell) & ((last >= F.col("_low")) | (last == first)), last)))
+        part = w.select("*", F.explode(F.filter(ends, lambda c: c.isNotNull())).alias("_c"))
+        found.append(p.join(part, every([*same(p), F.col("_cell") == F.col("_c"), F.col("_at") >= F.col("_start"), F.col("_at") < F.col("_end")])).select("ordinal", "_best"))
+    if not found:
+        return points.withColumn("region", F.lit(OUTSIDE))
+    best = reduce(DataFrame.unionByName, found).groupBy(F.col("ordinal").alias("_o")).agg(F.min("_best").alias("_best"))
+    met = points.join(best, points["ordinal"].eqNullSafe(F.col("_o")), "left")
+    return met.select(*(points[c] for c in points.columns), F.coalesce("_best.name", F.lit(OUTSIDE)).alias("region"))
 
 
 def samples_in_spans(samples: DataFrame, spans: DataFrame, by: list[str], at: str = "at", width: int | None = None) -> DataFrame:
@@ -149,26 +183,87 @@ def samples_in_spans(samples: DataFrame, spans: DataFrame, by: list[str], at: st
     return p.join(s, condition).select(*samples.columns, "span")
 
 
+def _stacked(spans: DataFrame, by: list[str], width: int | None, with_path: bool) -> DataFrame:
+    """_span (a row of spans), depth (1 for the outermost), parent (the ordinal of the span that holds it), path (null unless asked for).
+
+    A slice of time works on a stack of open spans as a function does: it takes off what ends before its latest end, and puts on what it leaves
+    open. Slices are folded to such functions side by side; one row for each open span goes on from slice to slice; and with what is open at its
+    begin each slice is gone through once more. A span takes off those that end before it does.
+    """
+    sliced = spans.withColumn("_slice", F.floor(F.col("start") / width).cast("long") if width else F.lit(0).cast("long"))
+    keys, carry = [*by, "_slice"], ["end", "name", "ordinal"]
+    own = [*dict.fromkeys([*keys, "start", *carry])]
+    typed = lambda names: sliced.select(*names).schema.simpleString()[len("struct<") : -1]
+    in_order = ["start", F.col("end").desc(), "ordinal"]
+    numbers = lambda n: pa.array(range(n), pa.int64())
+
+    def left_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in runs_of(batches, keys):
+            stack: list[int] = []
+            ends = table.column("end").to_pylist()
+            for i, end in enumerate(ends):
+                while stack and ends[stack[-1]] < end:
+                    stack.pop()
+                stack.append(i)
+            latest = table.column("end").take([max(range(len(ends)), key=ends.__getitem__)] * len(stack))
+            yield from table.select([*keys, *carry]).take(stack).append_column("_latest", latest).append_column("_pos", numbers(len(stack))).combine_chunks().to_batches()
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is open where a slice begins: the rows of the stack, with the slice that they are for."""
+        track, held = None, None
+        for key, table in runs_of(batches, keys):
+            if key[:-1] != track:
+                track, held = key[:-1], None
+            fresh = table.select([*by, *carry])
+            if held is None:
+                held = fresh
+                continue
+            here = held.append_column("_slice", pa.array([key[-1]] * held.num_rows, pa.int64())).append_column("_pos", numbers(held.num_rows))
+            yield from here.select([*keys, *carry, "_pos"]).combine_chunks().to_batches()
+            held = pa.concat_tables([held.filter(pc.greater_equal(held.column("end"), table.column("_latest")[0])), fresh]).combine_chunks()
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in runs_of(batches, keys):
+            ends, names, known = (table.column(c).to_pylist() for c in ("end", "name", "_pos"))
+            stack: list[int] = []
+            rows, depths, parents, paths = [], [], [], []
+            for i, end in enumerate(ends):
+                if known[i] is None:
+                    while stack and ends[stack[-1]] < end:
+                        stack.pop()
+                    rows.append(i)
+                    parents.append(stack[-1] if stack else None)
+                    depths.append(len(stack) + 1)
+                stack.append(i)
+                if known[i] is None:
+                    paths.append(".".join(names[k] for k in stack) if with_path else None)
+            if rows:
+                out = [table.column("_span").take(rows), pa.array(depths, pa.int64()), table.column("ordinal").take(pa.array(parents, pa.int64())), pa.array(paths, pa.string())]
+                yield from pa.table(out, names=["_span", "depth", "parent", "path"]).combine_chunks().to_batches()
+
+    latest = typed(["end"]).replace("end", "_latest", 1)
+    summed = sliced.select(*own).repartition(*keys).sortWithinPartitions(*keys, *in_order).mapInArrow(left_open, f"{typed([*keys, *carry])}, {latest}, _pos long")
+    dealt = summed.repartition(*by) if by else summed.coalesce(1)
+    held = dealt.sortWithinPartitions(*keys, "_pos").mapInArrow(carried, f"{typed([*keys, *carry])}, _pos long")
+    held = held.withColumns({"start": F.lit(None).cast(spans.schema["start"].dataType), "_span": F.lit(None).cast(spans.schema)})
+    every = sliced.select(*own, F.lit(None).cast("long").alias("_pos"), F.struct(*spans.columns).alias("_span")).unionByName(held)
+    every = every.repartition(*keys).sortWithinPartitions(*keys, F.col("_pos").asc_nulls_last(), *in_order)
+    parent = typed(["ordinal"]).replace("ordinal", "parent", 1)
+    return every.mapInArrow(placed, f"_span {spans.schema.simpleString()}, depth long, {parent}, path string")
+
+
+def span_parents(spans: DataFrame, by: list[str], width: int | None = None) -> DataFrame:
+    """Each span with depth (1 for the outermost) and parent, the ordinal of the span that holds it (null for none); see span_paths()."""
+    return _stacked(spans, by, width, False).select("_span.*", "depth", "parent")
+
+
 def span_paths(spans: DataFrame, by: list[str], width: int | None = None) -> DataFrame:
     """Each span with `path`: the names of the spans that hold it, outermost first, and its own, joined by dots.
 
-    Spans nest; of equal spans the one with the smaller ordinal is outside. With a bucket width, spans are laid into the
-    buckets that they touch, their ends too, and meet the spans that start there, which bounds what one key gathers;
-    without, they meet on `by`. A span's end must not be before its start.
+    Spans nest: of two of a track one holds the other, or they have no time in common; of equal spans the one with the smaller ordinal is
+    outside. With a width, tracks are cut into slices of time (see _stacked()), so that no task sees a whole track. A span's end must not be before its start.
     """
-    outer = spans.select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("name").alias("_name"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("ordinal").alias("_ordinal"))
-    inner = spans
-    wider = (F.col("_start") < F.col("start")) | (F.col("_end") > F.col("end")) | (F.col("_ordinal") <= F.col("ordinal"))
-    condition = (F.col("_start") <= F.col("start")) & (F.col("_end") >= F.col("end")) & wider
-    for c in by:
-        condition = condition & (spans[c] == F.col(f"_o_{c}"))
-    if width:
-        outer = outer.withColumn("_ob", _buckets(F.col("_start"), F.col("_end") + 1, width))
-        inner = inner.withColumn("_bucket", F.floor(F.col("start") / width).cast("long"))
-        condition = condition & (F.col("_bucket") == F.col("_ob"))
-    met = inner.join(outer, condition)
-    names = F.array_sort(F.collect_list(F.struct((F.col("_start") - F.col("_end")).alias("width"), F.col("_ordinal").alias("o"), F.col("_name").alias("name"))))
-    return met.groupBy(*spans.columns).agg(F.concat_ws(".", F.transform(names, lambda x: x["name"])).alias("path"))
+    return _stacked(spans, by, width, True).select("_span.*", "path")
 
 
 # Kernel statistics ---------------------------------------------------------------------------------------------

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-
 import random
 
 import pytest
@@ -11,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillon.operators import config, costs, fleet, frames, lab, packages, render, state
+from quillon.operators.runs import runs_of
 
 RUN = "target string, handle string, submitted_at string, name string, state string, exit_code int, verdict string, reported string"
 EVENT = "study_id string, kind string, handle string, state string, name string, at string, ordinal int"
@@ -191,23 +191,13 @@ def test_throttled_by_brute_force(spark, monkeypatch, interval, fan):
     assert sorted(map(tuple, lab.throttled(lines, "job", interval).collect())) == sorted(want)
 
 
-def test_one_job_falls_into_many_tasks(spark, monkeypatch):
+def test_one_job_falls_into_many_runs(spark, monkeypatch):
+    """What a task holds at once is a stretch of a job, never the job."""
     monkeypatch.setattr(lab, "FAN", 4)
     lines = spark.range(20_000).select(F.lit("hot").alias("job"), F.lit(0.0).alias("started"), (F.col("id") / 10).alias("at"))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        sizes, composed = [], lab._runs
-
-        def seen(batches, keys):  # a run is what a task holds at once
-            for key, table in composed(batches, keys):
-                sizes.append(table.num_rows)
-                yield key, table
-
-        list(seen(iter(lines.withColumn("group", F.floor(F.col("at") / 4)).sort("at").toArrow().to_batches()), ["job", "group"]))
-        assert max(sizes) == 40
-        assert lab.throttled(lines, "job", 1.0).count() == 1999
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert lab.throttled(lines, "job", 1.0).count() == 1999
+    stretches = lines.withColumn("group", F.floor(F.col("at") / 4)).sort("group", "at").toArrow().to_batches(max_chunksize=7)
+    assert {t.num_rows for _, t in runs_of(iter(stretches), ["job", "group"])} == {40}
 
 
 CELLS = ["plain", "tab\there", "line\nend", '"quoted"', "", None, "é ünï", '{"a": "b"}']

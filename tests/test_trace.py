@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import render, trace
 from quillon.plans import queries
@@ -101,9 +102,68 @@ def test_span_paths(spark):
         assert {r.ordinal: r.path for r in trace.span_paths(spans, ["track"], width=width).collect()} == want
 
 
-def test_span_paths_query_meets_in_buckets(spark):
-    plan = queries.span_paths(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "_bucket" in plan
+def nested(draw, low, high, depth=0):
+    """Spans that nest: (start, end, depth)."""
+    out = [(low, high, depth)]
+    at = low
+    while depth < 6 and high - at > 4 and draw.random() < 0.8:
+        begin = draw.randrange(at, high)
+        end = draw.randrange(begin + 1, high + 1)
+        out += nested(draw, begin, end, depth + 1)
+        at = end
+    return out
+
+
+@pytest.mark.parametrize("width", [None, 7, 100])
+def test_span_paths_by_brute_force(spark, width):
+    draw = random.Random(3)
+    rows, want = [], {}
+    for track in range(4):
+        for base in (0, 1000):
+            for low, high, depth in nested(draw, base, base + 500):
+                rows.append((track, f"n{depth}", low, high, len(rows)))
+    for t, name, low, high, n in rows:
+        holds = [r for r in rows if r[0] == t and r[2] <= low and r[3] >= high and (r[2] < low or r[3] > high or r[4] <= n)]
+        holds.sort(key=lambda r: (r[2] - r[3], r[4]))
+        want[n] = (".".join(r[1] for r in holds), len(holds), holds[-2][4] if len(holds) > 1 else None)
+    spans = spark.createDataFrame(rows, "track int, name string, start long, end long, ordinal long").repartition(5)
+    paths = {r.ordinal: r.path for r in trace.span_paths(spans, ["track"], width).collect()}
+    found = {r.ordinal: (paths[r.ordinal], r.depth, r.parent) for r in trace.span_parents(spans, ["track"], width).collect()}
+    assert found == want
+
+
+def test_a_deep_chain_of_spans(spark):
+    """Each of 100 000 spans holds the next; slices of 10 000 hand on what is open."""
+    n = 100_000
+    spans = spark.range(n).select(F.lit("s").alias("name"), F.col("id").alias("start"), (F.lit(2 * n) - F.col("id")).alias("end"), F.col("id").alias("ordinal"))
+    out = trace.span_parents(spans, [], width=10_000)
+    assert out.where("depth <> ordinal + 1 or coalesce(parent, -1) <> ordinal - 1").count() == 0 and out.count() == n
+
+
+@pytest.mark.parametrize("width", [None, 1, 16, 1000])
+def test_innermost_by_brute_force(spark, width):
+    draw = random.Random(9)
+    windows = [(t, f"w{n}", a, a + draw.choice([0, 1, 5, 40, 300, 5000]), n) for n in range(150) for t, a in [(draw.randrange(3), draw.randrange(-2000, 4000))]]
+    points = [(draw.randrange(3), draw.randrange(-2500, 9000), n) for n in range(400)]
+    want = {}
+    for t, at, n in points:
+        holds = [(e - s, o, name) for u, name, s, e, o in windows if u == t and s <= at < e]
+        want[n] = min(holds)[2] if holds else trace.OUTSIDE
+    w = spark.createDataFrame(windows, "track int, name string, start long, end long, ordinal int")
+    p = spark.createDataFrame(points, "track int, start long, ordinal int")
+    assert {r.ordinal: r.region for r in trace.innermost(p, w, ["track"], width=width).collect()} == want
+
+
+def test_windows_are_laid_into_few_intervals(spark):
+    """The intervals of a window cover it once, and are no more than two for each bit of its length."""
+    draw = random.Random(2)
+    pairs = [(a, a + draw.randrange(0, 2**draw.randrange(1, 40))) for a in (draw.randrange(-(2**40), 2**40) for _ in range(200))]
+    rows = spark.createDataFrame(pairs, "low long, high long")
+    for r in rows.select("low", "high", trace.covering(F.col("low"), F.col("high")).alias("n")).collect():
+        parts = sorted((x.number << x.level, (x.number + 1) << x.level) for x in r.n)
+        assert len(parts) <= 2 * (r.high - r.low).bit_length()
+        assert all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+        assert (parts[0][0], parts[-1][1]) == (r.low, r.high) if r.high > r.low else not parts
 
 
 def test_efficiency(spark):
