@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import numeric
+from quillon.session import scratch
 
 #: Fits need as many positive setup times; jobs on providers without a fit are taken to need DEFAULT_SETUP seconds.
 LEAST_SAMPLES, DEFAULT_SETUP = 3, 300.0
@@ -15,12 +18,65 @@ def with_times(observations: DataFrame) -> DataFrame:
     return observations.withColumns({"setup_s": numeric.setup_seconds("t_submit", "t_running"), "run_s": numeric.run_seconds("t_running", "t_ended")})
 
 
+#: Values of a key that one buffer may hold; the quantiles of larger keys are found in rounds. Bins of a round.
+HELD, BINS = 100_000, 1024
+
+
+def ranked(rows: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
+    """keys, rank, value: the rank-th smallest value (from 0) of each key, for ranks (keys, rank, low, high: the key's least and largest).
+
+    A round counts a key's values between two bounds in BINS bins, each with its least and largest value, and goes on in the bin that
+    the rank is in, until one value is left there. Counts are combined before they are moved, so that no task holds the values of a key.
+    """
+    spark = rows.sparkSession
+    folder, number = scratch(spark), 0
+    state = ranks.select(*keys, "rank", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.lit(0).cast("long").alias("before"))
+    while True:
+        state.write.parquet(f"{folder}/{number}")
+        state = spark.read.parquet(f"{folder}/{number}")
+        todo = state.where("low < high")
+        if todo.isEmpty():
+            return state.select(*keys, "rank", F.col("low").alias("value"))
+        named = todo.select(*[F.col(k).alias(f"_{k}") for k in keys], "rank", "low", "high", "before")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.lit(True))
+        met = rows.join(named, same & F.col(value).between(F.col("low"), F.col("high")))
+        share = (F.col(value) / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)  # halves cannot overflow
+        place = [*keys, "rank", "before"]
+        bins = met.groupBy(*place, F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+        upto = F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("bin"))  # BINS rows at most
+        hit = bins.withColumn("upto", F.col("before") + upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+        state = state.where("low = high").unionByName(hit.select(*keys, "rank", "low", "high", (F.col("upto") - F.col("n")).alias("before")))
+        number += 1
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
+    """keys, samples, mean, and q0, q1, ... : exact quantiles, interpolated between neighbours. Keys of few values take one pass."""
+    stats = rows.groupBy(*keys).agg(F.count("*").cast("long").alias("samples"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
+    large = stats.where(F.col("samples") > HELD)
+    names = [f"q{i}" for i in range(len(at))]
+    if large.isEmpty():
+        return rows.groupBy(*keys).agg(F.count("*").cast("long").alias("samples"), F.avg(value).alias("mean"), F.percentile(value, F.array(*map(F.lit, at))).alias("_at")).select(
+            *keys, "samples", "mean", *[F.col("_at")[i].alias(n) for i, n in enumerate(names)]
+        )
+    places = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("samples") - 1)).alias("place")) for i, q in enumerate(at)))
+    wanted = stats.select(*keys, "samples", "mean", "low", "high", F.explode(places).alias("p")).select(*keys, "samples", "mean", "low", "high", "p.*")
+    wanted = wanted.withColumn("below", F.floor("place").cast("long")).withColumn("part", F.col("place") - F.col("below"))
+    ranks = wanted.select(*keys, "low", "high", F.explode(F.array_distinct(F.array("below", F.least(F.col("below") + 1, F.col("samples") - 1)))).alias("rank")).distinct()
+    found = ranked(rows, keys, value, ranks)
+    met = wanted.alias("w").join(found.alias("f"), reduce(lambda a, b: a & b, [F.col(f"w.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys], F.col("f.rank").isin(F.col("w.below"), F.col("w.below") + 1)))
+    weight = F.when(F.col("f.rank") == F.col("w.below"), 1 - F.col("w.part")).otherwise(F.col("w.part"))
+    kept = [F.col(f"w.{k}").alias(k) for k in keys]
+    return met.groupBy(*kept).agg(
+        F.first("w.samples").alias("samples"), F.first("w.mean").alias("mean"), *[F.sum(F.when(F.col("w.i") == i, weight * F.col("f.value"))).alias(n) for i, n in enumerate(names)]
+    )
+
+
 def setup_fits(observations: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per provider and hardware: samples, mean_s, p50_s, p90_s of positive setup times, exact and interpolated; three samples at least."""
     positive = with_times(observations).where(F.col("setup_s") > 0)
-    at = F.percentile("setup_s", F.array(F.lit(0.5), F.lit(0.9)))
-    fits = positive.groupBy(*(by if by is not None else ["provider", "gpu"])).agg(F.count("*").cast("long").alias("samples"), F.avg("setup_s").alias("mean_s"), at.alias("_at"))
-    return fits.where(F.col("samples") >= LEAST_SAMPLES).withColumns({"p50_s": F.col("_at")[0], "p90_s": F.col("_at")[1]}).drop("_at")
+    keys = by if by is not None else ["provider", "gpu"]
+    fits = quantiles(positive.select(*keys, "setup_s"), keys, "setup_s", (0.5, 0.9)).where(F.col("samples") >= LEAST_SAMPLES)
+    return fits.select(*keys, "samples", F.col("mean").alias("mean_s"), F.col("q0").alias("p50_s"), F.col("q1").alias("p90_s"))
 
 
 def offers_for(offers: DataFrame, gpu: str = "", provider: str = "") -> DataFrame:

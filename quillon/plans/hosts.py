@@ -196,12 +196,13 @@ def newest_sources(spark: SparkSession, sf: str) -> DataFrame:
     return newest.join(trace.calls_by_name(files), "name")
 
 
-@query("""WITH c AS (SELECT sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 50 = 0), m AS (SELECT sum(l_extendedprice) AS v FROM lineitem WHERE l_orderkey % 500 = 0)
-    SELECT c.v AS credit_usd, m.v AS metered_usd, c.v - m.v AS remaining_usd, NULL::VARCHAR AS note, (SELECT min(l_extendedprice) FROM lineitem WHERE l_orderkey % 500 = 0) AS cheapest_usd_hr FROM c, m""")
+@query("""WITH c AS (SELECT sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS v FROM orders), m AS (SELECT sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS v FROM lineitem)
+    SELECT c.v::DOUBLE AS credit_usd, m.v::DOUBLE AS metered_usd, (c.v - m.v)::DOUBLE AS remaining_usd, NULL::VARCHAR AS note, (SELECT min(l_extendedprice) FROM lineitem) AS cheapest_usd_hr FROM c, m""")
 def account_standing(spark: SparkSession, sf: str) -> DataFrame:
-    credit = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_totalprice").alias("usd"))
-    metered = table(spark, sf, "lineitem").where("l_orderkey % 500 = 0").select(F.col("l_extendedprice").alias("usd"))
-    return costs.standing(credit, metered, metered.select(F.col("usd").alias("rate_usd_hr")))
+    money = lambda name: F.col(name).cast("decimal(18, 2)").alias("usd")  # noqa: E731 - sums of whole cents
+    lines = table(spark, sf, "lineitem")
+    out = costs.standing(table(spark, sf, "orders").select(money("o_totalprice")), lines.select(money("l_extendedprice")), lines.select(F.col("l_extendedprice").alias("rate_usd_hr")))
+    return out.withColumns({c: F.col(c).cast("double") for c in ("credit_usd", "metered_usd", "remaining_usd")})
 
 
 @query("""SELECT 'c' || c_custkey AS name, c_acctbal - c_custkey AS remaining_usd FROM customer WHERE c_custkey % 5 > 0 ORDER BY c_mktsegment <> 'BUILDING', c_custkey DESC LIMIT 1""")

@@ -37,15 +37,19 @@ def offers(spark: SparkSession, path: str) -> DataFrame:
 def study_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events of every `<study>.jsonl` in a folder, with study_id and their place in the file as ordinal.
 
-    Files are read as lines; the place is the running number of a line in its file, which costs one sort per file.
+    Files are read as lines, in as many splits as a file has; a line is counted inside its split, and the counts of the splits before it,
+    one row for each split, tell where it begins.
     """
     path = f"{folder}/*.jsonl"
     if not exists(spark, path):
         return schemas.empty(spark, f"study_id string, {schemas.STUDY_EVENT}, ordinal long")
+    split = ["_file", "_block"]
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    order = Window.partitionBy("_file").orderBy("_block", "_id")
-    event = F.from_json("value", schemas.STUDY_EVENT, {"mode": "FAILFAST"})
-    rows = lines.where(F.trim("value") != "").withColumn("ordinal", F.row_number().over(order).cast("long")).withColumn("_e", event)
+    lines = lines.where(F.trim("value") != "").withColumn("_own", F.row_number().over(Window.partitionBy(*split).orderBy("_id")))
+    counts = lines.groupBy(*split).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*split, F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = lines.join(counts, split).withColumn("ordinal", F.col("_before") + F.col("_own")).withColumn("_e", F.from_json("value", schemas.STUDY_EVENT, {"mode": "FAILFAST"}))
     return rows.select(F.regexp_extract("_file", r"^(.*)\.jsonl$", 1).alias("study_id"), "_e.*", "ordinal")
 
 

@@ -1,4 +1,4 @@
-"""A Python data source over tables of SQLite files, read in ranges of row ids.
+"""A Python data source over tables of SQLite files, read in ranges of row ids. Filters that SQLite decides as Spark does are answered there.
 
     spark.dataSource.register(SqliteSource)
     spark.read.format("sqlite").schema("...").option("path", p).option("table", "runs").load()
@@ -10,7 +10,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringStartsWith,
+)
 from pyspark.sql.types import StructType
 
 from quillon import schemas
@@ -22,6 +24,33 @@ class RowRange(InputPartition):
         self.low, self.high = low, high
 
 
+_COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+def condition(f: Filter, types: dict[str, str]) -> tuple[str, list] | None:
+    """A filter as SQL with its values, or None where SQLite may decide otherwise: it compares numbers and texts as Spark does, as long
+    as a column has one kind of values, which the type that it is read as stands for."""
+    if isinstance(f, Not):
+        inner = condition(f.child, types)
+        return inner and (f"NOT ({inner[0]})", inner[1])
+    name = f.attribute[0] if len(f.attribute) == 1 else None
+    if name not in types:
+        return None
+    fits = lambda v: isinstance(v, str) if types[name] == "string" else isinstance(v, int) and not isinstance(v, bool) if types[name] in ("int", "bigint") else False
+    if isinstance(f, (IsNull, IsNotNull)):
+        return f"{name} IS {'NOT ' if isinstance(f, IsNotNull) else ''}NULL", []
+    if isinstance(f, In):
+        values = [v for v in f.value if v is not None]
+        return (f"{name} IN ({', '.join('?' * len(values))})", values) if values and len(values) == len(f.value) <= 500 and all(map(fits, values)) else None
+    if not fits(f.value):
+        return None
+    if isinstance(f, EqualNullSafe):
+        return f"{name} IS ?", [f.value]
+    if isinstance(f, StringStartsWith):
+        return f"substr({name}, 1, ?) = ?", [len(f.value), f.value]
+    return (f"{name} {_COMPARED[type(f)]} ?", [f.value]) if type(f) in _COMPARED else None
+
+
 class SqliteReader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: StructType) -> None:
         self.path, self.table = options["path"], options["table"]
@@ -29,6 +58,17 @@ class SqliteReader(DataSourceReader):
         self.columns = [f.name for f in schema.fields]
         if not all(c.replace("_", "").isalnum() for c in [self.table, *self.columns]):
             raise ValueError("names of tables and columns are letters, digits and underscores")
+        self.types = {f.name: f.dataType.simpleString() for f in schema.fields}
+        self.where: list[tuple[str, list]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes the filters that SQLite answers; gives back the others."""
+        for f in filters:
+            sql = condition(f, self.types)
+            if sql is None:
+                yield f
+            else:
+                self.where.append(sql)
 
     def connect(self) -> object:
         import sqlite3
@@ -43,7 +83,9 @@ class SqliteReader(DataSourceReader):
 
     def read(self, partition: RowRange) -> Iterator[tuple]:
         with self.connect() as c:
-            yield from c.execute(f"SELECT {', '.join(self.columns)} FROM {self.table} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high))
+            where = " AND ".join(["rowid >= ?", "rowid < ?", *(sql for sql, _ in self.where)])
+            values = [partition.low, partition.high, *(v for _, own in self.where for v in own)]
+            yield from c.execute(f"SELECT {', '.join(self.columns)} FROM {self.table} WHERE {where}", values)
 
 
 class SqliteSource(DataSource):
@@ -57,6 +99,7 @@ class SqliteSource(DataSource):
 
 def table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     spark.dataSource.register(SqliteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else filters are never offered to the source
     return spark.read.format("sqlite").schema(schema).option("path", path).option("table", name).load()
 
 

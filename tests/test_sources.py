@@ -153,6 +153,50 @@ def test_sqlite(spark, tmp_path):
     assert out.count() == 50 and out.where("verdict = 'ok'").count() == 25
 
 
+def test_sqlite_answers_filters(spark, tmp_path):
+    """What a filter leaves out is never read, and what SQLite would decide otherwise is left to Spark."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, IsNull, Not, StringStartsWith
+    from pyspark.sql.types import StructType
+
+    path = str(tmp_path / "s.db")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE t (name TEXT, n INTEGER, x REAL)")
+        c.executemany("INSERT INTO t VALUES (?, ?, ?)", [(None if i % 10 == 3 else f"Name{i % 7}", i, i / 4) for i in range(1000)])
+    schema = "name string, n int, x double"
+
+    def read(*filters):
+        reader = sqlite.SqliteReader({"path": path, "table": "t"}, StructType.fromDDL(schema))
+        left = list(reader.pushFilters(list(filters)))
+        return left, sum(len(list(reader.read(p))) for p in reader.partitions())
+
+    assert read() == ([], 1000)
+    assert read(EqualTo(("name",), "Name3")) == ([], sum(i % 7 == 3 and i % 10 != 3 for i in range(1000)))
+    assert read(EqualTo(("name",), "name3"))[1] == 0 and read(StringStartsWith(("name",), "name"))[1] == 0  # letters as they are
+    assert read(GreaterThan(("n",), 989), IsNotNull(("name",))) == ([], 9)
+    assert read(Not(IsNull(("name",))), In(("n",), (3, 4, 5))) == ([], 2)
+    for f in (EqualTo(("n",), "3"), EqualTo(("x",), 0.25), In(("n",), (1, None))):
+        assert read(f) == ([f], 1000)
+    rows = sqlite.table(spark, path, "t", schema)
+    want = [(f"Name{i % 7}", i, i / 4) for i in range(1000) if i % 10 != 3 and i % 7 == 3 and i / 4 > 100]
+    found = rows.where((F.col("name") == "Name3") & (F.col("x") > 100))
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[1]) == want
+    assert rows.where("NOT (name = 'Name3')").count() == sum(i % 10 != 3 and i % 7 != 3 for i in range(1000))
+
+
+def test_ledger_lines_are_counted_by_split(spark, tmp_path):
+    for name, n in (("s1", 5000), ("s2", 3)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"at": str(i), "kind": "note"}) + "\n" + "\n" * (i % 3 == 0) for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        rows = files.study_events(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(rows) == 5003 and all(r.ordinal == int(r.at) + 1 for r in rows)
+
+
 def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     from quillon.operators import frames
 

@@ -155,6 +155,22 @@ def test_guarded_runs(spark):
     assert out[2] == (5.0, None) and out[0][0] is None and "ZeroDivisionError" in out[0][1]
 
 
+def test_quantiles_in_rounds(spark, monkeypatch):
+    """Quantiles of keys that no buffer may hold, with ties, one value, wide ranges and a null key."""
+    import numpy as np
+
+    draw = np.random.RandomState(1)
+    values = {"hot": draw.lognormal(3, 4, 3000), "ties": draw.randint(1, 4, 500).astype(float), "one": np.full(50, 7.5), "wide": np.array([1e-300, 1.0, 1e300, 5.0, 1e299]), None: draw.normal(size=101)}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double").repartition(6)
+    for held, bins in ((10**6, 1024), (10, 1024), (10, 3)):
+        monkeypatch.setattr(costs, "HELD", held)
+        monkeypatch.setattr(costs, "BINS", bins)
+        got = {r.k: (r.samples, r.q0, r.q1, r.q2) for r in costs.quantiles(rows, ["k"], "v", (0.5, 0.9, 1.0)).collect()}
+        assert set(got) == set(values)
+        for k, vs in values.items():
+            assert got[k][0] == len(vs) and got[k][1:] == pytest.approx(tuple(np.quantile(vs, [0.5, 0.9, 1.0])), rel=1e-9), (k, held, bins)
+
+
 def test_throttled(spark):
     rows = spark.createDataFrame([("j", 0.0, float(t)) for t in (1, 4, 5, 6, 10, 11)], "job string, started double, at double")
     assert [r.at for r in lab.throttled(rows, "job", 5.0).orderBy("at").collect()] == [5.0, 10.0]
