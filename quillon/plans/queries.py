@@ -740,3 +740,33 @@ def stream_projection(spark: SparkSession, sf: str) -> DataFrame:
     a.frames(spark, sf).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{folder}/in")
     jobs.catch_up(jobs.frame_stream(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint")
     return _micros(jobs.job_states(spark, f"{folder}/out"))
+
+
+@query(ORACLE_SQL["samples_to_spans"])
+def live_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples and spans written as files, met as two streams, and summed by span."""
+    from quillon.streaming import spans
+
+    folder = scratch(spark)
+    time = lambda name: F.timestamp_micros(name).alias(name)
+    samples = a.readings(spark, sf).withColumn("at", F.timestamp_micros("at"))
+    opened = a.activities(spark, sf).select("track", "name", time("start"), time("end"))
+    for name, rows in (("samples", samples), ("spans", opened)):
+        rows.write.parquet(f"{folder}/{name}")
+    stream = lambda name, rows: spark.readStream.schema(rows.schema).parquet(f"{folder}/{name}")
+    met = spans.samples_in_spans(stream("samples", samples), stream("spans", opened), ["track"], "1 hour", "3 days")
+    met.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return trace.region_summaries(spark.read.schema(met.schema).parquet(f"{folder}/out"), ["span"])
+
+
+@query(ORACLE_SQL["job_projection"])
+def stream_watched(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames ingested on a trigger until what has arrived is stored, and projected to job states."""
+    from quillon.streaming import jobs
+
+    folder = scratch(spark)
+    a.frames(spark, sf).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{folder}/in")
+    running = jobs.watch(jobs.frame_stream(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint", 0.5)
+    running.processAllAvailable()
+    running.stop()
+    return _micros(jobs.job_states(spark, f"{folder}/out"))
