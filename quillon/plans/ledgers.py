@@ -10,7 +10,7 @@ from quillon.operators import frames, render, state
 from quillon.plans.listings import said
 from quillon.plans.queries import FRAMES, KERNELS, OBS, OFFERS, ORACLE_SQL, RUNS, query, verdict_report
 from quillon.session import scratch, table
-from quillon.sources import files, logs, sinks
+from quillon.sources import documents, files, logs, sinks
 
 
 @query(f"""WITH {OBS} SELECT provider, gpu, count(*) AS n, sum(setup_s) AS setup_s FROM o WHERE provider = 'p3' AND gpu = 'g0' GROUP BY ALL""")
@@ -94,11 +94,11 @@ def log_resumed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {KERNELS} SELECT name, min(s) AS start_ns, '' AS grid FROM k GROUP BY name""")
 def profile_files(spark: SparkSession, sf: str) -> DataFrame:
-    """A profile document with one kernel record for each name, written and read back."""
+    """A profile document with all kernel records, written in parts and read back in blocks."""
     path = scratch(spark)
-    per = a.kernels(spark, sf).groupBy("name").agg(F.min("start_ns").alias("start_ns")).withColumn("ordinal", F.col("name"))
-    sinks.profile_document("device", "host", kernels=per).coalesce(1).write.text(path)
-    return files.profile_records(files.profiles(spark, path), "kernels").select("name", "start_ns", "grid")
+    kernels = a.kernels(spark, sf).select("name", "start_ns", "end_ns", F.struct("start_ns", "ordinal").alias("ordinal"))
+    documents.profile_lines("device", "host", kernels=kernels).write.text(path)
+    return documents.records(spark, path, "kernels").groupBy("name").agg(F.min("start_ns").alias("start_ns"), F.max("grid").alias("grid"))
 
 
 @query(f"""WITH {RUNS} SELECT handle, target, submitted_at, CASE WHEN target = 'host4' THEN 'second' ELSE state END AS state FROM runs""")
