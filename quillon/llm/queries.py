@@ -67,7 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     remove(spark, folder)  # what is left to tell is in the records that were read
     return read.select(
         F.col("id").cast(pages.schema["page_id"].dataType).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        F.col("refers_to").cast(pages.schema["page_id"].dataType).alias("refers_to"),
+        F.col("refers_to").cast(pages.schema["page_id"].dataType).alias("refers_to"), F.col("place").alias("history_place"),
     )
 
 
@@ -147,13 +147,18 @@ ORACLE_SQL = {
                CAST(c.size * (c.ep + CASE WHEN c.in2 OR (l.last_id IS NOT NULL AND c.doc_id = l.last_id) THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM v2 c LEFT JOIN last l ON c.source IS NOT DISTINCT FROM l.source
     """,
-    "op10_warc": """
-        WITH base AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d, sha256(coalesce(html, '')) AS h FROM pages),
-        best AS (SELECT h, max(page_id) AS keep FROM base WHERE n >= 1000 GROUP BY h)
+    "op10_warc": r"""
+        WITH base AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d, sha256(coalesce(html, '')) AS h, lower(trim(coalesce(url, ''))) AS u FROM pages),
+        best AS (SELECT h, max(page_id) AS keep FROM base WHERE n >= 1000 GROUP BY h),
+        keyed AS (
+            SELECT page_id, array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(u, '^[a-z]+://([^/?#]+)', 1), '^www[0-9]*[.]', ''), '.')), ',')
+                   || ')' || CASE regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1) END
+                   || CASE regexp_extract(u, '[?]([^#]*)', 1) WHEN '' THEN '' ELSE '?' || regexp_extract(u, '[?]([^#]*)', 1) END AS url_key FROM base),
+        history AS (SELECT page_id, row_number() OVER (PARTITION BY url_key ORDER BY CAST(page_id AS VARCHAR)) AS history_place FROM keyed)
         SELECT b.page_id, CAST(b.n AS BIGINT) AS payload_bytes, b.d AS payload_digest,
                CASE WHEN k.keep IS NULL OR k.keep = b.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN k.keep <> b.page_id THEN k.keep END AS refers_to
-        FROM base b LEFT JOIN best k ON b.n >= 1000 AND b.h = k.h
+               CASE WHEN k.keep <> b.page_id THEN k.keep END AS refers_to, h.history_place
+        FROM base b LEFT JOIN best k ON b.n >= 1000 AND b.h = k.h JOIN history h ON h.page_id = b.page_id
     """,
     "op11_resample": r"""
         WITH RECURSIVE texts AS (

@@ -25,7 +25,8 @@ from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import cut, map_batches, shared_dir
@@ -281,7 +282,8 @@ class Merge:
 
 
 def merge_index(runs: DataFrame, folder: str | None = None, ranges: int | None = None, buffer: int = BUFFER, fan_in: int = FAN_IN) -> DataFrame:
-    """One capture history from sorted runs: rows ordered by url_key, timestamp, id, place, within and across partitions.
+    """One capture history from sorted runs: rows ordered by url_key, timestamp, id, archive, offset, within and across partitions, with
+    place: 1, 2, ... in the history of their URL key. A range counts what it merges; a key that ranges cut goes on with the counts before it.
 
     folder is where tasks keep what their buffer does not hold; ranges is their number, by default that of the entries.
     """
@@ -289,12 +291,24 @@ def merge_index(runs: DataFrame, folder: str | None = None, ranges: int | None =
     ranges = ranges or max(1, -(-runs.count() // RANGE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge = Merge(folder, buffer, fan_in, PIECE)
+        merge, part = Merge(folder, buffer, fan_in, PIECE), TaskContext.get().partitionId()
         merge.add(_tuples(batches))
-        yield from merge.batches()
+        last, count = None, 0
+        for batch in merge.batches():
+            own = []
+            for key in batch.column("url_key").to_pylist():
+                last, count = key, count + 1 if key == last else 1
+                own.append(count)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(own), pa.int64()), pa.array(own, pa.int64())], [*_SCHEMA.names, "range", "own"])
 
     dealt = runs.select(*_SCHEMA.names).repartitionByRange(ranges, *_ORDER)
-    return map_batches(dealt, run, INDEX)
+    numbered = cut(map_batches(dealt, run, f"{INDEX}, range long, own long"))
+    counts = numbered.groupBy("url_key", "range").agg(F.max("own").alias("n"))
+    shared = counts.groupBy("url_key").agg(F.count("*").alias("ranges")).where("ranges > 1").select("url_key")  # at most one at each border of ranges
+    before = Window.partitionBy("url_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.join(F.broadcast(shared), "url_key").select("url_key", "range", F.sum("n").over(before).alias("ahead")).where("ahead is not null")
+    out = numbered.join(F.broadcast(ahead), ["url_key", "range"], "left")  # a row a range at most; rows stay in their order
+    return out.select(*_SCHEMA.names, (F.col("own") + F.coalesce("ahead", F.lit(0))).alias("place"))
 
 
 def cdxj(index: DataFrame) -> DataFrame:
@@ -303,43 +317,43 @@ def cdxj(index: DataFrame) -> DataFrame:
     return index.select(F.concat_ws(" ", "url_key", "timestamp", rest).alias("value"))
 
 
-RECORD = "id string, url string, date string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to string"
+RECORD = "id string, url string, date string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to string, place long"
 
 
 def read_archives(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """The records that an index names, read from the archives in folder and checked against their digests."""
+    """The records that an index names, read from the archives in folder and checked against their digests, with their place in the index."""
     # entries are small and what they stand for is not: tasks are told by the bytes in the archives
     parts = index.agg(F.ceil(F.sum("length") / CHUNK)).first()[0] or 1
     chunk = F.floor(F.col("offset") / CHUNK)
-    dealt = index.select("archive", "offset", "length").repartition(2 * parts, "archive", chunk).sortWithinPartitions("archive", "offset")
+    dealt = index.select("archive", "offset", "length", "place").repartition(2 * parts, "archive", chunk).sortWithinPartitions("archive", "offset")
     fields = [f for f in RECORD.split(", ") if with_payload or not f.startswith("payload binary")]
     names, types = zip(*((n, _KINDS[k]) for n, k in (f.split() for f in fields)), strict=True)
 
-    def stretches(rows: Iterable[tuple[str, int, int]]) -> Iterator[tuple[str, int, list[int]]]:
-        """Neighbouring records of one archive: its name, the first offset, their lengths."""
-        name, start, lengths, size = None, 0, [], 0
-        for archive, offset, length in rows:
+    def stretches(rows: Iterable[tuple[str, int, int, int]]) -> Iterator[tuple[str, int, list[tuple[int, int]]]]:
+        """Neighbouring records of one archive: its name, the first offset, their lengths and places."""
+        name, start, records, size = None, 0, [], 0
+        for archive, offset, length, place in rows:
             if archive != name or offset != start + size or size >= STRETCH:
-                if lengths:
-                    yield name, start, lengths
-                name, start, lengths, size = archive, offset, [], 0
-            lengths.append(length)
+                if records:
+                    yield name, start, records
+                name, start, records, size = archive, offset, [], 0
+            records.append((length, place))
             size += length
-        if lengths:
-            yield name, start, lengths
+        if records:
+            yield name, start, records
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = store(folder)
         opened, source = None, None
         for batch in batches:
-            for name, start, lengths in stretches(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            for name, start, records in stretches(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                 if name != opened:
                     if source is not None:
                         source.close()
                     opened, source = name, files.open_input_file(f"{path}/{name}")
-                data, at, rows = source.read_at(sum(lengths), start), 0, []
-                for length in lengths:
-                    rows.append(parse(zlib.decompress(data[at : at + length], 31)))
+                data, at, rows = source.read_at(sum(length for length, _ in records), start), 0, []
+                for length, place in records:
+                    rows.append(parse(zlib.decompress(data[at : at + length], 31)) | {"place": place})
                     at += length
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], list(names))
         if source is not None:

@@ -60,6 +60,10 @@ def test_ranges_larger_than_the_buffer(spark, tmp_path):
     index = warc.merge_index(runs, folder, ranges=2, buffer=10, fan_in=3).collect()
     keys = [(r.url_key, r.timestamp, r.id, r.archive, r.offset) for r in index]
     assert len(keys) == len(rows) and keys == sorted(keys)
+    seen = defaultdict(int)
+    for r in index:  # histories go on over ranges
+        seen[r.url_key] += 1
+        assert r.place == seen[r.url_key]
 
 
 def test_one_url_falls_into_many_ranges(spark, tmp_path):
@@ -68,6 +72,7 @@ def test_one_url_falls_into_many_ranges(spark, tmp_path):
     index = warc.merge_index(warc.write_archives(warc.captures(df), f"file://{tmp_path}/w"), f"file://{tmp_path}/w", ranges=6)
     sizes = [r["count"] for r in index.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(sizes) == 3000 and max(sizes) < 1500
+    assert [r.place for r in index.collect()] == list(range(1, 3001))
 
 
 @pytest.mark.parametrize(
