@@ -80,7 +80,7 @@ def resource(expression: str, attempt: Column | str) -> Column:
     try:
         tree = ast.parse(str(expression), mode="eval").body
     except SyntaxError as fault:
-        raise ValueError(f"resource expression {expression!r} does not parse") from fault
+        raise ValueError(f"not an expression of resources: {expression!r}") from fault
 
     def build(node: ast.expr) -> Column:
         match node:
