@@ -57,7 +57,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << 22
+    n = 1 << 20
     one = np.full(n, _BASE, np.uint64)
     one[0] = 1
     back = np.full(n, pow(_BASE, -1, 2**64), np.uint64)
