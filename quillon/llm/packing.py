@@ -30,7 +30,7 @@ SLACK = 4
 #: Items that one partition packs at once, and bins that a partition of a later round gets, about.
 BLOCK, FAN_IN_ROWS, FAN_IN = 200_000, 50_000, 8
 #: Words whose ids a task remembers, and bytes of them and their ids.
-WORDS, WORD_BYTES = 300_000, 64 << 20
+WORDS, WORD_BYTES = 600_000, 64 << 20
 
 _CHUNK = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z")
 _PLAIN = re.compile(rb" ?[^\x20\x09-\x0D]+\Z")
