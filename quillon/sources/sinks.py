@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon import schemas
 from quillon.operators import state
+from quillon.session import scratch
 from quillon.sources import files
 
 
@@ -77,8 +78,12 @@ def merge_manifest(document: DataFrame, path: str) -> None:
 
 def command_events(commands: DataFrame, last_id: int) -> DataFrame:
     """Commands as history rows: ids go on after the last, the target is the first text among the arguments."""
-    # ranges are numbered by themselves; the counts of the ranges before tell where each begins
-    ranged = commands.repartitionByRange("ordinal").sortWithinPartitions("ordinal").withColumn("_n", F.monotonically_increasing_id())
+    # ranges are numbered by themselves; the counts of the ranges before tell where each begins. They are written once: ranges that
+    # are drawn again, or whose partitions are joined otherwise, would be others than those that were counted
+    spark = commands.sparkSession
+    folder = scratch(spark)
+    commands.repartitionByRange("ordinal").sortWithinPartitions("ordinal").withColumn("_n", F.monotonically_increasing_id()).write.parquet(folder)
+    ranged = spark.read.parquet(folder)
     ranged = ranged.withColumn("_range", F.shiftright("_n", 33))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
     ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each range
