@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from functools import reduce
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quillon.sources import sinks
 
 
@@ -26,3 +31,24 @@ def test_commands_are_numbered_over_ranges_that_are_drawn_once(dealt):
     rows = sinks.command_events(commands, 100)
     right = (F.col("id") == F.col("ordinal") + 101) & (F.length("command") == 72)  # the text is asked for, so that its ranges are those of whole rows
     assert rows.groupBy(right.alias("right")).count().collect() == [(True, 60_000)]
+
+
+def test_durations_of_trace_events_are_summed_whole(spark, tmp_path):
+    draw = random.Random(1)
+    draw_all = [[draw.randrange(0, 9) for _ in range(40)] for _ in range(2)]
+    taxes = draw_all[1]  # their microseconds, summed one by one, give 18.499999999999996
+    assert sum(taxes) * 100 == 18_500 and reduce(lambda a, t: a + t / 10, taxes, 0.0) < 18.5
+    con = duckdb.connect()
+    part = con.execute("SELECT * FROM read_parquet('/root/testdata/sf0.001/part.parquet') LIMIT 1").to_arrow_table()
+    con.register("one", part)
+    con.execute(f"COPY one TO '{tmp_path}/part.parquet'")
+    lines = con.execute("SELECT * REPLACE ((SELECT p_partkey FROM one) AS l_partkey, 0.01 AS l_discount) FROM read_parquet('/root/testdata/sf0.001/lineitem.parquet') LIMIT 40").to_arrow_table()
+    lines = lines.set_column(lines.column_names.index("l_tax"), "l_tax", [[t / 100 for t in taxes]])
+    con.register("lines", lines)
+    con.execute(f"COPY lines TO '{tmp_path}/lineitem.parquet'")
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    out = entry.queries()["trace_events"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({entry.oracle_sql()['trace_events']})").fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert {r.dur for r in out.where("tid = 2").collect()} == {19}
