@@ -18,12 +18,13 @@ def with_times(observations: DataFrame) -> DataFrame:
     return observations.withColumns({"setup_s": numeric.setup_seconds("t_submit", "t_running"), "run_s": numeric.run_seconds("t_running", "t_ended")})
 
 
-#: Values of a key that one buffer may hold; the quantiles of larger keys are found in rounds. Bins of a round.
+#: Different values of a key that one buffer may hold; the quantiles of larger keys are found in rounds. Bins of a round.
 HELD, BINS = 100_000, 1024
 
 
 def ranked(rows: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
     """keys, rank, value: the rank-th smallest value (from 0) of each key, for ranks (keys, rank, low, high: the key's least and largest).
+    Rows have a value and n, how many times it is there, and are read in every round.
 
     A round counts a key's values between two bounds in BINS bins, each with its least and largest value, and goes on in the bin that
     the rank is in, until one value is left there. Counts are combined before they are moved, so that no task holds the values of a key.
@@ -42,7 +43,7 @@ def ranked(rows: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> Da
         met = rows.join(named, same & F.col(value).between(F.col("low"), F.col("high")))
         share = (F.col(value) / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)  # halves cannot overflow
         place = [*keys, "rank", "before"]
-        bins = met.groupBy(*place, F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+        bins = met.groupBy(*place, F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.sum("n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
         upto = F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("bin"))  # BINS rows at most
         hit = bins.withColumn("upto", F.col("before") + upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
         state = state.where("low = high").unionByName(hit.select(*keys, "rank", "low", "high", (F.col("upto") - F.col("n")).alias("before")))
@@ -50,12 +51,19 @@ def ranked(rows: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> Da
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
-    """keys, samples, mean, and q0, q1, ... : exact quantiles, interpolated between neighbours. Keys of few values take one pass."""
-    stats = rows.groupBy(*keys).agg(F.count("*").cast("long").alias("samples"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
-    large = stats.where(F.col("samples") > HELD)
+    """keys, samples, mean, and q0, q1, ... : exact quantiles, interpolated between neighbours. Keys of few different values take one pass.
+
+    Rows are worked out once: each value with how often it is there (n) is written, and all that follows reads that.
+    """
+    spark, folder = rows.sparkSession, scratch(rows.sparkSession)
+    rows.groupBy(*keys, value).agg(F.count("*").cast("long").alias("n")).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    known = F.sum(F.when(F.col(value).isNotNull(), F.col("n")))
+    samples, mean = F.sum("n").alias("samples"), (F.sum(F.col(value).cast("double") * F.col("n")) / known).alias("mean")
+    stats = rows.groupBy(*keys).agg(samples, mean, F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("_different"))
     names = [f"q{i}" for i in range(len(at))]
-    if large.isEmpty():
-        return rows.groupBy(*keys).agg(F.count("*").cast("long").alias("samples"), F.avg(value).alias("mean"), F.percentile(value, F.array(*map(F.lit, at))).alias("_at")).select(
+    if stats.where(F.col("_different") > HELD).isEmpty():
+        return rows.groupBy(*keys).agg(samples, mean, F.percentile(value, F.array(*map(F.lit, at)), F.col("n")).alias("_at")).select(
             *keys, "samples", "mean", *[F.col("_at")[i].alias(n) for i, n in enumerate(names)]
         )
     places = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("samples") - 1)).alias("place")) for i, q in enumerate(at)))

@@ -6,10 +6,12 @@ import random
 from functools import reduce
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quillon.operators import costs
 from quillon.sources import sinks
 
 
@@ -52,3 +54,21 @@ def test_durations_of_trace_events_are_summed_whole(spark, tmp_path):
     want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({entry.oracle_sql()['trace_events']})").fetchall()
     assert sorted(map(tuple, out.collect())) == sorted(want)
     assert {r.dur for r in out.where("tid = 2").collect()} == {19}
+
+
+@pytest.mark.parametrize("held", [costs.HELD, 10])
+def test_quantiles_work_rows_out_once(spark, monkeypatch, held):
+    monkeypatch.setattr(costs, "HELD", held)
+    worked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            worked.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 6000, 1, 3).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 1000).cast("double").alias("v")).mapInArrow(seen, "k long, v double")
+    got = {r.k: (r.samples, r.mean, r.q0, r.q1) for r in costs.quantiles(rows, ["k"], "v", (0.5, 0.9)).collect()}
+    assert worked.value == 6000
+    for k in (0, 1):
+        v = [float(i * 7919 % 1000) for i in range(k, 6000, 2)]
+        assert got[k] == (3000, pytest.approx(np.mean(v)), pytest.approx(np.quantile(v, 0.5)), pytest.approx(np.quantile(v, 0.9)))
