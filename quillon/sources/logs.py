@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -76,10 +76,12 @@ def complete_end(folder: str) -> int:
     return last.start
 
 
-def read_lines(folder: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, line) of the lines that begin in [start, end); whole lines, also where the last ends beyond."""
+def read_lines(folder: str, start: int, end: int, known: Sequence[Segment] | None = None) -> Iterator[tuple[int, bytes]]:
+    """(offset, line) of the lines that begin in [start, end); whole lines, also where the last ends beyond.
+
+    known: the archives that hold these bytes, if the caller has looked them up, which spares the list of the folder."""
     system, _ = opened(folder)
-    for s in segments(folder):
+    for s in segments(folder) if known is None else known:
         low, high = max(start, s.start), min(end, s.end)
         if low >= high:
             continue
@@ -121,9 +123,11 @@ def append_live(folder: str, text: str) -> None:
 
 
 class Lines(InputPartition):
-    def __init__(self, start: int, end: int) -> None:
+    """A range of bytes, with the archives that hold it; a range of the live file has none, for it may be rolled before it is read."""
+
+    def __init__(self, start: int, end: int, known: tuple[Segment, ...] | None = None) -> None:
         super().__init__((start, end))
-        self.start, self.end = start, end
+        self.start, self.end, self.known = start, end, known
 
 
 class LogReader(DataSourceStreamReader):
@@ -138,13 +142,23 @@ class LogReader(DataSourceStreamReader):
         return {"offset": max(self.since, complete_end(self.folder))}
 
     def partitions(self, start: dict, end: dict) -> list[Lines]:
-        """One for each archive, whose bytes are packed as a whole; the live file in pieces."""
-        out = []
+        """Archives one after the other up to `size` bytes, each as a whole, for it is packed so; the live file in pieces."""
+        out: list[Lines] = []
+        held: list[Segment] = []
         for s in segments(self.folder):
             low, high = max(start["offset"], s.start), min(end["offset"], s.end)
-            step = high - low if s.packed else self.size
-            out += [Lines(k, min(k + step, high)) for k in range(low, high, max(1, step))]
-        return out or [Lines(0, 0)]
+            if low >= high:
+                continue
+            if held and (not s.packed or high - max(start["offset"], held[0].start) > self.size):
+                out.append(Lines(max(start["offset"], held[0].start), held[-1].end, tuple(held)))
+                held = []
+            if s.packed:
+                held.append(s)
+            else:
+                out += [Lines(k, min(k + self.size, high)) for k in range(low, high, self.size)]
+        if held:
+            out.append(Lines(max(start["offset"], held[0].start), min(end["offset"], held[-1].end), tuple(held)))
+        return out or [Lines(0, 0, ())]
 
     def read(self, partition: Lines) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
@@ -152,7 +166,7 @@ class LogReader(DataSourceStreamReader):
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1].decode() for h in held], pa.string())], ["position", "value"])
 
-        for line in read_lines(self.folder, partition.start, partition.end):
+        for line in read_lines(self.folder, partition.start, partition.end, partition.known):
             held.append(line)
             if len(held) == BATCH:
                 yield batch()

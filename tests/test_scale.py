@@ -7,12 +7,15 @@ from functools import reduce
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillon.operators import costs
-from quillon.sources import sinks
+from quillon.sources import logs, sinks
+from quillon.streaming import states
 
 
 @pytest.fixture
@@ -72,3 +75,53 @@ def test_quantiles_work_rows_out_once(spark, monkeypatch, held):
     for k in (0, 1):
         v = [float(i * 7919 % 1000) for i in range(k, 6000, 2)]
         assert got[k] == (3000, pytest.approx(np.mean(v)), pytest.approx(np.quantile(v, 0.5)), pytest.approx(np.quantile(v, 0.9)))
+
+
+class Map(dict):
+    """A map state in memory."""
+
+    exists, getValue, containsKey, updateValue = dict.__len__, dict.get, dict.__contains__, dict.__setitem__
+
+
+class Handle:
+    def getMapState(self, *_):  # noqa: N802
+        return Map()
+
+
+@pytest.mark.parametrize("block", [states.BLOCK, 4])
+def test_one_call_takes_all_jobs_of_a_bucket(monkeypatch, block):
+    monkeypatch.setattr(states, "BLOCK", block)
+    processor = states.JobProcessor(False, False)
+    processor.init(Handle())
+    draw = random.Random(4)
+    frames = [(f"j{draw.randrange(300)}", draw.choice(["started", "ended", "line"]), draw.randrange(200_000), n) for n in range(4000)]
+    frames += [(job, "ended", offset, 5000 + n) for n, (job, _, offset, _) in enumerate(frames[:500])]  # replays
+    seen, got, moved = {}, [], {}
+    for part in (frames[:1500], frames[1500:]):
+        rows = pd.DataFrame([(j, k, o, a * 10, "{}", a, None, None) for j, k, o, a in part], columns=["job", "kind", "offset", "at", "payload", "arrival", "exit_code", "time"])
+        for out in processor.handleInputRows((7,), iter([rows[:700], rows[700:]]), None):
+            got += [(r.job, r.offset, r.arrival) for r in out[out.what == "frame"].itertuples()]
+            moved |= {r.job: (r.started_arrival, r.ended_arrival) for r in out[out.what == "state"].itertuples()}
+    for job, kind, offset, arrival in frames:
+        seen.setdefault((job, offset), (arrival, kind))
+    assert sorted(got) == sorted((j, o, a) for (j, o), (a, _) in seen.items())
+    last = lambda job, kind: max((a for (j, _), (a, k) in seen.items() if j == job and k == kind), default=pd.NA)
+    assert {j: tuple(map(str, m)) for j, m in moved.items()} == {j: (str(last(j, "started")), str(last(j, "ended"))) for j in moved} and len(moved) > 250
+    assert max(len(v[0]) for v in processor.seen.values()) <= 8 * block
+    assert block == 4 or len(processor.seen) == len({j for j, _ in seen})  # one entry for each job, however far apart its offsets are
+
+
+def test_archives_are_read_together(tmp_path, monkeypatch):
+    """A task reads many small archives, and does not list the folder for it."""
+    at = 0
+    for n in range(200):
+        data = "".join(f"{n}-{k}\n" for k in range(5)).encode()
+        with pa.CompressedOutputStream(pa.OSFile(str(tmp_path / f"{at:020d}-{at + len(data):020d}.ndjson.zst"), "wb"), "zstd") as f:
+            f.write(data)
+        at += len(data)
+    reader = logs.LogReader({"path": str(tmp_path), "since": "11", "partitionbytes": "1000"})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert at // 1000 <= len(parts) <= at // 800 + 1
+    monkeypatch.setattr(logs, "segments", None)
+    got = [v for p in parts for b in reader.read(p) for v in b.column(1).to_pylist()]
+    assert got == [f"{n}-{k}" for n in range(200) for k in range(5)][3:]
