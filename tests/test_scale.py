@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quillon.operators import costs
+from quillon.operators import costs, runs
 from quillon.sources import logs, sinks
 from quillon.streaming import states
 
@@ -125,3 +125,16 @@ def test_archives_are_read_together(tmp_path, monkeypatch):
     monkeypatch.setattr(logs, "segments", None)
     got = [v for p in parts for b in reader.read(p) for v in b.column(1).to_pylist()]
     assert got == [f"{n}-{k}" for n in range(200) for k in range(5)][3:]
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_small_runs_are_taken_together(size):
+    draw = random.Random(size)
+    keys = sorted((draw.choice([None, 1, 2]) or 0, draw.randrange(400)) for _ in range(3000))
+    table = pa.table({"track": [k or None for k, _ in keys], "slice": [s for _, s in keys], "n": range(3000)})
+    batches = table.to_batches(max_chunksize=size)
+    got, tables = [], 0
+    for part, bounds in runs.groups_of(iter(batches), ["track", "slice"]):
+        tables += 1
+        got += [part.column("n").to_pylist()[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [t.column("n").to_pylist() for _, t in runs.runs_of(iter(batches), ["track", "slice"])] and tables <= len(batches) + 1
