@@ -169,6 +169,15 @@ def keep_one(docs: DataFrame, decided: DataFrame, id_col: str, text_col: str) ->
     return left.join(one, ["h1", "h2"], "left_anti").unionByName(repeats).select("row.*")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys in one partition, for Python code that takes groups from sorted rows.
+
+    repartition(*keys) does not promise this behind a join on the same keys: the planner leaves that shuffle out, and once the
+    join turns out small it reads what was shuffled for the join by the tasks that wrote it. A hash of the keys is no key of a join.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 50_000, size: int = 32 << 20) -> Iterator[pa.Table]:
     """Tables of whole groups, about `rows` rows or `size` bytes each, from batches that are sorted by their keys."""
     held: list[pa.RecordBatch] = []

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, map_batches, text_of, whole_groups, word_pieces
+from quillon.llm.common import cut, dealt, map_batches, text_of, whole_groups, word_pieces
 from quillon.llm.components import connected
 from quillon.llm.neardup import _edges, _forest, _group_bounds
 
@@ -129,7 +129,7 @@ def links(prints: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFra
     keyed = prints.select("print", F.explode(block_keys(F.col("print"), distance)).alias("k")).select("print", "k.which", "k.bits")
     sizes = cut(keyed.groupBy("which", "bits").agg(F.count("*").alias("n")).where("n > 1"))
     met = keyed.join(sizes.where(F.col("n") <= bucket).select("which", "bits"), ["which", "bits"])
-    out = _bucket_links(met.repartition("which", "bits").sortWithinPartitions("which", "bits"), distance)
+    out = _bucket_links(dealt(met, "which", "bits").sortWithinPartitions("which", "bits"), distance)
     hot = sizes.where(F.col("n") > bucket).select("which", "bits")
     if distance and not hot.isEmpty():
         crowd = cut(keyed.join(hot, ["which", "bits"]).select("print").distinct())

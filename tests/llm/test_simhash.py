@@ -103,6 +103,23 @@ def test_links_of_full_buckets(spark, distance, bucket):
     assert len({find(n) for n in range(len(values))}) == len(set(want))
 
 
+def test_buckets_stay_whole_whatever_the_join(spark):
+    """The join that drops lone fingerprints begins as a shuffle and turns out small enough to be sent: buckets are still not split."""
+    draw = random.Random(4)
+    alone, linked = [draw.getrandbits(63) for _ in range(8000)], [draw.getrandbits(63) for _ in range(500)]
+    values = [*linked, *alone, *(v ^ 3 for v in linked)]  # the two of a link lie in different partitions
+    prints = spark.createDataFrame(spark.sparkContext.parallelize([(v,) for v in values], 8), "print long")
+    plan = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "256k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in plan.items():
+        spark.conf.set(key, value)
+    try:
+        found = {frozenset(r) for r in simhash.links(prints, 2).collect()}
+    finally:
+        for key in plan:
+            spark.conf.unset(key)
+    assert found == {frozenset((v, v ^ 3)) for v in linked}
+
+
 def test_a_full_bucket_meets_in_bounded_groups(spark):
     """2000 fingerprints that share half of their bits: no value has more than 65 of them about it, and rows grow as the bucket."""
     draw = random.Random(1)
