@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon import schemas
-from quillon.session import on_workers
+from quillon.session import on_workers, scratch
 from quillon.sources.logs import opened
 
 #: Bytes of a block, bytes before a list in which its name is looked for, and bytes read at once behind a block.
 BLOCK, BACK, MORE = 4 << 20, 4096, 1 << 16
+#: Blocks that a task reads, about, one after the other; and elements that a task sorts at most, about, where a document is written.
+TASK, ROWS = 4, 250_000
 _NAME = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*\Z')
 _QUOTE, _ESCAPE = 0x22, 0x5C
 
@@ -122,8 +124,9 @@ def elements(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     """The elements of all lists of a document: list (its name), position (where the element begins), value (its text)."""
     on_workers(spark)
     size = Text(path).size
-    blocks = spark.range(0, max(1, -(-size // block)) if size else 0).select((F.col("id") * block).alias("begin"), F.least((F.col("id") + 1) * block, F.lit(size)).alias("end"))
-    blocks = blocks.repartition("begin") if size > block else blocks
+    count = -(-size // block)
+    tasks = max(1, -(-count // TASK))
+    blocks = spark.range(0, count, 1, tasks).select((F.col("id") * block).alias("begin"), F.least((F.col("id") + 1) * block, F.lit(size)).alias("end"))
 
     def each(work: object, names: list[str], types: list[pa.DataType]) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +145,10 @@ def elements(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     ahead = Window.orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
     state = done.withColumn("in", F.coalesce(F.sum("flips").over(ahead), F.lit(0)) % 2)
     state = state.withColumn("depth", F.coalesce(F.sum(F.when(F.col("in") == 0, F.col("outside")).otherwise(F.col("inside"))).over(ahead), F.lit(0))).select("begin", "end", "in", "depth")
+    state = state.repartition(tasks, "begin")  # the running count leaves all blocks to one task
     named = lambda text, r: borders_in(text, r["begin"], r["end"], r["in"], r["depth"])
     found = lambda text, r: elements_in(text, r["begin"], r["end"], r["in"], r["depth"])
-    lists = state.mapInArrow(each(named, ["position", "list"], [number, word]), "position long, list string").sort("position")
+    lists = state.mapInArrow(each(named, ["position", "list"], [number, word]), "position long, list string")
     ranges = lists.withColumn("upto", F.lead("position").over(Window.orderBy("position"))).where("list is not null")  # the lists of one object
     rows = state.mapInArrow(each(found, ["position", "value"], [number, word]), "position long, value string")
     lists_held = F.broadcast(ranges.withColumnRenamed("position", "_from"))  # a row for each list of the outermost object
@@ -162,22 +166,29 @@ def records(spark: SparkSession, path: str, kind: str, block: int = BLOCK) -> Da
 def profile_lines(device: str, host: str, **lists: DataFrame) -> DataFrame:
     """A profile document as lines of text (value) in order, for write.text(): the files of the folder are the document one after the other.
 
-    Lists are sorted by ranges of `ordinal`, so that no task holds a list. The first element of a list is told by its ordinal, which no other has.
+    Lists are sorted by ranges of `ordinal`, as many as their elements need, so that no task holds a list; what is written follows the order of
+    partitions. The first element of a list is told by its ordinal, which no other has.
     """
-    one = next(iter(lists.values())).sparkSession.range(1)
+    spark = next(iter(lists.values())).sparkSession
+    one = spark.range(0, 1, 1, 1)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     head = F.regexp_replace(F.to_json(F.struct(F.lit(host).alias("host"), F.lit(device).alias("device"))), "\\}$", "")
     sections: list[DataFrame] = []
 
-    def add(rows: DataFrame, value: Column, place: Column) -> None:
-        sections.append(rows.select(F.lit(len(sections)).alias("section"), place.cast("long").alias("place"), value.alias("value")))
+    def add(rows: DataFrame, value: Column) -> None:
+        sections.append(rows.select(value.alias("value")))
 
-    add(one, head, F.lit(0))
+    add(one, head)
     for kind, rows in lists.items():
         body = rows.select("ordinal", F.to_json(F.struct(*[c for c in rows.columns if c not in ("ordinal", "path")])).alias("value"))
-        first = F.broadcast(body.agg(F.min("ordinal").alias("_first")))  # one row
+        folder = scratch(spark)
+        body.agg(F.min("ordinal").alias("_first"), F.count("*").alias("_count")).write.parquet(folder)
+        known = spark.read.parquet(folder)  # one row
+        needed = -(-known.first()["_count"] // ROWS)
+        ranges = (needed, "ordinal") if needed > usual else ("ordinal",)
         comma = F.when(F.col("ordinal") == F.col("_first"), F.lit("")).otherwise(F.lit(","))
-        add(one, F.lit(f',"{kind}":['), F.lit(0))
-        add(body.crossJoin(first).repartitionByRange("ordinal").sortWithinPartitions("ordinal"), F.concat(comma, "value"), F.monotonically_increasing_id())
-        add(one, F.lit("]"), F.lit(0))
-    add(one, F.lit("}"), F.lit(0))
-    return reduce(DataFrame.unionByName, sections).orderBy("section", "place").select("value")
+        add(one, F.lit(f',"{kind}":['))
+        add(body.crossJoin(F.broadcast(known.select("_first"))).repartitionByRange(*ranges).sortWithinPartitions("ordinal"), F.concat(comma, "value"))
+        add(one, F.lit("]"))
+    add(one, F.lit("}"))
+    return reduce(DataFrame.unionByName, sections)

@@ -71,3 +71,27 @@ def test_written_in_parts_and_read_back(spark, tmp_path):
     rows = documents.records(spark, path, "kernels", 5000).orderBy("ordinal").collect()
     assert [(r["name"], r.start_ns) for r in rows] == [(f'k"{{{i % 7}', i) for i in range(3000)]
     assert files.exists(spark, path) and documents.records(spark, path, "windows", 5000).count() == 0
+
+
+def test_blocks_are_read_by_many_tasks(spark, tmp_path):
+    doc = profile(6, 200)
+    path = str(tmp_path / "p.json")
+    with open(path, "w") as f:
+        json.dump(doc, f)
+    found = documents.elements(spark, path, 100).withColumn("task", F.spark_partition_id())
+    assert found.count() == len(doc["kernels"]) + len(doc["windows"])
+    per_task = [r["count"] for r in found.groupBy("task").count().collect()]
+    assert len(per_task) > 10 and max(per_task) < 60
+
+
+def test_ranges_of_a_written_document_follow_its_elements(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "ROWS", 100)
+    path = str(tmp_path / "doc")
+    kernels = spark.range(3000).select(F.concat(F.lit("k"), F.col("id") % 7).alias("name"), F.col("id").alias("start_ns"), F.col("id").alias("ordinal")).orderBy(F.xxhash64("id"))
+    windows = kernels.where("ordinal < 2").select("name", "start_ns", (-F.col("ordinal")).alias("ordinal"))
+    documents.profile_lines("gpu", "host", kernels=kernels, windows=windows).write.text(path)
+    text = documents.Text(path)
+    doc = json.loads(text.read(0, text.size))
+    assert [k["start_ns"] for k in doc["kernels"]] == list(range(3000)) and [w["start_ns"] for w in doc["windows"]] == [1, 0]
+    parts = [text.read(low, high).count(b"start_ns") for low, high, _ in text.files]
+    assert sum(n > 0 for n in parts) >= 25 and max(parts) < 300
