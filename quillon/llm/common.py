@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -68,20 +69,32 @@ def spent(df: DataFrame) -> None:
 BATCH_BYTES = 8 << 20
 
 
-def _smaller(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    if batch.num_rows < 2 or batch.nbytes <= BATCH_BYTES:
+def smaller(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most so many bytes, or of one row."""
+    if batch.num_rows < 2 or batch.nbytes <= most:
         yield batch
     else:
         half = batch.num_rows // 2
-        yield from _smaller(batch.slice(0, half))
-        yield from _smaller(batch.slice(half))
+        yield from smaller(batch.slice(0, half), most)
+        yield from smaller(batch.slice(half), most)
+
+
+def give_back() -> None:
+    """Returns what is free to the system. Workers outlive their tasks, and idle ones count beside the JVM in an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
-    """mapInArrow over batches of at most BATCH_BYTES, about: as Python objects a batch is held several times over."""
+    """mapInArrow over batches of at most BATCH_BYTES, about: as Python objects a batch is held several times over.
+    A task that ends leaves its worker no memory but what is in use."""
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(part for batch in batches for part in _smaller(batch))
+        try:
+            yield from run(part for batch in batches for part in smaller(batch))
+        finally:
+            give_back()
 
     return df.mapInArrow(sized, schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm.common import cut, map_batches, text_of
+from quillon.llm.common import cut, map_batches, smaller, text_of
 
 CAPACITY = 1024
 END_ID = 2
@@ -29,8 +29,10 @@ END_ID = 2
 SLACK = 4
 #: Items that one partition packs at once, and bins that a partition of a later round gets, about.
 BLOCK, FAN_IN_ROWS, FAN_IN = 200_000, 50_000, 8
-#: Words whose ids a task remembers, and bytes of them and their ids.
-WORDS, WORD_BYTES = 600_000, 64 << 20
+#: Words whose ids a worker remembers, and bytes of them and their ids; both of two generations, so half of it for each.
+WORDS, WORD_BYTES = 400_000, 64 << 20
+#: Bytes of texts that are cut into words at once: as Python objects, words take ten times as much.
+SLICE_BYTES = 1 << 20
 
 _CHUNK = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z")
 _PLAIN = re.compile(rb" ?[^\x20\x09-\x0D]+\Z")
@@ -43,6 +45,8 @@ class Ids:
 
     New words go through the same vocabulary as ranks, many at once, parted by line ends; words with special
     strings or other white space, and texts with white space beyond ASCII, go through the tokenizers file.
+    Words are remembered in two generations: once the younger is full it becomes the older, and what was the older is
+    forgotten, but for words that were met again meanwhile.
     """
 
     def __init__(self, path: str, ranks_path: str, pattern: str) -> None:
@@ -52,6 +56,7 @@ class Ids:
         self.quick = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.line_end = self.quick.encode_ordinary("\n")[0]
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0  # bytes of known
 
     def by_library(self, raw: bytes) -> bytes:
@@ -59,6 +64,11 @@ class Ids:
 
     def learn(self, words: set[bytes]) -> None:
         """Remembers words of one batch, whose texts bound what it adds."""
+        older = self.older
+        if again := {word: older[word] for word in words if word in older}:
+            self.known.update(again)
+            self.held += sum(map(len, again)) + sum(map(len, again.values()))
+            words = words.difference(again)
         plain = [w for w in words if _PLAIN.match(w) and b"<|" not in w]
         if plain:
             ids = np.array(self.quick.encode_ordinary(b"\n".join(plain).decode()), "<u4")
@@ -73,8 +83,8 @@ class Ids:
             self.known[word] = self.by_library(word)
         self.held += sum(len(word) + len(self.known[word]) for word in words)
 
-    def forget(self) -> None:
-        self.known.clear()
+    def age(self) -> None:
+        self.older, self.known = self.known, {}
         self.held = 0
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
@@ -85,13 +95,13 @@ class Ids:
         for words in parts:
             if words:
                 new.update(words)
-        known = self.known
-        missing = new.difference(known)
-        if missing and (len(known) + len(missing) > WORDS or self.held > WORD_BYTES):
-            self.forget()
+        missing = new.difference(self.known)
+        if missing and (len(self.known) + len(missing) > WORDS // 2 or self.held > WORD_BYTES // 2):
+            self.age()
             missing = new
         if missing:
             self.learn(missing)
+        known = self.known
         for raw, words in zip(raws, parts, strict=True):
             yield self.by_library(raw) if words is None else b"".join(map(known.__getitem__, words))
 
@@ -114,8 +124,7 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str, str], capacity: int = CAP
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ids_of(*tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in smaller(whole, SLICE_BYTES):
                 rows, number, start, length, crc = [], [], [], [], []
                 for k, ids in enumerate(encode.batch(batch.column(1).to_pylist())):
                     ids += end

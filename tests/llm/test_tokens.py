@@ -7,11 +7,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quillon.llm import packing, tokens
+from quillon.llm import common, packing, tokens
 from quillon.llm.queries import byte_tokenizer
 
 from .conftest import ODD
@@ -92,6 +93,62 @@ def test_caches_are_bounded_by_bytes(monkeypatch):
         assert ids.held == sum(len(a) + len(b) for a, b in ids.known.items()) < 21_000
 
 
+def test_words_of_every_batch_are_encoded_once(monkeypatch):
+    """The table turns over, within its bound, and words that are met again and again stay in it."""
+    monkeypatch.setattr(packing, "WORDS", 200)
+    ids = packing.Ids(*byte_tokenizer())
+    plain = Tokenizer.from_file(byte_tokenizer()[0])
+    encoded = []
+
+    class Counted:
+        def encode_ordinary(self, text, quick=ids.quick):
+            encoded.extend(text.split("\n"))
+            return quick.encode_ordinary(text)
+
+    ids.quick = Counted()
+    for k in range(100):
+        t = " ".join(["the", "and", *(f"w{k * 20 + j}" for j in range(20)), "the"])
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.batch([t])] == [plain.encode(t, add_special_tokens=False).ids]
+        assert len(ids.known) + len(ids.older) <= 200
+        assert ids.held == sum(len(a) + len(b) for a, b in ids.known.items())
+    assert [encoded.count(w) for w in ("the", " and", " the", " w1999")] == [1, 1, 1, 1]
+
+
+def _anonymous_mb():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(x.split()[1]) for x in f if x.startswith("Anonymous:")) / 1024
+
+
+def test_tasks_leave_workers_no_free_memory():
+    """What a task has freed goes back to the system when it ends, also below blocks that are still in use."""
+
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    seen, pins = [], []
+
+    def run(batches):
+        for batch in batches:
+            blocks = [bytes(2000) for _ in range(50_000)]
+            pins.append(bytes(2000))
+            del blocks
+            seen.append(_anonymous_mb())
+            yield batch
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4))], ["k"])
+    task = common.map_batches(Frame(), run, "k long")(iter([batch]))
+    assert next(task).equals(batch) and list(task) == []
+    assert _anonymous_mb() < seen[0] - 60
+
+
+def test_batches_in_smaller_parts():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in (10, 0, 5000, 300, 300, 2, 900)])], ["text"])
+    parts = list(common.smaller(batch, 1000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.nbytes <= 1000 or p.num_rows == 1 for p in parts) and len(parts) > 2
+
+
 def test_token_counts(odd, none):
     library = Tokenizer.from_file(PATH)
     want = sorted((i or 0, len((t or "").encode()), n, n > 100) for i, t in ODD for n in [len(library.encode(t or "", add_special_tokens=False).ids)])
