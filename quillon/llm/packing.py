@@ -9,13 +9,14 @@ are at most as many as it has tokens.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,20 +32,51 @@ SLACK = 4
 BLOCK, FAN_IN_ROWS, FAN_IN = 200_000, 50_000, 8
 #: Words whose ids a worker remembers, and bytes of them and their ids; both of two generations, so half of it for each.
 WORDS, WORD_BYTES = 400_000, 64 << 20
-#: Bytes of texts that are cut into words at once: as Python objects, words take ten times as much.
-SLICE_BYTES = 1 << 20
+#: Bytes of texts that are cut into words at once: only distinct words become Python objects.
+SLICE_BYTES = 2 << 20
 
-_CHUNK = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z")
-_PLAIN = re.compile(rb" ?[^\x20\x09-\x0D]+\Z")
-#: White space beyond ASCII, in UTF-8. Runs of white space that hold some are left to the library.
-_WIDE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: White space beyond ASCII. Runs of white space that hold some are left to the library.
+_WIDE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _blank(data: np.ndarray) -> np.ndarray:
+    """Which bytes are white space in ASCII."""
+    return (data == 32) | (data - 9 < 5)  # of unsigned bytes
+
+
+def _binary(ends: np.ndarray, data: pa.Buffer) -> pa.Array:
+    """Values that lie one behind the other in data, each from one of the ends to the next."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), data])
+
+
+def _ends(values: pa.Array) -> np.ndarray:
+    return np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+
+
+def _objects(values: pa.Array) -> list[bytes]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words, each with the white space before it (white space at the end of a text is one more), and where those of
+    each text end: large strings are cut in place, without an object for each word."""
+    ends = _ends(texts) if len(texts) else np.zeros(1, np.int64)
+    if ends[0] == ends[-1]:
+        return pa.array([], pa.large_binary()), np.zeros(len(ends), np.int64)
+    data = texts.buffers()[2]
+    blank = _blank(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]])
+    begins = np.r_[False, blank[1:] & ~blank[:-1]]
+    begins[ends[:-1][ends[:-1] < ends[1:]] - ends[0]] = True
+    places = np.r_[np.flatnonzero(begins) + ends[0], ends[-1]]
+    return _binary(places, data), np.searchsorted(places, ends)
 
 
 class Ids:
     """Ids of byte-level BPE, by word: a word with the white space before it is always encoded alike.
 
-    New words go through the same vocabulary as ranks, many at once, parted by line ends; words with special
-    strings or other white space, and texts with white space beyond ASCII, go through the tokenizers file.
+    The words of a batch are told apart in Arrow, and only distinct ones are looked up. New words go through the same
+    vocabulary as ranks, many at once, parted by line ends; words with special strings or other white space, and texts
+    with white space beyond ASCII, go through the tokenizers file.
     Words are remembered in two generations: once the younger is full it becomes the older, and what was the older is
     forgotten, but for words that were met again meanwhile.
     """
@@ -62,48 +94,63 @@ class Ids:
     def by_library(self, raw: bytes) -> bytes:
         return np.array(self.library.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Remembers words of one batch, whose texts bound what it adds."""
+    def learn(self, words: list[bytes], odd: set[bytes]) -> None:
+        """Remembers distinct words of one batch, whose texts bound what it adds; odd ones are for the library."""
         older = self.older
         if again := {word: older[word] for word in words if word in older}:
             self.known.update(again)
             self.held += sum(map(len, again)) + sum(map(len, again.values()))
-            words = words.difference(again)
-        plain = [w for w in words if _PLAIN.match(w) and b"<|" not in w]
+            words = [word for word in words if word not in again]
+        plain = [word for word in words if word not in odd]
         if plain:
-            ids = np.array(self.quick.encode_ordinary(b"\n".join(plain).decode()), "<u4")
-            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
-            if len(ends) != len(plain):
+            joined = b"\n".join(plain)
+            ids = np.array(self.quick.encode_ordinary(joined.decode()), "<u4")
+            lines = np.flatnonzero(ids == self.line_end)
+            if len(lines) + 1 != len(plain):
                 raise ValueError("line ends do not part the words")
-            whole, start = ids.tobytes(), 0
-            for word, end in zip(plain, ends, strict=True):
-                self.known[word] = whole[4 * start : 4 * end]
-                start = end + 1
-        for word in words.difference(plain):
-            self.known[word] = self.by_library(word)
-        self.held += sum(len(word) + len(self.known[word]) for word in words)
+            ends = np.r_[0, lines - np.arange(len(lines)), len(ids) - len(lines)] * 4
+            self.known.update(zip(plain, _objects(_binary(ends, pa.py_buffer(ids[ids != self.line_end]))), strict=True))
+            self.held += len(joined) - len(lines) + int(ends[-1])
+        for word in odd.intersection(words):
+            self.known[word] = ids_ = self.by_library(word)
+            self.held += len(word) + len(ids_)
 
     def age(self) -> None:
         self.older, self.known = self.known, {}
         self.held = 0
 
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        raws = [t.encode() for t in texts]
-        parts = [None if _WIDE.search(r) else _CHUNK.findall(r) for r in raws]
-        new: set[bytes] = set()
-        for words in parts:
-            if words:
-                new.update(words)
-        missing = new.difference(self.known)
+    def words(self, values: pa.Array) -> pa.Array:
+        """Ids of each word, of distinct ones."""
+        first, ends, data = _ends(values)[:-1], _ends(values)[1:], np.frombuffer(values.buffers()[2], np.uint8)
+        strange = _blank(data[first]) & ((data[first] != 32) | _blank(data[np.minimum(first + 1, ends - 1)]))
+        strange |= pc.match_substring(values, "<|").to_numpy(zero_copy_only=False)
+        odd = set(_objects(values.filter(pa.array(strange))))
+        words = _objects(values)
+        missing = [word for word in words if word not in self.known]
         if missing and (len(self.known) + len(missing) > WORDS // 2 or self.held > WORD_BYTES // 2):
             self.age()
-            missing = new
+            missing = words
         if missing:
-            self.learn(missing)
-        known = self.known
-        for raw, words in zip(raws, parts, strict=True):
-            yield self.by_library(raw) if words is None else b"".join(map(known.__getitem__, words))
+            self.learn(missing, odd)
+        return pa.array(map(self.known.__getitem__, words), pa.large_binary(), size=len(words))
+
+    def batch(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit numbers."""
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        wide = pc.match_substring_regex(column, _WIDE).to_numpy(zero_copy_only=False)
+        words, upto = chunks(column.filter(pa.array(~wide)) if wide.any() else column)
+        whole = memoryview(b"")
+        if len(words):
+            coded = words.dictionary_encode()
+            ids = self.words(coded.dictionary).take(coded.indices)
+            upto, whole = _ends(ids)[upto], memoryview(ids.buffers()[2])
+        bounds = pairwise(upto.tolist())
+        for k, by_library in enumerate(wide.tolist()):
+            if by_library:
+                yield self.by_library(column[k].as_py().encode())
+            else:
+                begin, end = next(bounds)
+                yield bytes(whole[begin:end])
 
 
 @lru_cache(maxsize=2)
@@ -126,7 +173,7 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str, str], capacity: int = CAP
         for whole in batches:
             for batch in smaller(whole, SLICE_BYTES):
                 rows, number, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(encode.batch(batch.column(1).to_pylist())):
+                for k, ids in enumerate(encode.batch(batch.column(1))):
                     ids += end
                     n = len(ids) // 4
                     first = n % capacity or capacity

@@ -114,6 +114,39 @@ def test_words_of_every_batch_are_encoded_once(monkeypatch):
     assert [encoded.count(w) for w in ("the", " and", " the", " w1999")] == [1, 1, 1, 1]
 
 
+def test_only_distinct_words_are_looked_up():
+    """The words of a batch are told apart in Arrow: one that is repeated is no Python object each time."""
+
+    class Counted(dict):
+        lookups = 0
+
+        def __getitem__(self, word):
+            Counted.lookups += 1
+            return super().__getitem__(word)
+
+    ids = packing.Ids(*byte_tokenizer())
+    plain = Tokenizer.from_file(byte_tokenizer()[0])
+    ids.known = Counted()
+    texts_ = [" ".join(["of the people", "by the people", "\n\nfor the people "] * 50)] * 20
+    want = plain.encode(texts_[0], add_special_tokens=False).ids
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.batch(texts_)] == [want] * 20
+    assert Counted.lookups < 20
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_ids_of_slices_equal_the_library(kind):
+    """Texts are cut in the buffers of a batch, wherever in it they begin and whatever lies beside them."""
+    ids = packing.Ids(*byte_tokenizer())
+    plain = Tokenizer.from_file(byte_tokenizer()[0])
+    every = ["", " ", "a", " a", "a ", "", "\n", " \n b\t", "x\xa0 y", "x", "\u3000", "", "<|endoftext|>", "a <|endoftext|>b", "\u2028", "\x1c ", "é ß", "  ", "\x85", *texts(60), ""]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in every]
+    column = pa.array(every, kind)
+    for begin in range(len(every) + 1):
+        for n in (0, 1, 2, 3, 40):
+            got = [np.frombuffer(x, "<u4").tolist() for x in ids.batch(column.slice(begin, n))]
+            assert got == want[begin : begin + n], (begin, n)
+
+
 def _anonymous_mb():
     with open("/proc/self/smaps_rollup") as f:
         return sum(int(x.split()[1]) for x in f if x.startswith("Anonymous:")) / 1024
